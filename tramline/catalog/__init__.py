@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("windows_q",)
+MODULES = ("windows_q", "clean_q")
 
 
 def load() -> SimpleNamespace:

@@ -9,8 +9,8 @@ from tramline.functions.scalars import _c
 
 # ---- fixed values -------------------------------------------------------------------------
 ROUTES = ("1", "2", "3", "4", "5", "6", "7", "A", "B", "C", "D", "E", "F", "G", "J", "L", "M", "N", "Q", "R", "S", "W", "Z", "GS", "FS", "H", "SIR")
-LINE_PATTERN = r"\b([1-7]|A|B|C|D|E|F|G|J|L|M|N|Q|R|S|W|Z)\b"
-PLACE_PATTERN = r"(?:at|from|to|near)\s+([A-Z][a-z0-9]+(?:\s[A-Z][a-z0-9]+)*)"
+LINE_PATTERN = r"(?U)\b([1-7]|A|B|C|D|E|F|G|J|L|M|N|Q|R|S|W|Z)\b"
+PLACE_PATTERN = r"(?U)(?:at|from|to|near)\s+([A-Z][a-z0-9]+(?:\s[A-Z][a-z0-9]+)*)"
 STATUS_RULES = (
     ("Suspension", ("suspended", "part-suspended")),
     ("Severe Delay", ("severe-delays",)),
@@ -18,6 +18,7 @@ STATUS_RULES = (
     ("Service Change", ("reroute", "express-to-local", "stops-skipped", "boarding-change")),
     ("Cancellation", ("cancellations",)),
 )
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 BODY_PLANNED = ("planned work",)
 BODY_RESUMED = ("resumed", "regular service", "resolved")
 BODY_DELAY = ("delay", "held", "waiting", "slower")
@@ -90,10 +91,13 @@ def alert_category(status) -> Column:
 
 
 def strip_tags(html) -> Column:
-    """Visible text: scripts and styles dropped, tags to spaces, white space collapsed."""
-    t = F.regexp_replace(_c(html), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", " ")
+    """Visible text: comments, scripts and styles dropped, tags to spaces, basic entities read, white space collapsed."""
+    t = F.regexp_replace(_c(html), r"(?s)<!--.*?-->", " ")
+    t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    for name, ch in ENTITIES:
+        t = F.replace(t, F.lit(name), F.lit(ch))
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
 def classify_alert_text(df: DataFrame, body: str) -> DataFrame:
