@@ -151,7 +151,7 @@ SELECT g.event_id, z.lag1, z.lag2 FROM g JOIN z USING (trip, run)"""
 @query("lag_state_stream", LAG_STATE_SQL)
 def lag_state_stream(spark, sf):
     path = scratch_path(spark, "lags")
-    jobs.run_to_table(jobs.lag_state(train_stream(jobs.stateful_session(spark), sf)), path)
+    jobs.run_to_table(jobs.lag_state(train_stream(spark, sf)), path)
     return spark.read.parquet(path).select("event_id", "lag1", "lag2")
 
 

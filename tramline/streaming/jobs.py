@@ -8,25 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tramline.operators import clean, joins
 from tramline.session import scratch_path
 from tramline.sources import lake
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def stateful_session(spark: SparkSession) -> SparkSession:
-    """A sibling session with the state store that arbitrary state needs; the caller's settings stay as they are."""
-    s = spark.newSession()
-    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        s.conf.set(k, spark.conf.get(k))
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return s
-
-
 LAG_ROW = T.StructType(
     [
         T.StructField("trip", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("t", T.LongType()), T.StructField("stop", T.StringType()),
@@ -35,43 +23,43 @@ LAG_ROW = T.StructType(
 )
 
 
-class LagState(StatefulProcessor):
-    """ST1: per trip the last stop, delay and two lags.
-
-    First sighting: both lags are the present delay. Another stop: the lags shift. Same stop: they
-    stay. A trip that is not seen for the time-to-live is forgotten. State is one row per trip; a
-    micro-batch holds what arrived since the last one.
+LAG_STATE = "stop string, delay double, lag1 double, lag2 double"
+#: a trip not seen for so long (event time) is forgotten
+FORGET_MS = 6 * 3600 * 1000
+
+
+def _update_lags(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """First sighting: both lags are the present delay. Another stop: lags shift. Same stop: they stay."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    batch = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")
+    last = state.get if state.exists else None
+    lags = []
+    for stop, delay in zip(batch["stop"], batch["delay"].fillna(0.0)):
+        if last is None:
+            l1 = l2 = delay
+        elif stop != last[0]:
+            l1, l2 = last[1], last[2]
+        else:
+            l1, l2 = last[2], last[3]
+        last = (stop, float(delay), float(l1), float(l2))
+        lags.append((l1, l2))
+    state.update(last)
+    state.setTimeoutTimestamp(max(int(batch["t"].iloc[-1]) // 1000 + FORGET_MS, state.getCurrentWatermarkMs() + 1))
+    out = batch.assign(delay=batch["delay"].fillna(0.0), lag1=[x for x, _ in lags], lag2=[x for _, x in lags])
+    yield out[[f.name for f in LAG_ROW]]
+
+
+def lag_state(stream: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """ST1: per trip the last stop, delay and two lags are kept; columns trip, event_id, t (epoch us), stop, delay in.
+
+    State is one row per trip; a micro-batch holds what arrived since the last one, so bound it by the
+    source's rate (``maxFilesPerTrigger``) when a backlog is read. The timeout follows event time, so a
+    run over what is available ends by itself.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([f for f in LAG_ROW.fields if f.name in ("stop", "delay", "lag1", "lag2")])
-        self.state = handle.getValueState("lags", schema, ttlDurationMs=6 * 3600 * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")
-        state = self.state.get() if self.state.exists() else None
-        lags = []
-        for stop, delay in zip(batch["stop"], batch["delay"].fillna(0.0)):
-            if state is None:
-                l1 = l2 = delay
-            elif stop != state[0]:
-                l1, l2 = state[1], state[2]
-            else:
-                l1, l2 = state[2], state[3]
-            state = (stop, float(delay), float(l1), float(l2))
-            lags.append((l1, l2))
-        self.state.update(state)
-        out = batch.assign(trip=str(key[0]), delay=batch["delay"].fillna(0.0), lag1=[a for a, _ in lags], lag2=[b for _, b in lags])
-        yield out[[f.name for f in LAG_ROW]]
-
-    def close(self) -> None:
-        pass
-
-
-def lag_state(stream: DataFrame) -> DataFrame:
-    """ST1: columns trip, event_id, t, stop, delay in; two lags added. Needs :func:`stateful_session`."""
-    d = stream.select(F.col("trip").cast("string").alias("trip"), "event_id", "t", "stop", "delay")
-    return d.groupBy("trip").transformWithStateInPandas(LagState(), LAG_ROW, "Append", "ProcessingTime")
+    d = stream.withWatermark(ts, late).select(F.col("trip").cast("string").alias("trip"), ts, "event_id", "t", "stop", "delay")
+    return d.groupBy("trip").applyInPandasWithState(_update_lags, LAG_ROW, LAG_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lag_state_batch(df: DataFrame, width: float) -> DataFrame:
