@@ -196,9 +196,12 @@ def corr_pairs(spark, sf):
     return rnd(ag.corr_pairs(table(spark, sf, "lineitem"), _CORR), "r")
 
 
-@query("corr_pairs_strong", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_CORR) for b in _CORR[i + 1:]) + ") WHERE abs(r) > 0.85")
+_STRONG = ("delay", "value", "sec", "route")
+
+
+@query("corr_pairs_strong", with_(TRAINS) + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM trains" for i, a in enumerate(_STRONG) for b in _STRONG[i + 1:]) + ") WHERE abs(r) > 0.85")
 def corr_pairs_strong(spark, sf):
-    return rnd(ag.corr_pairs(table(spark, sf, "lineitem"), _CORR, 0.85), "r")
+    return rnd(ag.corr_pairs(trains(spark, sf), _STRONG, 0.85), "r")
 
 
 @query("horizon_corr", with_(TRAINS) + """, l AS (SELECT delay, lead(delay, 1) OVER w AS h1, lead(delay, 2) OVER w AS h2, lead(delay, 3) OVER w AS h3 FROM trains WINDOW w AS (PARTITION BY trip ORDER BY t, event_id))

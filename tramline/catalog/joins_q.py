@@ -116,9 +116,9 @@ def keep_keys(spark, sf):
     return joins.keep_keys(table(spark, sf, "orders"), c, ["o_custkey"]).select("o_orderkey")
 
 
-@query("left_only", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("left_only", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def left_only(spark, sf):
-    return joins.left_only(table(spark, sf, "customer"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+    return joins.left_only(table(spark, sf, "customer"), table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
 
 
 @query("dense_grid", with_(TRAINS) + """,

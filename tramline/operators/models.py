@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,24 +79,17 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], threshol
     return out.drop("features", "rawPrediction")
 
 
-def importances(model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:
+def importances(spark: SparkSession, model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:
     """Percent importance per feature; linear models use absolute coefficients."""
     m = model.stages[-1]
     vals = m.featureImportances.toArray() if hasattr(m, "featureImportances") else abs(m.coefficients.toArray())
     total = float(vals.sum()) or 1.0
-    spark = _session()
     rows = [(f, float(v) / total * 100) for f, v in zip(features, vals)]
     df = spark.createDataFrame(rows, T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance_pct", T.DoubleType())]))
     df = df.orderBy(F.col("importance_pct").desc(), "feature")
     return df.limit(top) if top else df
 
 
-def _session():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
-
-
 def permute_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int, width: float) -> DataFrame:
     """Rows with the given columns taken from another row; one permutation for all of them.
 
