@@ -224,22 +224,22 @@ def asof_next_alert(spark, sf):
 
 
 @query("asof_next_strict", with_(TRAINS, ALERTS) + """
-SELECT t.event_id, a.at AS next_at, round((a.at - t.t) / 60000000, 6) AS minutes_to, CAST(coalesce((a.at - t.t) / 60000000 BETWEEN 0 AND 30, FALSE) AS INTEGER) AS in_30m
+SELECT t.event_id, a.at AS next_at, (a.at - t.t) / 60000000 AS minutes_to, CAST(coalesce((a.at - t.t) / 60000000 BETWEEN 0 AND 30, FALSE) AS INTEGER) AS in_30m
 FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t < a.at""")
 def asof_next_strict(spark, sf):
     d = asof.asof_forward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W, strict=True)
     m = (F.col("next_at") - F.col("t")) / MIN_US
-    return d.select("event_id", "next_at", r6(m).alias("minutes_to"), F.coalesce(m.between(0, 30).cast("int"), F.lit(0)).alias("in_30m"))
+    return d.select("event_id", "next_at", m.alias("minutes_to"), F.coalesce(m.between(0, 30).cast("int"), F.lit(0)).alias("in_30m"))
 
 
 @query("relative_minutes", with_(TRAINS, ALERTS) + """,
 b AS (SELECT t.event_id, t.t, a.at AS pa FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t >= a.at),
 f AS (SELECT t.event_id, a.at AS na FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t < a.at)
-SELECT event_id, round(CASE WHEN na IS NULL OR t - pa <= na - t THEN t - pa ELSE t - na END / 60000000, 6) AS rel_min FROM b JOIN f USING (event_id)""")
+SELECT event_id, CASE WHEN na IS NULL OR t - pa <= na - t THEN t - pa ELSE t - na END / 60000000 AS rel_min FROM b JOIN f USING (event_id)""")
 def relative_minutes(spark, sf):
     d = asof.asof_backward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W)
     d = asof.asof_forward(d, alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W, strict=True)
-    return asof.relative_time(d, "t", "last_at", "next_at", "rel_min", MIN_US).select("event_id", r6("rel_min").alias("rel_min"))
+    return asof.relative_time(d, "t", "last_at", "next_at", "rel_min", MIN_US).select("event_id", "rel_min")
 
 
 HZ = {"in_10m": 600, "in_20m": 1200, "in_30m": 1800, "in_45m": 2700, "in_60m": 3600}

@@ -9,7 +9,7 @@ from tramline.functions.scalars import _c
 
 # ---- fixed values -------------------------------------------------------------------------
 ROUTES = ("1", "2", "3", "4", "5", "6", "7", "A", "B", "C", "D", "E", "F", "G", "J", "L", "M", "N", "Q", "R", "S", "W", "Z", "GS", "FS", "H", "SIR")
-LINE_PATTERN = r"(?U)\b([1-7]|A|B|C|D|E|F|G|J|L|M|N|Q|R|S|W|Z)\b"
+LINE_PATTERN = r"(?<![\p{L}\p{N}\p{M}_])([1-7A-GJLMNQRSWZ])(?![\p{L}\p{N}\p{M}_])"
 PLACE_PATTERN = r"(?U)(?:at|from|to|near)\s+([A-Z][a-z0-9]+(?:\s[A-Z][a-z0-9]+)*)"
 STATUS_RULES = (
     ("Suspension", ("suspended", "part-suspended")),
@@ -92,9 +92,11 @@ def alert_category(status) -> Column:
 
 def strip_tags(html) -> Column:
     """Visible text: comments, scripts and styles dropped, tags to spaces, basic entities read, white space collapsed."""
-    t = F.regexp_replace(_c(html), r"(?s)<!--.*?-->", " ")
+    raw = _c(html)
+    t = F.regexp_replace(raw, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+    t = F.when(F.contains(raw, F.lit("<")), t).otherwise(raw)
     for name, ch in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(ch))
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
