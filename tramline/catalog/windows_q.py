@@ -42,7 +42,7 @@ SELECT event_id, round(avg(delay) OVER (PARTITION BY trip, day ORDER BY t, event
 FROM trains WINDOW p AS (PARTITION BY trip, day)""")
 def trip_rolling_progress(spark, sf):
     df = windows.prev_mean(trains(spark, sf), ["trip", "day"], ORD, "delay", 3, W, "trip_mean")
-    df = windows.trip_progress(df, ["trip", "day"], "sec")
+    df = windows.trip_progress(df, ["trip", "day"], "sec", 43_200)
     return df.select("event_id", r6("trip_mean").alias("trip_mean"), r6("trip_progress").alias("trip_progress"))
 
 
@@ -237,8 +237,7 @@ b AS (SELECT t.event_id, t.t, a.at AS pa FROM trains t ASOF LEFT JOIN alerts a O
 f AS (SELECT t.event_id, a.at AS na FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t < a.at)
 SELECT event_id, CASE WHEN na IS NULL OR t - pa <= na - t THEN t - pa ELSE t - na END / 60000000 AS rel_min FROM b JOIN f USING (event_id)""")
 def relative_minutes(spark, sf):
-    d = asof.asof_backward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W)
-    d = asof.asof_forward(d, alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W, strict=True)
+    d = asof.asof_both(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W, strict_forward=True)
     return asof.relative_time(d, "t", "last_at", "next_at", "rel_min", MIN_US).select("event_id", "rel_min")
 
 

@@ -24,46 +24,49 @@ def _asof(
     cols: Sequence[str],
     tie: Sequence[str],
     width: float,
-    forward: bool,
-    strict: bool,
+    sides: dict[str, tuple[str, bool]],
     tolerance: float | None,
-    prefix: str,
 ) -> DataFrame:
+    """``sides`` maps 'backward' and/or 'forward' to (prefix, strict); both are answered on one shuffle."""
     by, cols, tie = list(by), list(cols), list(tie)
-    payload = F.struct(*[F.col(c) for c in left.columns])
     # the match carries its time, its tie columns and the wanted columns
     match = F.struct(F.col(rt).alias("_mt"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(cols)])
     usable = F.col(rt).isNotNull()
     for c in by:
         usable = usable & F.col(c).isNotNull()
-    sign = -1 if forward else 1
-    r = right.filter(usable).select(*by, F.col(rt).alias("_t"), match.alias("_m")).withColumn(CHUNK, sign * chunk_of("_t", width))
-    probe = left.select(*by, F.col(lt).alias("_t"), payload.alias("_p")).withColumn(CHUNK, sign * chunk_of("_t", width))
-
-    edge = F.min("_m") if forward else F.max("_m")
-    spine = r.groupBy(*by, CHUNK).agg(edge.alias("_e")).unionByName(probe.select(*by, CHUNK).distinct(), allowMissingColumns=True)
-    spine = spine.groupBy(*by, CHUNK).agg(F.max("_e").alias("_e"))
-    carried = F.last("_e", True).over(Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1))
-    ctx = spine.select(*by, CHUNK, carried.alias("_m")).filter("_m is not null").withColumn("_t", F.col("_m._mt"))
-
-    probe_role, right_role = F.lit(1), F.lit(2 if strict else 0)
-    rows = (
-        probe.withColumn("_role", probe_role)
-        .unionByName(r.withColumn("_role", right_role), allowMissingColumns=True)
-        .unionByName(ctx.withColumn("_role", right_role), allowMissingColumns=True)
-    )
-    along = F.col("_t").desc_nulls_last() if forward else F.col("_t").asc_nulls_last()
-    within = F.col("_m").desc_nulls_last() if forward else F.col("_m").asc_nulls_last()
-    w = Window.partitionBy(*by, CHUNK).orderBy(along, F.col("_role").asc(), within).rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.last("_m", True).over(w)
-    out = rows.withColumn("_h", hit).filter("_role = 1")
-    gap = F.abs(F.col("_h._mt") - F.col("_t"))
-    ok = F.col("_t").isNotNull()
-    if tolerance is not None:
-        ok = ok & (gap <= F.lit(tolerance))
-    return out.withColumn("_h", F.when(ok, F.col("_h"))).select(
-        "_p.*", F.col("_h._mt").alias(f"{prefix}{rt}"), *[F.col(f"_h._v{i}").alias(f"{prefix}{c}") for i, c in enumerate(cols)]
-    )
+    r = right.filter(usable).select(*by, F.col(rt).alias("_t"), match.alias("_m")).withColumn(CHUNK, chunk_of("_t", width))
+    probe = left.withColumn("_t", F.col(lt)).withColumn(CHUNK, chunk_of("_t", width)).withColumn("_role", F.lit(1))
+
+    # one small row per (key, chunk): its first and last right row, carried to the chunks that follow or precede
+    spine = r.groupBy(*by, CHUNK).agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi")).unionByName(probe.select(*by, CHUNK).distinct(), allowMissingColumns=True)
+    spine = spine.groupBy(*by, CHUNK).agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    rows = probe
+    hits = {}
+    for side, (_, strict) in sides.items():
+        fwd = side == "forward"
+        chunk_order = F.col(CHUNK).desc() if fwd else F.col(CHUNK).asc()
+        carried = F.last("_lo" if fwd else "_hi", True).over(Window.partitionBy(*by).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1))
+        ctx = spine.select(*by, CHUNK, carried.alias("_m")).filter("_m is not null").withColumn("_t", F.col("_m._mt"))
+        rows = rows.unionByName(ctx.withColumn("_role", F.lit(0)), allowMissingColumns=True)
+    rows = rows.unionByName(r.withColumn("_role", F.lit(0)), allowMissingColumns=True)
+    for side, (_, strict) in sides.items():
+        fwd = side == "forward"
+        along = F.col("_t").desc_nulls_last() if fwd else F.col("_t").asc_nulls_last()
+        within = F.col("_m").desc_nulls_last() if fwd else F.col("_m").asc_nulls_last()
+        role = F.col("_role").desc() if strict else F.col("_role").asc()
+        w = Window.partitionBy(*by, CHUNK).orderBy(along, role, within).rowsBetween(Window.unboundedPreceding, 0)
+        hits[f"_h_{side}"] = F.last("_m", True).over(w)
+    for name, expr in hits.items():
+        rows = rows.withColumn(name, expr)
+    outs = []
+    for side, (prefix, _) in sides.items():
+        h = F.col(f"_h_{side}")
+        ok = F.col("_t").isNotNull()
+        if tolerance is not None:
+            ok = ok & (F.abs(h["_mt"] - F.col("_t")) <= F.lit(tolerance))
+        outs.append(F.when(ok, h["_mt"]).alias(f"{prefix}{rt}"))
+        outs += [F.when(ok, h[f"_v{i}"]).alias(f"{prefix}{c}") for i, c in enumerate(cols)]
+    return rows.filter("_role = 1").select(*left.columns, *outs)
 
 
 def asof_backward(left, right, by, lt, rt, cols=(), tie=(), width=3600.0, strict=False, tolerance=None, prefix="last_") -> DataFrame:
@@ -71,12 +74,17 @@ def asof_backward(left, right, by, lt, rt, cols=(), tie=(), width=3600.0, strict
 
     Equal right times: the greatest ``tie`` wins. Left rows are all kept; a null key finds nothing.
     """
-    return _asof(left, right, by, lt, rt, cols, tie, width, False, strict, tolerance, prefix)
+    return _asof(left, right, by, lt, rt, cols, tie, width, {"backward": (prefix, strict)}, tolerance)
 
 
 def asof_forward(left, right, by, lt, rt, cols=(), tie=(), width=3600.0, strict=False, tolerance=None, prefix="next_") -> DataFrame:
     """First right row of the key at or after (``strict``: after) the left time."""
-    return _asof(left, right, by, lt, rt, cols, tie, width, True, strict, tolerance, prefix)
+    return _asof(left, right, by, lt, rt, cols, tie, width, {"forward": (prefix, strict)}, tolerance)
+
+
+def asof_both(left, right, by, lt, rt, cols=(), tie=(), width=3600.0, strict_forward=False, tolerance=None, prefixes=("last_", "next_")) -> DataFrame:
+    """J5 and J6 on one shuffle: newest row at or before, first row at or after (``strict_forward``: after)."""
+    return _asof(left, right, by, lt, rt, cols, tie, width, {"backward": (prefixes[0], False), "forward": (prefixes[1], strict_forward)}, tolerance)
 
 
 def value_at_horizons(
@@ -97,7 +105,6 @@ def value_at_horizons(
     """
     by, tie = list(by), list(tie)
     names = list(horizons)
-    payload = F.struct(*[F.col(c) for c in df.columns])
     reading = df.filter(F.col(t).isNotNull() & F.col(value).isNotNull()).select(
         *by, F.col(t).alias("_rt"), F.struct(F.col(t).alias("_mt"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)], F.col(value).alias("_v")).alias("_m")
     )
@@ -109,7 +116,7 @@ def value_at_horizons(
     w_chunk = max(width, 2 * tolerance)
     spots = F.array_distinct(F.array(*[chunk_of(F.col("_t") + F.lit(d), w_chunk) for d in (-tolerance, 0, tolerance)]))
     copies = copies.withColumn(CHUNK, F.explode(spots)).withColumn("_role", F.lit(0))
-    probe = df.select(*by, F.col(t).alias("_t"), payload.alias("_p")).withColumn(CHUNK, chunk_of("_t", w_chunk)).withColumn("_role", F.lit(1))
+    probe = df.withColumn("_t", F.col(t)).withColumn(CHUNK, chunk_of("_t", w_chunk)).withColumn("_role", F.lit(1))
     rows = probe.unionByName(copies, allowMissingColumns=True)
     back = Window.partitionBy(*by, CHUNK).orderBy(F.col("_t").asc_nulls_last(), "_role", "_m").rowsBetween(Window.unboundedPreceding, 0)
     fwd = Window.partitionBy(*by, CHUNK).orderBy(F.col("_t").desc_nulls_last(), "_role", F.col("_m").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -124,7 +131,7 @@ def value_at_horizons(
         gf = F.col(f"_f{i}._mt") - want
         use_b = (gb <= tolerance) & (gf.isNull() | (gb <= gf))
         outs.append(F.when(use_b, F.col(f"_b{i}._v")).when(gf <= tolerance, F.col(f"_f{i}._v")).alias(n))
-    return rows.filter("_role = 1").select("_p.*", *outs)
+    return rows.filter("_role = 1").select(*df.columns, *outs)
 
 
 def first_within(predictions, actuals, by, pt, at, cols, tolerance, width, tie=(), prefix="actual_") -> DataFrame:

@@ -37,7 +37,6 @@ def join_events(
     """
     by = list(by)
     w = 2 * pad
-    payload = F.struct(*[F.col(c) for c in trains.columns])
     ev = events.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn(
         "_e", F.when(F.col(end) < F.col(start), F.col(end) + 86_400).otherwise(F.col(end))
     )
@@ -79,7 +78,7 @@ def join_events(
     closes = piece.filter(F.col("_ep") < ce).select(*by, CHUNK, F.col("_ep").alias("_t"), F.lit(2).alias("_role"), F.col("_best").alias("_close"))
     opens = opens.groupBy(*by, CHUNK, "_t", "_role").agg(F.max("_open").alias("_open"))
     closes = closes.groupBy(*by, CHUNK, "_t", "_role").agg(F.max("_close").alias("_close"))
-    probe = trains.select(*by, F.col(t).cast("double").alias("_t"), payload.alias("_p")).withColumn(CHUNK, F.floor(F.col("_t") / w)).withColumn("_role", F.lit(1))
+    probe = trains.withColumn("_t", F.col(t).cast("double")).withColumn(CHUNK, F.floor(F.col("_t") / w)).withColumn("_role", F.lit(1))
     rows = probe
     for part in (deltas, opens, closes):
         rows = rows.unionByName(part, allowMissingColumns=True)
@@ -90,8 +89,8 @@ def join_events(
     n = lambda d: F.coalesce(F.col(f"_{d}"), F.lit(0)).cast("bigint")
     total = n("d_before") + n("d_during") + n("d_after")
     best = F.greatest("_o", "_c")
-    return rows.filter("_role = 1 and _p is not null").select(
-        "_p.*",
+    return rows.filter("_role = 1").select(
+        *trains.columns,
         total.alias("n_events"),
         F.when(total > 0, best["kind"]).otherwise(NO_EVENT).alias("event_kind"),
         n("d_before").alias("n_before"),

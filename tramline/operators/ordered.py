@@ -43,6 +43,17 @@ def _tail_of(arr: Column, k: int) -> Column:
     return F.when(F.size(arr) <= k, arr).otherwise(F.slice(arr, -k, k))
 
 
+def _tag(df: DataFrame, chunk: Column, chunk_col: str | None) -> tuple[DataFrame, str]:
+    """Add the chunk column, or keep one that an earlier operator of the same key left behind."""
+    name = chunk_col or CHUNK
+    return (df if name in df.columns else df.withColumn(name, chunk)), name
+
+
+def _kept(df: DataFrame, chunk_col: str | None, drop: Sequence[str] = ()) -> list[str]:
+    cols = [c for c in df.columns if c not in drop]
+    return cols if chunk_col is None or chunk_col in cols else [*cols, chunk_col]
+
+
 def prior_rows(
     df: DataFrame,
     by: Sequence[str],
@@ -53,40 +64,43 @@ def prior_rows(
     out: str = "prior",
     reverse: bool = False,
     source: DataFrame | None = None,
+    chunk_col: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the up to ``k`` preceding rows of the key, oldest first, as array of structs.
 
     ``reverse=True`` gives the following rows (nearest last). ``source`` may name a cheaper table
     with the same rows from which chunk tails are read, so that a chain of operators does not
-    recompute its own input.
+    recompute its own input. ``chunk_col`` keeps the chunk under that name: operators of one key that
+    share it (and the direction) run on one shuffle.
     """
     by, order = list(by), list(order)
     need = list(dict.fromkeys([*by, *order, *fields]))
     item = F.struct(*fields)
     chunk = chunk_of(order[0], width, reverse)
-    src = (source if source is not None else df).select(*need).withColumn(CHUNK, chunk)
-    newest = Window.partitionBy(*by, CHUNK).orderBy(*_anti_order(order, reverse))
+    df_t, name = _tag(df, chunk, chunk_col)
+    src = (source if source is not None else df).select(*need).withColumn(name, chunk)
+    newest = Window.partitionBy(*by, name).orderBy(*_anti_order(order, reverse))
     tails = (
         src.withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") <= k)  # becomes a map-side group limit
-        .groupBy(*by, CHUNK)
+        .groupBy(*by, name)
         .agg(F.reverse(F.array_sort(F.collect_list(F.struct("_rn", item.alias("_item"))))).alias("_t"))
         .withColumn("_t", F.col("_t._item"))
     )
-    before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(-k, -1)
-    ctx = tails.select(*by, CHUNK, _tail_of(F.flatten(F.collect_list("_t").over(before)), k).alias("_ctx"))
-    w = Window.partitionBy(*by, CHUNK).orderBy(*_order(order, reverse))
+    before = Window.partitionBy(*by).orderBy(name).rowsBetween(-k, -1)
+    ctx = tails.select(*by, name, _tail_of(F.flatten(F.collect_list("_t").over(before)), k).alias("_ctx"))
+    w = Window.partitionBy(*by, name).orderBy(*_order(order, reverse))
     lags = F.array_compact(F.array(*[F.lag(item, i).over(w) for i in range(k, 0, -1)]))
     known = None
     for c in by:
         known = F.col(c).isNotNull() if known is None else known & F.col(c).isNotNull()
-    joined = df.withColumn(CHUNK, chunk).join(ctx, [*by, CHUNK], "left").withColumn("_lags", lags)
+    joined = df_t.join(ctx, [*by, name], "left").withColumn("_lags", lags)
     full = F.when(F.col("_ctx").isNull(), F.col("_lags")).otherwise(F.concat("_ctx", "_lags"))
     full = joined.withColumn(out, full)
     res = _tail_of(F.col(out), k)
     if known is not None:
         res = F.when(known, res).otherwise(F.slice(F.col(out), 1, 0))
-    return full.withColumn(out, res).select(*df.columns, out)
+    return full.withColumn(out, res).select(*_kept(df, chunk_col, [out]), out)
 
 
 def nth_prior(prior: str, field: str, n: int) -> Column:
@@ -138,6 +152,8 @@ def running_sums(
     chunk: Column | None = None,
     exclusive: bool = False,
     reverse: bool = False,
+    source: DataFrame | None = None,
+    chunk_col: str | None = None,
 ) -> DataFrame:
     """Running totals per key in order; ``by`` may be empty for a global order.
 
@@ -145,22 +161,56 @@ def running_sums(
     """
     by, order = list(by), list(order)
     chunk = chunk_of(order[0], width, reverse) if chunk is None else chunk
-    tagged = df.withColumn(CHUNK, chunk)
-    for name, expr in sums.items():
-        tagged = tagged.withColumn(f"_a_{name}", F.coalesce(expr, F.lit(0)))
-    totals = tagged.groupBy(*by, CHUNK).agg(*[F.sum(f"_a_{n}").alias(f"_s_{n}") for n in sums])
-    prev = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    ctx = totals.select(*by, CHUNK, *[F.coalesce(F.sum(f"_s_{n}").over(prev), F.lit(0)).alias(f"_c_{n}") for n in sums])
-    w = Window.partitionBy(*by, CHUNK).orderBy(*_order(order, reverse)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    joined = tagged.join(ctx, [*by, CHUNK])
-    for n in sums:
-        joined = joined.withColumn(n, F.coalesce(F.sum(f"_a_{n}").over(w), F.lit(0)) + F.col(f"_c_{n}"))
-    return joined.select(*[c for c in df.columns if c not in sums], *sums)
-
+    adds = {n: F.coalesce(e, F.lit(0)) for n, e in sums.items()}
+    totals = (source if source is not None else df).withColumn("_ck", chunk).groupBy(*by, "_ck").agg(*[F.sum(e).alias(f"_s_{n}") for n, e in adds.items()])
+    tagged, name = _tag(df, chunk, chunk_col)
+    prev = Window.partitionBy(*by).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    ctx = totals.select(*by, F.col("_ck").alias(name), *[F.coalesce(F.sum(f"_s_{n}").over(prev), F.lit(0)).alias(f"_c_{n}") for n in sums])
+    w = Window.partitionBy(*by, name).orderBy(*_order(order, reverse)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    joined = tagged.join(ctx, [*by, name], "left")
+    got = {f"_r_{n}": F.coalesce(F.sum(e).over(w), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n, e in adds.items()}
+    return joined.withColumns(got).select(*_kept(df, chunk_col, list(sums)), *[F.col(f"_r_{n}").alias(n) for n in sums])
+
+
+def key_stats(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    width: float,
+    stats: dict[str, tuple[str, str | None]],
+    source: DataFrame | None = None,
+    chunk_col: str | None = None,
+) -> DataFrame:
+    """Whole-key statistics on every row: ``{out: (kind, column)}``, kind one of min, max, sum, count, last.
 
-def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], width: float, out: str = "row_index", reverse: bool = False) -> DataFrame:
+    Chunks are aggregated first (map-side), their small table is combined per key and joined back by
+    (key, chunk): a hot key never meets in one task, and the join needs no shuffle of its own beside
+    other operators of the same chunks. ``last`` is the last non-null value in order.
+    """
+    by, order = list(by), list(order)
+    chunk = chunk_of(order[0], width)
+    src = (source if source is not None else df).withColumn("_ck", chunk)
+    first, then = [], []
+    every = Window.partitionBy(*by)
+    for out, (kind, col) in stats.items():
+        if kind == "count":
+            first.append(F.count(F.lit(1)).alias(f"_g_{out}"))
+        elif kind == "last":
+            first.append(F.max(F.when(F.col(col).isNotNull(), F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(col).alias("_v")))).alias(f"_g_{out}"))
+        else:
+            first.append(getattr(F, kind)(col).alias(f"_g_{out}"))
+        if kind == "last":
+            then.append(F.max(f"_g_{out}").over(every)["_v"].alias(out))
+        else:
+            then.append((F.min if kind == "min" else F.max if kind == "max" else F.sum)(f"_g_{out}").over(every).alias(out))
+    df_t, name = _tag(df, chunk, chunk_col)
+    ctx = src.groupBy(*by, "_ck").agg(*first).select(*by, F.col("_ck").alias(name), *then)
+    return df_t.join(ctx, [*by, name], "left").select(*_kept(df, chunk_col, list(stats)), *stats)
+
+
+def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], width: float, out: str = "row_index", reverse: bool = False, source: DataFrame | None = None, chunk_col: str | None = None) -> DataFrame:
     """1-based position of each row in its key's order."""
-    return running_sums(df, by, order, {out: F.lit(1).cast("bigint")}, width, reverse=reverse)
+    return running_sums(df, by, order, {out: F.lit(1).cast("bigint")}, width, reverse=reverse, source=source, chunk_col=chunk_col)
 
 
 def lookback_sums(
@@ -180,11 +230,10 @@ def lookback_sums(
     right row is copied once and both parts are growing frames: linear work, and additions only.
     """
     by = list(by)
-    payload = F.struct(*[F.col(c) for c in left.columns])
     add = [F.coalesce(e, F.lit(0)).alias(f"_x_{n}") for n, e in sums.items()]
     vals = right.filter(F.col(rt).isNotNull()).select(*by, F.col(rt).alias("_t"), *add)
     none = [F.lit(None).cast(vals.schema[f"_x_{n}"].dataType).alias(f"_x_{n}") for n in sums]
-    probe = left.select(*by, F.col(lt).alias("_t"), F.lit(1).alias("_role"), payload.alias("_p"), *none)
+    probe = left.select(*left.columns, F.col(lt).alias("_t"), F.lit(1).alias("_role"), *none)
     cur = vals.withColumn("_role", F.lit(0 if closed == "both" else 2))
     late = vals.withColumn("_t", F.col("_t") + F.lit(span)).withColumn("_role", F.lit(3))
     rows = probe.unionByName(cur, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
@@ -202,7 +251,7 @@ def lookback_sums(
         rows = rows.withColumn(f"_dn_{n}", F.sum(F.when(prev, x)).over(down))
     zero = F.lit(0)
     return rows.filter("_role = 1").select(
-        "_p.*", *[(F.coalesce(F.col(f"_up_{n}"), zero) + F.coalesce(F.col(f"_dn_{n}"), zero)).alias(n) for n in sums]
+        *left.columns, *[(F.coalesce(F.col(f"_up_{n}"), zero) + F.coalesce(F.col(f"_dn_{n}"), zero)).alias(n) for n in sums]
     )
 
 
@@ -222,7 +271,6 @@ def sums_until(
     pairs of points and intervals. Totals of whole earlier chunks enter as one row per chunk.
     """
     by = list(by)
-    payload = F.struct(*[F.col(c) for c in probes.columns])
     add = [F.coalesce(e, F.lit(0)).alias(f"_x_{n}") for n, e in sums.items()]
     xs = [f"_x_{n}" for n in sums]
     vals = (
@@ -232,7 +280,7 @@ def sums_until(
         .agg(*[F.sum(x).alias(x) for x in xs])
         .withColumn(CHUNK, chunk_of("_t", width))
     )
-    ask = probes.select(*by, F.col(probe_t).alias("_t"), payload.alias("_p")).withColumn(CHUNK, chunk_of("_t", width))
+    ask = probes.withColumn("_t", F.col(probe_t)).withColumn(CHUNK, chunk_of("_t", width))
     totals = vals.groupBy(*by, CHUNK).agg(*[F.sum(x).alias(x) for x in xs])
     asked = ask.select(*by, CHUNK).distinct()
     spine = totals.unionByName(asked, allowMissingColumns=True).groupBy(*by, CHUNK).agg(*[F.sum(x).alias(x) for x in xs])
@@ -246,4 +294,4 @@ def sums_until(
     w = Window.partitionBy(*by, CHUNK).orderBy(F.col("_t").asc_nulls_first(), F.col("_role").asc()).rowsBetween(Window.unboundedPreceding, 0)
     for n in sums:
         rows = rows.withColumn(f"_r_{n}", F.sum(f"_x_{n}").over(w))
-    return rows.filter("_role = 2").select("_p.*", *[F.coalesce(F.col(f"_r_{n}"), F.lit(0)).alias(n) for n in sums])
+    return rows.filter("_role = 2").select(*probes.columns, *[F.coalesce(F.col(f"_r_{n}"), F.lit(0)).alias(n) for n in sums])

@@ -8,33 +8,51 @@ each wanted position are kept.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.scalars import bin_interval
-from tramline.operators.ordered import running_sums
+
+#: buckets per unit of log(1 + |value|): about 0.2 percent of a value each
+BUCKETS = 512
 
 
 def value_bucket(col: str) -> Column:
     """A non-decreasing step function of the value, fine near zero and for long tails alike."""
     c = F.col(col)
-    return (F.signum(c) * F.floor(F.log1p(F.abs(c)) * 64)).cast("bigint")
+    return (F.signum(c) * F.floor(F.log1p(F.abs(c)) * BUCKETS)).cast("bigint")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: dict[str, float]) -> DataFrame:
-    """One row per group with linearly interpolated quantiles, as ``percentile`` would give."""
+    """One row per group with linearly interpolated quantiles, as ``percentile`` would give.
+
+    Values are counted map-side; bucket totals tell which few buckets hold a wanted position, and
+    only their values are ranked.
+    """
     by = list(by)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running_sums(counts, by, ["_v"], {"_upto": F.col("_n")}, chunk=value_bucket("_v"))
-    size = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    placed = upto.join(size, by) if by else upto.crossJoin(F.broadcast(size))  # one row
+    counts = (
+        df.filter(F.col(col).isNotNull())
+        .groupBy(*by, F.col(col).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_b", value_bucket("_v"))
+    )
+    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_s"))
+    prev = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by)
+    at = totals.select(*by, "_b", "_s", F.coalesce(F.sum("_s").over(prev), F.lit(0)).alias("_before"), F.sum("_s").over(every).alias("_size"))
     lo_at = {n: F.floor(q * (F.col("_size") - 1)) for n, q in qs.items()}
-    first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
+    hi_at = {n: F.ceil(q * (F.col("_size") - 1)) for n, q in qs.items()}
+    inside = lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_s"))
+    wanted = reduce(lambda a, b: a | b, [inside(p) for p in [*lo_at.values(), *hi_at.values()]])
+    hit = counts.join(at.filter(wanted).drop("_s"), [*by, "_b"])
+    w = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hit.withColumn("_last", F.col("_before") + F.sum("_n").over(w) - 1)
+    first, last = F.col("_last") - F.col("_n") + 1, F.col("_last")
     pick = lambda pos: F.max(F.when((first <= pos) & (last >= pos), F.col("_v")))
     aggs = [F.max("_size").alias("_size")]
-    for i, (n, q) in enumerate(qs.items()):
-        aggs += [pick(lo_at[n]).alias(f"_lo{i}"), pick(F.ceil(q * (F.col("_size") - 1))).alias(f"_hi{i}")]
+    for i, n in enumerate(qs):
+        aggs += [pick(lo_at[n]).alias(f"_lo{i}"), pick(hi_at[n]).alias(f"_hi{i}")]
     got = placed.groupBy(*by).agg(*aggs)
     outs = []
     for i, (n, q) in enumerate(qs.items()):
@@ -71,6 +89,3 @@ def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
             F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"),
         )
     )
-
-
-__all__ = ["exact_quantiles", "quantile_bins", "box_stats", "bin_interval", "value_bucket"]

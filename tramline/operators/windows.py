@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.operators.ordered import (
+    key_stats,
     last_known,
     lookback_sums,
     mean_of,
@@ -44,27 +45,22 @@ def prev_mean(df: DataFrame, by, order, value: str, k: int, width: float, out: s
     return prior_rows(df, by, order, [value], k, width, "_p", source=source).withColumn(out, mean_of("_p", value)).drop("_p")
 
 
-def trip_progress(df: DataFrame, by: Sequence[str], t: str, out: str = "trip_progress") -> DataFrame:
+def trip_progress(df: DataFrame, by: Sequence[str], t: str, width: float, out: str = "trip_progress") -> DataFrame:
     """Position of the row between the key's first and last time, in [0, 1]."""
-    span = df.groupBy(*by).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
+    d = key_stats(df, by, [t], width, {"_a": ("min", t), "_b": ("max", t)})
     frac = (F.col(t) - F.col("_a")) / F.nullif((F.col("_b") - F.col("_a")).cast("double"), F.lit(0.0))
-    return df.join(span, list(by), "left").withColumn(out, frac).drop("_a", "_b")
+    return d.withColumn(out, frac).drop("_a", "_b")
 
 
-def trip_end(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, scheduled: str, width: float) -> DataFrame:
-    """Final value, scheduled time left and stops left of each row's trip."""
-    seen = F.col(value).isNotNull()
-    ends = df.groupBy(*by).agg(
-        F.max_by(value, F.when(seen, F.struct(*order))).alias("final_value"),
-        F.max(scheduled).alias("_last"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    at = row_index(df, by, order, width, "_i")
+def trip_end(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, scheduled: str, width: float, source: DataFrame | None = None) -> DataFrame:
+    """Final value, scheduled time left and stops left of each row's trip, on one shuffle."""
+    src = source if source is not None else df
+    d = row_index(df, by, order, width, "_i", source=src, chunk_col="_trip_chunk")
+    d = key_stats(d, by, order, width, {"final_value": ("last", value), "_last": ("max", scheduled), "_n": ("count", None)}, source=src, chunk_col="_trip_chunk")
     return (
-        at.join(ends, list(by), "left")
-        .withColumn("time_left", F.col("_last") - F.col(scheduled))
+        d.withColumn("time_left", F.col("_last") - F.col(scheduled))
         .withColumn("stops_left", F.col("_n") - F.col("_i"))
-        .drop("_last", "_n", "_i")
+        .drop("_last", "_n", "_i", "_trip_chunk")
     )
 
 

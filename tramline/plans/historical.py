@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import scalars as sc
 from tramline.operators import asof, clean, intervals, joins, windows
-from tramline.operators.ordered import row_index
+from tramline.operators.ordered import key_stats, mean_of, nth_prior, prior_rows, row_index
 
 # fixed values: horizons in minutes and the match tolerance in seconds
 TRIP_HORIZONS_MIN = (10, 20, 30, 45, 60)
@@ -68,28 +68,24 @@ def day_features(df: DataFrame, width: float = 3600.0, cross_day: bool = False)
     day = [] if cross_day else ["service_date"]
     by_trip, by_stop, by_route = [*day, "match_key"], [*day, "stop_id"], [*day, "route_id", "direction"]
     o = ["actual_seconds", "match_key", "stop_id"]
-    d = windows.lagged(df, by_trip, o, "delay_seconds", 2, width, "lagged_delay_", source=df)
-    d = windows.prev_mean(d, by_trip, o, "delay_seconds", 3, width, "rolling_mean_delay_trip", source=df)
-    d = windows.headway(d, by_stop, o, width, source=df).withColumnRenamed("headway", "actual_headway_seconds")
-    d = windows.prev_mean(d, by_route, o, "delay_seconds", 5, width, "route_rolling_delay", source=df)
-    # the trip table is computed from the same cleaned layer, not from the wide chain
-    seen = F.col("delay_seconds").isNotNull()
-    ends = df.groupBy(*by_trip).agg(
-        F.max_by("delay_seconds", F.when(seen, F.struct(*o))).alias("target_delay_end"),
-        F.min("scheduled_seconds").alias("_first"),
-        F.max("scheduled_seconds").alias("_last"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    d = d.join(ends, by_trip, "left")
-    d = row_index(d, by_trip, o, width, "_i")
-    left = F.col("_last") - F.col("scheduled_seconds")
-    return d.withColumns(
+    c = "_trip_chunk"
+    # one shuffle by trip: lags, rolling mean, position and trip totals share the chunk column
+    d = prior_rows(df, by_trip, o, ["delay_seconds"], 3, width, "_p", source=df, chunk_col=c)
+    d = row_index(d, by_trip, o, width, "_i", source=df, chunk_col=c)
+    stats = {"target_delay_end": ("last", "delay_seconds"), "_first": ("min", "scheduled_seconds"), "_last": ("max", "scheduled_seconds"), "_n": ("count", None)}
+    d = key_stats(d, by_trip, o, width, stats, source=df, chunk_col=c)
+    d = d.withColumns(
         {
+            "lagged_delay_1": nth_prior("_p", "delay_seconds", 1),
+            "lagged_delay_2": nth_prior("_p", "delay_seconds", 2),
+            "rolling_mean_delay_trip": mean_of("_p", "delay_seconds"),
             "trip_progress": (F.col("scheduled_seconds") - F.col("_first")) / F.nullif(F.col("_last") - F.col("_first"), F.lit(0.0)),
-            "scheduled_time_to_end": left,
+            "scheduled_time_to_end": F.col("_last") - F.col("scheduled_seconds"),
             "stops_to_end": F.col("_n") - F.col("_i"),
         }
-    ).drop("_first", "_last", "_n", "_i")
+    ).drop(c, "_p", "_i", "_first", "_last", "_n")
+    d = windows.headway(d, by_stop, o, width, source=df).withColumnRenamed("headway", "actual_headway_seconds")
+    return windows.prev_mean(d, by_route, o, "delay_seconds", 5, width, "route_rolling_delay", source=df)
 
 
 def future_targets(df: DataFrame, width: float = 3600.0, cross_day: bool = False) -> DataFrame:
@@ -118,15 +114,17 @@ def join_context(df: DataFrame, weather: DataFrame, events: DataFrame, alerts: D
     d = intervals.join_events(d, events, ["service_date", "stop_id"], "_sec", "start_s", "end_s", "tipo", "score")
     d = d.withColumnsRenamed({"n_events": "n_eventos_afectando", "event_kind": "tipo_referente"})
     d = d.withColumns({"afecta_previo": (F.col("n_before") > 0).cast("int"), "afecta_durante": (F.col("n_during") > 0).cast("int"), "afecta_despues": (F.col("n_after") > 0).cast("int")}).drop("n_before", "n_during", "n_after")
-    d = asof.asof_backward(d, alerts, ["route_id"], "merge_s", "alert_s", ["category", "num_updates"], ["category"], width)
+    asked = {"cols": ["category", "num_updates"], "tie": ["category"], "width": width}
+    join = asof.asof_both if targets else asof.asof_backward
+    d = join(d, alerts, ["route_id"], "merge_s", "alert_s", **asked)
     since = F.col("merge_s") - F.col("last_alert_s")
     d = d.withColumns({"seconds_since_last_alert": since, "is_alert_just_published": F.coalesce((since <= 60).cast("int"), F.lit(0))})
     d = d.withColumnsRenamed({"last_category": "category", "last_num_updates": "num_updates"}).drop("last_alert_s")
     if targets:
-        d = asof.asof_forward(d, alerts, ["route_id"], "merge_s", "alert_s", [], ["category"], width)
         to = F.col("next_alert_s") - F.col("merge_s")
         flag = lambda s: F.coalesce((to <= s).cast("int"), F.lit(0))
-        d = d.withColumns({"seconds_to_next_alert": to, "alert_in_next_15m": flag(900), "alert_in_next_30m": flag(1800)}).drop("next_alert_s")
+        d = d.withColumns({"seconds_to_next_alert": to, "alert_in_next_15m": flag(900), "alert_in_next_30m": flag(1800)})
+        d = d.drop("next_alert_s", "next_category", "next_num_updates")
     return d.drop("_sec")
 
 
