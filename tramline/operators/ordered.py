@@ -94,7 +94,8 @@ def prior_rows(
     known = None
     for c in by:
         known = F.col(c).isNotNull() if known is None else known & F.col(c).isNotNull()
-    joined = df_t.join(ctx, [*by, name], "left").withColumn("_lags", lags)
+    # the window sorts by (key, chunk, ...), which is also the order the join needs
+    joined = df_t.withColumn("_lags", lags).join(ctx, [*by, name], "left")
     full = F.when(F.col("_ctx").isNull(), F.col("_lags")).otherwise(F.concat("_ctx", "_lags"))
     full = joined.withColumn(out, full)
     res = _tail_of(F.col(out), k)
@@ -137,8 +138,9 @@ def last_known(
     w = Window.partitionBy(*by, CHUNK).orderBy(*_order(order, reverse)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return (
         df.withColumn(CHUNK, chunk)
+        .withColumn("_seen", F.last(value, True).over(w))
         .join(ctx, [*by, CHUNK], "left")
-        .withColumn(out, F.coalesce(F.last(value, True).over(w), F.col("_ctx")))
+        .withColumn(out, F.coalesce("_seen", "_ctx"))
         .select(*[c for c in df.columns if c != out], out)
     )
 
@@ -167,9 +169,9 @@ def running_sums(
     prev = Window.partitionBy(*by).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     ctx = totals.select(*by, F.col("_ck").alias(name), *[F.coalesce(F.sum(f"_s_{n}").over(prev), F.lit(0)).alias(f"_c_{n}") for n in sums])
     w = Window.partitionBy(*by, name).orderBy(*_order(order, reverse)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    joined = tagged.join(ctx, [*by, name], "left")
-    got = {f"_r_{n}": F.coalesce(F.sum(e).over(w), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n, e in adds.items()}
-    return joined.withColumns(got).select(*_kept(df, chunk_col, list(sums)), *[F.col(f"_r_{n}").alias(n) for n in sums])
+    within = tagged.withColumns({f"_w_{n}": F.coalesce(F.sum(e).over(w), F.lit(0)) for n, e in adds.items()})
+    got = {f"_r_{n}": F.col(f"_w_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
+    return within.join(ctx, [*by, name], "left").withColumns(got).select(*_kept(df, chunk_col, list(sums)), *[F.col(f"_r_{n}").alias(n) for n in sums])
 
 
 def key_stats(
@@ -223,36 +225,32 @@ def lookback_sums(
     sums: dict[str, Column],
     closed: str = "left",
 ) -> DataFrame:
-    """Sums over the ``right`` rows of the key in the ``span`` before each left row.
+    """Sums over the ``right`` rows of the key in the ``span`` before each left row; whole-number times.
 
     ``closed='left'`` is ``[t-span, t)``, ``'both'`` is ``[t-span, t]``. Time is cut into blocks of
     ``span``; the range is a prefix of the own block plus a suffix of the block before, so each
     right row is copied once and both parts are growing frames: linear work, and additions only.
     """
     by = list(by)
-    add = [F.coalesce(e, F.lit(0)).alias(f"_x_{n}") for n, e in sums.items()]
+    xs = [f"_x_{n}" for n in sums]
+    add = [F.coalesce(e, F.lit(0)).alias(x) for x, e in zip(xs, sums.values())]
     vals = right.filter(F.col(rt).isNotNull()).select(*by, F.col(rt).alias("_t"), *add)
-    none = [F.lit(None).cast(vals.schema[f"_x_{n}"].dataType).alias(f"_x_{n}") for n in sums]
-    probe = left.select(*left.columns, F.col(lt).alias("_t"), F.lit(1).alias("_role"), *none)
-    cur = vals.withColumn("_role", F.lit(0 if closed == "both" else 2))
-    late = vals.withColumn("_t", F.col("_t") + F.lit(span)).withColumn("_role", F.lit(3))
-    rows = probe.unionByName(cur, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
-    rows = rows.withColumn(CHUNK, chunk_of("_t", span))
-    # ascending: values of the own block up to the probe
-    up = Window.partitionBy(*by, CHUNK).orderBy(F.col("_t").asc(), F.col("_role").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    late = vals.withColumn("_t", F.col("_t") + F.lit(span)).withColumn("_late", F.lit(True))
+    if left is right and lt == rt:
+        rows = left.select(*left.columns, F.col(lt).alias("_t"), *add).withColumn("_own", F.lit(True)).withColumn("_row", F.lit(True))
+    else:
+        rows = left.withColumn("_t", F.col(lt)).withColumn("_row", F.lit(True)).unionByName(vals.withColumn("_own", F.lit(True)), allowMissingColumns=True)
+    rows = rows.unionByName(late, allowMissingColumns=True).withColumn(CHUNK, chunk_of("_t", span))
+    part = Window.partitionBy(*by, CHUNK)
+    # ascending: values of the own block before (or up to) the row's time
+    up = part.orderBy(F.col("_t").asc()).rangeBetween(Window.unboundedPreceding, -1 if closed == "left" else 0)
     # descending: shifted values of the block before, back to the start of the range
-    down = Window.partitionBy(*by, CHUNK).orderBy(F.col("_t").desc(), F.col("_role").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    own, prev = F.col("_role").isin(0, 2), F.col("_role") == 3
-    for n in sums:
-        x = F.col(f"_x_{n}")
-        rows = rows.withColumn(f"_up_{n}", F.sum(F.when(own, x)).over(up))
-    for n in sums:
-        x = F.col(f"_x_{n}")
-        rows = rows.withColumn(f"_dn_{n}", F.sum(F.when(prev, x)).over(down))
+    down = part.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_up{x}": F.sum(F.when(F.col("_own"), F.col(x))).over(up) for x in xs})
+    rows = rows.withColumns({f"_dn{x}": F.sum(F.when(F.col("_late"), F.col(x))).over(down) for x in xs})
     zero = F.lit(0)
-    return rows.filter("_role = 1").select(
-        *left.columns, *[(F.coalesce(F.col(f"_up_{n}"), zero) + F.coalesce(F.col(f"_dn_{n}"), zero)).alias(n) for n in sums]
-    )
+    outs = [(F.coalesce(F.col(f"_up{x}"), zero) + F.coalesce(F.col(f"_dn{x}"), zero)).alias(n) for x, n in zip(xs, sums)]
+    return rows.filter("_row").select(*left.columns, *outs)
 
 
 def sums_until(
