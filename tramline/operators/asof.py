@@ -105,32 +105,32 @@ def value_at_horizons(
     """
     by, tie = list(by), list(tie)
     names = list(horizons)
-    reading = df.filter(F.col(t).isNotNull() & F.col(value).isNotNull()).select(
-        *by, F.col(t).alias("_rt"), F.struct(F.col(t).alias("_mt"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)], F.col(value).alias("_v")).alias("_m")
-    )
+    ties = [f"_k{i}" for i in range(len(tie))]
+    reading = df.filter(F.col(t).isNotNull() & F.col(value).isNotNull()).select(*by, F.col(t).alias("_rt"), F.col(value).alias("_v"), *[F.col(c).alias(k) for c, k in zip(tie, ties)])
     for c in by:
         reading = reading.filter(F.col(c).isNotNull())
     shifts = F.array(*[F.struct(F.lit(i).alias("_hi"), F.lit(horizons[n]).alias("_hs")) for i, n in enumerate(names)])
-    copies = reading.withColumn("_x", F.explode(shifts)).select(*by, "_m", F.col("_x._hi").alias("_hi"), (F.col("_rt") - F.col("_x._hs")).alias("_t"))
+    copies = reading.withColumn("_x", F.explode(shifts)).select(*by, "_v", *ties, F.col("_x._hi").alias("_hi"), (F.col("_rt") - F.col("_x._hs")).alias("_t"))
     # a reading is visible up to the tolerance on both sides: at most two chunks when width >= 2 * tolerance
     w_chunk = max(width, 2 * tolerance)
     spots = F.array_distinct(F.array(*[chunk_of(F.col("_t") + F.lit(d), w_chunk) for d in (-tolerance, 0, tolerance)]))
     copies = copies.withColumn(CHUNK, F.explode(spots)).withColumn("_role", F.lit(0))
     probe = df.withColumn("_t", F.col(t)).withColumn(CHUNK, chunk_of("_t", w_chunk)).withColumn("_role", F.lit(1))
     rows = probe.unionByName(copies, allowMissingColumns=True)
-    back = Window.partitionBy(*by, CHUNK).orderBy(F.col("_t").asc_nulls_last(), "_role", "_m").rowsBetween(Window.unboundedPreceding, 0)
-    fwd = Window.partitionBy(*by, CHUNK).orderBy(F.col("_t").desc_nulls_last(), "_role", F.col("_m").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    for i, _ in enumerate(names):
-        rows = rows.withColumn(f"_b{i}", F.last(F.when(F.col("_hi") == i, F.col("_m")), True).over(back))
-    for i, _ in enumerate(names):
-        rows = rows.withColumn(f"_f{i}", F.last(F.when(F.col("_hi") == i, F.col("_m")), True).over(fwd))
+    part = Window.partitionBy(*by, CHUNK)
+    back = part.orderBy(F.col("_t").asc_nulls_last(), "_role", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    fwd = part.orderBy(F.col("_t").desc_nulls_last(), "_role", *[F.col(k).desc() for k in ties]).rowsBetween(Window.unboundedPreceding, 0)
+    for side, w in (("b", back), ("f", fwd)):
+        mine = {i: F.col("_hi") == i for i in range(len(names))}
+        rows = rows.withColumns(
+            {f"_{side}t{i}": F.last(F.when(m, F.col("_t")), True).over(w) for i, m in mine.items()}
+            | {f"_{side}v{i}": F.last(F.when(m, F.col("_v")), True).over(w) for i, m in mine.items()}
+        )
     outs = []
     for i, n in enumerate(names):
-        want = F.col("_t") + F.lit(horizons[n])
-        gb = want - F.col(f"_b{i}._mt")
-        gf = F.col(f"_f{i}._mt") - want
+        gb, gf = F.col("_t") - F.col(f"_bt{i}"), F.col(f"_ft{i}") - F.col("_t")
         use_b = (gb <= tolerance) & (gf.isNull() | (gb <= gf))
-        outs.append(F.when(use_b, F.col(f"_b{i}._v")).when(gf <= tolerance, F.col(f"_f{i}._v")).alias(n))
+        outs.append(F.when(use_b, F.col(f"_bv{i}")).when(gf <= tolerance, F.col(f"_fv{i}")).alias(n))
     return rows.filter("_role = 1").select(*df.columns, *outs)
 
 

@@ -116,23 +116,18 @@ def interval_stats(
 def event_study(points: DataFrame, notices: DataFrame, by: Sequence[str], t: str, at: str, value: str, lo: int, hi: int, step: int, width: float, group: Sequence[str] = ()) -> DataFrame:
     """Mean value by relative-time bin ``[lo, hi)`` around notices of the same key.
 
-    Each notice asks for running totals at the bin edges; bins are differences of neighbours.
+    Each notice asks for running totals at the bin edges; a bin is the difference of the totals of
+    two edges, taken once over all notices.
     """
-    edges = list(range(lo, hi + 1, step))
-    moves = []
-    for i, e in enumerate(edges):
-        if i > 0:
-            moves.append((e, edges[i - 1], 1))
-        if i < len(edges) - 1:
-            moves.append((e, e, -1))
-    arr = F.array(*[F.struct(F.lit(e).alias("o"), F.lit(b).alias("b"), F.lit(s).alias("s")) for e, b, s in moves])
-    probes = notices.select(*by, *group, F.col(at).alias("_at"), F.explode(arr).alias("_x")).withColumns(
-        {"_q": F.col("_at") + F.col("_x.o"), "rel_bin": F.col("_x.b").cast("bigint"), "_sign": F.col("_x.s")}
-    )
+    edges = F.array(*[F.lit(e).cast("bigint") for e in range(lo, hi + 1, step)])
+    probes = notices.select(*by, *group, F.col(at).alias("_at"), F.explode(edges).alias("rel_bin")).withColumn("_q", F.col("_at") + F.col("rel_bin"))
     sums = {"_sum": F.col(value), "_n": F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("bigint")}
-    got = sums_until(probes.drop("_x"), points, by, "_q", t, sums, width)
-    agg = got.groupBy(*group, "rel_bin").agg(F.sum(F.col("_sum") * F.col("_sign")).alias("_sum"), F.sum(F.col("_n") * F.col("_sign")).alias("n_rows"))
-    return agg.filter("n_rows > 0").select(*group, "rel_bin", (F.col("_sum") / F.col("n_rows")).alias("mean_value"), "n_rows")
+    got = sums_until(probes, points, by, "_q", t, sums, width)
+    # totals over all notices of running counts can pass a long
+    at_edge = got.groupBy(*group, "rel_bin").agg(F.sum("_sum").alias("_sum"), F.sum(F.col("_n").cast("decimal(38,0)")).alias("_n"))
+    nxt = Window.partitionBy(*group).orderBy("rel_bin")  # one row per edge
+    binned = at_edge.select(*group, "rel_bin", (F.lead("_sum").over(nxt) - F.col("_sum")).alias("_sum"), (F.lead("_n").over(nxt) - F.col("_n")).cast("bigint").alias("n_rows"))
+    return binned.filter("n_rows > 0").select(*group, "rel_bin", (F.col("_sum") / F.col("n_rows")).alias("mean_value"), "n_rows")
 
 
 def phase_windows(events: DataFrame, start: str, end: str, unit: float, phases: Sequence[tuple[str, str, float, str, float]]) -> DataFrame:
