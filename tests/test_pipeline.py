@@ -104,3 +104,52 @@ def test_lag_state_over_batches(spark, tmp_path):
     got = {r["event_id"]: (r["lag1"], r["lag2"]) for r in spark.read.parquet(out).collect()}
     table = {r["event_id"]: (r["lag1"], r["lag2"]) for r in jobs.lag_state_batch(spark.createDataFrame(rows, schema), 90_000_000).collect()}
     assert got == table == {0: (1.0, 1.0), 1: (1.0, 1.0), 2: (2.0, 1.0), 3: (2.0, 1.0), 4: (4.0, 2.0), 5: (4.0, 2.0), 6: (6.0, 4.0)}
+
+
+def test_clean_weather_days(spark):
+    from tramline.plans.context import clean_weather
+
+    def row(day, h, temp, rain=1.0):
+        return (f"2024-01-{day:02d} {h:02d}:00:00", temp, rain, rain, 60.0 if h == 3 else 10.0, 0.0, 5.0)
+
+    rows = [row(1, h, 10.0 + h % 3) for h in range(24)]
+    rows[5] = row(1, 5, 90.0)  # beyond three deviations
+    rows += [row(2, h, 40.0 if h == 4 else 1.0) for h in range(5)]  # short day: fixed bounds
+    rows += [row(3, h, 7.0) for h in range(12)]  # constant day stays
+    rows += [rows[0], row(4, 0, None)]  # duplicate, missing reading
+    cols = "Date string, Temperature double, Rain double, Precipitation double, `Wind Speed` double, Snow double, `Cloud Cover` double"
+    d = clean_weather(spark.createDataFrame(rows, cols)).collect()
+    by = {(r["service_date"].day, r["hour"]): r for r in d}
+    assert len(d) == 23 + 5 + 12 and (1, 5) not in by and (4, 0) not in by
+    assert by[2, 4]["temp_extreme"] == 1 and by[2, 0]["temp_extreme"] == 0 and by[3, 0]["temp_extreme"] == 0
+    assert by[1, 0]["precip_3h_accum"] == 1.0 and by[1, 4]["precip_3h_accum"] == 3.0
+    assert by[1, 3]["is_high_wind"] == 1 and by[1, 8]["is_rush_hour"] == 1
+
+
+def test_clean_alerts(spark):
+    from tramline.plans.context import clean_alerts
+
+    t = [dt.datetime(2024, 1, 1, 8, m) for m in (0, 5, 9)]
+    rows = [
+        ("e1", "delays", "A | C", "h1", t[0], "subway", "d1"), ("e1", "delays | suspended", "A | C", "h2", t[1], "subway", "d2"), ("e1", None, None, "h3", t[2], "subway", None),
+        ("e2", None, "B", "h", t[0], "subway", "d"), ("e3", "delays", "Q", "h", t[0], "bus", "d"),
+    ]
+    d = clean_alerts(spark.createDataFrame(rows, "event_id string, status_label string, affected string, header string, date timestamp, agency string, description string"), "subway")
+    got = sorted((r["event_id"], r["route_id"], r["category"], r["num_updates"], r["description"]) for r in d.collect())
+    assert got == [("e1", "A", "Suspension", 2, "d2"), ("e1", "C", "Suspension", 2, "d2"), ("e2", "B", "Other", 0, "d")]
+
+
+def test_clean_events(spark):
+    from tramline.plans.context import city_permits, clean_events
+
+    raw = [
+        ("game", "x", "2024-01-01", "22:00", "01:30", 0.9, [("Main St", None, 40.7, -74.0), ("Lost", None, 40.7505, -74.0)]),
+        ("none", "x", "2024-01-01", "10:00", "11:00", 0.9, []),
+    ]
+    e = spark.createDataFrame(raw, "nombre_evento string, tipo string, fecha_inicio string, hora_inicio string, hora_salida_estimada string, score double, paradas_afectadas array<struct<name:string,lines:string,lat:double,lon:double>>")
+    st = spark.createDataFrame([("M1N", "MAIN  st", 40.0, -73.0), ("M1", "Main St", 40.0, -73.0), ("L9S", "Other", 40.7509, -74.0)], "stop_id string, stop_name string, stop_lat double, stop_lon double")
+    got = sorted((r["stop_id"], r["start_s"], r["end_s"]) for r in clean_events(e, st).collect())
+    assert got == [("L9S", 79200, 5400), ("M1N", 79200, 5400)]
+    kinds = spark.createDataFrame([("Parade",), ("Special Event",), ("Street Event",), ("Unknown",)], "event_type string")
+    assert sorted((r["event_type"], r["score"]) for r in city_permits(kinds).collect()) == [("Parade", 1.0), ("Street Event", 0.8)]
+    assert sorted(r["event_type"] for r in city_permits(kinds, live=True).collect()) == ["Parade", "Street Event"]

@@ -392,3 +392,48 @@ def lines_after_alerts(spark, sf):
 
     d = losses_after_alerts(trains(spark, sf), alerts(spark, sf), 1800 * US, 1800 * US, W, 5)
     return d.select("route", "n_rows", r6("mean_loss").alias("mean_loss"))
+
+
+@query("alerts_per_hour", with_(ALERTS) + """, n AS (SELECT CAST(("at" // 3600000000) % 24 AS INTEGER) AS slot, count(DISTINCT alert_id) AS c FROM alerts GROUP BY 1)
+SELECT h.slot, coalesce(c, 0) AS n_alerts FROM (SELECT unnest(range(0, 24)) AS slot) h LEFT JOIN n USING (slot)""")
+def alerts_per_hour(spark, sf):
+    return ag.distinct_per_slot(alerts(spark, sf), "alert_id", F.floor(F.col("at") / HOUR_US) % 24, range(24))
+
+
+@query("critical_rate_by_temp", with_(TRAINS, WEATHER) + f", j AS (SELECT delay, temp FROM trains t JOIN weather w ON t.day = w.day AND CAST(t.sec // 3600 AS INTEGER) = w.hour), e AS {_edges_sql('temp', 'j', 5)}" + """
+SELECT CAST(len(list_filter(es, lambda x: x < temp)) AS INTEGER) AS bin, round(avg(CAST(coalesce(delay > 600, FALSE) AS INTEGER)), 6) AS mean, count(*) AS n FROM j, e GROUP BY 1""")
+def critical_rate_by_temp(spark, sf):
+    j = join_weather(_hour(trains(spark, sf)), weather(spark, sf), how="inner").withColumn("critical", F.coalesce((F.col("delay") > 600).cast("int"), F.lit(0)))
+    return rnd(ag.stats_per_bin(j, "temp", 5, "critical"), "mean")
+
+
+@query("rain_by_peak", with_(TRAINS, WEATHER) + """, j AS (SELECT delay, CASE WHEN rain <= 0 THEN 'none' WHEN rain <= 10 THEN 'light' WHEN rain <= 30 THEN 'medium' ELSE 'heavy' END AS rain_bin, CASE WHEN CAST(t.sec // 3600 AS INTEGER) BETWEEN 7 AND 9 OR CAST(t.sec // 3600 AS INTEGER) BETWEEN 16 AND 19 THEN 1 ELSE 0 END AS peak
+ FROM trains t JOIN weather w ON t.day = w.day AND CAST(t.sec // 3600 AS INTEGER) = w.hour)
+SELECT rain_bin, round(avg(delay) FILTER (peak = 0), 6) AS peak_0, round(avg(delay) FILTER (peak = 1), 6) AS peak_1 FROM j GROUP BY rain_bin""")
+def rain_by_peak(spark, sf):
+    from tramline.functions.scalars import bin_interval, is_rush
+
+    j = join_weather(_hour(trains(spark, sf)), weather(spark, sf), how="inner")
+    j = j.withColumns({"rain_bin": bin_interval("rain", (0, 10, 30), ["none", "light", "medium", "heavy"]), "peak": is_rush("hour")})
+    return rnd(ag.pivot_mean(j, "rain_bin", "peak", "delay", (0, 1)), "peak_0", "peak_1")
+
+
+@query("throughput_before_suspension", with_(TRAINS, ALERTS) + """, r AS (SELECT event_id, route, t, count(*) OVER (PARTITION BY stop ORDER BY t RANGE BETWEEN 1800000000 PRECEDING AND 1 PRECEDING) AS n30 FROM trains),
+s AS (SELECT route, "at" AS a FROM alerts WHERE category = 'Suspension'), b AS (SELECT r.n30, (s.a - r.t) / 60000000 AS rel FROM r ASOF LEFT JOIN s ON r.route = s.route AND r.t <= s.a)
+SELECT CAST(floor(rel / 5) * 5 AS BIGINT) AS rel_bin, round(avg(n30), 6) AS mean, count(*) AS n FROM b WHERE rel BETWEEN 0 AND 60 GROUP BY 1""")
+def throughput_before_suspension(spark, sf):
+    from tramline.operators.windows import rolling_time_stats
+
+    d = rolling_time_stats(trains(spark, sf), ["stop"], "t", {"m": "delay"}, 30 * MIN_US, "n30")
+    d = asof.asof_forward(d, alerts(spark, sf).filter("category = 'Suspension'"), ["route"], "t", "at", [], ["alert_id"], W)
+    return rnd(ag.relative_curve(d.withColumn("rel", (F.col("next_at") - F.col("t")) / MIN_US), "rel", "n30", 0, 60, 5), "mean")
+
+
+@query("phases_by_kind", with_(TRAINS, CITY) + """, ph AS (SELECT city_id, kind, route, 'before' AS phase, start_t - 5400000000 AS lo, start_t AS hi FROM city UNION ALL SELECT city_id, kind, route, 'during', start_t, end_t FROM city UNION ALL SELECT city_id, kind, route, 'after', end_t, end_t + 5400000000 FROM city),
+m AS (SELECT ph.city_id, ph.kind, ph.phase, avg(t.delay) AS m FROM ph LEFT JOIN trains t ON t.route = ph.route AND t.t >= ph.lo AND t.t < ph.hi GROUP BY ALL)
+SELECT kind, phase, round(avg(m), 6) AS mean_value, count(m) AS n_events FROM m GROUP BY ALL""")
+def phases_by_kind(spark, sf):
+    from tramline.operators.intervals import THREE_PHASES, event_phases
+
+    d = event_phases(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id", "kind"], 5400 * US, W, THREE_PHASES)
+    return rnd(d.groupBy("kind", "phase").agg(F.avg("mean_value").alias("mean_value"), F.count("mean_value").alias("n_events")), "mean_value")

@@ -75,6 +75,16 @@ def radius_500m(spark, sf):
     return radius_join(customers_at(spark, sf), stations(spark, sf), 500.0).select("c_custkey", "s_suppkey", F.round("distance_m", 4).alias("metres"))
 
 
+@query("affected_stations", f"""WITH c AS ({CUSTOMER_AT}), s AS (SELECT s_suppkey, s_nationkey % 5 AS name, 'L' || CAST(s_nationkey AS VARCHAR) AS line, {PLACE} FROM supplier),
+j AS (SELECT DISTINCT c_custkey, name, line FROM c, s WHERE {hav_sql('clat', 'clon', 'lat', 'lon')} <= 4000)
+SELECT c_custkey, name, string_agg(line, ', ' ORDER BY line) AS lines FROM j GROUP BY ALL""")
+def affected_stations(spark, sf):
+    from tramline.plans.places import affected_stations as run
+
+    n = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("name"), F.array(F.concat(F.lit("L"), F.col("s_nationkey").cast("string"))).alias("lines"))
+    return run(customers_at(spark, sf), stations(spark, sf).join(n, "s_suppkey"), "c_custkey", "name", "lines", 4000.0)
+
+
 @query("map_stations", f"""WITH c AS ({CUSTOMER_AT}), n AS (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN ' supplier#' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 9, '0') || '  ' ELSE 'nowhere' END AS nm FROM c), s AS (SELECT s_suppkey, s_name, {PLACE} FROM supplier),
 e AS (SELECT c_custkey, s_suppkey, 'name' AS how FROM n JOIN s ON lower(trim(nm)) = lower(s_name)),
 d AS (SELECT c_custkey, s_suppkey, 'distance' AS how FROM n, s WHERE lower(trim(nm)) NOT IN (SELECT lower(s_name) FROM s) AND {hav_sql('clat', 'clon', 'lat', 'lon')} <= 1500)

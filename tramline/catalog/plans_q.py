@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tramline.catalog.base import US, query, r6, table, us, weather, with_, WEATHER
+from tramline.operators.aggregates import temp_extreme
 from tramline.plans import historical, realtime
 from tramline.session import cut
 
@@ -40,7 +41,7 @@ def clean_days(spark, sf):
 def _context(spark, sf):
     e = table(spark, sf, "events")
     sec = F.floor(us("ts") / US) % 86400
-    w = weather(spark, sf).withColumnRenamed("day", "service_date")
+    w = temp_extreme(weather(spark, sf).withColumnRenamed("day", "service_date"), ["service_date"], "temp")
     stop = F.element_at(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (F.col("event_id") % 5 + 1).cast("int"))
     city = e.filter("event_type = 'purchase'").select(
         F.to_date("ts").alias("service_date"), F.concat(stop, F.when(F.col("user_id") % 2 == 0, "N").otherwise("S")).alias("stop_id"), sec.alias("start_s"), (sec + F.floor("value") * 60).alias("end_s"),
@@ -76,6 +77,7 @@ rt AS (SELECT service_date AS d, match_key AS k, actual_seconds AS t, arg_max(de
 rs AS (SELECT service_date AS d, stop_id AS k, actual_seconds AS t, arg_max(delay_seconds, match_key) AS vmax, arg_min(delay_seconds, match_key) AS v FROM f0 WHERE delay_seconds IS NOT NULL GROUP BY ALL),
 f AS (SELECT * FROM f0),
 g AS (SELECT f.*, {", ".join(c.replace("b.v WHEN", "b.vmax WHEN") for c, _ in _N)} FROM f{"".join(j for _, j in _N)}),
+wq AS (SELECT day, quantile_cont(temp, 0.1) AS lo, quantile_cont(temp, 0.9) AS hi, count(temp) AS n FROM weather GROUP BY day),
 city AS (SELECT event_id AS city_id, CAST(ts AS DATE) AS day, (['click', 'error', 'purchase', 'signup', 'view'])[event_id % 5 + 1] || CASE WHEN user_id % 2 = 0 THEN 'N' ELSE 'S' END AS stop, (epoch_us(ts) // 1000000) % 86400 AS a, (epoch_us(ts) // 1000000) % 86400 + CAST(floor(value) AS BIGINT) * 60 AS b,
  floor(value / 10) AS score, 'kind' || CAST(user_id % 5 AS VARCHAR) AS kind FROM events WHERE event_type = 'purchase'),
 al AS (SELECT CAST(user_id % 7 AS VARCHAR) AS r, epoch_us(ts) // 1000000 AS s, max(CASE WHEN value > 50 THEN 'Suspension' ELSE 'Delay' END) AS cat FROM events WHERE event_type = 'error' GROUP BY ALL),
@@ -83,11 +85,12 @@ n AS (SELECT g.trip_uid, count(c.city_id) AS n_ev, coalesce(max(struct_pack(s :=
  FROM g LEFT JOIN city c ON g.service_date = c.day AND g.stop_id = c.stop AND g.actual_seconds BETWEEN c.a - 5400 AND c.b + 5400 GROUP BY 1),
 m AS (SELECT g.*, epoch_us(CAST(service_date AS TIMESTAMP)) // 1000000 + CAST(actual_seconds AS BIGINT) AS ms FROM g),
 ab AS (SELECT m.trip_uid, al.cat, m.ms - al.s AS since FROM m ASOF LEFT JOIN al ON m.route_id = al.r AND m.ms >= al.s), af AS (SELECT m.trip_uid, al.s - m.ms AS until FROM m ASOF LEFT JOIN al ON m.route_id = al.r AND m.ms <= al.s)
-SELECT m.match_key, m.stop_id, m.service_date, m.actual_seconds, m.delay_seconds, lag1 AS lagged_delay_1, lag2 AS lagged_delay_2, headway AS actual_headway_seconds, round(headway / nullif(headway0, 0), 6) AS headway_ratio, round(route_mean, 6) AS route_rolling_delay, round(trip_mean, 6) AS rolling_mean_delay_trip,
- round(progress, 6) AS trip_progress, time_left AS scheduled_time_to_end, stops_left AS stops_to_end, s10 AS station_delay_10m, s20 AS station_delay_20m, s30 AS station_delay_30m, coalesce(t10, t_end) AS target_delay_10m, coalesce(t30, t_end) AS target_delay_30m, coalesce(t60, t_end) AS target_delay_60m, t_end AS target_delay_end,
- coalesce(t30, t_end) - m.delay_seconds AS delta_delay_30m, t_end - m.delay_seconds AS delta_delay_end, w.temp, w.rain, n_ev AS n_eventos_afectando, kind AS tipo_referente, prev_ AS afecta_previo, dur_ AS afecta_durante, aft_ AS afecta_despues, cat AS category, since AS seconds_since_last_alert,
+SELECT m.service_date AS date, m.match_key, m.stop_id, m.route_id, m.direction, m.is_unscheduled, ms * 1000000 AS merge_us, m.delay_seconds, lag1 AS lagged_delay_1, lag2 AS lagged_delay_2, headway AS actual_headway_seconds, round(route_mean, 6) AS route_rolling_delay,
+ time_left AS scheduled_time_to_end, stops_left AS stops_to_end, s10 AS station_delay_10m, s20 AS station_delay_20m, s30 AS station_delay_30m, coalesce(t10, t_end) AS target_delay_10m, coalesce(t20, t_end) AS target_delay_20m, coalesce(t30, t_end) AS target_delay_30m, coalesce(t45, t_end) AS target_delay_45m,
+ coalesce(t60, t_end) AS target_delay_60m, t_end AS target_delay_end, coalesce(t30, t_end) - m.delay_seconds AS delta_delay_30m, t_end - m.delay_seconds AS delta_delay_end,
+ CAST(CASE WHEN wq.n >= 10 THEN w.temp < wq.lo OR w.temp > wq.hi ELSE w.temp < -5 OR w.temp > 35 END AS INTEGER) AS temp_extreme, n_ev AS n_eventos_afectando, kind AS tipo_referente, prev_ AS afecta_previo, dur_ AS afecta_durante, aft_ AS afecta_despues, cat AS category, (ms - since) * 1000000 AS alert_us, since AS seconds_since_last_alert,
  CAST(coalesce(since <= 60, FALSE) AS INTEGER) AS is_alert_just_published, until AS seconds_to_next_alert, CAST(coalesce(until <= 900, FALSE) AS INTEGER) AS alert_in_next_15m, CAST(coalesce(until <= 1800, FALSE) AS INTEGER) AS alert_in_next_30m
-FROM m JOIN n USING (trip_uid) JOIN ab USING (trip_uid) JOIN af USING (trip_uid) LEFT JOIN weather w ON m.service_date = w.day AND m.hour = w.hour"""
+FROM m JOIN n USING (trip_uid) JOIN ab USING (trip_uid) JOIN af USING (trip_uid) LEFT JOIN weather w ON m.service_date = w.day AND m.hour = w.hour LEFT JOIN wq ON wq.day = w.day"""
 
 
 @query("training_rows", FINAL_SQL)
@@ -95,12 +98,8 @@ def training_rows(spark, sf):
     """Processed stop events to training rows: clean, features, targets, weather, events, alerts."""
     cleaned = cut(historical.clean_days(processed(spark, sf)), "cleaned")
     d = historical.build_final(cleaned, *_context(spark, sf))
-    d = d.select(
-        "match_key", "stop_id", "service_date", "actual_seconds", "delay_seconds", "lagged_delay_1", "lagged_delay_2", "actual_headway_seconds", "headway_ratio", "route_rolling_delay", "rolling_mean_delay_trip", "trip_progress",
-        "scheduled_time_to_end", "stops_to_end", "station_delay_10m", "station_delay_20m", "station_delay_30m", "target_delay_10m", "target_delay_30m", "target_delay_60m", "target_delay_end", "delta_delay_30m", "delta_delay_end",
-        "temp", "rain", "n_eventos_afectando", "tipo_referente", "afecta_previo", "afecta_durante", "afecta_despues", "category", "seconds_since_last_alert", "is_alert_just_published", "seconds_to_next_alert", "alert_in_next_15m", "alert_in_next_30m",
-    )
-    return d.withColumns({c: r6(c) for c in ("headway_ratio", "route_rolling_delay", "rolling_mean_delay_trip", "trip_progress")})
+    d = d.withColumns({"merge_us": F.unix_micros("merge_time"), "alert_us": F.unix_micros("timestamp_start"), "route_rolling_delay": r6("route_rolling_delay")})
+    return d.drop("merge_time", "timestamp_start", "num_updates", "hour_sin", "hour_cos", "dow", "is_weekend", "delta_delay_10m", "delta_delay_20m", "delta_delay_45m", "delta_delay_60m")
 
 
 STOPS5 = "(['click', 'error', 'purchase', 'signup', 'view'])"

@@ -290,6 +290,13 @@ def alert_calendar(alerts: DataFrame, key: str, day: str) -> DataFrame:
     return days.join(n, day, "left").select(day, F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"), F.weekday(day).alias("dow"))
 
 
+def distinct_per_slot(alerts: DataFrame, key: str, slot: Column, values: Sequence, out: str = "slot") -> DataFrame:
+    """Distinct alerts per hour, weekday or category; slots without any are 0."""
+    n = alerts.groupBy(slot.alias(out)).agg(F.countDistinct(key).alias("n_alerts"))
+    every = alerts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(out))
+    return every.join(n, out, "left").na.fill(0, ["n_alerts"])
+
+
 def weekend_share(calendar: DataFrame) -> DataFrame:
     """Observed against expected share of alerts on weekdays and weekends."""
     g = calendar.groupBy((F.col("dow") >= 5).alias("weekend")).agg(F.sum("n_alerts").alias("n"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions import scalars as sc
+from tramline.functions.fixed import FINAL_COLUMNS
 from tramline.operators import asof, clean, intervals, joins, windows
 from tramline.operators.ordered import key_stats, mean_of, nth_prior, prior_rows, row_index
+from tramline.session import cut
 
 # fixed values: horizons in minutes and the match tolerance in seconds
 TRIP_HORIZONS_MIN = (10, 20, 30, 45, 60)
@@ -128,23 +130,10 @@ def join_context(df: DataFrame, weather: DataFrame, events: DataFrame, alerts: D
     return d.drop("_sec")
 
 
-#: fixed values: ordered columns of the training row
-FINAL_COLUMNS = (
-    "match_key", "route_id", "stop_id", "direction", "service_date", "merge_s", "is_unscheduled", "scheduled_seconds", "actual_seconds", "delay_seconds",
-    "lagged_delay_1", "lagged_delay_2", "actual_headway_seconds", "headway_ratio", "route_rolling_delay", "rolling_mean_delay_trip", "trip_progress",
-    "hour", "hour_sin", "hour_cos", "dow", "is_weekend", "period_of_day", "is_peak", "scheduled_time_to_end", "stops_to_end",
-    "station_delay_10m", "station_delay_20m", "station_delay_30m", "target_delay_10m", "target_delay_20m", "target_delay_30m", "target_delay_45m", "target_delay_60m", "target_delay_end",
-    "delta_delay_10m", "delta_delay_20m", "delta_delay_30m", "delta_delay_45m", "delta_delay_60m", "delta_delay_end",
-    "temp", "rain", "wind", "temp_extreme", "n_eventos_afectando", "tipo_referente", "afecta_previo", "afecta_durante", "afecta_despues",
-    "category", "num_updates", "seconds_since_last_alert", "is_alert_just_published", "seconds_to_next_alert", "alert_in_next_15m", "alert_in_next_30m",
-)
-
-
-def build_final(cleaned: DataFrame, weather: DataFrame, events: DataFrame, alerts: DataFrame, weather_cols: Sequence[str] = ("temp", "rain", "wind")) -> DataFrame:
+def build_final(cleaned: DataFrame, weather: DataFrame, events: DataFrame, alerts: DataFrame, weather_cols: Sequence[str] = ("temp_extreme",)) -> DataFrame:
     """Cleaned stop events to training rows; ``cleaned`` is a written layer."""
-    from tramline.session import cut
-
     d = cut(day_features(cleaned), "features")
     d = cut(future_targets(d), "targets")
     d = join_context(d, weather, events, alerts, weather_cols)
+    d = d.withColumns({"date": F.col("service_date"), "merge_time": F.timestamp_seconds("merge_s"), "timestamp_start": F.timestamp_seconds(F.col("merge_s") - F.col("seconds_since_last_alert"))})
     return clean.column_policy(d, FINAL_COLUMNS)
