@@ -358,7 +358,7 @@ def apparent_temp(spark, sf):
     return weather(spark, sf).select("day", "hour", r6(sc.apparent_temp("temp", "wind")).alias("apparent"))
 
 
-PLACE = "40.5 + (s_suppkey * 37 % 100) * 0.004 AS lat, -74.0 + (s_suppkey * 53 % 100) * 0.005 AS lon"
+PLACE = "40.5::DOUBLE + (s_suppkey * 37 % 100) * 0.004::DOUBLE AS lat, -74.0::DOUBLE + (s_suppkey * 53 % 100) * 0.005::DOUBLE AS lon"
 
 
 def stations(spark, sf):

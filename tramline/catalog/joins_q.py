@@ -60,7 +60,7 @@ def best_match(spark, sf):
     return joins.best_match(j, ["o_orderkey"], F.col("gap"), ["l_linenumber", "l_partkey", "l_suppkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "gap")
 
 
-CUSTOMER_AT = "SELECT c_custkey, 40.5 + (c_custkey * 29 % 401) * 0.001 AS clat, -74.0 + (c_custkey * 31 % 503) * 0.001 AS clon FROM customer"
+CUSTOMER_AT = "SELECT c_custkey, 40.5::DOUBLE + (c_custkey * 29 % 401) * 0.001::DOUBLE AS clat, -74.0::DOUBLE + (c_custkey * 31 % 503) * 0.001::DOUBLE AS clon FROM customer"
 
 
 def customers_at(spark, sf):

@@ -134,7 +134,7 @@ def rolling_30min(spark, sf):
 
 
 @query("running_alert_flags", with_(ALERTS) + """
-SELECT alert_id, row_number() OVER w AS cum_rows, sum(CAST(category = 'Delay' AS BIGINT)) OVER w AS cum_is_delay, sum(CAST(category = 'Suspension' AS BIGINT)) OVER w AS cum_is_suspension
+SELECT alert_id, row_number() OVER w AS cum_rows, CAST(sum(CAST(category = 'Delay' AS BIGINT)) OVER w AS BIGINT) AS cum_is_delay, CAST(sum(CAST(category = 'Suspension' AS BIGINT)) OVER w AS BIGINT) AS cum_is_suspension
 FROM alerts WINDOW w AS (PARTITION BY route ORDER BY "at", alert_id ROWS UNBOUNDED PRECEDING)""")
 def running_alert_flags(spark, sf):
     a = alerts(spark, sf).withColumns({"is_delay": (F.col("category") == "Delay").cast("int"), "is_suspension": (F.col("category") == "Suspension").cast("int")})
