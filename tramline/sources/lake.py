@@ -75,8 +75,11 @@ def write_months(df: DataFrame, path: str, day: str, by_line: str | None = None)
 
 
 def compact_lines(df: DataFrame, path: str, line: str, year: str, files_per_line: int = 8, key: str | None = None) -> None:
-    """Yearly tables per line. A busy line is spread over several files, so no task writes it alone."""
-    salt = F.pmod(F.xxhash64(key) if key else F.monotonically_increasing_id(), F.lit(files_per_line))
+    """Yearly tables per line. A busy line is spread over several files, so no task writes it alone.
+
+    The spread is a hash of the row, so a repeated task sends the same rows to the same file.
+    """
+    salt = F.pmod(F.xxhash64(*([key] if key else df.columns)), F.lit(files_per_line))
     d = df.withColumn("_salt", salt).repartition(line, year, "_salt").drop("_salt")
     d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(line, year).parquet(path)
 
@@ -95,7 +98,7 @@ def pick_version(days: DataFrame, versions: DataFrame, day: str, downloaded: str
 
 
 def publish_snapshot(df: DataFrame, path: str) -> None:
-    """Replace a reference snapshot."""
+    """Replace a published snapshot (schedule, weather, events)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
