@@ -39,6 +39,15 @@ LEAF = 6
 _NONE = 1 << 30
 
 
+def cuts(text: str) -> list[str]:
+    """Cuts of a text at blanks before a visible character; no match of the pattern crosses one."""
+    if "  " not in text and not _BLANK_RUN.search(text):
+        first, *rest = text.split(" ")
+    else:
+        first, *rest = _BEFORE_VISIBLE.split(text)
+    return [first, *[" " + r for r in rest]]
+
+
 class Bpe:
     """Encoder and decoder for one table of ranks."""
 
@@ -130,20 +139,12 @@ class Bpe:
                 self._cuts[cut] = ids
         return ids
 
-    def cuts(self, text: str) -> list[str]:
-        """Cuts of the text at blanks before a visible character; no match of the pattern crosses one."""
-        if "  " not in text and not _BLANK_RUN.search(text):
-            first, *rest = text.split(" ")
-        else:
-            first, *rest = _BEFORE_VISIBLE.split(text)
-        return [first, *[" " + r for r in rest]]
-
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         known, make = self._cuts.get, self.kept_cut
-        return b"".join([known(cut) or make(cut) for cut in self.cuts(text)])
+        return b"".join([known(cut) or make(cut) for cut in cuts(text)])
 
     def decode(self, ids: bytes) -> bytes:
         def up(part: list[int]) -> bytes:

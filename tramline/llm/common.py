@@ -29,6 +29,14 @@ def once(key, make: Callable):
     return _KEPT[key]
 
 
+def recent(key, make: Callable):
+    """Like ``once`` for what belongs to one query: the value of the newest key of its kind (``key[0]``) stays."""
+    kept = _KEPT.get(("recent", key[0]))
+    if kept is None or kept[0] != key:
+        kept = _KEPT[("recent", key[0])] = (key, make())
+    return kept[1]
+
+
 def slices(batches: Iterable[pa.RecordBatch], step: int = SLICE) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, step):
