@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, langid, pack, pii, rollup, rules, topk, toxic
+from tramline.llm import bpe, langid, ngram, pack, pii, rollup, rules, topk, toxic
 from tramline.llm.common import crc_mod, table
 from tramline.session import scratch_path
 
@@ -33,6 +33,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 @query
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
