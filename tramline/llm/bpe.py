@@ -48,6 +48,14 @@ def cuts(text: str) -> list[str]:
     return [first, *[" " + r for r in rest]]
 
 
+def word_and_marks(cut: str) -> list[str] | None:
+    """A cut of letters and closing marks as its two matches of the pattern; None for any other cut."""
+    body = cut.rstrip(_MARKS)
+    if body != cut and (body.isalpha() or body[:1] == " " and body[1:].isalpha()):
+        return [body, cut[len(body) :]]
+    return None
+
+
 class Bpe:
     """Encoder and decoder for one table of ranks."""
 
@@ -127,11 +135,7 @@ class Bpe:
             if cut.isalpha() or cut[:1] == " " and cut[1:].isalpha():
                 ids = self.piece(cut)
             else:
-                body = cut.rstrip(_MARKS)
-                if body.lstrip(" ").isalpha() and body.rfind(" ") <= 0 and body != cut:
-                    parts = [body, cut[len(body) :]]
-                else:
-                    parts = self.split(cut)
+                parts = word_and_marks(cut) or self.split(cut)
                 ids = self.piece(cut) if len(parts) == 1 else b"".join(map(self.kept_cut, parts))
             if len(cut) <= 64:
                 if len(self._cuts) >= self.kept:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, langid, ngram, pack, pii, rollup, rules, topk, toxic
+from tramline.llm import bpe, langid, lm, ngram, pack, pii, rollup, rules, topk, toxic
 from tramline.llm.common import crc_mod, table
 from tramline.session import scratch_path
 
@@ -70,7 +70,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack.pack(table(spark, sf_dir, "documents"), pack.loader(public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = pack.pack(table(spark, sf_dir, "documents"), pack.loader(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -101,6 +101,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+@query
+def op8_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return lm.score(rows, ~F.col("held_out"), pack.loader(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+
+
 @query
 def op9_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in one batch, which is sent twice; those labelled of low quality are deleted; those with

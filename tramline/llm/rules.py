@@ -22,20 +22,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import GAP, crc_mod
+from tramline.llm.common import GAP
+from tramline.llm.components import _written
 
 WINDOW = 8
 #: rule -> (numerator, denominator) over the statistics below
 RATIOS = {
     "symbols_per_word": ("n_symbols", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
-    "repeat_share": ("n_repeat_words", "n_words"),
     "upper_share": ("n_upper", "n_letters"),
-    "marks_per_word": ("n_marks", "n_words"),
     "bar_share": ("n_bars", "n_words"),
 }
 #: candidate cutoffs of every rule, laxest first
-CUTOFFS = (2.0, 1.0, 0.8, 0.65, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.07, 0.05)
+CUTOFFS = (2.0, 1.0, 0.8, 0.65, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15)
 
 
 def _pairs(hashes: Column, step: int) -> Column:
@@ -47,8 +46,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` and with the statistics of the whole text, all long:
 
     n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines, n_repeat_words (words in windows of
-    eight words that occur twice or more), n_letters, n_upper, n_marks (exclamation and question
-    marks), n_bars (words that are one vertical bar).
+    eight words that occur twice or more), n_letters, n_upper, n_bars (words that are one
+    vertical bar).
     """
     rest = [c for c in docs.columns if c != text]
     t = F.coalesce(F.col(text), F.lit(""))
@@ -58,7 +57,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "_row",
         "_t",
         F.filter(F.split("_t", GAP), lambda w: w != "").alias("_w"),
-        F.filter(F.split("_t", "\n"), lambda x: F.rtrim(F.lit("\t\n\x0b\x0c\r "), x) != "").alias("_l"),
+        F.filter(F.split("_t", "\n"), lambda x: F.rtrim(x, F.lit("\t\n\x0b\x0c\r ")) != "").alias("_l"),
     )
     d = d.select(
         "_row",
@@ -69,7 +68,6 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         n_of(r"\p{L}").alias("n_letters"),
         n_of(r"\p{Lu}").alias("n_upper"),
-        n_of(r"[!?]").alias("n_marks"),
         F.size(F.filter("_w", lambda w: w == "|")).cast("long").alias("n_bars"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
@@ -88,7 +86,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     added = F.transform("_p", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), j + 1) - p, F.lit(WINDOW))))
     n_rep = F.when(F.col("_rep"), F.aggregate(added, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0)).cast("long")
     d = d.withColumn("n_repeat_words", n_rep)
-    stats = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_marks", "n_bars"]
+    stats = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bars"]
     return d.select(*[F.col("_row")[c].alias(c) for c in rest if c not in stats], *stats)
 
 
@@ -149,7 +147,8 @@ def judge(stats: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: st
     marked = stats.withColumn("base_failed", base_failed())
     ids = labels.filter("quality = 1").select(F.col(id_col).alias("_id"))
     good = marked.filter(~F.col("base_failed")).join(ids, F.col(id_col) == F.col("_id"))
-    table = cutoffs(good, stratum, alpha, delta).select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
-    got = marked.join(table, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    table = _written(cutoffs(good, stratum, alpha, delta).select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs")), "cutoffs")
+    small = table.count() <= 10_000  # one row per stratum with a proof; otherwise Spark picks the join
+    got = marked.join(F.broadcast(table) if small else table, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     failed = F.array_compact(F.array(*[F.when(ratio(r) > F.col("_cutoffs")[r], F.lit(r)) for r in RATIOS]))
     return got.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_stratum", "_cutoffs")
