@@ -87,23 +87,29 @@ def test_layer_rewrite_replaces_only_its_partition(spark):
 
 
 def test_lag_state_over_batches(spark, tmp_path):
-    """The state carries over micro-batches and equals the table form."""
-    schema = "trip string, event_id bigint, ts timestamp, t bigint, stop string, delay double"
-    base = dt.datetime(2024, 5, 6, 8)
-    rows = [("x", i, base + dt.timedelta(minutes=i), (i + 1) * 60_000_000, s, d) for i, (s, d) in enumerate([("A", 1.0), ("A", 2.0), ("B", None), ("B", 4.0), ("C", 5.0), ("C", 6.0), ("D", 7.0)])]
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for n, part in enumerate([rows[:3], rows[3:5], rows[5:]]):
+    """State, held-back rows and a silence carry over out-of-order micro-batches and equal the table form."""
+    schema = "trip string, event_id bigint, t bigint, stop string, delay double"
+    minute = 60_000_000
+    facts = [(0, "A", 1.0), (1, "A", 2.0), (2, "B", None), (3, "B", 4.0), (4, "C", 5.0), (5, "C", 6.0), (6, "D", 7.0), (486, "E", 20.0), (487, "F", 30.0)]
+    rows = [("x", i, (m + 1) * minute, s, d) for i, (m, s, d) in enumerate(facts)] + [(None, 90, 2 * minute, "A", 3.0), (None, 91, 3 * minute, "B", 4.0)]
+    src = tmp_path / "in"
+    os.makedirs(src)
+    for n, ids in enumerate([(0, 2, 90), (1, 5, 3, 91), (4, 6, 8), (7,)]):
         one = str(tmp_path / f"p{n}")
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(one)
-        os.makedirs(src, exist_ok=True)
+        spark.createDataFrame([r for r in rows if r[1] in ids], schema).coalesce(1).write.parquet(one)
         f = next(x for x in os.listdir(one) if x.endswith(".parquet"))
-        shutil.copy(f"{one}/{f}", f"{src}/{n}.parquet")
-        os.utime(f"{src}/{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    jobs.run_to_table(jobs.lag_state(stream), out)
-    got = {r["event_id"]: (r["lag1"], r["lag2"]) for r in spark.read.parquet(out).collect()}
+        shutil.copy(f"{one}/{f}", src / f"{n}.parquet")
+        os.utime(src / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    sink = jobs.LagState(str(tmp_path / "lags"), 90_000_000)
+    jobs.run_batches(stream, sink, spark, "lags")
+    sink.finish(spark)
+    got = {r["event_id"]: (r["lag1"], r["lag2"]) for r in sink.rows(spark).collect()}
     table = {r["event_id"]: (r["lag1"], r["lag2"]) for r in jobs.lag_state_batch(spark.createDataFrame(rows, schema), 90_000_000).collect()}
-    assert got == table == {0: (1.0, 1.0), 1: (1.0, 1.0), 2: (2.0, 1.0), 3: (2.0, 1.0), 4: (4.0, 2.0), 5: (4.0, 2.0), 6: (6.0, 4.0)}
+    want = {0: (1.0, 1.0), 1: (1.0, 1.0), 2: (2.0, 1.0), 3: (2.0, 1.0), 4: (4.0, 2.0), 5: (4.0, 2.0), 6: (6.0, 4.0), 7: (20.0, 20.0), 8: (20.0, 20.0)}
+    assert got == table and {k: v for k, v in got.items() if k < 90} == want and got[91] == (4.0, 4.0)
+    sink(spark.createDataFrame([("x", 99, minute, "A", 1.0)], schema), sink.last + 1)  # far too late: kept apart
+    assert spark.read.parquet(str(tmp_path / "lags" / "late")).filter("event_id = 99").count() == 1
 
 
 def test_clean_weather_days(spark):

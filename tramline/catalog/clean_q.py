@@ -454,7 +454,7 @@ def feed_progress(spark, sf):
     return d.select("event_id", (F.col("next_t") - F.col("t")).alias("to_next"), (F.col("t") - F.col("prev_t")).alias("from_prev"), (F.col("e") - F.col("t")).alias("remaining"))
 
 
-@query("present_delay", with_(TRAINS) + "SELECT event_id, round(CASE WHEN delay IS NULL THEN 0 ELSE greatest(delay, 0) / 60 END, 6) AS minutes FROM trains")
+@query("present_delay", with_(TRAINS) + "SELECT event_id, round(CASE WHEN delay IS NOT NULL THEN greatest(delay, 0) / 60 END, 6) AS minutes FROM trains")
 def present_delay(spark, sf):
     return trains(spark, sf).select("event_id", r6(sc.present_delay("delay")).alias("minutes"))
 

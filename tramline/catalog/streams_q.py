@@ -141,18 +141,27 @@ def flatten_vehicles(spark, sf):
 
 
 LAG_STATE_SQL = with_(TRAINS) + """,
-r AS (SELECT event_id, trip, stop, t, coalesce(delay, 0) AS delay, CASE WHEN stop IS DISTINCT FROM lag(stop) OVER w THEN 1 ELSE 0 END AS fresh FROM trains WINDOW w AS (PARTITION BY trip ORDER BY t, event_id)),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY trip ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM r),
-x AS (SELECT trip, run, arg_min(delay, (t, event_id)) AS fd, arg_max(delay, (t, event_id)) AS ld FROM g GROUP BY ALL),
-y AS (SELECT *, coalesce(lag(ld) OVER (PARTITION BY trip ORDER BY run), fd) AS lag1 FROM x), z AS (SELECT *, coalesce(lag(lag1) OVER (PARTITION BY trip ORDER BY run), fd) AS lag2 FROM y)
-SELECT g.event_id, z.lag1, z.lag2 FROM g JOIN z USING (trip, run)"""
+q AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY trip ORDER BY t, event_id) > 21600000000 THEN 1 ELSE 0 END AS silent FROM trains),
+p AS (SELECT *, sum(silent) OVER (PARTITION BY trip ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS leg FROM q),
+r AS (SELECT event_id, trip, leg, stop, t, coalesce(delay, 0) AS delay, CASE WHEN stop IS DISTINCT FROM lag(stop) OVER w THEN 1 ELSE 0 END AS fresh FROM p WINDOW w AS (PARTITION BY trip, leg ORDER BY t, event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY trip, leg ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM r),
+x AS (SELECT trip, leg, run, arg_min(delay, (t, event_id)) AS fd, arg_max(delay, (t, event_id)) AS ld FROM g GROUP BY ALL),
+y AS (SELECT *, coalesce(lag(ld) OVER (PARTITION BY trip, leg ORDER BY run), fd) AS lag1 FROM x), z AS (SELECT *, coalesce(lag(lag1) OVER (PARTITION BY trip, leg ORDER BY run), fd) AS lag2 FROM y)
+SELECT g.event_id, z.lag1, z.lag2 FROM g JOIN z USING (trip, leg, run)"""
 
 
 @query("lag_state_stream", LAG_STATE_SQL)
 def lag_state_stream(spark, sf):
-    path = scratch_path(spark, "lags")
-    jobs.run_to_table(jobs.lag_state(train_stream(spark, sf)), path)
-    return spark.read.parquet(path).select("event_id", "lag1", "lag2")
+    """The events come in a few files whose times overlap, one a micro-batch."""
+    src, sink = scratch_path(spark, "lag-files"), jobs.LagState(scratch_path(spark, "lags"), W)
+    t = trains(spark, sf).select("trip", "event_id", "t", "stop", "delay")
+    part = F.floor((F.col("t") + F.col("event_id") % 9 * MIN_US) / (12 * 24 * 60 * MIN_US))
+    for k in sorted(r[0] for r in t.select(part.alias("k")).distinct().collect()):  # a handful of periods
+        t.filter(part == k).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    jobs.run_batches(stream, sink, spark, "lags")
+    sink.finish(spark)
+    return sink.rows(spark).select("event_id", "lag1", "lag2")
 
 
 @query("lag_state_table", LAG_STATE_SQL)

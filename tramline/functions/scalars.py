@@ -210,8 +210,13 @@ def rel_bin(x, w: float = 5) -> Column:
 
 
 def present_delay(col) -> Column:
-    """non-negative minutes shown to a rider."""
-    return F.greatest(_c(col), F.lit(0.0)) / 60
+    """non-negative minutes shown to a rider; null where there is no prediction."""
+    return at_least_zero(col) / 60
+
+
+def at_least_zero(col) -> Column:
+    """Negative values as 0; null stays null."""
+    return F.when(_c(col).isNotNull(), F.greatest(_c(col), F.lit(0.0)))
 
 
 def event_end_hours(kind, durations: dict[str, float], default: float = 2.5) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.scalars import haversine_m
-from tramline.operators.ordered import CHUNK, sums_until
+from tramline.operators.ordered import CHUNK, _spread, known_key, sums_until
 
 EVENT_PAD_S = 5400
 NO_EVENT = "Ninguno"
@@ -37,7 +37,7 @@ def join_events(
     """
     by = list(by)
     w = 2 * pad
-    ev = events.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn(
+    ev = events.filter(known_key(by) & F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn(
         "_e", F.when(F.col(end) < F.col(start), F.col(end) + 86_400).otherwise(F.col(end))
     )
     ev = ev.select(
@@ -78,7 +78,7 @@ def join_events(
     closes = piece.filter(F.col("_ep") < ce).select(*by, CHUNK, F.col("_ep").alias("_t"), F.lit(2).alias("_role"), F.col("_best").alias("_close"))
     opens = opens.groupBy(*by, CHUNK, "_t", "_role").agg(F.max("_open").alias("_open"))
     closes = closes.groupBy(*by, CHUNK, "_t", "_role").agg(F.max("_close").alias("_close"))
-    probe = trains.withColumn("_t", F.col(t).cast("double")).withColumn(CHUNK, F.floor(F.col("_t") / w)).withColumn("_role", F.lit(1))
+    probe = trains.withColumn("_t", F.col(t).cast("double")).withColumn(CHUNK, _spread(by, ["_t"], F.floor(F.col("_t") / w))).withColumn("_role", F.lit(1))
     rows = probe
     for part in (deltas, opens, closes):
         rows = rows.unionByName(part, allowMissingColumns=True)

@@ -134,11 +134,11 @@ def search(train: DataFrame, valid: DataFrame, features, label: str, fit: Callab
 
 def window_weight_search(df: DataFrame, month: str, windows: Sequence[int], schemes: Sequence[str], train_months: Sequence[str], valid: DataFrame, features, label: str, fit: Callable, metric: Callable[[DataFrame], float], **params) -> DataFrame:
     """Training windows of the newest months x recency weight schemes."""
-    from tramline.operators.prep import recency_weights
+    from tramline.operators.prep import month_number, recency_weights
 
     rows = []
     for n in windows:
-        part = df.filter(F.col(month).isin(*sorted(train_months)[-n:]))
+        part = df.filter(F.col(month).isin(*sorted(train_months, key=month_number)[-n:]))
         for s in schemes:
             t0 = time.time()
             model = fit(recency_weights(part, month, s), features, label, weight="weight", **params)

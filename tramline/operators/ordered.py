@@ -8,7 +8,8 @@ the last k rows, the last known value or the total so far. The results equal tho
 unsplit window.
 
 Times are numeric (epoch microseconds, seconds past midnight, ...); ``width``, tolerances and
-horizons use the same unit. Rows with a null key get an empty history.
+horizons use the same unit. Rows with a null key have no neighbours: no history, no totals but their own,
+nothing within a range of them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,24 @@ CHUNK = "_chunk"
 _NO_TIME = 1 << 60
 
 
+def known_key(by: Sequence[str]) -> Column | None:
+    """No part of the key is null; None for the empty key."""
+    out = None
+    for c in by:
+        out = F.col(c).isNotNull() if out is None else out & F.col(c).isNotNull()
+    return out
+
+
+def _if_known(by: Sequence[str], value: Column, otherwise: Column) -> Column:
+    known = known_key(by)
+    return value if known is None else F.when(known, value).otherwise(otherwise)
+
+
+def _spread(by: Sequence[str], order: Sequence[str], chunk: Column) -> Column:
+    """Chunk of a row; rows with a null key have no neighbours, so they are dealt out by a hash of their place."""
+    return _if_known(by, chunk, F.pmod(F.xxhash64(*order), F.lit(1 << 20)))
+
+
 def chunk_of(t: str | Column, width: float, reverse: bool = False) -> Column:
     c = F.col(t) if isinstance(t, str) else t
     out = F.floor(c / F.lit(width)).cast("bigint")
@@ -31,6 +50,19 @@ def chunk_of(t: str | Column, width: float, reverse: bool = False) -> Column:
     return F.coalesce(out, F.lit(_NO_TIME))
 
 
+def chunk_width(df: DataFrame, by: Sequence[str], t: str, finest: int, target: int = 1_000_000, doublings: int = 20) -> int:
+    """The widest ``finest * 2^j`` for which no chunk of a key holds more than ``target`` rows (``finest`` if none does).
+
+    Rows are counted once by key and finest step, and the small counts are added up for all doublings together; one row
+    a doubling comes to the driver.
+    """
+    known = _if_known(by, F.col(t).isNotNull(), F.lit(False))
+    steps = df.filter(known).groupBy(*by, F.floor(F.col(t) / finest).cast("bigint").alias(CHUNK)).agg(F.count(F.lit(1)).alias("n"))
+    wide = steps.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(doublings)))).withColumn(CHUNK, F.expr(f"shiftright({CHUNK}, _j)"))
+    most = wide.groupBy(*by, "_j", CHUNK).agg(F.sum("n").alias("n")).groupBy("_j").agg(F.max("n").alias("n")).filter(F.col("n") <= target)
+    return finest << (most.agg(F.max("_j")).first()[0] or 0)
+
+
 def _order(cols: Sequence[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc_nulls_last() if reverse else F.col(c).asc_nulls_last() for c in cols]
 
@@ -76,7 +108,7 @@ def prior_rows(
     by, order = list(by), list(order)
     need = list(dict.fromkeys([*by, *order, *fields]))
     item = F.struct(*fields)
-    chunk = chunk_of(order[0], width, reverse)
+    chunk = _spread(by, order, chunk_of(order[0], width, reverse))
     df_t, name = _tag(df, chunk, chunk_col)
     src = (source if source is not None else df).select(*need).withColumn(name, chunk)
     newest = Window.partitionBy(*by, name).orderBy(*_anti_order(order, reverse))
@@ -91,16 +123,12 @@ def prior_rows(
     ctx = tails.select(*by, name, _tail_of(F.flatten(F.collect_list("_t").over(before)), k).alias("_ctx"))
     w = Window.partitionBy(*by, name).orderBy(*_order(order, reverse))
     lags = F.array_compact(F.array(*[F.lag(item, i).over(w) for i in range(k, 0, -1)]))
-    known = None
-    for c in by:
-        known = F.col(c).isNotNull() if known is None else known & F.col(c).isNotNull()
     # the window sorts by (key, chunk, ...), which is also the order the join needs
     joined = df_t.withColumn("_lags", lags).join(ctx, [*by, name], "left")
     full = F.when(F.col("_ctx").isNull(), F.col("_lags")).otherwise(F.concat("_ctx", "_lags"))
     full = joined.withColumn(out, full)
     res = _tail_of(F.col(out), k)
-    if known is not None:
-        res = F.when(known, res).otherwise(F.slice(F.col(out), 1, 0))
+    res = _if_known(by, res, F.slice(F.col(out), 1, 0))
     return full.withColumn(out, res).select(*_kept(df, chunk_col, [out]), out)
 
 
@@ -128,7 +156,7 @@ def last_known(
 ) -> DataFrame:
     """Forward fill (``reverse=True``: back fill) of ``value`` per key."""
     by, order = list(by), list(order)
-    chunk = chunk_of(order[0], width, reverse)
+    chunk = _spread(by, order, chunk_of(order[0], width, reverse))
     seen = F.col(value).isNotNull()
     pos = F.when(seen, F.struct(*order))
     pick = F.min_by if reverse else F.max_by
@@ -140,7 +168,7 @@ def last_known(
         df.withColumn(CHUNK, chunk)
         .withColumn("_seen", F.last(value, True).over(w))
         .join(ctx, [*by, CHUNK], "left")
-        .withColumn(out, F.coalesce("_seen", "_ctx"))
+        .withColumn(out, _if_known(by, F.coalesce("_seen", "_ctx"), F.col(value) if inclusive else F.lit(None)))
         .select(*[c for c in df.columns if c != out], out)
     )
 
@@ -162,7 +190,7 @@ def running_sums(
     ``chunk`` may be any expression that does not decrease along the order. Null addends count 0.
     """
     by, order = list(by), list(order)
-    chunk = chunk_of(order[0], width, reverse) if chunk is None else chunk
+    chunk = _spread(by, order, chunk_of(order[0], width, reverse) if chunk is None else chunk)
     adds = {n: F.coalesce(e, F.lit(0)) for n, e in sums.items()}
     totals = (source if source is not None else df).withColumn("_ck", chunk).groupBy(*by, "_ck").agg(*[F.sum(e).alias(f"_s_{n}") for n, e in adds.items()])
     tagged, name = _tag(df, chunk, chunk_col)
@@ -170,7 +198,7 @@ def running_sums(
     ctx = totals.select(*by, F.col("_ck").alias(name), *[F.coalesce(F.sum(f"_s_{n}").over(prev), F.lit(0)).alias(f"_c_{n}") for n in sums])
     w = Window.partitionBy(*by, name).orderBy(*_order(order, reverse)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     within = tagged.withColumns({f"_w_{n}": F.coalesce(F.sum(e).over(w), F.lit(0)) for n, e in adds.items()})
-    got = {f"_r_{n}": F.col(f"_w_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
+    got = {f"_r_{n}": _if_known(by, F.col(f"_w_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)), F.lit(0) if exclusive else e) for n, e in adds.items()}
     return within.join(ctx, [*by, name], "left").withColumns(got).select(*_kept(df, chunk_col, list(sums)), *[F.col(f"_r_{n}").alias(n) for n in sums])
 
 
@@ -190,7 +218,7 @@ def key_stats(
     other operators of the same chunks. ``last`` is the last non-null value in order.
     """
     by, order = list(by), list(order)
-    chunk = chunk_of(order[0], width)
+    chunk = _spread(by, order, chunk_of(order[0], width))
     src = (source if source is not None else df).withColumn("_ck", chunk)
     first, then = [], []
     every = Window.partitionBy(*by)
@@ -240,7 +268,7 @@ def lookback_sums(
         rows = left.select(*left.columns, F.col(lt).alias("_t"), *add).withColumn("_own", F.lit(True)).withColumn("_row", F.lit(True))
     else:
         rows = left.withColumn("_t", F.col(lt)).withColumn("_row", F.lit(True)).unionByName(vals.withColumn("_own", F.lit(True)), allowMissingColumns=True)
-    rows = rows.unionByName(late, allowMissingColumns=True).withColumn(CHUNK, chunk_of("_t", span))
+    rows = rows.unionByName(late, allowMissingColumns=True).withColumn(CHUNK, _spread(by, ["_t"], chunk_of("_t", span)))
     part = Window.partitionBy(*by, CHUNK)
     # ascending: values of the own block before (or up to) the row's time
     up = part.orderBy(F.col("_t").asc()).rangeBetween(Window.unboundedPreceding, -1 if closed == "left" else 0)
@@ -249,7 +277,7 @@ def lookback_sums(
     rows = rows.withColumns({f"_up{x}": F.sum(F.when(F.col("_own"), F.col(x))).over(up) for x in xs})
     rows = rows.withColumns({f"_dn{x}": F.sum(F.when(F.col("_late"), F.col(x))).over(down) for x in xs})
     zero = F.lit(0)
-    outs = [(F.coalesce(F.col(f"_up{x}"), zero) + F.coalesce(F.col(f"_dn{x}"), zero)).alias(n) for x, n in zip(xs, sums)]
+    outs = [_if_known(by, F.coalesce(F.col(f"_up{x}"), zero) + F.coalesce(F.col(f"_dn{x}"), zero), zero).alias(n) for x, n in zip(xs, sums)]
     return rows.filter("_row").select(*left.columns, *outs)
 
 
@@ -272,13 +300,13 @@ def sums_until(
     add = [F.coalesce(e, F.lit(0)).alias(f"_x_{n}") for n, e in sums.items()]
     xs = [f"_x_{n}" for n in sums]
     vals = (
-        points.filter(F.col(point_t).isNotNull())
+        points.filter(_if_known(by, F.col(point_t).isNotNull(), F.lit(False)))
         .select(*by, F.col(point_t).alias("_t"), *add)
         .groupBy(*by, "_t")
         .agg(*[F.sum(x).alias(x) for x in xs])
         .withColumn(CHUNK, chunk_of("_t", width))
     )
-    ask = probes.withColumn("_t", F.col(probe_t)).withColumn(CHUNK, chunk_of("_t", width))
+    ask = probes.withColumn("_t", F.col(probe_t)).withColumn(CHUNK, _spread(by, ["_t"], chunk_of("_t", width)))
     totals = vals.groupBy(*by, CHUNK).agg(*[F.sum(x).alias(x) for x in xs])
     asked = ask.select(*by, CHUNK).distinct()
     spine = totals.unionByName(asked, allowMissingColumns=True).groupBy(*by, CHUNK).agg(*[F.sum(x).alias(x) for x in xs])
@@ -292,4 +320,4 @@ def sums_until(
     w = Window.partitionBy(*by, CHUNK).orderBy(F.col("_t").asc_nulls_first(), F.col("_role").asc()).rowsBetween(Window.unboundedPreceding, 0)
     for n in sums:
         rows = rows.withColumn(f"_r_{n}", F.sum(f"_x_{n}").over(w))
-    return rows.filter("_role = 2").select(*probes.columns, *[F.coalesce(F.col(f"_r_{n}"), F.lit(0)).alias(n) for n in sums])
+    return rows.filter("_role = 2").select(*probes.columns, *[_if_known(by, F.coalesce(F.col(f"_r_{n}"), F.lit(0)), F.lit(0)).alias(n) for n in sums])

@@ -81,10 +81,20 @@ def impute(df: DataFrame, train: DataFrame, numeric: Sequence[str] = (), categor
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_f_{c}")) for c in [*numeric, *categorical]}).select(*df.columns)
 
 
+def month_number(label) -> tuple[int, str]:
+    """Order of month labels: the number in them, then the text."""
+    digits = "".join(c for c in str(label) if c.isdecimal())
+    return int(digits or -1), str(label)
+
+
 def recency_weights(df: DataFrame, month: str, scheme: str, out: str = "weight") -> DataFrame:
-    """M6: weight by month rank: uniform, linear, exponential (x10 over the span) or step; mean 1 over months."""
+    """M6: weight by month rank: uniform, linear, exponential (x10 over the span) or step; mean 1 over months.
+
+    Month labels are ordered by the number in them (``2024-12``, ``w10``), then as text.
+    """
     m = df.select(month).distinct()
-    w = Window.orderBy(month)  # months are few
+    number = F.regexp_replace(F.col(month).cast("string"), "[^0-9]", "").try_cast("bigint")
+    w = Window.orderBy(number, month)  # months are few
     every = Window.partitionBy()
     m = m.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(every))
     raw = {

@@ -76,10 +76,11 @@ def live_trip_end(df: DataFrame, schedule: DataFrame, by: Sequence[str], schedul
 
 
 def rolling_rows_sum(df: DataFrame, by, order, value: str, k: int, width: float, out: str) -> DataFrame:
-    """Sum over the current and the k-1 previous rows, nulls skipped."""
+    """Sum over the current and the k-1 previous rows, nulls skipped; null where all are null."""
     p = prior_rows(df, by, order, [value], k - 1, width, "_p")
-    past = F.aggregate(F.filter(F.col("_p")[value], lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
-    return p.withColumn(out, past + F.coalesce(F.col(value), F.lit(0.0))).drop("_p")
+    vals = F.filter(F.concat(F.col("_p")[value], F.array(value)), lambda x: x.isNotNull())
+    total = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
+    return p.withColumn(out, F.when(F.size(vals) > 0, total)).drop("_p")
 
 
 def moving_average(df: DataFrame, by, order, value: str, k: int, width: float, out: str) -> DataFrame:

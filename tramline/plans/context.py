@@ -13,14 +13,14 @@ from tramline.operators.intervals import map_stations
 
 
 def clean_weather(raw: DataFrame, ts: str = "Date", z_column: str = "Temperature") -> DataFrame:
-    """Hourly weather: coerced, complete, without duplicates and daily outliers, with derived columns.
+    """Hourly weather: coerced, with a time and a temperature, without duplicates and daily outliers, with derived columns.
 
     Columns: Date, Temperature, Rain, Precipitation, Wind Speed, Snow, Cloud Cover.
     """
     need = [ts, "Temperature", "Rain", "Precipitation", "Wind Speed", "Snow", "Cloud Cover"]
     d = clean.require(raw, need)
     d = clean.coerce_types(d, {ts: "timestamp", **{c: "double" for c in need[1:]}})
-    d = clean.drop_null_keys(d, need).distinct()
+    d = clean.drop_null_keys(d, [ts, "Temperature"]).distinct()
     d = d.withColumns({"service_date": F.to_date(ts), "hour": F.hour(ts)})
     d = clean.zscore_filter(d, z_column, ["service_date"])
     d = windows.rolling_rows_sum(d, ["service_date"], ["hour"], "Precipitation", 3, 24, "precip_3h_accum")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.functions.scalars import at_least_zero
 from tramline.functions.text import base_stop
 from tramline.operators.joins import lookup_chain
 
@@ -18,12 +19,12 @@ def at_stop(stop: str, asked: str) -> Column:
 
 def current_delay(df: DataFrame, stop: str, asked: str, value: str) -> DataFrame:
     """Q1: mean present delay at a stop or base id, never negative."""
-    return df.filter(at_stop(stop, asked)).agg(F.greatest(F.avg(value), F.lit(0.0)).alias("delay_seconds"), F.count(value).alias("n"))
+    return df.filter(at_stop(stop, asked)).agg(at_least_zero(F.avg(value)).alias("delay_seconds"), F.count(value).alias("n"))
 
 
 def propagation(df: DataFrame, stations: DataFrame, node: str, horizons: Sequence[str], route: str | None = None) -> DataFrame:
     """Q2: predicted delay per base station, platforms averaged, with coordinates and a route filter."""
-    g = df.groupBy(base_stop(node).alias("base")).agg(*[F.greatest(F.avg(h), F.lit(0.0)).alias(h) for h in horizons])
+    g = df.groupBy(base_stop(node).alias("base")).agg(*[at_least_zero(F.avg(h)).alias(h) for h in horizons])
     j = g.join(stations, "base", "left")
     return j if route is None else j.filter(F.array_contains(F.split("routes", " "), route))
 
@@ -34,7 +35,7 @@ def delay_predictions(df: DataFrame, value: str, route: str | None = None, stop:
         df = df.filter(F.col(route_col) == route)
     if stop is not None:
         df = df.filter(at_stop(stop_col, stop))
-    d = df.withColumn("delay_seconds", F.greatest(F.col(value), F.lit(0.0))).withColumn("delay_minutes", F.col("delay_seconds") / 60)
+    d = df.withColumn("delay_seconds", at_least_zero(value)).withColumn("delay_minutes", F.col("delay_seconds") / 60)
     return d if minimum is None else d.filter(F.col("delay_seconds") >= minimum)
 
 

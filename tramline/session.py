@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tramline", master: str | None = None, partitions: int | None = None) -> SparkSession:
+_SCRATCH: list[str] = []
+
+
+def build_session(app: str = "tramline", master: str | None = None, partitions: int | None = None, shared: str | None = None) -> SparkSession:
     """UTC session, AQE on (skew join, coalescing) and dynamic partition overwrite."""
     b = (
         SparkSession.builder.appName(app)
@@ -23,27 +25,42 @@ def build_session(app: str = "tramline", master: str | None = None, partitions:
     )
     if master:
         b = b.master(master)
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``, else one below the warehouse.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (a test on one machine) a temporary folder is chosen.
+    Driver and executors must both reach it, so a cluster has to name one that is not on a local disk.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="tramline-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf
+    if conf:
+        return conf
+    house = spark.conf.get("spark.sql.warehouse.dir")
+    master = spark.sparkContext.master
+    if house.startswith("file:") and not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{house.rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run below the shared folder."""
-    return os.path.join(shared_dir(spark), f"tramline-{name}-{uuid.uuid4().hex[:12]}")
+    path = f"{shared_dir(spark).rstrip('/')}/tramline-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this driver wrote below the shared folder; call it when their results are written."""
+    n = 0
+    while _SCRATCH:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return n
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -2,85 +2,93 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tramline.operators import clean, joins
+from tramline.operators.ordered import last_known, nth_prior, prior_rows
 from tramline.session import scratch_path
 from tramline.sources import lake
 
-LAG_ROW = T.StructType(
-    [
-        T.StructField("trip", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("t", T.LongType()), T.StructField("stop", T.StringType()),
-        T.StructField("delay", T.DoubleType()), T.StructField("lag1", T.DoubleType()), T.StructField("lag2", T.DoubleType()),
-    ]
-)
-
-
-LAG_STATE = "stop string, delay double, lag1 double, lag2 double"
-#: a trip not seen for so long (event time) is forgotten
-FORGET_MS = 6 * 3600 * 1000
-
-
-def _update_lags(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """First sighting: both lags are the present delay. Another stop: lags shift. Same stop: they stay."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    batch = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")
-    last = state.get if state.exists else None
-    lags = []
-    for stop, delay in zip(batch["stop"], batch["delay"].fillna(0.0)):
-        if last is None:
-            l1 = l2 = delay
-        elif stop != last[0]:
-            l1, l2 = last[1], last[2]
-        else:
-            l1, l2 = last[2], last[3]
-        last = (stop, float(delay), float(l1), float(l2))
-        lags.append((l1, l2))
-    state.update(last)
-    state.setTimeoutTimestamp(max(int(batch["t"].iloc[-1]) // 1000 + FORGET_MS, state.getCurrentWatermarkMs() + 1))
-    out = batch.assign(delay=batch["delay"].fillna(0.0), lag1=[x for x, _ in lags], lag2=[x for _, x in lags])
-    yield out[[f.name for f in LAG_ROW]]
-
-
-def lag_state(stream: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """ST1: per trip the last stop, delay and two lags are kept; columns trip, event_id, t (epoch us), stop, delay in.
-
-    State is one row per trip; a micro-batch holds what arrived since the last one, so bound it by the
-    source's rate (``maxFilesPerTrigger``) when a backlog is read. The timeout follows event time, so a
-    run over what is available ends by itself.
-    """
-    d = stream.withWatermark(ts, late).select(F.col("trip").cast("string").alias("trip"), ts, "event_id", "t", "stop", "delay")
-    return d.groupBy("trip").applyInPandasWithState(_update_lags, LAG_ROW, LAG_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+#: a trip silent for longer (event time, microseconds) starts anew
+FORGET_US = 6 * 3600 * 1_000_000
 
 
-def lag_state_batch(df: DataFrame, width: float) -> DataFrame:
-    """ST1 on a table: the same lags from window operators, for back-fills and checks."""
-    from tramline.operators.ordered import last_known, nth_prior, prior_rows
+def lag_state_batch(df: DataFrame, width: float, state: DataFrame | None = None, forget: int = FORGET_US) -> DataFrame:
+    """ST1 on a table (trip, event_id, t, stop, delay, ...): lag1 and lag2 of the delay at the two stops before.
 
+    First sighting of a trip, or first after a silence longer than ``forget``: both lags are the present delay.
+    Another stop: lags shift. Same stop: they stay. ``state`` holds earlier rows' last (trip, event_id,
+    t, stop, delay, lag1, lag2), from which the lags go on.
+    """
     by, o = ["trip"], ["t", "event_id"]
-    d = df.withColumn("delay", F.coalesce("delay", F.lit(0.0)))
-    d = prior_rows(d, by, o, ["stop", "delay"], 1, width, "_p")
-    fresh = F.size("_p") == 0
-    d = d.withColumn("_new", fresh | (nth_prior("_p", "stop", 1) != F.col("stop")))
-    d = d.withColumn("_s1", F.when(F.col("_new"), F.coalesce(nth_prior("_p", "delay", 1), F.col("delay")))).drop("_p")
-    d = last_known(d, by, o, "_s1", width, "lag1")
-    d = prior_rows(d, by, o, ["lag1"], 1, width, "_p")
-    d = d.withColumn("_s2", F.when(F.col("_new"), F.coalesce(nth_prior("_p", "lag1", 1), F.col("delay")))).drop("_p")
-    d = last_known(d, by, o, "_s2", width, "lag2")
-    return d.drop("_new", "_s1", "_s2")
+    d = df.withColumns({"delay": F.coalesce("delay", F.lit(0.0)), "_given1": F.lit(None).cast("double"), "_given2": F.lit(None).cast("double"), "_seed": F.lit(False)})
+    if state is not None:
+        seed = state.withColumnsRenamed({"lag1": "_given1", "lag2": "_given2"}).withColumn("_seed", F.lit(True))
+        d = d.unionByName(seed, allowMissingColumns=True)
+    d = prior_rows(d, by, o, ["stop", "delay", "t"], 1, width, "_p")
+    fresh = (F.size("_p") == 0) | (F.col("t") - nth_prior("_p", "t", 1) > forget)
+    moved = ~nth_prior("_p", "stop", 1).eqNullSafe(F.col("stop"))
+    kind = F.when(F.col("_seed"), "seed").when(fresh, "fresh").when(moved, "moved").otherwise("same")
+    d = d.withColumns({"_kind": kind, "_before": nth_prior("_p", "delay", 1)}).drop("_p")
+    pick = lambda given, shifted: F.when(F.col("_kind") == "seed", F.col(given)).when(F.col("_kind") == "fresh", F.col("delay")).when(F.col("_kind") == "moved", F.col(shifted))
+    d = last_known(d.withColumn("_s1", pick("_given1", "_before")), by, o, "_s1", width, "lag1")
+    d = prior_rows(d, by, o, ["lag1"], 1, width, "_p").withColumn("_before", nth_prior("_p", "lag1", 1))
+    d = last_known(d.withColumn("_s2", pick("_given2", "_before")).drop("_p"), by, o, "_s2", width, "lag2")
+    return d.filter(~F.col("_seed")).select(*df.columns, "lag1", "lag2")
+
+
+class LagState:
+    """ST1 on a stream: a ``foreachBatch`` sink that gives the rows of ``lag_state_batch``, whatever the micro-batches.
+
+    A row is held back until rows up to ``late`` younger have come, so order within that bound does not matter; rows that
+    come later still are kept apart under ``late``. One state row per trip stays, as long as it can still matter. Every
+    batch reads the tables of the batch before and rewrites its own, so a repeated batch does no harm.
+    """
+
+    COLS = ["trip", "event_id", "t", "stop", "delay"]
+
+    def __init__(self, path: str, width: float, late: int = 10 * 60 * 1_000_000, forget: int = FORGET_US):
+        self.path, self.width, self.late, self.forget, self.last = path, width, late, forget, -1
+
+    def _at(self, what: str, epoch: int) -> str:
+        return f"{self.path}/{what}/epoch={epoch}"
+
+    def __call__(self, batch: DataFrame, epoch: int, flush: bool = False) -> None:
+        spark, self.last = batch.sparkSession, epoch
+        batch = batch.select(*self.COLS)
+        read = lambda what: spark.read.parquet(self._at(what, epoch - 1))
+        first = epoch == 0
+        old = None if first else read("bound").first().bound
+        newest = batch.agg(F.max("t")).first()[0]
+        bound = max([b for b in (old, None if newest is None else newest - (0 if flush else self.late)) if b is not None], default=0)
+        spark.createDataFrame([(bound,)], "bound long").write.mode("overwrite").parquet(self._at("bound", epoch))
+        rows = batch if first else batch.filter(F.col("t") > old).union(read("held").select(*self.COLS))
+        if not first:
+            batch.filter(F.col("t") <= old).write.mode("overwrite").parquet(self._at("late", epoch))
+        ready = F.lit(True) if flush else F.col("t") <= bound
+        rows.filter(~ready).write.mode("overwrite").parquet(self._at("held", epoch))
+        state = None if first else read("state")
+        lag_state_batch(rows.filter(ready), self.width, state, self.forget).write.mode("overwrite").parquet(self._at("out", epoch))
+        out = spark.read.parquet(self._at("out", epoch))
+        both = out if state is None else out.unionByName(state)
+        newest_row = both.groupBy("trip").agg(F.max_by(F.struct("event_id", "t", "stop", "delay", "lag1", "lag2"), F.struct("t", "event_id")).alias("r"))
+        newest_row.select("trip", "r.*").filter(F.col("t") >= bound - self.forget).write.mode("overwrite").parquet(self._at("state", epoch))
+
+    def finish(self, spark: SparkSession) -> None:
+        """Release the rows held back once the stream has ended."""
+        if self.last >= 0:
+            self(spark.read.parquet(self._at("held", self.last)).limit(0), self.last + 1, flush=True)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/out").drop("epoch")
 
 
 def tumbling(stream: DataFrame, ts: str, width: str, late: str, keys, aggs) -> DataFrame:
-    """ST2: closed windows by key once the watermark has passed."""
+    """ST2: closed windows by key once the watermark has passed; windows still open at the end of a run are not shown."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(*aggs)
 
 
@@ -122,11 +130,9 @@ def enrich_per_batch(path: str, steps: list[Callable[[DataFrame], DataFrame]]) -
 
 
 def windows_per_batch(path: str, keep: int = 8, start: str = "window_start") -> Callable[[DataFrame, int], None]:
-    """ST3/S14: publish closed windows and keep the newest few."""
+    """ST3/S14: publish closed windows and keep the newest few; windows still open at the end of a run are not shown."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
         lake.publish_window(batch, path, start)
         lake.retain_windows(batch.sparkSession, path, keep, start)
 
@@ -144,7 +150,7 @@ def scores_per_batch(path: str, scorer: Callable[[DataFrame], DataFrame], thresh
 
 
 def monitor(stream: DataFrame, ts: str, key: str, value: str, after: str, width: str, late: str) -> DataFrame:
-    """ST8: mean value per key and window beside the mean ``after`` later.
+    """ST8: mean value per key and window beside the mean ``after`` later; closed windows only.
 
     Both sides are aggregated before they meet, so the join has one row per key and window.
     """
