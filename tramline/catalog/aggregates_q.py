@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import ALERTS, CITY, HOUR_US, MIN_US, TRAINS, US, W, WEATHER, alerts, city_events, query, r6, table, trains, us, weather, with_
+from tramline.catalog.base import ALERTS, CITY, HOUR_US, MIN_US, TRAINS, US, width, WEATHER, alerts, city_events, query, r6, table, trains, us, weather, with_
 from tramline.operators import aggregates as ag
 from tramline.operators import asof, quantiles
 from tramline.operators.joins import join_weather
@@ -101,7 +101,7 @@ def line_aggregate(spark, sf):
     from tramline.operators.windows import bin_lags
 
     a = _window(spark, sf, 900_000_000).withColumn("hour_cos_first", F.lit(0.0))
-    b = bin_lags(a, ["stop_id", "route_id", "direction"], "bin", "delay_seconds_mean", 3, 900 * US, 300 * US, 4 * W, "_b")
+    b = bin_lags(a, ["stop_id", "route_id", "direction"], "bin", "delay_seconds_mean", 3, 900 * US, 300 * US, 4 * width(spark, sf), "_b")
     b = b.withColumnsRenamed({f"_b{i}": f"delay_{i}_before" for i in (1, 2, 3)})
     d = ag.line_aggregate(b, "bin", 1800 * US, "alert_in_next_15m_max").drop("hour_sin", "hour_cos", "dow")
     return rnd(d, "delay_mean_line", "delay_max_line", "delay_std_line", "delay_1_before_mean", "delay_2_before_mean", "delay_3_before_mean", "headway_mean_line", "headway_std_line", "pct_stops_delayed",
@@ -111,7 +111,7 @@ def line_aggregate(spark, sf):
 @query("edge_list", with_(TRAINS) + """, n AS (SELECT stop AS src, lead(stop) OVER w AS dst, lead(t) OVER w - t AS tt FROM trains WINDOW w AS (PARTITION BY trip ORDER BY t, event_id))
 SELECT src, dst, count(*) AS trip_count, quantile_cont(CAST(tt AS DOUBLE), 0.5) AS median_travel_time FROM n WHERE dst IS NOT NULL AND tt > 0 GROUP BY ALL""")
 def edge_list(spark, sf):
-    return ag.build_edges(trains(spark, sf), ["trip"], ORD, "stop", "t", W)
+    return ag.build_edges(trains(spark, sf), ["trip"], ORD, "stop", "t", width(spark, sf))
 
 
 @query("bin_aggregate", with_(TRAINS) + """SELECT stop, (t // 900000000) * 900000000 AS bin, round(avg(delay), 6) AS delay_mean, CAST(coalesce(sum(CAST(floor(value) AS BIGINT)), 0) AS BIGINT) AS whole_sum, max(value) AS value_max FROM trains GROUP BY ALL""")
@@ -209,7 +209,7 @@ def corr_pairs_strong(spark, sf):
 def horizon_corr(spark, sf):
     from tramline.operators.ordered import nth_prior, prior_rows
 
-    d = prior_rows(trains(spark, sf), ["trip"], ORD, ["delay"], 3, W, "_p", reverse=True).withColumns({f"h{i}": nth_prior("_p", "delay", i) for i in (1, 2, 3)})
+    d = prior_rows(trains(spark, sf), ["trip"], ORD, ["delay"], 3, width(spark, sf), "_p", reverse=True).withColumns({f"h{i}": nth_prior("_p", "delay", i) for i in (1, 2, 3)})
     return rnd(ag.corr_with(d, ["h1", "h2", "h3"], "delay"), "r")
 
 
@@ -234,11 +234,11 @@ def conditional_mean(spark, sf):
     return rnd(ag.conditional_mean(d, F.col("delay").between(120, 300), ["hour"], "vw"), "mean")
 
 
-@query("platform_pairs", """WITH p AS (SELECT p_brand || CASE p_size % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'S' ELSE '' END AS s FROM part WHERE p_retailprice > 901)
+@query("platform_pairs", """WITH p AS (SELECT p_brand || CASE p_size % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'S' ELSE '' END AS s FROM part)
 SELECT regexp_extract(s, '^(.*)([NS])$', 1) AS base, bool_or(s LIKE '%N') AS has_n, bool_or(s LIKE '%S') AS has_s, bool_or(s LIKE '%N') AND bool_or(s LIKE '%S') AS complete FROM p WHERE regexp_matches(s, '[NS]$') GROUP BY 1""")
 def platform_pairs(spark, sf):
     m = F.col("p_size") % 3
-    p = table(spark, sf, "part").filter("p_retailprice > 901").withColumn("s", F.concat("p_brand", F.when(m == 0, "N").when(m == 1, "S").otherwise("")))
+    p = table(spark, sf, "part").withColumn("s", F.concat("p_brand", F.when(m == 0, "N").when(m == 1, "S").otherwise("")))
     return ag.platform_pairs(p, "s")
 
 
@@ -260,7 +260,7 @@ def alert_weekend_share(spark, sf):
 @query("effect_diff", with_(TRAINS, ALERTS) + """, b AS (SELECT t.*, CAST(coalesce(t.t - a.at <= 1800000000, FALSE) AS INTEGER) AS f, CAST(t.sec // 3600 AS INTEGER) AS hour FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t >= a.at)
 SELECT hour, round(avg(delay) FILTER (f = 1), 6) AS mean_with, round(avg(delay) FILTER (f = 0), 6) AS mean_without, round(avg(delay) FILTER (f = 1) - avg(delay) FILTER (f = 0), 6) AS effect FROM b GROUP BY hour""")
 def effect_diff(spark, sf):
-    d = asof.asof_backward(_hour(trains(spark, sf)), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W)
+    d = asof.asof_backward(_hour(trains(spark, sf)), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], width(spark, sf))
     d = d.withColumn("f", F.coalesce((F.col("t") - F.col("last_at") <= 1800 * US).cast("int"), F.lit(0)))
     return rnd(ag.effect_diff(d, ["hour"], "f", "delay"), "mean_with", "mean_without", "effect")
 
@@ -271,7 +271,7 @@ SELECT CAST(floor(rel / {w}) * {w} AS BIGINT) AS rel_bin, round(avg(delay), 6) A
 
 
 def _curve(spark, sf, lo, hi, w):
-    d = asof.asof_backward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W)
+    d = asof.asof_backward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], width(spark, sf))
     return rnd(ag.relative_curve(d.withColumn("rel", (F.col("t") - F.col("last_at")) / MIN_US), "rel", "delay", lo, hi, w), "mean")
 
 
@@ -374,7 +374,7 @@ SELECT CAST(len(list_filter(es, lambda x: x < hw)) AS INTEGER) AS bin, round(avg
 def alert_rate_by_headway(spark, sf):
     from tramline.operators.windows import headway
 
-    d = headway(trains(spark, sf), ["stop"], ORD, W).withColumn("flag", (F.col("value") > 100).cast("int"))
+    d = headway(trains(spark, sf), ["stop"], ORD, width(spark, sf)).withColumn("flag", (F.col("value") > 100).cast("int"))
     return rnd(ag.stats_per_bin(d, "headway", 5, "flag"), "mean")
 
 
@@ -390,7 +390,7 @@ def lines_after_alerts(spark, sf):
     """Flagship: lines that lose most time in the half hour after an alert."""
     from tramline.plans.historical import losses_after_alerts
 
-    d = losses_after_alerts(trains(spark, sf), alerts(spark, sf), 1800 * US, 1800 * US, W, 5)
+    d = losses_after_alerts(trains(spark, sf), alerts(spark, sf), 1800 * US, 1800 * US, width(spark, sf), 5)
     return d.select("route", "n_rows", r6("mean_loss").alias("mean_loss"))
 
 
@@ -425,7 +425,7 @@ def throughput_before_suspension(spark, sf):
     from tramline.operators.windows import rolling_time_stats
 
     d = rolling_time_stats(trains(spark, sf), ["stop"], "t", {"m": "delay"}, 30 * MIN_US, "n30")
-    d = asof.asof_forward(d, alerts(spark, sf).filter("category = 'Suspension'"), ["route"], "t", "at", [], ["alert_id"], W)
+    d = asof.asof_forward(d, alerts(spark, sf).filter("category = 'Suspension'"), ["route"], "t", "at", [], ["alert_id"], width(spark, sf))
     return rnd(ag.relative_curve(d.withColumn("rel", (F.col("next_at") - F.col("t")) / MIN_US), "rel", "n30", 0, 60, 5), "mean")
 
 
@@ -435,5 +435,5 @@ SELECT kind, phase, round(avg(m), 6) AS mean_value, count(m) AS n_events FROM m
 def phases_by_kind(spark, sf):
     from tramline.operators.intervals import THREE_PHASES, event_phases
 
-    d = event_phases(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id", "kind"], 5400 * US, W, THREE_PHASES)
+    d = event_phases(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id", "kind"], 5400 * US, width(spark, sf), THREE_PHASES)
     return rnd(d.groupBy("kind", "phase").agg(F.avg("mean_value").alias("mean_value"), F.count("mean_value").alias("n_events")), "mean_value")

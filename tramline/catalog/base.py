@@ -12,12 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.operators.ordered import chunk_width
+
 US = 1_000_000
 MIN_US = 60 * US
 HOUR_US = 3600 * US
 DAY_US = 24 * HOUR_US
-#: chunk of the order axis for the driver tables
-W = 12 * HOUR_US
+#: rows that a chunk of a key may hold
+CHUNK_ROWS = 1_000_000
+_WIDTHS: dict[tuple[str, str], int] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +44,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def width(spark: SparkSession, sf: str) -> int:
+    """Chunk of the order axis: the widest at which the busiest stop keeps within ``CHUNK_ROWS``.
+
+    Stops are the coarsest keys of the trains, so finer keys stay within it too. Counted once per table.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WIDTHS:
+        _WIDTHS[key] = chunk_width(trains(spark, sf), ["stop"], "t", MIN_US, CHUNK_ROWS)
+    return _WIDTHS[key]
+
+
 def us(col: str):
     return F.unix_micros(F.col(col).cast("timestamp"))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.catalog.base import ALERTS, MIN_US, TRAINS, US, W, WEATHER, alerts, query, r6, table, trains, us, weather, with_
+from tramline.catalog.base import ALERTS, MIN_US, TRAINS, US, width, WEATHER, alerts, query, r6, table, trains, us, weather, with_
 from tramline.functions import scalars as sc
 from tramline.functions import text as tx
 from tramline.operators import clean
@@ -387,7 +387,7 @@ SELECT event_id, delay - l1 AS delay_velocity, (delay - l1) - (l1 - l2) AS delay
 def delay_features(spark, sf):
     from tramline.operators.windows import lagged
 
-    d = lagged(trains(spark, sf), ["trip", "day"], ["t", "event_id"], "delay", 2, W)
+    d = lagged(trains(spark, sf), ["trip", "day"], ["t", "event_id"], "delay", 2, width(spark, sf))
     f = sc.delay_features(stops_left="sec", time_left="sec")
     f["delay_ratio"] = r6(f["delay_ratio"])
     return d.select("event_id", *[v.alias(k) for k, v in f.items()])
@@ -399,7 +399,7 @@ SELECT event_id, delay - l1 AS delay_change, l1 - l2 AS delay_change_prev, (dela
 def trend_features(spark, sf):
     from tramline.operators.windows import lagged
 
-    d = lagged(trains(spark, sf), ["trip", "day"], ["t", "event_id"], "delay", 2, W).withColumn("n_events", F.greatest(F.col("route") - 3, F.lit(0)))
+    d = lagged(trains(spark, sf), ["trip", "day"], ["t", "event_id"], "delay", 2, width(spark, sf)).withColumn("n_events", F.greatest(F.col("route") - 3, F.lit(0)))
     f = sc.trend_features(route_mean="lag2", station10="lag1", station20="lag2", time_left="sec", phases=("unscheduled", "direction"))
     f["delay_time_ratio"] = r6(f["delay_time_ratio"])
     return d.select("event_id", *[v.alias(k) for k, v in f.items()])
@@ -449,8 +449,8 @@ SELECT event_id, lead(t) OVER w - t AS to_next, t - lag(t) OVER w AS from_prev,
 def feed_progress(spark, sf):
     from tramline.operators.windows import next_stop, previous_stop
 
-    d = next_stop(_with_left(spark, sf), ["trip", "day"], ["t", "event_id"], ["t"], W)
-    d = previous_stop(d, ["trip", "day"], ["t", "event_id"], ["t"], W)
+    d = next_stop(_with_left(spark, sf), ["trip", "day"], ["t", "event_id"], ["t"], width(spark, sf))
+    d = previous_stop(d, ["trip", "day"], ["t", "event_id"], ["t"], width(spark, sf))
     return d.select("event_id", (F.col("next_t") - F.col("t")).alias("to_next"), (F.col("t") - F.col("prev_t")).alias("from_prev"), (F.col("e") - F.col("t")).alias("remaining"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import ALERTS, HOUR_US, TRAINS, US, W, WEATHER, alerts, query, r6, table, trains, us, weather, with_
+from tramline.catalog.base import ALERTS, HOUR_US, TRAINS, US, width, WEATHER, alerts, query, r6, table, trains, us, weather, with_
 from tramline.catalog.clean_q import PLACE, hav_sql, stations
 from tramline.operators import clean, joins, ranking
 from tramline.operators.intervals import map_stations, radius_join
@@ -19,12 +19,12 @@ def attach_trip(spark, sf):
     return joins.attach_trip(li, o, ["k"]).select(F.col("k").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "o_orderpriority")
 
 
-@query("match_schedule", """WITH s AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 % 86400 + o_custkey % 86400 AS sched FROM orders WHERE o_orderstatus <> 'P'),
+@query("match_schedule", """WITH s AS (SELECT o_orderkey + 9 AS o_orderkey, epoch_us(o_orderdate) // 1000000 % 86400 + o_custkey % 86400 AS sched FROM orders),
 a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey * 41 % 86400 AS act FROM lineitem),
 j AS (SELECT a.*, sched, act - sched AS d FROM a LEFT JOIN s ON l_orderkey = o_orderkey)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN d > 43200 THEN d - 86400 WHEN d < -43200 THEN d + 86400 ELSE d END AS delay, sched IS NULL AS is_unscheduled FROM j""")
 def match_schedule(spark, sf):
-    s = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), (F.floor(us("o_orderdate") / US) % 86400 + F.col("o_custkey") % 86400).alias("sched"))
+    s = table(spark, sf, "orders").select((F.col("o_orderkey") + 9).alias("l_orderkey"), (F.floor(us("o_orderdate") / US) % 86400 + F.col("o_custkey") % 86400).alias("sched"))
     a = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") * 41 % 86400).alias("act"))
     return joins.match_schedule(a, s, ["l_orderkey"], "act", "sched").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "delay", "is_unscheduled")
 
@@ -48,8 +48,8 @@ SELECT event_id, coalesce(lead(delay) OVER (PARTITION BY trip, day ORDER BY t, e
 def horizon_fallback(spark, sf):
     from tramline.operators.windows import next_stop, trip_end
 
-    d = next_stop(trains(spark, sf), ["trip", "day"], ORD, ["delay"], W)
-    d = trip_end(d, ["trip", "day"], ORD, "delay", "t", W)
+    d = next_stop(trains(spark, sf), ["trip", "day"], ORD, ["delay"], width(spark, sf))
+    d = trip_end(d, ["trip", "day"], ORD, "delay", "t", width(spark, sf))
     return joins.with_fallback(d, "next_delay", "final_value", "target").select("event_id", "target")
 
 
@@ -151,11 +151,11 @@ def compare_slices(spark, sf):
 
 
 @query("lookup_chain", """WITH q AS (SELECT c_custkey, c_nationkey, c_custkey % 40 AS stop FROM customer),
-e AS (SELECT s_suppkey AS stop, s_acctbal AS v FROM supplier), n AS (SELECT s_nationkey AS c_nationkey, avg(floor(s_acctbal)) AS v FROM supplier GROUP BY 1)
-SELECT c_custkey, round(coalesce(e.v, n.v), 6) AS v, CASE WHEN e.v IS NOT NULL THEN 0 WHEN n.v IS NOT NULL THEN 1 END AS level FROM q LEFT JOIN e ON q.stop = e.stop AND e.stop < 5 LEFT JOIN n USING (c_nationkey)""")
+e AS (SELECT s_suppkey + 20 AS stop, s_acctbal AS v FROM supplier), n AS (SELECT s_nationkey AS c_nationkey, avg(floor(s_acctbal)) AS v FROM supplier GROUP BY 1)
+SELECT c_custkey, round(coalesce(e.v, n.v), 6) AS v, CASE WHEN e.v IS NOT NULL THEN 0 WHEN n.v IS NOT NULL THEN 1 END AS level FROM q LEFT JOIN e ON q.stop = e.stop LEFT JOIN n USING (c_nationkey)""")
 def lookup_chain(spark, sf):
     s = table(spark, sf, "supplier")
-    e = s.filter("s_suppkey < 5").select(F.col("s_suppkey").alias("stop"), F.col("s_acctbal").alias("v"))
+    e = s.select((F.col("s_suppkey") + 20).alias("stop"), F.col("s_acctbal").alias("v"))
     n = s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.avg(F.floor("s_acctbal")).alias("v"))
     q = table(spark, sf, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 40).alias("stop"))
     return joins.lookup_chain(q, [(e, ["stop"]), (n, ["c_nationkey"])], "v", "got").select("c_custkey", r6("got").alias("v"), "level")
@@ -184,7 +184,7 @@ def top_groups(spark, sf):
 
 @query("latest_rows", with_(TRAINS) + "SELECT event_id, t FROM trains ORDER BY t DESC, event_id DESC LIMIT 500")
 def latest_rows(spark, sf):
-    return ranking.latest(trains(spark, sf), ORD, 500, W).select("event_id", "t")
+    return ranking.latest(trains(spark, sf), ORD, 500, width(spark, sf)).select("event_id", "t")
 
 
 @query("sample_fraction", "SELECT event_id FROM events WHERE substring(md5(CAST(event_id AS VARCHAR)), 1, 8) < '4ccccccc'")
@@ -198,7 +198,7 @@ SPLIT = ("train", "valid", "test")
 @query("split_by_rows", with_(TRAINS) + """, r AS (SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS i, count(*) OVER () AS n FROM trains)
 SELECT event_id, CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.85::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM r""")
 def split_by_rows(spark, sf):
-    return ranking.split_by_rows(trains(spark, sf), ORD, (0.7, 0.85), SPLIT, W).select("event_id", "split")
+    return ranking.split_by_rows(trains(spark, sf), ORD, (0.7, 0.85), SPLIT, width(spark, sf)).select("event_id", "split")
 
 
 @query("split_by_days", with_(TRAINS) + """, d AS (SELECT list_sort(list(DISTINCT day)) AS ds FROM trains), c AS (SELECT ds[CAST(floor(len(ds) * 0.7::DOUBLE) AS INTEGER) + 1] AS c1, ds[CAST(floor(len(ds) * 0.85::DOUBLE) AS INTEGER) + 1] AS c2 FROM d)
@@ -207,9 +207,11 @@ def split_by_days(spark, sf):
     return ranking.split_by_groups(trains(spark, sf), "day", (0.7, 0.85), SPLIT).select("event_id", "split")
 
 
-@query("split_by_months", "SELECT o_orderkey, CASE WHEN strftime(o_orderdate, '%Y-%m') IN ('1996-01', '1996-02', '1996-03') THEN 'train' ELSE 'test' END AS split FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1996-01', '1996-02', '1996-03', '1996-04')")
+@query("split_by_months", "SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1997 THEN 'train' ELSE 'test' END AS split FROM orders")
 def split_by_months(spark, sf):
-    d = ranking.split_by_months(table(spark, sf, "orders"), "o_orderdate", {"train": ["1996-01", "1996-02", "1996-03"], "test": ["1996-04"]})
+    months = {y: [f"{y}-{m:02d}" for m in range(1, 13)] for y in range(1990, 2003)}
+    named = {"train": sum((months[y] for y in months if y < 1997), []), "test": sum((months[y] for y in months if y >= 1997), [])}
+    d = ranking.split_by_months(table(spark, sf, "orders"), "o_orderdate", named)
     return d.select("o_orderkey", "split")
 
 

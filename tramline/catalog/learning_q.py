@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import HOUR_US, MIN_US, TRAINS, US, W, query, r6, table, trains, with_
+from tramline.catalog.base import HOUR_US, MIN_US, TRAINS, US, width, query, r6, table, trains, with_
 from tramline.operators import aggregates as ag
 from tramline.operators import graph, metrics, models, prep, windows
 from tramline.plans import questions
@@ -26,18 +26,18 @@ def parts(spark, sf):
 PARTS = f", tr AS (SELECT * FROM trains WHERE day < DATE '{CUT}'), te AS (SELECT * FROM trains WHERE day >= DATE '{CUT}')"
 
 
-@query("label_encode", with_(TRAINS) + PARTS + """, v AS (SELECT trip, CAST(row_number() OVER (ORDER BY trip) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT trip FROM tr WHERE delay > 500))
+@query("label_encode", with_(TRAINS) + PARTS + """, v AS (SELECT trip, CAST(row_number() OVER (ORDER BY trip) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT trip + 5 AS trip FROM tr))
 SELECT event_id, coalesce(code, -1) AS trip_code FROM te LEFT JOIN v USING (trip)""")
 def label_encode(spark, sf):
     tr, te = parts(spark, sf)
-    return prep.encode(te, prep.vocabulary(tr.filter("delay > 500"), "trip"), "trip").select("event_id", "trip_code")
+    return prep.encode(te, prep.vocabulary(tr.withColumn("trip", F.col("trip") + 5), "trip"), "trip").select("event_id", "trip_code")
 
 
-@query("target_encode", with_(TRAINS) + PARTS + """, m AS (SELECT trip, avg(delay) AS m FROM tr WHERE value < 80 GROUP BY trip)
-SELECT event_id, round(coalesce(m, (SELECT avg(delay) FROM tr WHERE value < 80)), 6) AS enc FROM te LEFT JOIN m USING (trip)""")
+@query("target_encode", with_(TRAINS) + PARTS + """, m AS (SELECT trip + 5 AS trip, avg(delay) AS m FROM tr GROUP BY 1)
+SELECT event_id, round(coalesce(m, (SELECT avg(delay) FROM tr)), 6) AS enc FROM te LEFT JOIN m USING (trip)""")
 def target_encode(spark, sf):
     tr, te = parts(spark, sf)
-    return prep.target_encode(te, tr.filter("value < 80"), "trip", "delay", "enc").select("event_id", r6("enc").alias("enc"))
+    return prep.target_encode(te, tr.withColumn("trip", F.col("trip") + 5), "trip", "delay", "enc").select("event_id", r6("enc").alias("enc"))
 
 
 @query("target_encode_own_out", with_(TRAINS) + PARTS + """
@@ -101,7 +101,7 @@ BASE = """, n AS (SELECT event_id, day, delay, lead(delay) OVER (PARTITION BY tr
 
 
 def _next(spark, sf):
-    return windows.next_stop(trains(spark, sf), ["trip"], ORD, ["delay"], W).withColumnRenamed("next_delay", "y")
+    return windows.next_stop(trains(spark, sf), ["trip"], ORD, ["delay"], width(spark, sf)).withColumnRenamed("next_delay", "y")
 
 
 def _metrics_sql(where: str, pred: str, name: str) -> str:
@@ -131,7 +131,7 @@ def class_baselines(spark, sf):
 def horizon_metrics(spark, sf):
     from tramline.operators.ordered import nth_prior, prior_rows
 
-    d = prior_rows(trains(spark, sf), ["trip"], ORD, ["delay"], 2, W, "_p", reverse=True).withColumns({f"h{i}": nth_prior("_p", "delay", i) for i in (1, 2)})
+    d = prior_rows(trains(spark, sf), ["trip"], ORD, ["delay"], 2, width(spark, sf), "_p", reverse=True).withColumns({f"h{i}": nth_prior("_p", "delay", i) for i in (1, 2)})
     return rnd(metrics.horizon_metrics(d, {"h1": ("h1", "delay"), "h2": ("h2", "delay")}), "mae", "rmse", "r2", "bias", "mae_min")
 
 
@@ -250,7 +250,7 @@ e AS (SELECT src, dst, count(*) AS trip_count, quantile_cont(CAST(tt AS DOUBLE)
 
 def edges(spark, sf):
     t = trains(spark, sf).withColumns({"node": F.col("route") * 5 + F.col("direction")})
-    e = ag.build_edges(t, ["stop"], ORD, "node", "t", W)
+    e = ag.build_edges(t, ["stop"], ORD, "node", "t", width(spark, sf))
     # a written edge table: it is small, and every graph operator reads it several times
     return cut(e.withColumn("median_travel_time", F.col("median_travel_time") / US), "edges")
 
@@ -305,7 +305,7 @@ f AS (SELECT stop, bin, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY s
 
 
 def _grid(spark, sf):
-    return graph.spatio_temporal_grid(trains(spark, sf), "stop", "t", HOUR_US, ["delay"], 8 * W, US)
+    return graph.spatio_temporal_grid(trains(spark, sf), "stop", "t", HOUR_US, ["delay"], 8 * width(spark, sf), US)
 
 
 @query("spatio_temporal_grid", STGRID + " SELECT stop, bin, round(delay, 6) AS delay, round(sin(2 * pi() * hour(make_timestamp(bin)) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(make_timestamp(bin)) / 24), 6) + 0.0 AS hour_cos, CAST(isodow(make_timestamp(bin)) - 1 AS INTEGER) AS dow FROM f")
@@ -319,13 +319,13 @@ def padded_history(spark, sf):
     return rnd(graph.pad_history(_grid(spark, sf).select("stop", "bin", "delay"), "stop", "bin", HOUR_US, 800, ["delay"]), "delay")
 
 
-@query("node_coverage", """WITH n AS (SELECT DISTINCT p_type || 'N' AS node FROM part WHERE p_size < 40), a AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_type || 'N' ELSE p_type || 'S' END AS stop FROM part)
+@query("node_coverage", """WITH n AS (SELECT DISTINCT p_type || 'N' AS node FROM part), a AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_type || 'N' ELSE p_type || 'S' END AS stop FROM part)
 SELECT p_partkey, stop, CASE WHEN stop IN (SELECT node FROM n) THEN 'exact' WHEN stop IN (SELECT regexp_replace(node, '[NS]$', '') FROM n) THEN 'directional' ELSE 'none' END AS coverage FROM a""")
 def node_coverage(spark, sf):
     p = table(spark, sf, "part")
     m = F.col("p_partkey") % 3
     asked = p.select("p_partkey", F.when(m == 0, F.col("p_type")).when(m == 1, F.concat("p_type", F.lit("N"))).otherwise(F.concat("p_type", F.lit("S"))).alias("stop"))
-    nodes = p.filter("p_size < 40").select(F.concat("p_type", F.lit("N")).alias("node"))
+    nodes = p.select(F.concat("p_type", F.lit("N")).alias("node"))
     return graph.node_coverage(asked, nodes, "stop", "node").select("p_partkey", "stop", "coverage")
 
 
@@ -344,10 +344,10 @@ def current_delay(spark, sf):
     return rnd(questions.current_delay(platform_rows(spark, sf), "stop_id", "click", "delay"), "delay_seconds")
 
 
-@query("propagation", PF + """, s AS (SELECT event_type AS base, string_agg(DISTINCT CAST(user_id % 7 AS VARCHAR), ' ' ORDER BY CAST(user_id % 7 AS VARCHAR)) AS routes FROM events WHERE value > 120 GROUP BY 1), g AS (SELECT regexp_replace(stop_id, '[NS]$', '') AS base, greatest(avg(delay), 0) AS h10, greatest(avg(delay) - 100, 0) AS h20 FROM f GROUP BY 1)
+@query("propagation", PF + """, s AS (SELECT event_type AS base, string_agg(DISTINCT CAST(user_id % 7 AS VARCHAR), ' ' ORDER BY CAST(user_id % 7 AS VARCHAR)) AS routes FROM events GROUP BY 1), g AS (SELECT regexp_replace(stop_id, '[NS]$', '') AS base, greatest(avg(delay), 0) AS h10, greatest(avg(delay) - 100, 0) AS h20 FROM f GROUP BY 1)
 SELECT base, round(h10, 6) AS h10, round(h20, 6) AS h20 FROM g JOIN s USING (base) WHERE list_contains(string_split(routes, ' '), '3')""")
 def propagation(spark, sf):
-    st = table(spark, sf, "events").filter("value > 120").select(F.col("event_type").alias("base"), (F.col("user_id") % 7).cast("string").alias("r")).distinct()
+    st = table(spark, sf, "events").select(F.col("event_type").alias("base"), (F.col("user_id") % 7).cast("string").alias("r")).distinct()
     st = st.groupBy("base").agg(F.array_join(F.array_sort(F.collect_list("r")), " ").alias("routes"))  # at most seven lines
     d = platform_rows(spark, sf).withColumns({"h10": F.col("delay"), "h20": F.col("delay") - 100})
     return rnd(questions.propagation(d, st, "stop_id", ["h10", "h20"], "3").select("base", "h10", "h20"), "h10", "h20")
@@ -382,7 +382,7 @@ i AS (SELECT * FROM s WHERE sl > 0 QUALIFY row_number() OVER (PARTITION BY trip
 l AS (SELECT trip, event_id, avg(delay) OVER (PARTITION BY route ORDER BY tl, trip ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS m, delay - lag(delay) OVER (PARTITION BY route ORDER BY tl, trip) AS d FROM i)
 SELECT trip, event_id, round(m, 6) AS line_mean5, d AS line_diff FROM l WHERE trip = 11""")
 def trip_features(spark, sf):
-    d = windows.trip_end(trains(spark, sf), ["trip"], ORD, "delay", "t", W)
+    d = windows.trip_end(trains(spark, sf), ["trip"], ORD, "delay", "t", width(spark, sf))
     d = questions.trip_features(d, "trip", 11, ["route"], "stops_left", "time_left", "delay", HOUR_US, ["event_id"])
     return rnd(d.select("trip", "event_id", "line_mean5", "line_diff"), "line_mean5")
 
@@ -394,14 +394,14 @@ def route_models(spark, sf):
     return questions.route_models(d, "left_s").select("event_id", F.array_join("models", ",").alias("models"))
 
 
-@query("line_stations", """WITH st AS (SELECT p_partkey AS stop_id, p_name AS name, [p_brand, p_type] AS lines FROM part), o AS (SELECT p_brand AS line, p_partkey AS seq, upper(p_name) AS name FROM part WHERE p_size > 10),
+@query("line_stations", """WITH st AS (SELECT p_partkey AS stop_id, p_name AS name, [p_brand, p_type] AS lines FROM part), o AS (SELECT p_brand AS line, p_partkey AS seq, upper(p_name) AS name FROM part),
 f AS (SELECT lower(name) AS n, unnest(lines) AS line, stop_id FROM st), ff AS (SELECT n, line, min(stop_id) AS s FROM f GROUP BY ALL), c AS (SELECT lower(name) AS n, min(stop_id) AS s FROM st WHERE stop_id % 2 = 0 GROUP BY ALL)
 SELECT o.line, o.seq, coalesce(ff.s, c.s) AS stop_id, CASE WHEN ff.s IS NOT NULL THEN 0 ELSE 1 END AS level FROM o LEFT JOIN ff ON lower(o.name) = ff.n AND o.line = ff.line LEFT JOIN c ON lower(o.name) = c.n WHERE coalesce(ff.s, c.s) IS NOT NULL
 QUALIFY count(*) OVER (PARTITION BY o.line) >= 2""".replace("WHERE stop_id % 2 = 0 ", ""))
 def line_stations(spark, sf):
     p = table(spark, sf, "part")
     st = p.select(F.col("p_partkey").alias("stop_id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("lines"))
-    o = p.filter("p_size > 10").select(F.col("p_brand").alias("line"), F.col("p_partkey").alias("seq"), F.upper("p_name").alias("name"))
+    o = p.select(F.col("p_brand").alias("line"), F.col("p_partkey").alias("seq"), F.upper("p_name").alias("name"))
     return questions.line_stations(o, st).select("line", "seq", "stop_id", "level")
 
 
@@ -410,14 +410,14 @@ def freshness(spark, sf):
     return questions.freshness(trains(spark, sf).withColumn("w", F.floor(F.col("t") / 900_000_000) * 900_000_000), "w")
 
 
-@query("availability", with_(TRAINS) + "SELECT 'sec' AS \"column\", 'train_only' AS kind, count(*) AS n FROM trains UNION ALL SELECT c, 'servable', count(*) FROM trains, (SELECT unnest(['event_id', 'delay']) AS c) GROUP BY c")
+@query("availability", with_(TRAINS) + "SELECT 'sec' AS \"column\", 'train_only' AS kind, count(*) AS n FROM trains UNION ALL SELECT unnest(['event_id', 'delay']), 'servable', count(*) FROM trains")
 def availability(spark, sf):
     from tramline.operators.clean import availability as matrix
 
     t = trains(spark, sf)
     m = matrix(t.select("event_id", "delay", "sec").schema, t.select("event_id", "delay", "stop").schema)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind")) for k, cs in m.items() for c in cs])
-    return t.withColumn("x", F.explode(pairs)).groupBy("x.column", "x.kind").agg(F.count(F.lit(1)).alias("n"))
+    return t.agg(F.count(F.lit(1)).alias("n")).select(F.explode(pairs).alias("x"), "n").select("x.column", "x.kind", "n")
 
 
 # ---- models (no SQL form) -------------------------------------------------------------------
@@ -429,7 +429,7 @@ def learning_rows(spark, sf):
     """Lagged rows with the next delay as target, whether it shrinks, and its class."""
     from tramline.functions.scalars import DELAY_CLASS_EDGES, bin_interval
 
-    d = windows.lagged(_next(spark, sf), ["trip"], ORD, "delay", 2, W)
+    d = windows.lagged(_next(spark, sf), ["trip"], ORD, "delay", 2, width(spark, sf))
     d = d.filter("y is not null and delay is not null").withColumns(
         {"hour": F.floor(F.col("sec") / 3600), "delay_velocity": F.col("delay") - F.col("lag1"), "better": (F.col("y") < F.col("delay")).cast("int"), "klass": bin_interval("y", DELAY_CLASS_EDGES).cast("double")}
     )

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import ALERTS, CITY, MIN_US, TRAINS, US, W, alerts, city_events, query, r6, table, trains, us, with_
+from tramline.catalog.base import ALERTS, CITY, MIN_US, TRAINS, US, width, alerts, city_events, query, r6, table, trains, us, with_
 from tramline.session import scratch_path
 from tramline.sources import feeds, lake
 from tramline.streaming import jobs
@@ -28,8 +28,15 @@ def train_stream(spark, sf):
 # ---- tables ---------------------------------------------------------------------------------
 
 
-@query("layer_round_trip", with_(TRAINS) + "SELECT event_id, day, delay FROM trains WHERE day = DATE '2024-01-10'")
+@query("layer_round_trip", with_(TRAINS) + "SELECT event_id, day, delay FROM trains")
 def layer_round_trip(spark, sf):
+    root = scratch_path(spark, "lake")
+    lake.write_layer(trains(spark, sf), root, "cleaned", "trains", ["day"])
+    return lake.read_layer(spark, root, "cleaned", "trains").select("event_id", "day", "delay")
+
+
+@query("layer_one_day", with_(TRAINS) + "SELECT event_id, day, delay FROM trains WHERE day = DATE '2024-01-10'")
+def layer_one_day(spark, sf):
     root = scratch_path(spark, "lake")
     lake.write_layer(trains(spark, sf), root, "cleaned", "trains", ["day"])
     return lake.read_layer(spark, root, "cleaned", "trains", day=dt.date(2024, 1, 10)).select("event_id", "day", "delay")
@@ -63,11 +70,11 @@ def day_range_lookback(spark, sf):
     return lake.scan_days(lake.read_layer(spark, root, "cleaned", "trains"), dt.date(2024, 1, 10), dt.date(2024, 1, 12), lookback_days=3).select("event_id", "day")
 
 
-@query("monthly_by_line", """SELECT o_orderkey, o_orderpriority FROM orders WHERE year(o_orderdate) = 1997 AND month(o_orderdate) = 5 AND o_orderstatus = 'F'""")
+@query("monthly_by_line", """SELECT o_orderkey, o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, o_orderstatus FROM orders""")
 def monthly_by_line(spark, sf):
     path = scratch_path(spark, "months")
     lake.write_months(table(spark, sf, "orders"), path, "o_orderdate", "o_orderstatus")
-    return spark.read.parquet(path).filter("year = 1997 and month = 5 and o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
+    return spark.read.parquet(path).select("o_orderkey", "o_orderpriority", "year", "month", "o_orderstatus")
 
 
 @query("yearly_lines", """SELECT o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders GROUP BY ALL""")
@@ -77,20 +84,20 @@ def yearly_lines(spark, sf):
     return spark.read.parquet(path).groupBy("o_orderstatus", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("s"))
 
 
-@query("pick_version", """WITH v AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS downloaded, 'v' || strftime(o_orderdate, '%Y%m%d') AS url FROM orders WHERE o_orderpriority = '1-URGENT'), d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)
+@query("pick_version", """WITH v AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS downloaded, 'v' || strftime(o_orderdate, '%Y%m%d') AS url FROM orders), d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)
 SELECT d.day, v.url AS version_url, v.downloaded AS version_downloaded FROM d ASOF LEFT JOIN v ON d.day >= v.downloaded""")
 def pick_version(spark, sf):
-    v = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("downloaded"), F.concat(F.lit("v"), F.date_format("o_orderdate", "yyyyMMdd")).alias("url")).distinct()
+    v = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("downloaded"), F.concat(F.lit("v"), F.date_format("o_orderdate", "yyyyMMdd")).alias("url")).distinct()
     d = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
     return lake.pick_version(d, v, "day", "downloaded", "url")
 
 
-@query("snapshot_replaced", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey < 10")
+@query("snapshot_replaced", "SELECT s_suppkey + 1 AS s_suppkey, s_name FROM supplier")
 def snapshot_replaced(spark, sf):
     path = scratch_path(spark, "snapshot")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     lake.publish_snapshot(s, path)
-    lake.publish_snapshot(s.filter("s_nationkey < 10"), path)
+    lake.publish_snapshot(s.withColumn("s_suppkey", F.col("s_suppkey") + 1), path)
     return spark.read.parquet(path).select("s_suppkey", "s_name")
 
 
@@ -153,7 +160,7 @@ SELECT g.event_id, z.lag1, z.lag2 FROM g JOIN z USING (trip, leg, run)"""
 @query("lag_state_stream", LAG_STATE_SQL)
 def lag_state_stream(spark, sf):
     """The events come in a few files whose times overlap, one a micro-batch."""
-    src, sink = scratch_path(spark, "lag-files"), jobs.LagState(scratch_path(spark, "lags"), W)
+    src, sink = scratch_path(spark, "lag-files"), jobs.LagState(scratch_path(spark, "lags"), width(spark, sf))
     t = trains(spark, sf).select("trip", "event_id", "t", "stop", "delay")
     part = F.floor((F.col("t") + F.col("event_id") % 9 * MIN_US) / (12 * 24 * 60 * MIN_US))
     for k in sorted(r[0] for r in t.select(part.alias("k")).distinct().collect()):  # a handful of periods
@@ -166,7 +173,7 @@ def lag_state_stream(spark, sf):
 
 @query("lag_state_table", LAG_STATE_SQL)
 def lag_state_table(spark, sf):
-    return jobs.lag_state_batch(trains(spark, sf), W).select("event_id", "lag1", "lag2")
+    return jobs.lag_state_batch(trains(spark, sf), width(spark, sf)).select("event_id", "lag1", "lag2")
 
 
 TUMBLE = with_(TRAINS) + """, m AS (SELECT max(t) - 600000000 AS wm FROM trains)
@@ -210,12 +217,12 @@ def fresh_only_stream(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("match_schedule_stream", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 % 86400 AS act FROM events), s AS (SELECT o_custkey AS user_id, o_orderkey * 997 % 86400 AS sched, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+@query("match_schedule_stream", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 % 86400 AS act FROM events), s AS (SELECT o_custkey + 9 AS user_id, o_orderkey * 997 % 86400 AS sched, o_orderkey FROM orders),
 j AS (SELECT e.event_id, s.o_orderkey, CASE WHEN act - sched > 43200 THEN act - sched - 86400 WHEN act - sched < -43200 THEN act - sched + 86400 ELSE act - sched END AS delay FROM e LEFT JOIN s USING (user_id))
 SELECT event_id, delay, delay IS NULL AS is_unscheduled FROM j QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(delay) NULLS LAST, o_orderkey) = 1""")
 def match_schedule_stream(spark, sf):
     path = scratch_path(spark, "match")
-    s = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("trip"), (F.col("o_orderkey") * 997 % 86400).alias("sched"), "o_orderkey")
+    s = table(spark, sf, "orders").select((F.col("o_custkey") + 9).alias("trip"), (F.col("o_orderkey") * 997 % 86400).alias("sched"), "o_orderkey")
     live = train_stream(spark, sf).withColumn("act", F.floor(F.col("t") / US) % 86400)
     jobs.run_batches(jobs.match_live(live, s, ["trip"], "act", "sched"), jobs.best_per_batch(path, ["event_id"], "delay", ["o_orderkey"]), spark, "match")
     return spark.read.parquet(path).select("event_id", "delay", "is_unscheduled")
@@ -233,7 +240,7 @@ def enrich_stream(spark, sf):
         return intervals.join_events(d, city_events(d.sparkSession, sf), ["route", "day"], "sec", "start_s", "end_s", "kind", "score")
 
     def with_alert(d):
-        return asof.asof_backward(d, alerts(d.sparkSession, sf), ["route"], "t", "at", ["category"], ["alert_id"], W)
+        return asof.asof_backward(d, alerts(d.sparkSession, sf), ["route"], "t", "at", ["category"], ["alert_id"], width(spark, sf))
 
     jobs.run_batches(live, jobs.enrich_per_batch(path, [with_events, with_alert]), spark, "enrich")
     return spark.read.parquet(path).select("event_id", F.col("last_category").alias("category"), "n_events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import ALERTS, CITY, HOUR_US, MIN_US, TRAINS, US, W, alerts, city_events, query, r6, trains, us, with_, table
+from tramline.catalog.base import ALERTS, CITY, HOUR_US, MIN_US, TRAINS, US, width, alerts, city_events, query, r6, trains, us, with_, table
 from tramline.operators import asof, intervals, ordered, windows
 
 ORD = ["t", "event_id"]
@@ -13,27 +13,27 @@ ORD = ["t", "event_id"]
 @query("lagged_delay", with_(TRAINS) + """
 SELECT event_id, lag(delay, 1) OVER w AS lag1, lag(delay, 2) OVER w AS lag2 FROM trains WINDOW w AS (PARTITION BY trip, day ORDER BY t, event_id)""")
 def lagged_delay(spark, sf):
-    return windows.lagged(trains(spark, sf), ["trip", "day"], ORD, "delay", 2, W).select("event_id", "lag1", "lag2")
+    return windows.lagged(trains(spark, sf), ["trip", "day"], ORD, "delay", 2, width(spark, sf)).select("event_id", "lag1", "lag2")
 
 
 @query("lagged_delay_filled", with_(TRAINS) + """,
 f AS (SELECT *, last_value(delay IGNORE NULLS) OVER (PARTITION BY trip ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS fd FROM trains)
 SELECT event_id, lag(fd, 1) OVER w AS lag1, lag(fd, 2) OVER w AS lag2 FROM f WINDOW w AS (PARTITION BY trip ORDER BY t, event_id)""")
 def lagged_delay_filled(spark, sf):
-    return windows.lagged_filled(trains(spark, sf), ["trip"], ORD, "delay", 2, W).select("event_id", "lag1", "lag2")
+    return windows.lagged_filled(trains(spark, sf), ["trip"], ORD, "delay", 2, width(spark, sf)).select("event_id", "lag1", "lag2")
 
 
 @query("headway", with_(TRAINS) + """,
 h AS (SELECT event_id, stop, t, t - lag(t) OVER w AS headway, lag(t) OVER w - lag(t, 2) OVER w AS prev FROM trains WINDOW w AS (PARTITION BY stop ORDER BY t, event_id))
 SELECT event_id, headway, round(headway / nullif(CAST(prev AS DOUBLE), 0), 6) AS headway_ratio FROM h""")
 def headway(spark, sf):
-    return windows.headway(trains(spark, sf), ["stop"], ORD, W).select("event_id", "headway", r6("headway_ratio").alias("headway_ratio"))
+    return windows.headway(trains(spark, sf), ["stop"], ORD, width(spark, sf)).select("event_id", "headway", r6("headway_ratio").alias("headway_ratio"))
 
 
 @query("prev5_mean", with_(TRAINS) + """
 SELECT event_id, round(avg(delay) OVER (PARTITION BY route, direction ORDER BY t, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS route_mean FROM trains""")
 def prev5_mean(spark, sf):
-    return windows.prev_mean(trains(spark, sf), ["route", "direction"], ORD, "delay", 5, W, "route_mean").select("event_id", r6("route_mean").alias("route_mean"))
+    return windows.prev_mean(trains(spark, sf), ["route", "direction"], ORD, "delay", 5, width(spark, sf), "route_mean").select("event_id", r6("route_mean").alias("route_mean"))
 
 
 @query("trip_rolling_progress", with_(TRAINS) + """
@@ -41,7 +41,7 @@ SELECT event_id, round(avg(delay) OVER (PARTITION BY trip, day ORDER BY t, event
  round((sec - min(sec) OVER p) / nullif(CAST(max(sec) OVER p - min(sec) OVER p AS DOUBLE), 0), 6) AS trip_progress
 FROM trains WINDOW p AS (PARTITION BY trip, day)""")
 def trip_rolling_progress(spark, sf):
-    df = windows.prev_mean(trains(spark, sf), ["trip", "day"], ORD, "delay", 3, W, "trip_mean")
+    df = windows.prev_mean(trains(spark, sf), ["trip", "day"], ORD, "delay", 3, width(spark, sf), "trip_mean")
     df = windows.trip_progress(df, ["trip", "day"], "sec", 43_200)
     return df.select("event_id", r6("trip_mean").alias("trip_mean"), r6("trip_progress").alias("trip_progress"))
 
@@ -51,7 +51,7 @@ SELECT event_id, last_value(delay IGNORE NULLS) OVER (PARTITION BY trip, day ORD
  max(t) OVER (PARTITION BY trip, day) - t AS time_left,
  count(*) OVER (PARTITION BY trip, day) - row_number() OVER (PARTITION BY trip, day ORDER BY t, event_id) AS stops_left FROM trains""")
 def trip_end_values(spark, sf):
-    return windows.trip_end(trains(spark, sf), ["trip", "day"], ORD, "delay", "t", W).select("event_id", "final_value", "time_left", "stops_left")
+    return windows.trip_end(trains(spark, sf), ["trip", "day"], ORD, "delay", "t", width(spark, sf)).select("event_id", "final_value", "time_left", "stops_left")
 
 
 @query("live_stops_left", """
@@ -91,7 +91,7 @@ SELECT stop, route, direction, bin,
  round(CASE WHEN bin - lag(bin, 3) OVER w <= 3 * 3600000000 + 300000000 THEN lag(d, 3) OVER w END, 6) AS lag3
 FROM b WINDOW w AS (PARTITION BY stop, route, direction ORDER BY bin)""")
 def gap_checked_lag(spark, sf):
-    d = windows.bin_lags(_bins(spark, sf), KEYS, "bin", "d", 3, HOUR_US, 300 * US, 4 * W)
+    d = windows.bin_lags(_bins(spark, sf), KEYS, "bin", "d", 3, HOUR_US, 300 * US, 4 * width(spark, sf))
     return d.select(*KEYS, "bin", *[r6(f"lag{i}").alias(f"lag{i}") for i in (1, 2, 3)])
 
 
@@ -99,7 +99,7 @@ def gap_checked_lag(spark, sf):
 SELECT stop, route, direction, bin, round(coalesce(lag(d, 2) OVER w, 0), 6) AS lag2, round(coalesce(lag(d, 4) OVER w, 0), 6) AS lag4, round(coalesce(lag(d, 6) OVER w, 0), 6) AS lag6
 FROM b WINDOW w AS (PARTITION BY stop, route, direction ORDER BY bin)""")
 def spaced_lags(spark, sf):
-    d = windows.spaced_lags(_bins(spark, sf), KEYS, ["bin"], "d", (2, 4, 6), 4 * W)
+    d = windows.spaced_lags(_bins(spark, sf), KEYS, ["bin"], "d", (2, 4, 6), 4 * width(spark, sf))
     return d.select(*KEYS, "bin", *[r6(f"lag{i}").alias(f"lag{i}") for i in (2, 4, 6)])
 
 
@@ -107,20 +107,20 @@ def spaced_lags(spark, sf):
 SELECT stop, route, direction, bin, round(avg(d) OVER w, 6) AS roll4_mean, round(max(d) OVER w, 6) AS roll4_max, round(coalesce(stddev_samp(d) OVER w, 0), 6) AS roll4_std
 FROM b WINDOW w AS (PARTITION BY stop, route, direction ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
 def rolling_line_stats(spark, sf):
-    d = windows.rolling_line(_bins(spark, sf), KEYS, ["bin"], "d", 4, 4 * W)
+    d = windows.rolling_line(_bins(spark, sf), KEYS, ["bin"], "d", 4, 4 * width(spark, sf))
     return d.select(*KEYS, "bin", r6("roll4_mean").alias("roll4_mean"), r6("roll4_max").alias("roll4_max"), r6("roll4_std").alias("roll4_std"))
 
 
 @query("next_stop", with_(TRAINS) + """
 SELECT event_id, lead(stop) OVER w AS next_stop, lead(t) OVER w AS next_t FROM trains WINDOW w AS (PARTITION BY trip ORDER BY t, event_id)""")
 def next_stop(spark, sf):
-    return windows.next_stop(trains(spark, sf), ["trip"], ORD, ["stop", "t"], W).select("event_id", "next_stop", "next_t")
+    return windows.next_stop(trains(spark, sf), ["trip"], ORD, ["stop", "t"], width(spark, sf)).select("event_id", "next_stop", "next_t")
 
 
 @query("previous_stop", with_(TRAINS) + """
 SELECT event_id, lag(stop) OVER w AS prev_stop, lag(t) OVER w AS prev_t FROM trains WINDOW w AS (PARTITION BY trip ORDER BY t, event_id)""")
 def previous_stop(spark, sf):
-    return windows.previous_stop(trains(spark, sf), ["trip"], ORD, ["stop", "t"], W).select("event_id", "prev_stop", "prev_t")
+    return windows.previous_stop(trains(spark, sf), ["trip"], ORD, ["stop", "t"], width(spark, sf)).select("event_id", "prev_stop", "prev_t")
 
 
 @query("rolling_30min_closed_left", with_(TRAINS) + """
@@ -138,7 +138,7 @@ SELECT alert_id, row_number() OVER w AS cum_rows, CAST(sum(CAST(category = 'Dela
 FROM alerts WINDOW w AS (PARTITION BY route ORDER BY "at", alert_id ROWS UNBOUNDED PRECEDING)""")
 def running_alert_flags(spark, sf):
     a = alerts(spark, sf).withColumns({"is_delay": (F.col("category") == "Delay").cast("int"), "is_suspension": (F.col("category") == "Suspension").cast("int")})
-    d = windows.running_flags(a, ["route"], ["at", "alert_id"], ["is_delay", "is_suspension"], W)
+    d = windows.running_flags(a, ["route"], ["at", "alert_id"], ["is_delay", "is_suspension"], width(spark, sf))
     return d.select("alert_id", "cum_rows", "cum_is_delay", "cum_is_suspension")
 
 
@@ -153,21 +153,21 @@ def moving_average_7d(spark, sf):
 @query("first_difference", with_(TRAINS) + """
 SELECT event_id, delay - lag(delay) OVER (PARTITION BY stop ORDER BY t, event_id) AS growth FROM trains""")
 def first_difference(spark, sf):
-    return windows.difference(trains(spark, sf), ["stop"], ORD, "delay", W, "growth").select("event_id", "growth")
+    return windows.difference(trains(spark, sf), ["stop"], ORD, "delay", width(spark, sf), "growth").select("event_id", "growth")
 
 
 @query("fill_forward_back", with_(TRAINS) + """
 SELECT event_id, coalesce(last_value(delay IGNORE NULLS) OVER (PARTITION BY trip ORDER BY t, event_id ROWS UNBOUNDED PRECEDING),
  first_value(delay IGNORE NULLS) OVER (PARTITION BY trip ORDER BY t, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS filled FROM trains""")
 def fill_forward_back(spark, sf):
-    return windows.fill_gaps(trains(spark, sf), ["trip"], ORD, "delay", W, "filled").select("event_id", "filled")
+    return windows.fill_gaps(trains(spark, sf), ["trip"], ORD, "delay", width(spark, sf), "filled").select("event_id", "filled")
 
 
 @query("imminent_stop", with_(TRAINS) + """,
 s AS (SELECT event_id, trip, day, count(*) OVER (PARTITION BY trip, day) - row_number() OVER (PARTITION BY trip, day ORDER BY t, event_id) AS stops_left FROM trains)
 SELECT trip, day, event_id, stops_left FROM s WHERE stops_left > 0 QUALIFY row_number() OVER (PARTITION BY trip, day ORDER BY stops_left, event_id) = 1""")
 def imminent_stop(spark, sf):
-    d = windows.trip_end(trains(spark, sf), ["trip", "day"], ORD, "delay", "t", W)
+    d = windows.trip_end(trains(spark, sf), ["trip", "day"], ORD, "delay", "t", width(spark, sf))
     return windows.imminent_stop(d, ["trip", "day"], "stops_left", ["event_id"]).select("trip", "day", "event_id", "stops_left")
 
 
@@ -195,7 +195,7 @@ q AS (SELECT stop, route, direction, bin, d, count(*) OVER w AS n, first_value(b
  FROM b WINDOW w AS (PARTITION BY stop, route, direction ORDER BY bin ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY stop, route, direction ORDER BY bin))
 SELECT stop, route, direction, bin, round(d, 6) AS target, h1_bin, round(h1, 6) AS h1, round(h8, 6) AS h8 FROM q WHERE n = 8""")
 def history_8_bins(spark, sf):
-    d = windows.history(_bins(spark, sf), KEYS, ["bin"], ["bin", "d"], 8, 4 * W)
+    d = windows.history(_bins(spark, sf), KEYS, ["bin"], ["bin", "d"], 8, 4 * width(spark, sf))
     return d.select(*KEYS, "bin", r6("d").alias("target"), F.col("history")[0]["bin"].alias("h1_bin"), r6(F.col("history")[0]["d"]).alias("h1"), r6(F.col("history")[7]["d"]).alias("h8"))
 
 
@@ -207,7 +207,7 @@ SELECT t.event_id, a.at AS last_at, a.category AS last_category, (t.t - a.at) /
  CAST(coalesce((t.t - a.at) / 1000000 <= 60, FALSE) AS INTEGER) AS just_published
 FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t >= a.at""")
 def asof_last_alert(spark, sf):
-    d = asof.asof_backward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", ["category"], ["alert_id"], W)
+    d = asof.asof_backward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", ["category"], ["alert_id"], width(spark, sf))
     since = (F.col("t") - F.col("last_at")) / US
     return d.select("event_id", "last_at", "last_category", since.alias("seconds_since"), F.coalesce((since <= 60).cast("int"), F.lit(0)).alias("just_published"))
 
@@ -217,7 +217,7 @@ SELECT t.event_id, a.at AS next_at, (a.at - t.t) / 1000000 AS seconds_to,
  CAST(coalesce((a.at - t.t) / 1000000 <= 900, FALSE) AS INTEGER) AS in_15m, CAST(coalesce((a.at - t.t) / 1000000 <= 1800, FALSE) AS INTEGER) AS in_30m
 FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t <= a.at""")
 def asof_next_alert(spark, sf):
-    d = asof.asof_forward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W)
+    d = asof.asof_forward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], width(spark, sf))
     to = (F.col("next_at") - F.col("t")) / US
     flag = lambda s: F.coalesce((to <= s).cast("int"), F.lit(0))
     return d.select("event_id", "next_at", to.alias("seconds_to"), flag(900).alias("in_15m"), flag(1800).alias("in_30m"))
@@ -227,7 +227,7 @@ def asof_next_alert(spark, sf):
 SELECT t.event_id, a.at AS next_at, (a.at - t.t) / 60000000 AS minutes_to, CAST(coalesce((a.at - t.t) / 60000000 BETWEEN 0 AND 30, FALSE) AS INTEGER) AS in_30m
 FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t < a.at""")
 def asof_next_strict(spark, sf):
-    d = asof.asof_forward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W, strict=True)
+    d = asof.asof_forward(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], width(spark, sf), strict=True)
     m = (F.col("next_at") - F.col("t")) / MIN_US
     return d.select("event_id", "next_at", m.alias("minutes_to"), F.coalesce(m.between(0, 30).cast("int"), F.lit(0)).alias("in_30m"))
 
@@ -237,7 +237,7 @@ b AS (SELECT t.event_id, t.t, a.at AS pa FROM trains t ASOF LEFT JOIN alerts a O
 f AS (SELECT t.event_id, a.at AS na FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t < a.at)
 SELECT event_id, CASE WHEN na IS NULL OR t - pa <= na - t THEN t - pa ELSE t - na END / 60000000 AS rel_min FROM b JOIN f USING (event_id)""")
 def relative_minutes(spark, sf):
-    d = asof.asof_both(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], W, strict_forward=True)
+    d = asof.asof_both(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", [], ["alert_id"], width(spark, sf), strict_forward=True)
     return asof.relative_time(d, "t", "last_at", "next_at", "rel_min", MIN_US).select("event_id", "rel_min")
 
 
@@ -260,7 +260,7 @@ SELECT p.event_id, {", ".join(cols)} FROM p{joins}"""
 
 @query("trip_delay_horizons", _nearest_sql("trip", HZ, 3600))
 def trip_delay_horizons(spark, sf):
-    d = asof.value_at_horizons(trains(spark, sf), ["trip"], "t", "delay", {k: v * US for k, v in HZ.items()}, 3600 * US, W, ["event_id"])
+    d = asof.value_at_horizons(trains(spark, sf), ["trip"], "t", "delay", {k: v * US for k, v in HZ.items()}, 3600 * US, width(spark, sf), ["event_id"])
     return d.select("event_id", *HZ)
 
 
@@ -269,15 +269,15 @@ SH = {"in_10m": 600, "in_20m": 1200, "in_30m": 1800}
 
 @query("station_delay_horizons", _nearest_sql("stop", SH, 360))
 def station_delay_horizons(spark, sf):
-    d = asof.value_at_horizons(trains(spark, sf), ["stop"], "t", "delay", {k: v * US for k, v in SH.items()}, 360 * US, W, ["event_id"])
+    d = asof.value_at_horizons(trains(spark, sf), ["stop"], "t", "delay", {k: v * US for k, v in SH.items()}, 360 * US, width(spark, sf), ["event_id"])
     return d.select("event_id", *SH)
 
 
 @query("target_with_final_fallback", _nearest_sql("trip", {"in_30m": 1800}, 360).replace("SELECT p.event_id,", "SELECT p.event_id, x.final_value,").replace(
     "AS in_30m FROM p", "AS in_30m_raw FROM p JOIN (SELECT event_id, last_value(delay IGNORE NULLS) OVER (PARTITION BY trip ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final_value FROM trains) x ON x.event_id = p.event_id"))
 def target_with_final_fallback(spark, sf):
-    d = asof.value_at_horizons(trains(spark, sf), ["trip"], "t", "delay", {"in_30m_raw": 1800 * US}, 360 * US, W, ["event_id"])
-    return windows.trip_end(d, ["trip"], ORD, "delay", "t", W).select("event_id", "final_value", "in_30m_raw")
+    d = asof.value_at_horizons(trains(spark, sf), ["trip"], "t", "delay", {"in_30m_raw": 1800 * US}, 360 * US, width(spark, sf), ["event_id"])
+    return windows.trip_end(d, ["trip"], ORD, "delay", "t", width(spark, sf)).select("event_id", "final_value", "in_30m_raw")
 
 
 @query("active_count_120m", with_(TRAINS, ALERTS) + """
@@ -305,7 +305,7 @@ FROM trains t JOIN alerts a ON t.route = a.route AND t.day = a.alert_day AND t.t
 GROUP BY 1 HAVING count(t.delay) > 0""")
 def event_study(spark, sf):
     pts, nt = trains(spark, sf), alerts(spark, sf).withColumnRenamed("alert_day", "day")
-    d = intervals.event_study(pts, nt, ["route", "day"], "t", "at", "delay", -90 * MIN_US, 90 * MIN_US, 5 * MIN_US, W)
+    d = intervals.event_study(pts, nt, ["route", "day"], "t", "at", "delay", -90 * MIN_US, 90 * MIN_US, 5 * MIN_US, width(spark, sf))
     return d.select((F.col("rel_bin") / MIN_US).cast("bigint").alias("rel_min"), r6("mean_value").alias("mean_value"), "n_rows")
 
 
@@ -315,7 +315,7 @@ FROM trains t JOIN alerts a ON t.route = a.route AND t.day = a.alert_day AND t.t
 GROUP BY 1, 2 HAVING count(t.delay) > 0""")
 def event_study_by_group(spark, sf):
     pts, nt = trains(spark, sf), alerts(spark, sf).withColumnRenamed("alert_day", "day")
-    d = intervals.event_study(pts, nt, ["route", "day"], "t", "at", "delay", -60 * MIN_US, 0, 5 * MIN_US, W, ["category"])
+    d = intervals.event_study(pts, nt, ["route", "day"], "t", "at", "delay", -60 * MIN_US, 0, 5 * MIN_US, width(spark, sf), ["category"])
     return d.select("category", (F.col("rel_bin") / MIN_US).cast("bigint").alias("rel_min"), r6("mean_value").alias("mean_value"), "n_rows")
 
 
@@ -326,12 +326,12 @@ FROM p ASOF LEFT JOIN a ON p.route = a.route AND p.direction = a.direction AND p
 def match_predictions(spark, sf):
     tr = trains(spark, sf)
     p, a = tr.filter("stop = 'signup'"), tr.filter("stop <> 'signup'").withColumnRenamed("t", "at")
-    return asof.first_within(p, a, ["route", "direction"], "t", "at", ["delay"], 900 * US, W, ["event_id"]).select("event_id", "actual_at", "actual_delay")
+    return asof.first_within(p, a, ["route", "direction"], "t", "at", ["delay"], 900 * US, width(spark, sf), ["event_id"]).select("event_id", "actual_at", "actual_delay")
 
 
 @query("compare_lagged", _nearest_sql("route", {"before": -600}, 120).replace("SELECT p.event_id,", "SELECT p.event_id, p.dv AS delay,").replace(" AS k, t FROM trains)", " AS k, t, delay AS dv FROM trains)"))
 def compare_lagged(spark, sf):
-    d = asof.value_at_horizons(trains(spark, sf), ["route"], "t", "delay", {"before": -600 * US}, 120 * US, W, ["event_id"])
+    d = asof.value_at_horizons(trains(spark, sf), ["route"], "t", "delay", {"before": -600 * US}, 120 * US, width(spark, sf), ["event_id"])
     return d.select("event_id", "delay", "before")
 
 
@@ -344,7 +344,7 @@ PHASES = ", ph AS (" + " UNION ALL ".join(f"SELECT city_id, route, '{n}' AS phas
 SELECT ph.city_id, ph.phase, round(avg(t.delay), 6) AS mean_value, count(t.delay) AS n_rows
 FROM ph LEFT JOIN trains t ON t.route = ph.route AND t.t >= ph.lo AND t.t < ph.hi GROUP BY 1, 2""")
 def event_phases(spark, sf):
-    d = intervals.event_phases(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id"], 5400 * US, W)
+    d = intervals.event_phases(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id"], 5400 * US, width(spark, sf))
     return d.select("city_id", "phase", r6("mean_value").alias("mean_value"), "n_rows")
 
 
@@ -353,7 +353,7 @@ SELECT ph.city_id, ph.phase, round(avg(t.delay) FILTER (t.route = ph.route), 6)
  round(avg(t.delay) FILTER (t.route = ph.route) - avg(t.delay) FILTER (t.route <> ph.route), 6) AS net_impact
 FROM ph LEFT JOIN trains t ON t.t >= ph.lo AND t.t < ph.hi WHERE ph.phase IN ('entry', 'exit') GROUP BY 1, 2""")
 def event_impact(spark, sf):
-    d = intervals.event_impact(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id"], 5400 * US, W)
+    d = intervals.event_impact(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id"], 5400 * US, width(spark, sf))
     return d.select("city_id", "phase", *[r6(c).alias(c) for c in ("mean_stop", "mean_rest", "net_impact")])
 
 
@@ -363,8 +363,8 @@ j AS (SELECT c.city_id, count(*) FILTER (x.nd > x.delay) AS propagated, count(*)
  FROM city c LEFT JOIN x ON x.route = c.route AND x.t >= c.end_t AND x.t < c.end_t + 5400000000 GROUP BY 1)
 SELECT *, round(propagated / nullif(propagated + absorbed + unchanged, 0), 6) AS share_propagated FROM j""")
 def snowball(spark, sf):
-    x = windows.next_stop(trains(spark, sf), ["trip"], ORD, ["delay"], W)
-    d = intervals.snowball(x, city_events(spark, sf), "route", "t", "next_delay", "delay", "end_t", ["city_id"], 5400 * US, W)
+    x = windows.next_stop(trains(spark, sf), ["trip"], ORD, ["delay"], width(spark, sf))
+    d = intervals.snowball(x, city_events(spark, sf), "route", "t", "next_delay", "delay", "end_t", ["city_id"], 5400 * US, width(spark, sf))
     return d.select("city_id", "propagated", "absorbed", "unchanged", r6("share_propagated").alias("share_propagated"))
 
 
@@ -378,4 +378,4 @@ def circular_window_rows(spark, sf):
 @query("row_positions", with_(TRAINS) + """
 SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS pos FROM trains""")
 def row_positions(spark, sf):
-    return ordered.row_index(trains(spark, sf), [], ORD, W, "pos").select("event_id", "pos")
+    return ordered.row_index(trains(spark, sf), [], ORD, width(spark, sf), "pos").select("event_id", "pos")

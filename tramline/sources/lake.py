@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.operators.ranking import union_sources
 
 LAYERS = ("raw", "processed", "cleaned", "final", "aggregations", "realtime")
 
@@ -117,16 +116,17 @@ def latest_windows(df: DataFrame, n: int = 8, start: str = "window_start") -> Da
 
 
 def retain_windows(spark: SparkSession, path: str, keep: int = 8, start: str = "window_start") -> list[str]:
-    """S14/ST3: drop windows older than the newest ``keep``; returns the dropped partitions."""
-    starts = spark.read.parquet(path).select(start).distinct()
-    old = starts.join(F.broadcast(newest_starts(starts, keep, start)), start, "left_anti")
-    names = [str(r[0]) for r in old.collect()]  # partition names past the retention, a handful per cycle
-    fs = None
-    for n in names:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{start}={n}")
-        fs = fs or p.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(p, True)
-    return names
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["union_sources"]
+    """S14/ST3: drop windows older than the newest ``keep``; returns the dropped partitions.
+
+    Windows are the partition folders; their names, whole numbers or times of one format, sort by length and text.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith(f"{start}=")] if fs.exists(at) else []
+    found = sorted(found, key=lambda f: (len(f.getName()), f.getName()))
+    old = found[: max(0, len(found) - keep)]
+    for f in old:
+        fs.delete(f, True)
+    return [f.getName().partition("=")[2] for f in old]
+
+
