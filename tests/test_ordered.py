@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.operators import asof, intervals, metrics, quantiles, windows
-from tramline.operators.ordered import last_known, lookback_sums, prior_rows, row_index, running_sums, sums_until
+from tramline.operators.ordered import chunk_width, last_known, lookback_sums, prior_rows, row_index, running_sums, sums_until
 
 
 def skewed(n=400, seed=1, span=5_000):
@@ -225,3 +225,40 @@ def test_radius_join_bruteforce(spark):
 def test_plan_has_no_unsplit_window(df):
     plan = asof.asof_backward(df, df.withColumnRenamed("t", "at"), ["k"], "t", "at", ["v"], ["id"], 50)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+NULLS = [(i, "k" if i % 3 else None, t, float(t) if t % 2 else None) for i, t in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 11, 12])]
+
+
+@pytest.mark.parametrize("width", [2, 5, 1000])
+def test_null_keys_have_no_neighbours(spark, width):
+    d = spark.createDataFrame(NULLS, SCHEMA)
+    alone = [r for r in NULLS if r[1] is None]
+    by = {r[0]: r for r in NULLS}
+
+    def nulls(df, col):
+        return {r["id"]: r[col] for r in df.collect() if by[r["id"]][1] is None}
+
+    o = ["t", "id"]
+    assert nulls(prior_rows(d, ["k"], o, ["v"], 2, width, "p"), "p") == {r[0]: [] for r in alone}
+    assert nulls(last_known(d, ["k"], o, "v", width, "f"), "f") == {r[0]: r[3] for r in alone}
+    assert nulls(last_known(d, ["k"], o, "v", width, "f", inclusive=False), "f") == {r[0]: None for r in alone}
+    assert nulls(row_index(d, ["k"], o, width), "row_index") == {r[0]: 1 for r in alone}
+    assert nulls(running_sums(d, ["k"], o, {"s": F.col("v")}, width, exclusive=True), "s") == {r[0]: 0 for r in alone}
+    assert nulls(lookback_sums(d, d, ["k"], "t", "t", width, {"n": F.lit(1)}, "both"), "n") == {r[0]: 0 for r in alone}
+    assert nulls(sums_until(d, d, ["k"], "t", "t", {"n": F.lit(1)}, width, inclusive=True), "n") == {r[0]: 0 for r in alone}
+    assert nulls(asof.asof_backward(d, d.select("k", F.col("t").alias("rt")), ["k"], "t", "rt", width=width), "last_rt") == {r[0]: None for r in alone}
+    ev = d.select("k", F.col("t").alias("s"), F.col("t").alias("e"), F.lit("x").alias("kind"), F.lit(1.0).alias("score"))
+    assert nulls(intervals.join_events(d, ev, ["k"], "t", "s", "e", "kind", "score", pad=width), "n_events") == {r[0]: 0 for r in alone}
+
+
+def test_chunk_width_bounds_a_hot_key(spark):
+    """One key holds half of the rows; no (key, chunk) group passes the target, and a wider one would."""
+    r = random.Random(9)
+    rows = [("hot" if i % 2 else f"k{i % 40}", r.randrange(0, 100_000)) for i in range(8_000)] + [(None, 5)] * 900 + [("x", None)]
+    d = spark.createDataFrame(rows, "k string, t bigint")
+    for target in (50, 300, 10**6):
+        w = chunk_width(d, ["k"], "t", 64, target)
+        sizes = lambda w: max(d.filter("k is not null and t is not null").groupBy("k", F.floor(F.col("t") / w)).count().toPandas()["count"])
+        assert sizes(w) <= target and (target == 10**6 or sizes(2 * w) > target)
+    assert chunk_width(d.limit(0), ["k"], "t", 64) >= 64

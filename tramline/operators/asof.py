@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.operators.ordered import CHUNK, chunk_of
+from tramline.operators.ordered import CHUNK, _spread, chunk_of
 
 
 def _asof(
@@ -35,7 +35,7 @@ def _asof(
     for c in by:
         usable = usable & F.col(c).isNotNull()
     r = right.filter(usable).select(*by, F.col(rt).alias("_t"), match.alias("_m")).withColumn(CHUNK, chunk_of("_t", width))
-    probe = left.withColumn("_t", F.col(lt)).withColumn(CHUNK, chunk_of("_t", width)).withColumn("_role", F.lit(1))
+    probe = left.withColumn("_t", F.col(lt)).withColumn(CHUNK, _spread(by, ["_t"], chunk_of("_t", width))).withColumn("_role", F.lit(1))
 
     # one small row per (key, chunk): its first and last right row, carried to the chunks that follow or precede
     spine = r.groupBy(*by, CHUNK).agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi")).unionByName(probe.select(*by, CHUNK).distinct(), allowMissingColumns=True)
