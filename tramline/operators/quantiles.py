@@ -71,14 +71,14 @@ def quantile_bins(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFram
 
 
 def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """Quartiles, whiskers at 1.5 IQR, outlier count."""
+    """Quartiles, whiskers at 1.5 IQR, outlier count; from counts of values, so a hot group is one row a value."""
     by = list(by)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
     q = exact_quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(col).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return (
-        df.filter(F.col(col).isNotNull())
-        .join(q, by)
+        counts.join(q, by)
         .groupBy(*by)
         .agg(
             F.max("q1").alias("q1"),
@@ -86,6 +86,6 @@ def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
             F.max("q3").alias("q3"),
             F.min(F.when(inside, F.col(col))).alias("whisker_low"),
             F.max(F.when(inside, F.col(col))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),
         )
     )

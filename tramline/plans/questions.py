@@ -57,10 +57,13 @@ def trip_status(asked: DataFrame, feed: DataFrame, trip: str, scheduled: Column)
 
 
 def trip_features(live: DataFrame, trip: str, asked, by_line: Sequence[str], stops_left: str, time_left: str, value: str, width: float, tie: Sequence[str]) -> DataFrame:
-    """Q7: feature row of one trip. Line features need all trips of the line, so the trip filter comes last."""
+    """Q7: feature row of one trip. Only its lines are read, as line features need all of their trips; the trip itself
+    is picked last."""
     from tramline.operators.windows import imminent_stop, line_features
 
-    d = imminent_stop(live, [trip], stops_left, tie)
+    lines = live.filter(F.col(trip) == asked).select(*by_line).distinct()
+    trips = live.join(lines, list(by_line), "left_semi").select(trip).distinct()
+    d = imminent_stop(live.join(trips, trip, "left_semi"), [trip], stops_left, tie)
     d = line_features(d, by_line, [time_left, trip], value, width)
     return d.filter(F.col(trip) == asked)
 
