@@ -129,10 +129,10 @@ def cutoffs(good: DataFrame, stratum: str, alpha: float = 0.05, delta: float = 0
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(ratio(r) > c).alias(f"{r}:{i}") for r in rules for i, c in enumerate(grid)],
     )
+    counted = counted.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # a few rows
     each = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"`{r}:{i}`").alias("k")) for r in rules for i, c in enumerate(grid)])
-    tests = counted.select("stratum", "n", F.explode(each).alias("t")).select("stratum", "n", "t.*")
-    strata = counted.agg(F.count(F.lit(1)).alias("strata"))
-    tests = tests.withColumn("p", binomial_tail(F.col("k"), F.col("n"), a)).crossJoin(F.broadcast(strata))  # one row
+    tests = counted.select("stratum", "n", "strata", F.explode(each).alias("t")).select("stratum", "n", "strata", "t.*")
+    tests = tests.withColumn("p", binomial_tail(F.col("k"), F.col("n"), a))
     failed = F.max((F.col("p") > delta / (F.col("strata") * len(rules))).cast("int"))
     so_far = Window.partitionBy("stratum", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     best = tests.withColumn("failed", failed.over(so_far)).filter("failed = 0").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
