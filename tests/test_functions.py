@@ -161,3 +161,22 @@ def test_splits_are_disjoint_and_whole(spark):
 def test_vocabulary_is_alphabetical(spark):
     d = spark.createDataFrame([("b",), ("a",), ("abcd1",), ("abcd0",), ("b",), (None,)], "k string")
     assert {r["k"]: r["code"] for r in prep.vocabulary(d, "k").collect()} == {"a": 0, "abcd0": 1, "abcd1": 2, "b": 3}
+
+
+def test_missing_predictions_stay_missing(spark):
+    from tramline.functions.scalars import present_delay
+    from tramline.plans import questions
+
+    d = spark.createDataFrame([(-60.0, "a"), (None, "a"), (120.0, "a"), (None, "b")], "v double, stop string")
+    assert [r[0] for r in d.select(present_delay("v")).collect()] == [0.0, None, 2.0, None]
+    assert questions.current_delay(d, "stop", "b", "v").first().delay_seconds is None
+    assert sorted(r.delay_seconds for r in questions.delay_predictions(d, "v", minimum=0).collect()) == [0.0, 120.0]
+
+
+def test_months_in_number_order(spark):
+    from tramline.operators.prep import month_number, recency_weights
+
+    labels = [f"w{i}" for i in (1, 2, 9, 10, 11)]
+    d = spark.createDataFrame([(x,) for x in labels], "m string")
+    got = {r.m: r.weight for r in recency_weights(d, "m", "linear").collect()}
+    assert sorted(labels, key=got.get) == labels and sorted(labels, key=month_number)[-2:] == ["w10", "w11"]
