@@ -262,3 +262,10 @@ def test_chunk_width_bounds_a_hot_key(spark):
         sizes = lambda w: max(d.filter("k is not null and t is not null").groupBy("k", F.floor(F.col("t") / w)).count().toPandas()["count"])
         assert sizes(w) <= target and (target == 10**6 or sizes(2 * w) > target)
     assert chunk_width(d.limit(0), ["k"], "t", 64) >= 64
+
+
+def test_radius_join_over_the_date_line(spark):
+    p = spark.createDataFrame([(1, 10.0, 179.9999), (2, 89.9, 10.0), (3, -20.0, -179.9999)], "pid int, lat double, lon double")
+    s = spark.createDataFrame([(1, 10.0, -179.9999), (2, 89.9, 10.001), (3, -20.0, 179.9999), (4, 0.0, 0.0)], "sid int, stop_lat double, stop_lon double")
+    got = {(x["pid"], x["sid"]) for x in intervals.radius_join(p, s, 100.0).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}

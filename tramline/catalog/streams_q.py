@@ -15,7 +15,7 @@ from tramline.streaming import jobs
 def events_stream(spark, sf):
     """The events table as a file stream."""
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def train_stream(spark, sf):

@@ -22,6 +22,12 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 BODY_PLANNED = ("planned work",)
 BODY_RESUMED = ("resumed", "regular service", "resolved")
 BODY_DELAY = ("delay", "held", "waiting", "slower")
+BODY_STORM = ("preparing for", "storm")
+REASON_DOORS = ("door",)
+REASON_SIGNALS = ("signal",)
+REASON_MEDICAL = ("person on the tracks", "ems")
+REASON_WORK = ("track", "work")
+REASON_WEATHER = ("winter storm",)
 BODY_CHANGE = ("running local", "running express", "rerouted", "bypass")
 FLAG_DELAY = r"\bdelay\b"
 FLAG_CHANGE = r"service\s*change"
@@ -81,6 +87,13 @@ def _any(text: Column, words) -> Column:
     return out
 
 
+def _all(text: Column, words) -> Column:
+    out = F.lit(True)
+    for w in words:
+        out = out & F.contains(text, F.lit(w))
+    return out
+
+
 def alert_category(status) -> Column:
     """Six-way category; the first matching rule wins."""
     s = F.lower(_c(status))
@@ -113,18 +126,18 @@ def classify_alert_text(df: DataFrame, body: str) -> DataFrame:
     place = F.regexp_extract(text, PLACE_PATTERN, 1)
     category = (
         F.when(_any(low, BODY_RESUMED), "Service Resumed")
-        .when(F.contains(low, F.lit("preparing for")) & F.contains(low, F.lit("storm")), "Weather Prep")
+        .when(_all(low, BODY_STORM), "Weather Prep")
         .when(_any(low, BODY_DELAY), "Delay")
         .when(_any(low, BODY_CHANGE), "Service Change")
         .when(_any(low, BODY_PLANNED), "Planned Work")
         .otherwise("Info/Other")
     )
     reason = (
-        F.when(_any(low, ("door",)), "Mechanical (Doors)")
-        .when(_any(low, ("signal",)), "Signal Problems")
-        .when(_any(low, ("person on the tracks", "ems")), "Medical/Police")
-        .when(F.contains(low, F.lit("track")) & F.contains(low, F.lit("work")), "Maintenance")
-        .when(_any(low, ("winter storm",)), "Weather")
+        F.when(_any(low, REASON_DOORS), "Mechanical (Doors)")
+        .when(_any(low, REASON_SIGNALS), "Signal Problems")
+        .when(_any(low, REASON_MEDICAL), "Medical/Police")
+        .when(_all(low, REASON_WORK), "Maintenance")
+        .when(_any(low, REASON_WEATHER), "Weather")
         .otherwise("Unknown")
     )
     return (

@@ -56,8 +56,9 @@ WINDOW_MAX = (
 )
 WINDOW_MEAN_MAX = (
     "delay_seconds", "lagged_delay_1", "lagged_delay_2", "route_rolling_delay",
-    *[f"target_delay_{h}m" for h in (10, 20, 30, 45, 60)], *[f"station_delay_{h}m" for h in (10, 20, 30)],
-    "target_delay_end", *[f"delta_delay_{h}m" for h in (10, 20, 30, 45, 60)], "delta_delay_end",
+    "target_delay_10m", "target_delay_20m", "target_delay_30m", "target_delay_45m", "target_delay_60m",
+    "station_delay_10m", "station_delay_20m", "station_delay_30m", "target_delay_end",
+    "delta_delay_10m", "delta_delay_20m", "delta_delay_30m", "delta_delay_45m", "delta_delay_60m", "delta_delay_end",
 )
 WINDOW_MEAN = ("actual_headway_seconds", "stops_to_end", "scheduled_time_to_end", "seconds_since_last_alert", "seconds_to_next_alert")
 WINDOW_FIRST = ("hour_sin", "hour_cos", "dow")
@@ -190,7 +191,7 @@ def quality_report(before: DataFrame, after: DataFrame, col: str) -> DataFrame:
         F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"),
     )
     q = exact_quantiles(after, [], col, {"p50": 0.5, "p95": 0.95})
-    return b.crossJoin(a).crossJoin(q)  # one row each
+    return b.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(q))  # one row each
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -193,9 +193,3 @@ def below_quantile(df: DataFrame, col: str, q: float = 0.99) -> DataFrame:
     cut = exact_quantiles(df, [], col, {"_q": q})
     # one row by construction
     return df.join(F.broadcast(cut), F.col(col) < F.col("_q")).select(*df.columns)
-
-
-def normalise_nan(df: DataFrame) -> DataFrame:
-    """NaN to null in every floating column."""
-    fl = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fl}) if fl else df

@@ -186,19 +186,21 @@ def range_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: st
 
 
 def _cells(df: DataFrame, lat: str, lon: str, metres: float, spread: bool) -> DataFrame:
-    """Grid cells at least ``metres`` wide; longitude cells widen with latitude by whole-degree bands."""
+    """Grid cells at least ``metres`` wide; each row of cells divides its circle evenly, so it closes at 180 degrees."""
     step = metres / 111_000.0
     row = F.floor(F.col(lat) / step)
 
-    def cell(r: Column, lon_col: Column) -> Column:
+    def around(r: Column) -> Column:
         edge = F.least(F.abs(r * step) + 2 * step, F.lit(89.0))
-        return F.floor(lon_col * F.cos(F.radians(edge)) / step)
+        return F.greatest(F.floor(360 * F.cos(F.radians(edge)) / step), F.lit(1))
+
+    def cell(r: Column, lon_col: Column, shift: int = 0) -> Column:
+        return F.pmod(F.floor((lon_col + 180) / 360 * around(r)) + shift, around(r))
 
     if not spread:
         return df.withColumn("_row", row).withColumn("_col", cell(row, F.col(lon)))
     out = df.withColumn("_row", F.explode(F.array(*[row + d for d in (-1, 0, 1)])))
-    mid = cell(F.col("_row"), F.col(lon))
-    return out.withColumn("_col", F.explode(F.array(*[mid + d for d in (-1, 0, 1)])))
+    return out.withColumn("_col", F.explode(F.array_distinct(F.array(*[cell(F.col("_row"), F.col(lon), d) for d in (-1, 0, 1)]))))
 
 
 def radius_join(points: DataFrame, stations: DataFrame, metres: float, plat="lat", plon="lon", slat="stop_lat", slon="stop_lon", out="distance_m") -> DataFrame:

@@ -134,7 +134,7 @@ def threshold_table(df: DataFrame, y: str, score: str, lo: float = 0.05, hi: flo
     cells = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(passed.alias("_k")).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
     arr = F.array(*[F.struct(F.lit(i + 1).alias("_k"), F.lit(g).alias("threshold")) for i, g in enumerate(grid)])
     steps = df.sparkSession.range(1).select(F.explode(arr).alias("x")).select("x.*")
-    full = steps.join(F.broadcast(cells), "_k", "full").na.fill(0, ["_p", "_n"])  # at most one row per grid step
+    full = steps.join(cells, "_k", "full").na.fill(0, ["_p", "_n"])  # at most one row per grid step
     above = Window.orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
     t = full.select("threshold", F.sum("_p").over(above).alias("tp"), F.sum("_n").over(above).alias("fp"), F.sum("_p").over(every).alias("_P"), F.sum("_n").over(every).alias("_N"))

@@ -31,12 +31,6 @@ def encode(df: DataFrame, vocab: DataFrame, col: str, out: str | None = None) ->
     return df.join(v, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 
-def target_means(train: DataFrame, col: str, target: str) -> DataFrame:
-    """M3: training mean and count of the target per value, with the global mean."""
-    g = train.agg(F.avg(target).alias("_global"))
-    return train.groupBy(col).agg(F.avg(target).alias("_mean"), F.sum(target).alias("_sum"), F.count(target).alias("_n")).crossJoin(F.broadcast(g))  # one row
-
-
 def target_encode(df: DataFrame, train: DataFrame, col: str, target: str, out: str | None = None, leave_one_out: bool = False) -> DataFrame:
     """M3: training mean of the key, unknown keys the global mean.
 

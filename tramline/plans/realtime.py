@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tramline.operators import aggregates, clean, joins, windows
 
@@ -28,11 +27,6 @@ def live_features(df: DataFrame, trip: Sequence[str], stop: Sequence[str], line:
     return windows.prev_mean(d, line, order, "delay", 5, width, "route_rolling_delay", source=df)
 
 
-def aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Live rows in the training schema; what only training knows is null."""
-    return clean.align_schema(df, schema)
-
-
 def window_snapshot(df: DataFrame, t: str, width: int, now: Column, **spec) -> DataFrame:
     """A4: one aggregate of the whole snapshot, named after the bin ``now`` belongs to.
 
