@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("windows_q", "clean_q", "joins_q", "aggregates_q", "streams_q", "learning_q", "plans_q", "nullkeys_q", "context_q")
+MODULES = ("windows_q", "clean_q", "joins_q", "aggregates_q", "streams_q", "learning_q", "plans_q", "nullkeys_q", "context_q", "tables_q")
 
 
 def load() -> SimpleNamespace:
