@@ -100,6 +100,19 @@ def test_scorer_equals_training_forward_and_sums_to_one():
     assert 0 < np.exp(scorer.score(probe, shape.begin, shape.end, shape.pad)[0]) + total.sum() < 1
 
 
+def test_scorer_equals_windows():
+    """Scores by blocks equal those of windows taken one by one, as in training."""
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 30, n) for n in (0, 1, 15, 16, 17, 40, 100, 300)]
+    shape = lm.Shape(docs, r.integers(1, 50, 30))
+    p = attention.start(shape.rows, shape.classes)
+    got = attention.Scorer(p, shape.class_of, shape.row_of, shape.inside).score(docs, shape.begin, shape.end, shape.pad, at_once=3)
+    for d, g in zip(docs, got):
+        rows, first, target = shape.windows([d])
+        loss, _ = attention.step(p, rows, first, target)
+        assert math.isclose(g, -loss * (len(d) + 1) + shape.inside[d].sum(), rel_tol=1e-4)
+
+
 def test_base_scores_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit("x").alias("score"))
     docs = docs.union(spark.createDataFrame([(10**6, None, "x"), (10**6 + 1, "", "x"), (10**6 + 2, "Unheard-of-word the", "x")], docs.schema))
