@@ -269,6 +269,27 @@ def _shared_counts(prefixes: DataFrame, most: int = 3_000_000) -> DataFrame:
     return met.mapInArrow(meet, "sid bigint, hits bigint").groupBy("sid").agg(F.sum("hits").alias("hits"))
 
 
+def _places(col: str, bits: int, probes: int = 4) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.col(col), F.lit(j)), F.lit(bits)).alias(f"p{j}") for j in range(probes)]
+
+
+def _marks(alive: DataFrame, most: int = 1 << 28) -> np.ndarray:
+    """Bloom filter of the survivors' ids as 64-bit words, 32 MB at most.
+
+    It spares a shuffle of all texts. What passes wrongly is left out by its set later, so a full filter costs time, not results.
+    """
+    n = alive.count()
+    bits = 64
+    while bits < min(most, 12 * n):
+        bits *= 2
+    at = alive.select(F.explode(F.array(*_places("doc_id", bits))).alias("p"))
+    word, mask = F.shiftright("p", 6), F.expr("shiftleft(1L, cast(p & 63 as int))")
+    got = at.groupBy(word.alias("w")).agg(F.bit_or(mask).alias("m")).toArrow()  # at most bits / 64 rows
+    words_ = np.zeros(bits // 64, np.int64)
+    words_[got["w"].to_numpy()] = got["m"].to_numpy()
+    return words_
+
+
 def _ceil(over: str, by: int | str) -> Column:
     return F.expr(f"(({over}) + ({by}) - 1) div ({by})")
 
@@ -335,6 +356,7 @@ def join(
     text: str = "text",
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; linked means Jaccard >= num / den."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     digest = _written(_digest(rows, k, num, den), "digest")
     nodes = digest.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
@@ -345,16 +367,25 @@ def join(
     alive = _written(nodes.join(hits, "sid").filter(F.col("hits") >= need).select("sid", "doc_id", "n"), "alive")
 
     # 2. shingles of survivors, rarest first
+    held = spark.sparkContext.broadcast(_marks(alive))
+
     def sets(batches):
+        bits, seen = held.value, set()
         for b in slices(batches):
-            got = [shingles(t, k) for t in b.column(0).to_pylist()]
+            at = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
+            hit = np.flatnonzero((bits[at >> 6] >> (at & 63) & 1).all(0))
+            got = [shingles(b.column(0)[int(i)].as_py(), k) for i in hit]
             sids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in got]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["sid", "tokens"])
+            new = [i for i, s in enumerate(sids) if len(got[i]) and s not in seen]
+            seen.update(sids)
+            yield pa.RecordBatch.from_arrays([pa.array([sids[i] for i in new], pa.int64()), pa.array([got[i] for i in new], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
-    texts = rows.join(alive.select("doc_id"), "doc_id", "left_semi").select("text")
+    texts = rows.filter("doc_id is not null").select("text", *_places("doc_id", len(held.value) * 64))
     posts = _written(texts.mapInArrow(sets, "sid bigint, tokens array<bigint>"), "sets").select("sid", F.explode("tokens").alias("t"))
     common = posts.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    lists = posts.join(common, "t").groupBy("sid").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("df", "t")))).alias("l"))
+    lists = posts.join(common, "t").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("l"))
+    # a set that came twice, from repeated rows, has each shingle twice in a row
+    lists = lists.select("sid", F.filter("l", lambda x, i: (i == 0) | (F.get("l", i - 1)["t"] != x["t"])).alias("l"))
     least = F.expr(f"({num} * n + {den - 1}) div {den}")
     near = lists.join(alive.select("sid", "n"), "sid").withColumn("p", (F.size("l") - least + 1).cast("int")).filter("p > 0")
 
