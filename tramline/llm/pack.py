@@ -51,7 +51,7 @@ class Ids:
     holds the string of a special token goes through the tokenizers library as a whole.
     """
 
-    def __init__(self, raw: bytes, pattern: str, kept: int = 700_000):
+    def __init__(self, raw: bytes, pattern: str, kept: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
