@@ -48,7 +48,7 @@ _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -204,7 +204,7 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
-def _shared_counts(prefixes: DataFrame, most: int = 3_000_000) -> DataFrame:
+def _shared_counts(prefixes: DataFrame, most: int = 2_000_000) -> DataFrame:
     """(sid, hits): how many shingles of the set's prefix are in another set's prefix, or more.
 
     Each task settles what it can by itself: a shingle of several of its sets is shared, and goes on as one
