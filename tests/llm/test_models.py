@@ -141,3 +141,45 @@ def test_model_learns_order(spark):
     got = {x.doc_id: x.score for x in lm.score(docs, F.col("doc_id") < 100, LOAD, sample=100, steps=60).collect()}
     assert max(got[i] for i in range(100, 120)) > got[1000] + 20  # held-out texts in the learned order are far likelier
     assert lm.score(docs.limit(0), F.lit(True), LOAD).count() == 0
+
+
+def test_model_learns_from_every_document(spark):
+    """Each pair of words is in few documents of many, among a third of copies of one text; all pairs are learned."""
+    r = random.Random(4)
+    names = "red apple blue sky old house green tree cold water long road small bird fast horse dark night warm bread deep river loud music".split()
+    pairs = list(zip(names[::2], names[1::2]))
+    rows = [(i, " ".join([*pairs[i % len(pairs)]] * r.randint(25, 35))) for i in range(240)] + [(300 + i, "same text " * 30) for i in range(120)]
+    probes = [(1000 + i, " ".join((p if i % 2 == 0 else p[::-1]) * 20)) for i, p in enumerate(x for p in pairs for x in (p, p))]
+    docs = spark.createDataFrame(rows + probes, "doc_id long, text string")
+    got = {x.doc_id: x.score for x in lm.score(docs, F.col("doc_id") < 1000, LOAD, sample=4, steps=60).collect() if x.doc_id >= 1000}
+    first = lambda i: " ".join(pairs[i])
+    alike = [(first(i), got[1000 + 2 * i]) for i in range(len(pairs))]
+    assert min(s for _, s in alike) > -90, alike  # 40 words; a pair that is not learned from costs twice as much
+
+
+def test_neighbour_sums_by_parts_equal_brute_force():
+    r = np.random.default_rng(8)
+    docs = [r.integers(0, 20, n) for n in (0, 1, 2, 50, 7)]
+    near, dirs = attention.Neighbours(20), attention.directions(20)
+    near.add(docs[:2])
+    near.add(docs[2:])
+    want, half = np.zeros((20, attention.SIDES)), attention.SIDES // 2
+    for d in docs:
+        for a, b in zip(d[:-1], d[1:]):
+            want[b, :half] += dirs[a]
+            want[a, half:] += dirs[b]
+    assert (near.x.T == want).all() and near.n.sum() == 60
+
+
+def test_training_takes_every_window():
+    r = np.random.default_rng(9)
+    parts = [(r.integers(0, 9, (n, attention.WINDOW)), r.random(n) < 0.1, r.integers(0, 5, (n, attention.HOP))) for n in (3, 700, 0, 256, 1)]
+    t = attention.Trainer(attention.start(9, 5), 0)
+    taken, step = [], t.step
+    t.step = lambda rows, *x: (taken.append(rows), step(rows, *x))
+    for p in parts:
+        t.read(*p)
+    t.read(*(x[:0] for x in parts[0]), last=True)
+    rows = lambda x: sorted(map(tuple, np.concatenate(x).tolist()))
+    assert rows(taken) == rows([p[0] for p in parts])
+    assert attention.train(attention.start(9, 5), iter(parts), 2, 0)[1] == 960
