@@ -183,3 +183,9 @@ def test_training_takes_every_window():
     rows = lambda x: sorted(map(tuple, np.concatenate(x).tolist()))
     assert rows(taken) == rows([p[0] for p in parts])
     assert attention.train(attention.start(9, 5), iter(parts), 2, 0)[1] == 960
+
+
+def test_number_of_classes():
+    r = np.random.default_rng(10)
+    shape = lm.Shape([r.integers(0, 200, 2000) for _ in range(5)], np.ones(200))
+    assert shape.classes >= 49 and len(set(shape.class_of[:200])) > 31  # 48 and the end
