@@ -42,6 +42,20 @@ def test_cues_and_schemes():
     assert pii.spans("IBAN GB83 WEST 1234 5698 7654 32", A) == [] and pii.spans("SSN 000-12-1234", A) == []
 
 
+def test_cues_in_any_case_and_iban_before_capitals():
+    def one(s):
+        return [(s[a:b], k) for a, b, k in pii.spans(s, A)]
+
+    for cue in ("Social Security Number: ", "SOCIAL SECURITY NO. ", "social security ", "Ssn nr "):
+        assert one(cue + "123-45-6789") == [("123-45-6789", "ssn")], cue
+    for cue in ("Account Number: ", "Account No. ", "ACCOUNT NR ", "aCCount ", "Acct No "):
+        assert one(cue + "12345678 of 3") == [("12345678", "account")], cue
+    for after in (" BIC: X", " I owe", "", ".", " 12", "\nA"):
+        assert one("IBAN: DE89 3704 0044 0532 0130 00" + after) == [("DE89 3704 0044 0532 0130 00", "iban")], after
+    assert one("IBAN Number: NO9386011117947 ABC") == [("NO9386011117947", "iban")]
+    assert one("IBAN DE89 3704 0044 0532 0130 00x") == [] and one("IBAN DE89 3704 0044 0532 0130") == []
+
+
 def test_long_texts_are_linear():
     for s in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 100_000, "1 " * 100_000, "@" * 100_000):
         assert [x for x in pii.spans(s, A) if x[2] != "ip"] == []

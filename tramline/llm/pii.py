@@ -7,10 +7,12 @@ validates it. Kinds and their rules:
 - ``email``, ``ip``, ``card``, ``phone``: as the four base patterns below would match, leftmost and
   non-overlapping per kind; matches that fail their check are dropped and not tried again.
 - ``url``: a scheme followed by credentials before the host (``scheme://user:secret@host``).
-- ``iban``: after an IBAN cue, country, check digits and body with remainder 1 modulo 97.
+- ``iban``: after an IBAN cue, country, check digits and body of the country's length with remainder 1 modulo 97.
 - ``ssn``: after its cue, groups of 3, 2 and 4 digits, none of them zero.
 - ``account``: after an account cue, 6 to 17 digits with single blanks or hyphens.
 
+Cues and the word after them are known in any case.
+
 Positions are code points, ends exclusive. Spans of added kinds that touch a base span are left out.
 
 Defined cases: null text has no spans and stays null when masked; empty text has none; repeated rows are
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -39,11 +42,25 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s@/]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
-IBAN = re.compile(r"(?: (?:no|nr|number))?\.?[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-SSN = re.compile(r"(?: (?:no|nr|number))?\.?[ :#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-ACCOUNT = re.compile(r"(?: (?:no|nr|number))?\.?[ :#]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
+_AFTER = r"(?i: (?:no|nr|number))?\.?[ :#]{0,3}"
+IBAN = re.compile(_AFTER + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: for a country without a listed length
+IBAN_ANY = re.compile(IBAN.pattern + "(?![A-Za-z0-9])")
+ALNUM = re.compile(r"[A-Za-z0-9]")
+SSN = re.compile(_AFTER + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+ACCOUNT = re.compile(_AFTER + r"([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://")
-CUES = {"iban": ("IBAN", "iban", "Iban"), "ssn": ("SSN", "ssn", "social security"), "account": ("account", "Account", "ACCOUNT", "acct", "Acct", "ACCT")}
+CUES = {"iban": ("iban",), "ssn": ("ssn", "social security"), "account": ("account", "acct")}
+#: length of an IBAN by its country
+IBAN_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -54,7 +71,8 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(s, ("url", len(s)))
     for kind, cues in CUES.items():
         for c in cues:
-            a.add_word(c, (kind, len(c)))
+            for spelled in map("".join, product(*({x, x.upper()} for x in c))):
+                a.add_word(spelled, (kind, len(c)))
     a.make_automaton()
     return a
 
@@ -84,9 +102,18 @@ def _cued(kind: str, text: str, at: int) -> tuple[int, int] | None:
     m = {"iban": IBAN, "ssn": SSN, "account": ACCOUNT}[kind].match(text, at)
     if not m:
         return None
-    if kind == "iban" and not _iban_ok(m[1]) or kind == "ssn" and any(int(g) == 0 for g in m[1].split("-")):
+    start, end = m.span(1)
+    if kind == "iban":
+        if n := IBAN_LENGTHS.get(m[1][:2]):
+            places = [i for i in range(start, end) if text[i] != " "]
+            end = places[n - 1] + 1 if len(places) >= n else 0
+        elif m := IBAN_ANY.match(text, at):
+            end = m.end(1)
+        if not m or not end or ALNUM.match(text, end) or not _iban_ok(text[start:end]):
+            return None
+    if kind == "ssn" and any(int(g) == 0 for g in m[1].split("-")):
         return None
-    return m.span(1)
+    return start, end
 
 
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
