@@ -41,8 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     if conf:
         return conf
     house = spark.conf.get("spark.sql.warehouse.dir")
-    master = spark.sparkContext.master
-    if house.startswith("file:") and not re.fullmatch(r"local(\[.*\])?", master):
+    at = spark._jvm.org.apache.hadoop.fs.Path(house)  # a path without scheme lies in the default file system
+    scheme = at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    if scheme == "file" and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{house.rstrip('/')}/_scratch"
 
@@ -54,13 +55,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete one table that this driver wrote below the shared folder and that no result reads any more."""
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the tables that this driver wrote below the shared folder; call it when their results are written."""
-    n = 0
-    while _SCRATCH:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
-    return n
+    return sum(drop_path(spark, path) for path in list(_SCRATCH))
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
