@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, langid, lm, ngram, pack, pii, rollup, rules, topk, toxic
+from tramline.llm import bpe, centroids, langid, lm, ngram, pack, pii, rollup, rules, topk, toxic
 from tramline.llm.common import crc_mod, table
 from tramline.session import scratch_path
 
@@ -130,3 +130,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 5) == 0
     model = toxic.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxic.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _rounds(k: int, rounds: int, dims: int) -> str:
+    """SQL of the plain rounds over table v (row, vec_id, x list of whole numbers)."""
+    sql = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(64 * CAST(e AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS INTEGER) AS cluster, x
+  FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), x LIMIT {k})"""
+    for i in range(rounds + 1):
+        sql += f""",
+d{i} AS MATERIALIZED (
+  SELECT row, vec_id, v.x, cluster,
+         CAST(list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x) AS BIGINT) AS distance
+  FROM v, c{i} c),
+a{i} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': distance, 'j': cluster}}) AS best FROM d{i} GROUP BY row)"""
+        if i < rounds:
+            sql += f""",
+m{i} AS (
+  SELECT best.j AS cluster, pos, floor(sum(val) / count(*)) AS val
+  FROM (SELECT best, unnest(x) AS val, generate_subscripts(x, 1) AS pos FROM a{i}) GROUP BY best.j, pos),
+n{i} AS (SELECT cluster, list(val ORDER BY pos) AS x FROM m{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN n{i} n ON n.cluster = c.cluster)"""
+    return sql + f"""
+SELECT a.vec_id, a.best.j AS cluster, a.best.d AS distance,
+       CAST(sum(a.best.d) OVER (PARTITION BY a.best.j) AS BIGINT) AS cluster_inertia, CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.x, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.best.j"""
+
+
+SQL["op11_centroids"] = _rounds(16, 3, 64)
