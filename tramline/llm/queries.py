@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, centroids, langid, lm, ngram, pack, pii, rollup, rules, topk, toxic
+from tramline.llm import bpe, centroids, langid, lm, ngram, pack, pii, rollup, rules, topk, toxic, variants
 from tramline.llm.common import crc_mod, table
 from tramline.session import scratch_path
 
@@ -171,3 +171,8 @@ FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.best.j"""
 
 
 SQL["op11_centroids"] = _rounds(16, 3, 64)
+
+
+@query
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.words(table(spark, sf_dir, "documents"), every=97, letters=5, least=3), ratio=2)
