@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, centroids, langid, lm, ngram, pack, pii, rollup, rules, topk, toxic, variants
+from tramline.llm import bpe, centroids, guesses, langid, lm, ngram, pack, pii, rollup, rules, topk, toxic, variants
 from tramline.llm.common import crc_mod, table
 from tramline.session import scratch_path
 
@@ -173,6 +173,16 @@ FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.best.j"""
 SQL["op11_centroids"] = _rounds(16, 3, 64)
 
 
+@query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = guesses.find(docs, guesses.vocabulary(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    n = [F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in guesses.KINDS]  # noqa: B023
+    base = F.filter("found", lambda s: s["kind"].isin(*guesses.BASE))
+    return found.select("doc_id", *n, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 @query
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(variants.words(table(spark, sf_dir, "documents"), every=97, letters=5, least=3), ratio=2)
