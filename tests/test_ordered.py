@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.operators import asof, intervals, metrics, quantiles, windows
-from tramline.operators.ordered import chunk_width, last_known, lookback_sums, prior_rows, row_index, running_sums, sums_until
+from tramline.operators import asof, dominance, intervals, joins, metrics, prep, quantiles, ranking, windows
+from tramline.operators.ordered import CHUNK, Stretches, chunk_of, chunk_width, last_known, lookback_sums, positions, prior_rows, row_index, running_sums, stretches, sums_until
 
 
 def skewed(n=400, seed=1, span=5_000):
@@ -269,3 +269,131 @@ def test_radius_join_over_the_date_line(spark):
     s = spark.createDataFrame([(1, 10.0, -179.9999), (2, 89.9, 10.001), (3, -20.0, 179.9999), (4, 0.0, 0.0)], "sid int, stop_lat double, stop_lon double")
     got = {(x["pid"], x["sid"]) for x in intervals.radius_join(p, s, 100.0).collect()}
     assert got == {(1, 1), (2, 2), (3, 3)}
+
+
+@pytest.mark.parametrize("width", [7, 40, 10**6])
+def test_lookback_in_sub_blocks(df, spark, width):
+    """A key with half of the rows is split below the span; own rows and another table's rows."""
+    sums = {"n": F.lit(1).cast("bigint"), "s": F.col("v")}
+    other = [(i, r[1], r[2] + 3, r[3]) for i, r in enumerate(skewed(120, 8))]
+    odf = spark.createDataFrame(other, SCHEMA)
+    for closed in ("left", "both"):
+        own = {r["id"]: (r["n"], r["s"]) for r in lookback_sums(df, df, ["k"], "t", "t", 360, sums, closed, width).collect()}
+        far = {r["id"]: (r["n"], r["s"]) for r in lookback_sums(df, odf, ["k"], "t", "t", 360, sums, closed, width).collect()}
+        for i, k, t, _ in ROWS:
+            for got, table in ((own, ROWS), (far, other)):
+                hit = [x for x in table if k is not None and x[1] == k and (t - 360 <= x[2] < t or (closed == "both" and x[2] == t))]
+                assert got[i] == (len(hit), sum(x[3] or 0.0 for x in hit))
+
+
+@pytest.mark.parametrize("width", [11, 80])
+def test_join_events_in_narrow_chunks(df, spark, width):
+    r = random.Random(4)
+    ev = [(i, r.choice(["hot", "hot", "a", None]), s := r.randrange(0, 5000), s + r.choice([0, 10, 300, 900]), float(r.randrange(4)), r.choice(["x", "y"])) for i in range(60)]
+    e = spark.createDataFrame(ev, "eid int, k string, s bigint, e bigint, score double, kind string")
+    got = {x["id"]: x for x in intervals.join_events(df, e, ["k"], "t", "s", "e", "kind", "score", 100, width).collect()}
+    for i, k, t, _ in ROWS:
+        near = [x for x in ev if k is not None and x[1] == k and x[2] - 100 <= t <= x[3] + 100]
+        want = (len(near), sum(t < x[2] for x in near), sum(x[2] <= t <= x[3] for x in near), max(((x[4], x[5]) for x in near), default=(0, "Ninguno"))[1])
+        assert (got[i]["n_events"], got[i]["n_before"], got[i]["n_during"], got[i]["event_kind"]) == want
+
+
+@pytest.mark.parametrize("base", [2, 16])
+def test_dominance_counts(df, spark, base):
+    r = random.Random(12)
+    pts = [(k, t, r.randrange(0, 5000)) for _, k, t, _ in ROWS] + [("hot", None, 3), ("hot", 3, None)]
+    ask = [(i, r.choice(["hot", "a", "zz", None]), r.randrange(-10, 6000), r.choice([None, r.randrange(-10, 5100)])) for i in range(120)]
+    p = spark.createDataFrame(pts, "k string, x bigint, y bigint")
+    q = spark.createDataFrame(ask, "id int, k string, px bigint, py bigint")
+    for width in (300, 10**6):
+        got = {x["id"]: (x["rank"], x["n"]) for x in dominance.dominance_counts(q, p, ["k"], "px", "py", "x", "y", ["id"], width, base).collect()}
+        for i, k, px, py in ask:
+            low = [x for x in pts if k is not None and x[0] == k and x[1] is not None and x[2] is not None and x[1] < px]
+            assert got[i] == (len(low), sum(py is not None and x[2] < py for x in low))
+
+
+def test_distinct_in_intervals(spark):
+    """One key holds two thirds of the rows; equal times, repeated items, null items and keys."""
+    r = random.Random(2)
+    pts = [(r.choice(["hot", "hot", "a", None]), r.randrange(0, 900), r.choice([None, *range(12)])) for _ in range(700)]
+    win = [(i, r.choice(["hot", "a", "b", None]), lo := r.choice([None, r.randrange(-50, 950)]), None if lo is None else lo + r.choice([-5, 0, 1, 40, 500])) for i in range(80)]
+    p, w = spark.createDataFrame(pts, "k string, t bigint, item int"), spark.createDataFrame(win, "id int, k string, lo bigint, hi bigint")
+    d = dominance.distinct_in_intervals(w, p, ["k"], "lo", "hi", "t", "item", ["id"], 60)
+    got = {x["id"]: x["n_distinct"] for x in d.collect()}
+    for i, k, lo, hi in win:
+        assert got[i] == (0 if k is None or lo is None else len({x[2] for x in pts if x[0] == k and lo <= x[1] < hi and x[2] is not None}))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("width", [600, 10**6])
+@pytest.mark.parametrize("period", [None, 86_400])
+def test_nearest(spark, width, period):
+    r = random.Random(7)
+    left = [(i, r.choice(["hot", "hot", "a", "b", None]), r.choice([None, 0, 86_399, *(r.randrange(0, 86_400) // 600 * 600 for _ in range(5))])) for i in range(200)]
+    right = [(i, r.choice(["hot", "hot", "a", None]), r.choice([None, *(r.randrange(0, 86_400) // 300 * 300 for _ in range(6))])) for i in range(90)]
+    a, b = spark.createDataFrame(left, "id int, k string, t bigint"), spark.createDataFrame(right, "rid int, k string, at bigint")
+    got = {x["id"]: (x["near_rid"], x["near_at"], x["near_gap"]) for x in asof.nearest(a, b, ["k"], "t", "at", ["rid"], ["rid"], width, period).collect()}
+    assert len(got) == len(left)
+    for i, k, t in left:
+        c = [(min(abs(t - x[2]), 86_400 - abs(t - x[2])) if period else abs(t - x[2]), x[0], x[2]) for x in right if k is not None and t is not None and x[1] == k and x[2] is not None]
+        best = min(c, default=(None, None, None))
+        assert got[i] == (best[1], best[2], best[0])
+
+
+def test_match_nearest_wraps_at_midnight(spark):
+    a = spark.createDataFrame([(1, "x", 86_300), (2, "x", 40_000), (3, "y", 5), (4, None, 5)], "id int, k string, act bigint")
+    s = spark.createDataFrame([("x", 100, 7), ("x", 43_000, 8), ("x", 43_000, 3)], "k string, sched bigint, tie int")
+    got = {r["id"]: (r["sched"], r["delay"], r["tie"], r["is_unscheduled"]) for r in joins.match_nearest(a, s, ["k"], "act", "sched", ["tie"], cols=["tie"]).collect()}
+    assert got == {1: (100, -200, 7, False), 2: (43_000, -3_000, 3, False), 3: (None, None, None, True), 4: (None, None, None, True)}
+
+
+def test_quantiles_of_columns_with_an_offset(spark):
+    """Epoch seconds and long tails: buckets are cut again until few values are left, and the answer is that of ``percentile``."""
+    r = random.Random(3)
+    rows = [("hot" if i % 3 else "b", r.choice([1.7e9 + r.randrange(10**6), 1.7e9 + i, -(10.0 ** r.randrange(-300, 300)), 0.0])) for i in range(3_000)] + [("one", 5.0), ("b", None)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    want = {x["k"]: x["q"] for x in d.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(q) for q in (0.0, 0.3, 0.5, 0.99, 1.0)])).alias("q")).collect()}
+    for ranked in (10**6, 40, 1):
+        got = {x["k"]: [x[c] for c in "abcde"] for x in quantiles.exact_quantiles(d, ["k"], "v", dict(zip("abcde", (0.0, 0.3, 0.5, 0.99, 1.0))), ranked).collect()}
+        assert got == {k: pytest.approx(q) for k, q in want.items()}
+
+
+def test_positions_spread_values_that_begin_alike(spark):
+    n = 20_000
+    d = spark.range(n).select(F.format_string("Customer#%09d", F.col("id") * 7919 % n).alias("name"))
+    got = positions(d, ["name"], "i")
+    assert got.filter(F.col("i") != F.substring("name", 10, 9).cast("int") + 1).count() == 0 and got.count() == n
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [x["count"] for x in positions(d, ["name"], "i").groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) < n
+    assert {r["name"]: r["code"] for r in prep.vocabulary(d.limit(0), "name").collect()} == {}
+
+
+def test_split_by_groups_takes_whole_groups(spark):
+    d = spark.createDataFrame([(i, (i * 37 % 100) // 3) for i in range(300)] + [(-1, None)], "id int, bin int")
+    bins = sorted({(i * 37 % 100) // 3 for i in range(300)})
+    c = [bins[int(len(bins) * f)] for f in (0.5, 0.8)]
+    got = {r["id"]: r["split"] for r in ranking.split_by_groups(d, "bin", (0.5, 0.8), ("a", "b", "c")).collect()}
+    assert got == {i: "a" if (b := (i * 37 % 100) // 3) < c[0] else "b" if b < c[1] else "c" for i in range(300)}
+
+
+@pytest.mark.parametrize("target", [40, 400, 10**6])
+def test_stretches_follow_the_data(spark, target):
+    """Half of the rows in one key, nearly all in one busy hour; an axis that folds onto itself."""
+    r = random.Random(1)
+    rows = [("hot" if i % 2 else f"k{i % 30}", r.choice([r.randrange(-20_000, 80_000), r.randrange(40_000, 41_000), r.randrange(40_000, 41_000)])) for i in range(6_000)] + [(None, 5), ("x", None)]
+    d = spark.createDataFrame(rows, "k string, t bigint")
+    s = stretches(d, ["k"], "t", 4, target, steps=64)
+    n = d.filter("k is not null and t is not null").groupBy("k", chunk_of("t", s).alias(CHUNK)).count().toPandas()
+    assert n["count"].max() <= target and (len(set(n[CHUNK])) == 1) == (target == 10**6)
+    at = [x["c"] for x in spark.range(-30_000, 90_000, 7).select("id", chunk_of("id", s).alias("c")).orderBy("id").collect()]
+    assert at == sorted(at)  # never decreasing, outside the counted range too
+    if target == 400:  # quiet stretches are merged: far fewer chunks than even ones of the narrowest width
+        assert len(set(n[CHUNK])) < 100_000 / s.even / 4
+    for w in (s, Stretches(4, 0, (0,), (0,))):
+        rows_ = {tuple(x) for x in row_index(d.filter("t is not null").withColumn("id", F.monotonically_increasing_id()), ["k"], ["t", "id"], w, "i").filter("k = 'hot'").select("t", "i").collect()}
+        hot = sorted(x[1] for x in rows if x[0] == "hot")
+        assert rows_ == {(t, i + 1) for i, t in enumerate(hot)}
+    assert stretches(d.limit(0), ["k"], "t", 4).even > 0 and stretches(d, [], "t", 4, 100, 64).ids[-1] > 0

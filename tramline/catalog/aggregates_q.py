@@ -101,7 +101,7 @@ def line_aggregate(spark, sf):
     from tramline.operators.windows import bin_lags
 
     a = _window(spark, sf, 900_000_000).withColumn("hour_cos_first", F.lit(0.0))
-    b = bin_lags(a, ["stop_id", "route_id", "direction"], "bin", "delay_seconds_mean", 3, 900 * US, 300 * US, 4 * width(spark, sf), "_b")
+    b = bin_lags(a, ["stop_id", "route_id", "direction"], "bin", "delay_seconds_mean", 3, 900 * US, 300 * US, width(spark, sf), "_b")
     b = b.withColumnsRenamed({f"_b{i}": f"delay_{i}_before" for i in (1, 2, 3)})
     d = ag.line_aggregate(b, "bin", 1800 * US, "alert_in_next_15m_max").drop("hour_sin", "hour_cos", "dow")
     return rnd(d, "delay_mean_line", "delay_max_line", "delay_std_line", "delay_1_before_mean", "delay_2_before_mean", "delay_3_before_mean", "headway_mean_line", "headway_std_line", "pct_stops_delayed",
@@ -289,11 +289,10 @@ def recovery_curve(spark, sf):
 SELECT ph.city_id, ph.phase, count(DISTINCT CASE WHEN t.unscheduled THEN t.trip END) AS n_trips, round(count(*) FILTER (t.unscheduled) / count(*), 6) AS share_rows
 FROM ph JOIN trains t ON t.route = ph.route AND t.t >= ph.lo AND t.t < ph.hi GROUP BY 1, 2""")
 def phase_trips(spark, sf):
-    from tramline.operators.intervals import THREE_PHASES, phase_windows, range_join
+    from tramline.operators.intervals import THREE_PHASES, phase_trips as run
 
-    win = phase_windows(city_events(spark, sf).select("city_id", "route", "start_t", "end_t"), "start_t", "end_t", 5400 * US, THREE_PHASES).drop("start_t", "end_t")
-    rows = range_join(trains(spark, sf).select("route", "t", "trip", "unscheduled"), win, ["route"], "t", "lo", "hi", 2 * HOUR_US)
-    return rnd(ag.phase_distinct(rows, ["city_id"], "phase", "trip", F.col("unscheduled")), "share_rows")
+    d = run(trains(spark, sf), city_events(spark, sf), "route", "t", "trip", F.col("unscheduled"), "start_t", "end_t", ["city_id"], 5400 * US, width(spark, sf, ("route",)), THREE_PHASES)
+    return rnd(d.select("city_id", "phase", "n_trips", "share_rows"), "share_rows")
 
 
 @query("weather_effect", with_(TRAINS, WEATHER) + """, j AS (SELECT delay, CAST(temp > 60 AS INTEGER) AS hot, CAST(rain > 10 AS INTEGER) AS wet FROM trains t JOIN weather w ON t.day = w.day AND CAST(t.sec // 3600 AS INTEGER) = w.hour)
@@ -424,7 +423,7 @@ SELECT CAST(floor(rel / 5) * 5 AS BIGINT) AS rel_bin, round(avg(n30), 6) AS mean
 def throughput_before_suspension(spark, sf):
     from tramline.operators.windows import rolling_time_stats
 
-    d = rolling_time_stats(trains(spark, sf), ["stop"], "t", {"m": "delay"}, 30 * MIN_US, "n30")
+    d = rolling_time_stats(trains(spark, sf), ["stop"], "t", {"m": "delay"}, 30 * MIN_US, "n30", width(spark, sf))
     d = asof.asof_forward(d, alerts(spark, sf).filter("category = 'Suspension'"), ["route"], "t", "at", [], ["alert_id"], width(spark, sf))
     return rnd(ag.relative_curve(d.withColumn("rel", (F.col("next_at") - F.col("t")) / MIN_US), "rel", "n30", 0, 60, 5), "mean")
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators.ordered import chunk_width
+from tramline.operators.ordered import Stretches, stretches
 
 US = 1_000_000
 MIN_US = 60 * US
@@ -20,7 +20,7 @@ HOUR_US = 3600 * US
 DAY_US = 24 * HOUR_US
 #: rows that a chunk of a key may hold
 CHUNK_ROWS = 1_000_000
-_WIDTHS: dict[tuple[str, str], int] = {}
+_WIDTHS: dict[tuple, Stretches] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,14 +44,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def width(spark: SparkSession, sf: str) -> int:
-    """Chunk of the order axis: the widest at which the busiest stop keeps within ``CHUNK_ROWS``.
+def width(spark: SparkSession, sf: str, by: tuple[str, ...] = ("stop",)) -> Stretches:
+    """Chunks of the trains' order axis in which no value of ``by`` has more than ``CHUNK_ROWS`` rows.
 
-    Stops are the coarsest keys of the trains, so finer keys stay within it too. Counted once per table.
+    Stops are the coarsest keys of most queries, so finer keys keep it too; queries over all rows ask for the empty key. Counted once per
+    table and key.
     """
-    key = (spark.sparkContext.applicationId, sf)
+    return chunks(trains(spark, sf), by, "t", MIN_US, (sf, *by))
+
+
+def chunks(df: DataFrame, by, t: str, finest: int, name: tuple) -> Stretches:
+    """Chunks of any table's order axis, counted once per ``name``."""
+    key = (df.sparkSession.sparkContext.applicationId, t, finest, *name)
     if key not in _WIDTHS:
-        _WIDTHS[key] = chunk_width(trains(spark, sf), ["stop"], "t", MIN_US, CHUNK_ROWS)
+        _WIDTHS[key] = stretches(df, list(by), t, finest, CHUNK_ROWS)
     return _WIDTHS[key]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import ALERTS, HOUR_US, TRAINS, US, width, WEATHER, alerts, query, r6, table, trains, us, weather, with_
+from tramline.catalog.base import ALERTS, DAY_US, HOUR_US, TRAINS, US, width, WEATHER, alerts, chunks, query, r6, table, trains, us, weather, with_
 from tramline.catalog.clean_q import PLACE, hav_sql, stations
 from tramline.operators import clean, joins, ranking
 from tramline.operators.intervals import map_stations, radius_join
@@ -56,8 +56,13 @@ def horizon_fallback(spark, sf):
 @query("best_match", """SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, abs(epoch_us(l_shipdate) - epoch_us(o_orderdate)) AS gap FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(epoch_us(l_shipdate) - epoch_us(o_orderdate)), l_linenumber, l_partkey, l_suppkey) = 1""")
 def best_match(spark, sf):
-    j = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("gap", F.abs(us("l_shipdate") - us("o_orderdate")))
-    return joins.best_match(j, ["o_orderkey"], F.col("gap"), ["l_linenumber", "l_partkey", "l_suppkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "gap")
+    from tramline.operators.asof import nearest
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("k"), us("o_orderdate").alias("t"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), us("l_shipdate").alias("s"), "l_linenumber", "l_partkey", "l_suppkey")
+    ids = ["l_linenumber", "l_partkey", "l_suppkey"]
+    d = nearest(o, li, ["k"], "t", "s", ids, ids, chunks(li, ["k"], "s", DAY_US, (sf, "lineitem")), prefix="")
+    return d.filter("gap is not null").select("o_orderkey", *ids, "gap")
 
 
 CUSTOMER_AT = "SELECT c_custkey, 40.5::DOUBLE + (c_custkey * 29 % 401) * 0.001::DOUBLE AS clat, -74.0::DOUBLE + (c_custkey * 31 % 503) * 0.001::DOUBLE AS clon FROM customer"
@@ -184,7 +189,7 @@ def top_groups(spark, sf):
 
 @query("latest_rows", with_(TRAINS) + "SELECT event_id, t FROM trains ORDER BY t DESC, event_id DESC LIMIT 500")
 def latest_rows(spark, sf):
-    return ranking.latest(trains(spark, sf), ORD, 500, width(spark, sf)).select("event_id", "t")
+    return ranking.latest(trains(spark, sf), ORD, 500, width(spark, sf, ())).select("event_id", "t")
 
 
 @query("sample_fraction", "SELECT event_id FROM events WHERE substring(md5(CAST(event_id AS VARCHAR)), 1, 8) < '4ccccccc'")
@@ -198,7 +203,7 @@ SPLIT = ("train", "valid", "test")
 @query("split_by_rows", with_(TRAINS) + """, r AS (SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS i, count(*) OVER () AS n FROM trains)
 SELECT event_id, CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.85::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM r""")
 def split_by_rows(spark, sf):
-    return ranking.split_by_rows(trains(spark, sf), ORD, (0.7, 0.85), SPLIT, width(spark, sf)).select("event_id", "split")
+    return ranking.split_by_rows(trains(spark, sf), ORD, (0.7, 0.85), SPLIT, width(spark, sf, ())).select("event_id", "split")
 
 
 @query("split_by_days", with_(TRAINS) + """, d AS (SELECT list_sort(list(DISTINCT day)) AS ds FROM trains), c AS (SELECT ds[CAST(floor(len(ds) * 0.7::DOUBLE) AS INTEGER) + 1] AS c1, ds[CAST(floor(len(ds) * 0.85::DOUBLE) AS INTEGER) + 1] AS c2 FROM d)

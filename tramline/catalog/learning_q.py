@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import HOUR_US, MIN_US, TRAINS, US, width, query, r6, table, trains, with_
+from tramline.catalog.base import HOUR_US, MIN_US, TRAINS, US, chunks, width, query, r6, table, trains, with_
 from tramline.operators import aggregates as ag
 from tramline.operators import graph, metrics, models, prep, windows
 from tramline.plans import questions
@@ -33,6 +33,14 @@ def label_encode(spark, sf):
     return prep.encode(te, prep.vocabulary(tr.withColumn("trip", F.col("trip") + 5), "trip"), "trip").select("event_id", "trip_code")
 
 
+@query("label_encode_text", """WITH v AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT c_name AS name FROM customer WHERE c_nationkey <> 7))
+SELECT c_custkey, coalesce(code, -1) AS name_code FROM customer LEFT JOIN v ON c_name = name""")
+def label_encode_text(spark, sf):
+    """Names that all begin alike; those of one nation are not in the training part."""
+    c = table(spark, sf, "customer").withColumnRenamed("c_name", "name")
+    return prep.encode(c, prep.vocabulary(c.filter("c_nationkey <> 7"), "name"), "name").select("c_custkey", "name_code")
+
+
 @query("target_encode", with_(TRAINS) + PARTS + """, m AS (SELECT trip + 5 AS trip, avg(delay) AS m FROM tr GROUP BY 1)
 SELECT event_id, round(coalesce(m, (SELECT avg(delay) FROM tr)), 6) AS enc FROM te LEFT JOIN m USING (trip)""")
 def target_encode(spark, sf):
@@ -305,7 +313,7 @@ f AS (SELECT stop, bin, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY s
 
 
 def _grid(spark, sf):
-    return graph.spatio_temporal_grid(trains(spark, sf), "stop", "t", HOUR_US, ["delay"], 8 * width(spark, sf), US)
+    return graph.spatio_temporal_grid(trains(spark, sf), "stop", "t", HOUR_US, ["delay"], width(spark, sf), US)
 
 
 @query("spatio_temporal_grid", STGRID + " SELECT stop, bin, round(delay, 6) AS delay, round(sin(2 * pi() * hour(make_timestamp(bin)) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(make_timestamp(bin)) / 24), 6) + 0.0 AS hour_cos, CAST(isodow(make_timestamp(bin)) - 1 AS INTEGER) AS dow FROM f")
@@ -383,7 +391,7 @@ l AS (SELECT trip, event_id, avg(delay) OVER (PARTITION BY route ORDER BY tl, tr
 SELECT trip, event_id, round(m, 6) AS line_mean5, d AS line_diff FROM l WHERE trip = 11""")
 def trip_features(spark, sf):
     d = windows.trip_end(trains(spark, sf), ["trip"], ORD, "delay", "t", width(spark, sf))
-    d = questions.trip_features(d, "trip", 11, ["route"], "stops_left", "time_left", "delay", HOUR_US, ["event_id"])
+    d = questions.trip_features(d, "trip", 11, ["route"], "stops_left", "time_left", "delay", chunks(d, ["route"], "time_left", MIN_US, (sf, "left by route")), ["event_id"])
     return rnd(d.select("trip", "event_id", "line_mean5", "line_diff"), "line_mean5")
 
 

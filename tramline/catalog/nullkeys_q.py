@@ -38,7 +38,7 @@ def unrouted_positions(spark, sf):
 SELECT event_id, CASE WHEN route IS NOT NULL THEN round(avg(delay) OVER w, 6) END AS mean_30m, CASE WHEN route IS NULL THEN 0 ELSE count(*) OVER w END AS n_30m
 FROM u WINDOW w AS (PARTITION BY route ORDER BY t RANGE BETWEEN 1800000000 PRECEDING AND 1 PRECEDING)""")
 def unrouted_rolling(spark, sf):
-    d = windows.rolling_time_stats(off_route(spark, sf), ["route"], "t", {"mean_30m": "delay"}, 30 * MIN_US, "n_30m")
+    d = windows.rolling_time_stats(off_route(spark, sf), ["route"], "t", {"mean_30m": "delay"}, 30 * MIN_US, "n_30m", 7 * MIN_US)
     return d.select("event_id", r6("mean_30m").alias("mean_30m"), "n_30m")
 
 

@@ -114,12 +114,12 @@ SELECT event_id, delay, un AS is_unscheduled, lag(fd, 1) OVER tw AS lagged_delay
 FROM f WINDOW tw AS (PARTITION BY trip ORDER BY t, event_id)""")
 def live_rows(spark, sf):
     """Observed arrivals against repeated schedules, best match, live features."""
-    from tramline.catalog.base import width
+    from tramline.catalog.base import chunks, width
 
     t = us("ts")
     o = table(spark, sf, "events").select("event_id", F.col("user_id").alias("trip"), F.col("event_type").alias("stop"), (F.floor(t / US) % 86400).alias("act"), t.alias("t"), (F.col("user_id") % 7).alias("route"))
     stop = F.element_at(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     s = table(spark, sf, "orders").select(F.col("o_custkey").alias("trip"), stop.alias("stop"), (F.col("o_orderkey") * 997 % 86400).alias("sched"), "o_orderkey")
-    m = cut(realtime.match_observed(o, s, ["trip", "stop"], ["event_id"], "act", "sched", ["o_orderkey"]), "matched")
+    m = cut(realtime.match_observed(o, s, ["trip", "stop"], "act", "sched", ["o_orderkey"], chunks(s, ["trip", "stop"], "sched", 60, (sf, "schedule by stop"))), "matched")
     d = realtime.live_features(m, ["trip"], ["stop"], ["route"], ["t", "event_id"], width(spark, sf))
     return d.select("event_id", "delay", "is_unscheduled", "lagged_delay_1", "lagged_delay_2", "headway", r6("route_rolling_delay").alias("route_rolling_delay"))

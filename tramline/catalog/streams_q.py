@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import ALERTS, CITY, MIN_US, TRAINS, US, width, alerts, city_events, query, r6, table, trains, us, with_
+from tramline.catalog.base import ALERTS, CITY, MIN_US, TRAINS, US, width, alerts, chunks, city_events, query, r6, table, trains, us, with_
 from tramline.session import scratch_path
 from tramline.sources import feeds, lake
 from tramline.streaming import jobs
@@ -224,7 +224,7 @@ def match_schedule_stream(spark, sf):
     path = scratch_path(spark, "match")
     s = table(spark, sf, "orders").select((F.col("o_custkey") + 9).alias("trip"), (F.col("o_orderkey") * 997 % 86400).alias("sched"), "o_orderkey")
     live = train_stream(spark, sf).withColumn("act", F.floor(F.col("t") / US) % 86400)
-    jobs.run_batches(jobs.match_live(live, s, ["trip"], "act", "sched"), jobs.best_per_batch(path, ["event_id"], "delay", ["o_orderkey"]), spark, "match")
+    jobs.run_batches(live, jobs.match_per_batch(path, s, ["trip"], "act", "sched", ["o_orderkey"], chunks(s, ["trip"], "sched", 60, (sf, "schedule"))), spark, "match")
     return spark.read.parquet(path).select("event_id", "delay", "is_unscheduled")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import ALERTS, CITY, HOUR_US, MIN_US, TRAINS, US, width, alerts, city_events, query, r6, trains, us, with_, table
+from tramline.catalog.base import ALERTS, CITY, HOUR_US, MIN_US, TRAINS, US, width, alerts, chunks, city_events, query, r6, trains, us, with_, table
 from tramline.operators import asof, intervals, ordered, windows
 
 ORD = ["t", "event_id"]
@@ -91,7 +91,7 @@ SELECT stop, route, direction, bin,
  round(CASE WHEN bin - lag(bin, 3) OVER w <= 3 * 3600000000 + 300000000 THEN lag(d, 3) OVER w END, 6) AS lag3
 FROM b WINDOW w AS (PARTITION BY stop, route, direction ORDER BY bin)""")
 def gap_checked_lag(spark, sf):
-    d = windows.bin_lags(_bins(spark, sf), KEYS, "bin", "d", 3, HOUR_US, 300 * US, 4 * width(spark, sf))
+    d = windows.bin_lags(_bins(spark, sf), KEYS, "bin", "d", 3, HOUR_US, 300 * US, width(spark, sf))
     return d.select(*KEYS, "bin", *[r6(f"lag{i}").alias(f"lag{i}") for i in (1, 2, 3)])
 
 
@@ -99,7 +99,7 @@ def gap_checked_lag(spark, sf):
 SELECT stop, route, direction, bin, round(coalesce(lag(d, 2) OVER w, 0), 6) AS lag2, round(coalesce(lag(d, 4) OVER w, 0), 6) AS lag4, round(coalesce(lag(d, 6) OVER w, 0), 6) AS lag6
 FROM b WINDOW w AS (PARTITION BY stop, route, direction ORDER BY bin)""")
 def spaced_lags(spark, sf):
-    d = windows.spaced_lags(_bins(spark, sf), KEYS, ["bin"], "d", (2, 4, 6), 4 * width(spark, sf))
+    d = windows.spaced_lags(_bins(spark, sf), KEYS, ["bin"], "d", (2, 4, 6), width(spark, sf))
     return d.select(*KEYS, "bin", *[r6(f"lag{i}").alias(f"lag{i}") for i in (2, 4, 6)])
 
 
@@ -107,7 +107,7 @@ def spaced_lags(spark, sf):
 SELECT stop, route, direction, bin, round(avg(d) OVER w, 6) AS roll4_mean, round(max(d) OVER w, 6) AS roll4_max, round(coalesce(stddev_samp(d) OVER w, 0), 6) AS roll4_std
 FROM b WINDOW w AS (PARTITION BY stop, route, direction ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
 def rolling_line_stats(spark, sf):
-    d = windows.rolling_line(_bins(spark, sf), KEYS, ["bin"], "d", 4, 4 * width(spark, sf))
+    d = windows.rolling_line(_bins(spark, sf), KEYS, ["bin"], "d", 4, width(spark, sf))
     return d.select(*KEYS, "bin", r6("roll4_mean").alias("roll4_mean"), r6("roll4_max").alias("roll4_max"), r6("roll4_std").alias("roll4_std"))
 
 
@@ -129,7 +129,7 @@ FROM (SELECT *, floor(value) AS value_s FROM trains)
 WINDOW w AS (PARTITION BY stop ORDER BY t RANGE BETWEEN 1800000000 PRECEDING AND 1 PRECEDING)""")
 def rolling_30min(spark, sf):
     df = trains(spark, sf).withColumn("value_s", F.floor("value").cast("double"))
-    d = windows.rolling_time_stats(df, ["stop"], "t", {"mean_delay_30m": "delay", "mean_value_30m": "value_s"}, 30 * MIN_US, "n_trains_30m")
+    d = windows.rolling_time_stats(df, ["stop"], "t", {"mean_delay_30m": "delay", "mean_value_30m": "value_s"}, 30 * MIN_US, "n_trains_30m", width(spark, sf))
     return d.select("event_id", r6("mean_delay_30m").alias("mean_delay_30m"), r6("mean_value_30m").alias("mean_value_30m"), "n_trains_30m")
 
 
@@ -179,7 +179,7 @@ def line_features(spark, sf):
     tr = trains(spark, sf)
     ends = tr.groupBy("trip", "day").agg(F.max("t").alias("e"))
     d = tr.join(ends, ["trip", "day"]).withColumn("tl", F.col("e") - F.col("t"))
-    return windows.line_features(d, ["route", "direction"], ["tl", "event_id"], "delay", HOUR_US).select("event_id", r6("line_mean5").alias("line_mean5"), "line_diff")
+    return windows.line_features(d, ["route", "direction"], ["tl", "event_id"], "delay", chunks(d, ["route", "direction"], "tl", MIN_US, (sf, "left by line"))).select("event_id", r6("line_mean5").alias("line_mean5"), "line_diff")
 
 
 @query("newest_per_group", with_(TRAINS) + """
@@ -195,7 +195,7 @@ q AS (SELECT stop, route, direction, bin, d, count(*) OVER w AS n, first_value(b
  FROM b WINDOW w AS (PARTITION BY stop, route, direction ORDER BY bin ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY stop, route, direction ORDER BY bin))
 SELECT stop, route, direction, bin, round(d, 6) AS target, h1_bin, round(h1, 6) AS h1, round(h8, 6) AS h8 FROM q WHERE n = 8""")
 def history_8_bins(spark, sf):
-    d = windows.history(_bins(spark, sf), KEYS, ["bin"], ["bin", "d"], 8, 4 * width(spark, sf))
+    d = windows.history(_bins(spark, sf), KEYS, ["bin"], ["bin", "d"], 8, width(spark, sf))
     return d.select(*KEYS, "bin", r6("d").alias("target"), F.col("history")[0]["bin"].alias("h1_bin"), r6(F.col("history")[0]["d"]).alias("h1"), r6(F.col("history")[7]["d"]).alias("h8"))
 
 
@@ -285,7 +285,7 @@ SELECT t.event_id, count(a.at) AS n_active, count(a.at) FILTER (a.category = 'Su
 FROM trains t LEFT JOIN alerts a ON t.route = a.route AND a.at BETWEEN t.t - 7200000000 AND t.t GROUP BY t.event_id""")
 def active_count_120m(spark, sf):
     s = {"n_active": F.lit(1).cast("bigint"), "n_suspension": (F.col("category") == "Suspension").cast("bigint")}
-    d = ordered.lookback_sums(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", 120 * MIN_US, s, closed="both")
+    d = ordered.lookback_sums(trains(spark, sf), alerts(spark, sf), ["route"], "t", "at", 120 * MIN_US, s, closed="both", width=width(spark, sf, ("route",)))
     return d.select("event_id", "n_active", "n_suspension", (F.col("n_active") > 0).cast("int").alias("alert_active"))
 
 
@@ -295,7 +295,7 @@ SELECT t.event_id, count(c.city_id) AS n_events,
  count(c.city_id) FILTER (t.sec < c.start_s) AS n_before, count(c.city_id) FILTER (t.sec BETWEEN c.start_s AND c.end_s) AS n_during, count(c.city_id) FILTER (t.sec > c.end_s) AS n_after
 FROM trains t LEFT JOIN city c ON t.route = c.route AND t.day = c.day AND t.sec BETWEEN c.start_s - 5400 AND c.end_s + 5400 GROUP BY t.event_id""")
 def join_events(spark, sf):
-    d = intervals.join_events(trains(spark, sf), city_events(spark, sf), ["route", "day"], "sec", "start_s", "end_s", "kind", "score")
+    d = intervals.join_events(trains(spark, sf), city_events(spark, sf), ["route", "day"], "sec", "start_s", "end_s", "kind", "score", width=max(60, width(spark, sf, ("route",)).even // US))
     return d.select("event_id", "n_events", "event_kind", "n_before", "n_during", "n_after")
 
 
@@ -353,7 +353,7 @@ SELECT ph.city_id, ph.phase, round(avg(t.delay) FILTER (t.route = ph.route), 6)
  round(avg(t.delay) FILTER (t.route = ph.route) - avg(t.delay) FILTER (t.route <> ph.route), 6) AS net_impact
 FROM ph LEFT JOIN trains t ON t.t >= ph.lo AND t.t < ph.hi WHERE ph.phase IN ('entry', 'exit') GROUP BY 1, 2""")
 def event_impact(spark, sf):
-    d = intervals.event_impact(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id"], 5400 * US, width(spark, sf))
+    d = intervals.event_impact(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id"], 5400 * US, width(spark, sf, ("route",)), width(spark, sf, ()))
     return d.select("city_id", "phase", *[r6(c).alias(c) for c in ("mean_stop", "mean_rest", "net_impact")])
 
 
@@ -378,4 +378,4 @@ def circular_window_rows(spark, sf):
 @query("row_positions", with_(TRAINS) + """
 SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS pos FROM trains""")
 def row_positions(spark, sf):
-    return ordered.row_index(trains(spark, sf), [], ORD, width(spark, sf), "pos").select("event_id", "pos")
+    return ordered.row_index(trains(spark, sf), [], ORD, width(spark, sf, ()), "pos").select("event_id", "pos")

@@ -386,13 +386,6 @@ def linear_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
 
 
-def phase_distinct(rows: DataFrame, keep: Sequence[str], phase: str, trip: str, cond: Column) -> DataFrame:
-    """Distinct trips meeting a condition, and their share, per event and phase."""
-    return rows.groupBy(*keep, phase).agg(
-        F.countDistinct(F.when(cond, F.col(trip))).alias("n_trips"), (F.count_if(cond) / F.count(F.lit(1))).alias("share_rows")
-    )
-
-
 def weather_effect(df: DataFrame, flags: Sequence[str], value: str) -> DataFrame:
     """Mean of a value with and without each weather flag."""
     one = df.agg(*[x for f in flags for x in (F.avg(F.when(F.col(f) == 1, F.col(value))).alias(f"_1_{f}"), F.avg(F.when(F.col(f) == 0, F.col(value))).alias(f"_0_{f}"))])

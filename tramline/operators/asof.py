@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.operators.ordered import CHUNK, _spread, chunk_of
+from tramline.operators.ordered import CHUNK, _spread, chunk_of, even_width, known_key
 
 
 def _asof(
@@ -87,6 +87,31 @@ def asof_both(left, right, by, lt, rt, cols=(), tie=(), width=3600.0, strict_for
     return _asof(left, right, by, lt, rt, cols, tie, width, {"backward": (prefixes[0], False), "forward": (prefixes[1], strict_forward)}, tolerance)
 
 
+def nearest(left, right, by, lt, rt, cols=(), tie=(), width=3600.0, period=None, prefix="near_") -> DataFrame:
+    """The key's right row nearest to each left time, with its time, ``cols`` and the gap; no row is fanned out.
+
+    The nearest one before and the nearest one behind are found on one shuffle and the closer one is taken; equal gaps and
+    equal times take the least ``tie``. With ``period`` times lie on a circle (seconds of the day): the key's last
+    row also stands one period earlier and its first one a period later, so midnight is no border.
+    """
+    by, cols, tie = list(by), list(cols), list(tie)
+    place = (lambda c: F.pmod(F.col(c), F.lit(period))) if period else F.col
+    usable = F.col(rt).isNotNull() if (known := known_key(by)) is None else known & F.col(rt).isNotNull()
+    item = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(tie)], F.col(rt).alias("t"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    r = right.filter(usable).select(*by, place(rt).alias("_rt"), item.alias("_item")).groupBy(*by, "_rt").agg(F.min("_item").alias("_item"))
+    if period:
+        ends = r.groupBy(*by).agg(F.min(F.struct("_rt", "_item")).alias("_first"), F.max(F.struct("_rt", "_item")).alias("_last"))
+        around = F.array(F.struct((F.col("_first._rt") + period).alias("_rt"), F.col("_first._item").alias("_item")), F.struct((F.col("_last._rt") - period).alias("_rt"), F.col("_last._item").alias("_item")))
+        r = r.unionByName(ends.select(*by, F.explode(around).alias("_e")).select(*by, "_e._rt", "_e._item"))
+    got = asof_both(left.withColumn("_lt", place(lt)), r, by, "_lt", "_rt", ["_item"], (), width, prefixes=("_b", "_f"))
+    back, ahead = F.col("_lt") - F.col("_b_rt"), F.col("_f_rt") - F.col("_lt")
+    first = ahead.isNull() | (back < ahead) | ((back == ahead) & (F.col("_b_item") <= F.col("_f_item")))
+    use = back.isNotNull() & first
+    best, gap = F.when(use, F.col("_b_item")).otherwise(F.col("_f_item")), F.when(use, back).otherwise(ahead)
+    outs = [F.col("_best.t").alias(f"{prefix}{rt}"), *[F.col(f"_best.v{i}").alias(f"{prefix}{c}") for i, c in enumerate(cols)], F.col("_gap").alias(f"{prefix}gap")]
+    return got.withColumns({"_best": best, "_gap": gap}).select(*left.columns, *outs)
+
+
 def value_at_horizons(
     df: DataFrame,
     by: Sequence[str],
@@ -112,7 +137,7 @@ def value_at_horizons(
     shifts = F.array(*[F.struct(F.lit(i).alias("_hi"), F.lit(horizons[n]).alias("_hs")) for i, n in enumerate(names)])
     copies = reading.withColumn("_x", F.explode(shifts)).select(*by, "_v", *ties, F.col("_x._hi").alias("_hi"), (F.col("_rt") - F.col("_x._hs")).alias("_t"))
     # a reading is visible up to the tolerance on both sides: at most two chunks when width >= 2 * tolerance
-    w_chunk = max(width, 2 * tolerance)
+    w_chunk = max(even_width(width), 2 * tolerance)
     spots = F.array_distinct(F.array(*[chunk_of(F.col("_t") + F.lit(d), w_chunk) for d in (-tolerance, 0, tolerance)]))
     copies = copies.withColumn(CHUNK, F.explode(spots)).withColumn("_role", F.lit(0))
     probe = df.withColumn("_t", F.col(t)).withColumn(CHUNK, chunk_of("_t", w_chunk)).withColumn("_role", F.lit(1))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.scalars import haversine_m
-from tramline.operators.ordered import CHUNK, _spread, known_key, sums_until
+from tramline.operators.dominance import distinct_in_intervals
+from tramline.operators.ordered import CHUNK, _spread, even_width, known_key, sums_until
 
 EVENT_PAD_S = 5400
 NO_EVENT = "Ninguno"
@@ -25,18 +26,20 @@ def join_events(
     kind: str,
     score: str,
     pad: float = EVENT_PAD_S,
+    width: float | None = None,
 ) -> DataFrame:
     """City events around each train at its stop and day.
 
     Adds the number of events whose padded interval holds the train time, the kind of the one with
     the highest score, and the counts before ``[start-pad, start)``, during ``[start, end]`` and
     after ``(end, end+pad]``. No pair of train and event is formed: time is cut into chunks no longer
-    than a padded interval (``2 * pad``), so inside a chunk an interval is open on at least one side.
+    than a padded interval (``2 * pad``, or ``width`` where a hot key needs less), so inside a chunk an interval is
+    open on at least one side; chunks it covers whole get one row of totals a chunk, added up before they are sent.
     Counts are running sums of +1/-1 steps, the best kind a running maximum from each side.
     An end before its start is read as past midnight (+86400).
     """
     by = list(by)
-    w = 2 * pad
+    w = 2 * pad if width is None else min(2 * pad, even_width(width))
     ev = events.filter(known_key(by) & F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn(
         "_e", F.when(F.col(end) < F.col(start), F.col(end) + 86_400).otherwise(F.col(end))
     )
@@ -156,14 +159,30 @@ def event_phases(trains: DataFrame, events: DataFrame, stop: str, t: str, value:
     return got.select(*keep, "phase", F.when(F.col("n_rows") > 0, F.col("_sum") / F.col("n_rows")).alias("mean_value"), "n_rows")
 
 
-def event_impact(trains: DataFrame, events: DataFrame, stop: str, t: str, value: str, start: str, end: str, keep: Sequence[str], unit: float, width: float) -> DataFrame:
-    """Mean at the event's stop against the rest of the network on entry and exit, and net impact."""
+def phase_trips(trains: DataFrame, events: DataFrame, stop: str, t: str, trip: str, cond: Column, start: str, end: str, keep: Sequence[str], unit: float, width, phases=THREE_PHASES) -> DataFrame:
+    """Distinct trips with a row that meets ``cond`` per event and phase, and the share of such rows; phases with rows only."""
+    win = phase_windows(events.select(*dict.fromkeys([stop, *keep, start, end])), start, end, unit, phases)
+    ids = [*keep, "phase"]
+    met = F.coalesce(cond, F.lit(False))
+    rows = interval_stats(win, trains, [stop], "lo", "hi", t, {"_n": F.lit(1).cast("bigint"), "_met": met.cast("bigint")}, width, ids)
+    n = distinct_in_intervals(win, trains.filter(met), [stop], "lo", "hi", t, trip, ids, width, "n_trips")
+    return rows.filter("_n > 0").join(n, ids).select(*ids, "n_trips", (F.col("_met") / F.col("_n")).alias("share_rows"))
+
+
+def event_impact(trains: DataFrame, events: DataFrame, stop: str, t: str, value: str, start: str, end: str, keep: Sequence[str], unit: float, width: float, net_width: float | None = None) -> DataFrame:
+    """Mean at the event's stop against the rest of the network on entry and exit, and net impact.
+
+    Network totals are the stops' totals of each instant added up, and running totals of these over the time axis; ``net_width`` is a
+    chunk width of that axis for all stops together.
+    """
     phases = (("entry", "start", -1, "start", 0), ("exit", "end", 0, "end", 1))
     win = phase_windows(events, start, end, unit, phases)
     sums = {"_sum": F.col(value), "_n": F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("bigint")}
     ids = [*keep, "phase"]
     here = interval_stats(win, trains, [stop], "lo", "hi", t, sums, width, ids)
-    net = interval_stats(win.withColumn("_net", F.lit(0)), trains.withColumn("_net", F.lit(0)), ["_net"], "lo", "hi", t, sums, width, ids)
+    # passages without a stop are no part of the network
+    per_stop = trains.filter(F.col(stop).isNotNull()).groupBy(stop, t).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    net = interval_stats(win, per_stop, [], "lo", "hi", t, {"_sum": F.col("_sum"), "_n": F.col("_n")}, width if net_width is None else net_width, ids)
     net = net.select(*ids, F.col("_sum").alias("_asum"), F.col("_n").alias("_an"))
     j = here.join(net, ids)
     at_stop = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))

@@ -22,6 +22,19 @@ def match_schedule(actual: DataFrame, schedule: DataFrame, on: Sequence[str], ac
     return j.withColumn("delay", wrap_delay(d) if wrap else d).withColumn("is_unscheduled", F.col(scheduled_t).isNull())
 
 
+def match_nearest(actual: DataFrame, schedule: DataFrame, on: Sequence[str], actual_t: str, scheduled_t: str, tie: Sequence[str] = (), width: float = 3600, cols: Sequence[str] = ()) -> DataFrame:
+    """J10/ST6: each passage with the schedule row of its key nearest on the clock, and the delay; one row a passage.
+
+    Times are seconds of the day and nearness wraps at midnight; passages without a schedule row are flagged unscheduled.
+    """
+    from tramline.functions.scalars import wrap_delay
+    from tramline.operators.asof import nearest
+
+    j = nearest(actual, schedule, on, actual_t, scheduled_t, cols, tie, width, period=86_400, prefix="_near_")
+    j = j.withColumnsRenamed({f"_near_{c}": c for c in [scheduled_t, *cols]}).drop("_near_gap")
+    return j.withColumn("delay", wrap_delay(F.col(actual_t) - F.col(scheduled_t))).withColumn("is_unscheduled", F.col(scheduled_t).isNull())
+
+
 def join_weather(df: DataFrame, weather: DataFrame, on: Sequence[str] = ("day", "hour"), how: str = "left") -> DataFrame:
     """Weather of the day and hour. Spark broadcasts it by measured size when it fits."""
     return df.join(weather, list(on), how)

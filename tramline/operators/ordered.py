@@ -15,10 +15,13 @@ nothing within a range of them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.session import cut
+
 CHUNK = "_chunk"
 #: chunk of rows without a time: they sort after all others
 _NO_TIME = 1 << 60
@@ -42,14 +45,82 @@ def _spread(by: Sequence[str], order: Sequence[str], chunk: Column) -> Column:
     return _if_known(by, chunk, F.pmod(F.xxhash64(*order), F.lit(1 << 20)))
 
 
-def chunk_of(t: str | Column, width: float, reverse: bool = False) -> Column:
+@dataclass(frozen=True)
+class Stretches:
+    """Chunk borders that follow the data: quiet stretches of the axis are merged, busy ones are split.
+
+    The axis is cut into steps of ``unit`` from step ``first`` on. Step i begins chunk ``ids[i]`` (the same one for merged
+    steps) and is split into ``2 ** splits[i]`` even parts. Times before the first or behind the last step fall into the
+    first or last chunk.
+    """
+
+    unit: int
+    first: int
+    ids: tuple[int, ...]
+    splits: tuple[int, ...]
+
+    @property
+    def even(self) -> int:
+        """A width for operators that need an even one: that of the narrowest chunk."""
+        if any(self.splits):
+            return self.unit >> max(self.splits)
+        return self.unit if self.ids[-1] else 2 * self.unit * len(self.ids)
+
+    def of(self, c: Column) -> Column:
+        if not self.ids[-1] and not any(self.splits):
+            return F.when(c.isNotNull(), F.lit(0).cast("bigint"))
+        listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  # one literal, folded once
+        step = F.floor(c / F.lit(self.unit)).cast("bigint") - F.lit(self.first)
+        at = F.greatest(F.lit(0), F.least(step, F.lit(len(self.ids) - 1))).cast("int")
+        parts = F.pow(F.lit(2.0), F.get(listed(self.splits), at)).cast("bigint")
+        inside = F.floor((c - (step + F.lit(self.first)) * F.lit(self.unit)) * parts / F.lit(self.unit)).cast("bigint")
+        part = F.when(step < 0, 0).when(step >= len(self.ids), parts - 1).otherwise(F.least(inside, parts - 1))
+        return F.when(c.isNotNull(), F.get(listed(self.ids), at) + part)
+
+
+def even_width(width) -> float:
+    return width.even if isinstance(width, Stretches) else width
+
+
+def chunk_of(t: str | Column, width: float | Stretches, reverse: bool = False) -> Column:
     c = F.col(t) if isinstance(t, str) else t
-    out = F.floor(c / F.lit(width)).cast("bigint")
+    out = width.of(c) if isinstance(width, Stretches) else F.floor(c / F.lit(width)).cast("bigint")
     if reverse:
         out = -out
     return F.coalesce(out, F.lit(_NO_TIME))
 
 
+def stretches(df: DataFrame, by: Sequence[str], t: str, finest: int, target: int = 1_000_000, steps: int = 1024) -> Stretches:
+    """Borders along ``t`` with which no chunk of a key holds more than ``target`` rows (or is ``finest`` wide).
+
+    Rows are counted by key and finest step; of each of at most ``steps`` coarse steps the driver gets the
+    fullest key's rows and the splits it needs, and merges neighbours while their sum keeps the target. ``t`` may be any order
+    axis, also one that folds onto itself like the time left.
+    """
+    known = _if_known(by, F.col(t).isNotNull(), F.lit(True)) if by else F.col(t).isNotNull()
+    fine = cut(df.filter(known & F.col(t).isNotNull()).groupBy(*by, F.floor(F.col(t) / finest).cast("bigint").alias(CHUNK)).agg(F.count(F.lit(1)).alias("n")), "steps")
+    lo, hi = fine.agg(F.min(CHUNK), F.max(CHUNK)).first()
+    if lo is None:
+        return Stretches(finest, 0, (0,), (0,))
+    top = 0
+    while (hi >> top) - (lo >> top) >= steps:
+        top += 1
+    wide = fine.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn(CHUNK, F.expr(f"shiftright({CHUNK}, {top} - _j)"))
+    most = wide.groupBy(*by, "_j", CHUNK).agg(F.sum("n").alias("n")).groupBy("_j", CHUNK).agg(F.max("n").alias("n"))
+    most = most.groupBy(F.expr(f"shiftright({CHUNK}, _j)").alias("step"), "_j").agg(F.max("n").alias("n"))
+    rows = most.groupBy("step").agg(F.max(F.when(F.col("_j") == 0, F.col("n"))).alias("n"), F.min(F.when(F.col("n") <= target, F.col("_j"))).alias("j")).collect()
+    found = {r["step"]: (r["n"], top if r["j"] is None else r["j"]) for r in rows}
+    ids, splits, chunk, held = [], [], 0, 0
+    for step in range(lo >> top, (hi >> top) + 1):
+        n, j = found.get(step, (0, 0))
+        if held and (j or held + n > target):
+            chunk, held = chunk + 1, 0
+        ids.append(chunk)
+        splits.append(j)
+        chunk, held = (chunk + (1 << j), 0) if j else (chunk, held + n)
+    return Stretches(finest << top, lo >> top, tuple(ids), tuple(splits))
+
+
 def chunk_width(df: DataFrame, by: Sequence[str], t: str, finest: int, target: int = 1_000_000, doublings: int = 20) -> int:
     """The widest ``finest * 2^j`` for which no chunk of a key holds more than ``target`` rows (``finest`` if none does).
 
@@ -243,6 +314,15 @@ def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], width: flo
     return running_sums(df, by, order, {out: F.lit(1).cast("bigint")}, width, reverse=reverse, source=source, chunk_col=chunk_col)
 
 
+def _sub_blocks(span: int, width: float | Stretches | None) -> int:
+    """The least divisor of ``span`` that makes blocks of ``width`` or less."""
+    most = 1 if width is None else -(-span // max(1, int(even_width(width))))
+    if most <= 1:
+        return 1
+    divisors = {d for i in range(1, int(span**0.5) + 1) if span % i == 0 for d in (i, span // i)}
+    return min(d for d in divisors if d >= most) if most <= span else span
+
+
 def lookback_sums(
     left: DataFrame,
     right: DataFrame,
@@ -252,14 +332,19 @@ def lookback_sums(
     span: int,
     sums: dict[str, Column],
     closed: str = "left",
+    width: float | Stretches | None = None,
 ) -> DataFrame:
     """Sums over the ``right`` rows of the key in the ``span`` before each left row; whole-number times.
 
-    ``closed='left'`` is ``[t-span, t)``, ``'both'`` is ``[t-span, t]``. Time is cut into blocks of
-    ``span``; the range is a prefix of the own block plus a suffix of the block before, so each
-    right row is copied once and both parts are growing frames: linear work, and additions only.
+    ``closed='left'`` is ``[t-span, t)``, ``'both'`` is ``[t-span, t]``. Time is cut into sub-blocks that divide the span
+    and are no wider than ``width`` (one sub-block without it). A range is a prefix of its own sub-block, whole
+    sub-blocks that enter as one row of totals each, and a suffix of the farthest one: each right row is copied
+    once, the parts at both ends are growing frames, and there are additions only. A key as hot as may be is
+    split as finely as ``width`` says.
     """
     by = list(by)
+    m = _sub_blocks(span, width)
+    step = span // m
     xs = [f"_x_{n}" for n in sums]
     add = [F.coalesce(e, F.lit(0)).alias(x) for x, e in zip(xs, sums.values())]
     vals = right.filter(F.col(rt).isNotNull()).select(*by, F.col(rt).alias("_t"), *add)
@@ -268,19 +353,51 @@ def lookback_sums(
         rows = left.select(*left.columns, F.col(lt).alias("_t"), *add).withColumn("_own", F.lit(True)).withColumn("_row", F.lit(True))
     else:
         rows = left.withColumn("_t", F.col(lt)).withColumn("_row", F.lit(True)).unionByName(vals.withColumn("_own", F.lit(True)), allowMissingColumns=True)
-    rows = rows.unionByName(late, allowMissingColumns=True).withColumn(CHUNK, _spread(by, ["_t"], chunk_of("_t", span)))
+    rows = rows.unionByName(late, allowMissingColumns=True)
+    if m > 1:
+        rows = rows.unionByName(_whole_blocks(left, vals, by, lt, step, m, xs), allowMissingColumns=True)
+    rows = rows.withColumn(CHUNK, _spread(by, ["_t"], chunk_of("_t", step)))
     part = Window.partitionBy(*by, CHUNK)
-    # ascending: values of the own block before (or up to) the row's time
+    # ascending: values of the own sub-block before (or up to) the row's time, behind the totals of whole ones
     up = part.orderBy(F.col("_t").asc()).rangeBetween(Window.unboundedPreceding, -1 if closed == "left" else 0)
-    # descending: shifted values of the block before, back to the start of the range
+    # descending: shifted values of the farthest sub-block, back to the start of the range
     down = part.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_up{x}": F.sum(F.when(F.col("_own"), F.col(x))).over(up) for x in xs})
     rows = rows.withColumns({f"_dn{x}": F.sum(F.when(F.col("_late"), F.col(x))).over(down) for x in xs})
     zero = F.lit(0)
-    outs = [_if_known(by, F.coalesce(F.col(f"_up{x}"), zero) + F.coalesce(F.col(f"_dn{x}"), zero), zero).alias(n) for x, n in zip(xs, sums)]
+    if m > 1:  # the one row of totals of the sub-block
+        rows = rows.withColumns({f"_md{x}": F.max(f"_mid{x}").over(part) for x in xs})
+    mid = lambda x: F.coalesce(F.col(f"_md{x}"), zero) if m > 1 else zero
+    outs = [_if_known(by, F.coalesce(F.col(f"_up{x}"), zero) + mid(x) + F.coalesce(F.col(f"_dn{x}"), zero), zero).alias(n) for x, n in zip(xs, sums)]
     return rows.filter("_row").select(*left.columns, *outs)
 
 
+def _whole_blocks(left: DataFrame, vals: DataFrame, by: Sequence[str], lt: str, step: int, m: int, xs: Sequence[str]) -> DataFrame:
+    """One row per (key, sub-block) that is asked: totals of the ``m - 1`` sub-blocks before it, placed at its start."""
+    asked = left.filter(_if_known(by, F.col(lt).isNotNull(), F.lit(False)) if by else F.col(lt).isNotNull()).select(*by, chunk_of(lt, step).alias(CHUNK)).distinct()
+    known = vals.filter(_if_known(by, F.lit(True), F.lit(False))) if by else vals
+    totals = known.groupBy(*by, chunk_of("_t", step).alias(CHUNK)).agg(*[F.sum(x).alias(x) for x in xs])
+    spine = totals.unionByName(asked, allowMissingColumns=True).groupBy(*by, CHUNK).agg(*[F.sum(x).alias(x) for x in xs])
+    before = Window.partitionBy(*by).orderBy(CHUNK).rangeBetween(-(m - 1), -1)
+    return spine.select(*by, (F.col(CHUNK) * F.lit(step)).alias("_t"), *[F.sum(x).over(before).alias(f"_mid{x}") for x in xs])
+
+
+def positions(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+    """Position from 1 of every row in the whole order, without one sort of all rows.
+
+    Rows are dealt into ranges whose borders Spark draws from the values, so values that all begin alike are spread too; each range
+    is numbered apart and the sizes of the ranges before it are added. The dealt rows are written, so that
+    ranges stay as they were counted.
+    """
+    order = list(order)
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return at.join(offsets, "_range").select(*df.columns, (F.col("_i") + F.col("_before")).alias(out))
+
+
 def sums_until(
     probes: DataFrame,
     points: DataFrame,

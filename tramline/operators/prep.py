@@ -8,20 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.operators.ordered import running_sums
+from tramline.operators.ordered import positions
 
 
 def vocabulary(train: DataFrame, col: str) -> DataFrame:
-    """M1/M2: codes of the training values in their order, from 0.
-
-    Ranks are chunked by the value's leading part, so a long vocabulary is no single sort.
-    """
-    from pyspark.sql import types as T
-
-    vals = train.select(F.col(col)).filter(F.col(col).isNotNull()).distinct()
-    text = isinstance(train.schema[col].dataType, T.StringType)
-    lead = F.substring(col, 1, 4) if text else F.floor(F.col(col).cast("double") / 4096)
-    return running_sums(vals, [], [col], {"_i": F.lit(1)}, chunk=lead).select(col, (F.col("_i") - 1).cast("int").alias("code"))
+    """M1/M2: codes of the training values in their order, from 0; texts and numbers alike, however alike they begin."""
+    vals = train.select(col).filter(F.col(col).isNotNull()).distinct()
+    return positions(vals, [col], "_i").select(col, (F.col("_i") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact quantiles, equal-frequency bins and box statistics without gathering a group.
 
 ``percentile`` keeps every distinct value of a group in one task's memory. Here values are counted
-first (map-side), then placed by running counts over value buckets, and only the two values around
-each wanted position are kept.
+first (map-side), then placed by running counts over value buckets. Buckets that hold a wanted position and still have many
+values are cut again, between their own least and greatest value, until few are left to rank.
 """
 
 from __future__ import annotations
@@ -13,40 +13,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.session import cut
 
 #: buckets per unit of log(1 + |value|): about 0.2 percent of a value each
 BUCKETS = 512
+#: parts into which a bucket is cut again
+PARTS = 4096
+#: distinct values that one task may rank
+RANKED = 1_000_000
 
 
 def value_bucket(col: str) -> Column:
     """A non-decreasing step function of the value, fine near zero and for long tails alike."""
     c = F.col(col)
-    return (F.signum(c) * F.floor(F.log1p(F.abs(c)) * BUCKETS)).cast("bigint")
+    return (F.signum(c) * F.floor(F.least(F.log1p(F.abs(c)), F.lit(1000.0)) * BUCKETS)).cast("bigint")
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: dict[str, float], ranked: int = RANKED) -> DataFrame:
     """One row per group with linearly interpolated quantiles, as ``percentile`` would give.
 
-    Values are counted map-side; bucket totals tell which few buckets hold a wanted position, and
-    only their values are ranked.
+    Values are counted map-side into a written table. Bucket totals tell which few buckets hold a wanted position; as long as
+    one of them has more than ``ranked`` distinct values, those buckets are cut into ``PARTS`` even parts between
+    their least and greatest value and counted again, so columns with a large offset end in small buckets too. Only
+    the last buckets' values are ranked.
     """
     by = list(by)
-    counts = (
-        df.filter(F.col(col).isNotNull())
-        .groupBy(*by, F.col(col).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", value_bucket("_v"))
-    )
-    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_s"))
-    prev = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by)
-    at = totals.select(*by, "_b", "_s", F.coalesce(F.sum("_s").over(prev), F.lit(0)).alias("_before"), F.sum("_s").over(every).alias("_size"))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    part = cut(counts, "counts").withColumns({"_base": F.lit(0).cast("bigint"), "_b": value_bucket("_v")})
     lo_at = {n: F.floor(q * (F.col("_size") - 1)) for n, q in qs.items()}
     hi_at = {n: F.ceil(q * (F.col("_size") - 1)) for n, q in qs.items()}
     inside = lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_s"))
     wanted = reduce(lambda a, b: a | b, [inside(p) for p in [*lo_at.values(), *hi_at.values()]])
-    hit = counts.join(at.filter(wanted).drop("_s"), [*by, "_b"])
-    w = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    size, had = F.sum("_s").over(Window.partitionBy(*by)), -1
+    while True:
+        keys = [*by, "_base"]
+        totals = part.groupBy(*keys, "_b").agg(F.sum("_n").alias("_s"), F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *([F.max("_size").alias("_size")] if had >= 0 else []))
+        prev = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        at = totals.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_s").over(prev), F.lit(0)))
+        at = at if had >= 0 else at.withColumn("_size", size)
+        at = cut(at.filter(wanted), "borders")
+        hit = (part.drop("_size") if had >= 0 else part).join(at.drop("_s"), [*keys, "_b"])
+        most = at.agg(F.max("_k")).first()[0] or 0
+        if most <= ranked or most == had:  # (equal buckets hold values that doubles cannot part)
+            break
+        had = most
+        even = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)
+        part = hit.select(*by, "_v", "_n", F.col("_before").alias("_base"), F.when(F.col("_hi") > F.col("_lo"), even).otherwise(0).cast("bigint").alias("_b"), "_size")
+    w = Window.partitionBy(*by, "_before").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = hit.withColumn("_last", F.col("_before") + F.sum("_n").over(w) - 1)
     first, last = F.col("_last") - F.col("_n") + 1, F.col("_last")
     pick = lambda pos: F.max(F.when((first <= pos) & (last >= pos), F.col("_v")))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators.ordered import row_index
+from tramline.operators.ordered import positions, row_index
 
 
 def top_by_prediction(df: DataFrame, preds: Sequence[str], k: int, tie: Sequence[str] = ()) -> DataFrame:
@@ -46,10 +46,12 @@ def split_by_rows(df: DataFrame, order: Sequence[str], fractions: Sequence[float
 
 
 def split_by_groups(df: DataFrame, key: str, fractions: Sequence[float], names: Sequence[str], out: str = "split") -> DataFrame:
-    """Temporal split by distinct days or bins, which are few: one small sorted list."""
-    days = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    arr = days.agg(F.array_sort(F.collect_list(key)).alias("_days"))
-    cuts = arr.select(*[F.get("_days", F.floor(F.size("_days") * F.lit(f)).cast("int")).alias(f"_c{i}") for i, f in enumerate(fractions)])
+    """Temporal split by distinct days or bins; these are numbered range by range, and only the borders come together."""
+    at = positions(df.select(key).filter(F.col(key).isNotNull()).distinct(), [key], "_i")
+    total = at.agg(F.count(F.lit(1)).alias("_n"))
+    wanted = [F.floor(F.col("_n") * F.lit(f)) + 1 for f in fractions]
+    cuts = at.crossJoin(F.broadcast(total))  # one row
+    cuts = cuts.agg(*[F.max(F.when(F.col("_i") == w, F.col(key))).alias(f"_c{i}") for i, w in enumerate(wanted)])
     j = df.filter(F.col(key).isNotNull()).crossJoin(F.broadcast(cuts))  # one row
     col = None
     for i, name in enumerate(names[:-1]):

@@ -142,13 +142,13 @@ def difference(df: DataFrame, by, order, value: str, width: float, out: str) ->
     return p.withColumn(out, F.col(value) - nth_prior("_p", value, 1)).drop("_p")
 
 
-def rolling_time_stats(df: DataFrame, by, t: str, values: dict[str, str], span: int, count_out: str) -> DataFrame:
-    """Means of the values and the row count over ``[t - span, t)`` of the key."""
+def rolling_time_stats(df: DataFrame, by, t: str, values: dict[str, str], span: int, count_out: str, width=None) -> DataFrame:
+    """Means of the values and the row count over ``[t - span, t)`` of the key, in sub-blocks no wider than ``width``."""
     sums = {count_out: F.lit(1).cast("bigint")}
     for out, v in values.items():
         sums[f"_s_{out}"] = F.col(v)
         sums[f"_n_{out}"] = F.when(F.col(v).isNotNull(), 1).otherwise(0).cast("bigint")
-    r = lookback_sums(df, df, by, t, t, span, sums, closed="left")
+    r = lookback_sums(df, df, by, t, t, span, sums, closed="left", width=width)
     return r.withColumns({o: F.when(F.col(f"_n_{o}") > 0, F.col(f"_s_{o}") / F.col(f"_n_{o}")) for o in values}).drop(
         *[f"_s_{o}" for o in values], *[f"_n_{o}" for o in values]
     )

@@ -12,10 +12,9 @@ from tramline.operators import aggregates, clean, joins, windows
 BAD_MATCH_S = 3600
 
 
-def match_observed(observed: DataFrame, schedule: DataFrame, on: Sequence[str], key: Sequence[str], actual_t: str, scheduled_t: str, tie: Sequence[str]) -> DataFrame:
+def match_observed(observed: DataFrame, schedule: DataFrame, on: Sequence[str], actual_t: str, scheduled_t: str, tie: Sequence[str], width=3600) -> DataFrame:
     """Every observed arrival with its closest schedule row, implausible ones unscheduled."""
-    d = joins.match_schedule(observed, schedule, on, actual_t, scheduled_t)
-    d = joins.best_match(d, key, F.abs(F.col("delay")), tie)
+    d = joins.match_nearest(observed, schedule, on, actual_t, scheduled_t, tie, width)
     d = clean.reject_bad_match(d, "delay", ["delay", scheduled_t], "is_unscheduled", BAD_MATCH_S)
     return clean.filter_outliers(d, "delay")
 

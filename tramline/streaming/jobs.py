@@ -102,17 +102,15 @@ def fresh_only(stream: DataFrame, arrival: str, now: str, cutoff: str) -> DataFr
     return clean.past_only(stream, now, arrival).filter(F.col(arrival) >= F.col(cutoff))
 
 
-def match_live(stream: DataFrame, schedule: DataFrame, on, actual_t: str, scheduled_t: str) -> DataFrame:
-    """ST6: stream-static left join with the schedule; the best match is chosen per batch."""
-    return joins.match_schedule(stream, schedule, on, actual_t, scheduled_t)
+def match_per_batch(path: str, schedule: DataFrame, on, actual_t: str, scheduled_t: str, tie, width) -> Callable[[DataFrame, int], None]:
+    """ST6: sink that gives each passage the schedule row of its key nearest on the clock; no candidates are formed.
 
-
-def best_per_batch(path: str, keys, cost: str, tie) -> Callable[[DataFrame, int], None]:
-    """ST6: sink that keeps the closest schedule row per passage. A repeated batch rewrites its own folder."""
+    A repeated batch rewrites its own folder.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        best = joins.best_match(batch, keys, F.abs(F.col(cost)), tie)
-        best.withColumn("batch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        got = joins.match_nearest(batch, schedule, on, actual_t, scheduled_t, tie, width)
+        got.withColumn("batch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return run
 
