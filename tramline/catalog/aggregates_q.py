@@ -436,3 +436,66 @@ def phases_by_kind(spark, sf):
 
     d = event_phases(trains(spark, sf), city_events(spark, sf), "route", "t", "delay", "start_t", "end_t", ["city_id", "kind"], 5400 * US, width(spark, sf), THREE_PHASES)
     return rnd(d.groupBy("kind", "phase").agg(F.avg("mean_value").alias("mean_value"), F.count("mean_value").alias("n_events")), "mean_value")
+
+
+@query("window_snapshot", with_(TRAINS) + WIN + "\nSELECT * REPLACE (1705314600000000 AS bin) FROM (" + _window_sql(HOUR_US * 24 * 366 * 100).replace(
+    f"CAST(floor(avg(t - (t // {HOUR_US * 24 * 366 * 100}) * {HOUR_US * 24 * 366 * 100}) / 1000000) AS BIGINT) AS merge_offset_s, ", "") + ")")
+def window_snapshot(spark, sf):
+    """The whole table as one snapshot, taken twenty minutes into an hour: it belongs to the half hour before."""
+    from tramline.plans.realtime import window_snapshot as run
+
+    now = F.lit(1_705_315_200_000_000 + 20 * MIN_US)
+    return run(_window_input(spark, sf), "t", 30 * MIN_US, now, onehot={"category": KINDS}, tie=["event_id"])
+
+
+OPEN = "('1', '4', '5')"
+FLAGS = {"wet": "rain > 10", "windy": "wind > 1", "hot": "temp > 60"}
+
+
+@query("weather_by_line_kind", with_(TRAINS, WEATHER) + ", j AS (SELECT CAST(delay AS DOUBLE) AS v, CAST(route AS VARCHAR) IN " + OPEN + " AS is_exterior, rain, wind, temp FROM trains t JOIN weather w ON t.day = w.day AND CAST(t.sec // 3600 AS INTEGER) = w.hour WHERE delay IS NOT NULL), f AS ("
+       + " UNION ALL ".join(f"SELECT '{k}' AS flag, is_exterior, v FROM j WHERE {c}" for k, c in FLAGS.items())
+       + """), q AS (SELECT flag, is_exterior, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM f GROUP BY ALL)
+SELECT flag, is_exterior, round(max(q1), 6) AS q1, round(max(median), 6) AS median, round(max(q3), 6) AS q3, min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+ count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers FROM f JOIN q USING (flag, is_exterior) GROUP BY flag, is_exterior""")
+def weather_by_line_kind(spark, sf):
+    j = join_weather(_hour(trains(spark, sf)), weather(spark, sf), how="inner").withColumns({k: F.expr(c).cast("int") for k, c in FLAGS.items()})
+    return rnd(ag.weather_by_line_kind(j, list(FLAGS), "route", "delay", ("1", "4", "5")), "q1", "median", "q3")
+
+
+@query("severity_horizons", with_(TRAINS, WEATHER) + """, w AS (SELECT day, hour, (temp - (SELECT avg(temp) FROM weather)) / (SELECT stddev_samp(temp) FROM weather) + (wind - (SELECT avg(wind) FROM weather)) / (SELECT stddev_samp(wind) FROM weather) AS s FROM weather),
+n AS (SELECT *, lead(delay) OVER (PARTITION BY trip, day ORDER BY t, event_id) AS nd, last_value(delay IGNORE NULLS) OVER (PARTITION BY trip, day ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fd FROM trains),
+j AS (SELECT s, delay, nd, fd FROM n JOIN w ON n.day = w.day AND n.sec // 3600 = w.hour)
+""" + " UNION ALL ".join(f"SELECT '{h}' AS horizon, round(regr_slope({c}, s), 6) AS slope, round(regr_intercept({c}, s), 6) AS intercept, CAST(regr_count({c}, s) AS BIGINT) AS n FROM j" for h, c in (("delay", "delay"), ("next_delay", "nd"), ("final_value", "fd"))))
+def severity_horizons(spark, sf):
+    """Weather severity against the present delay, that of the next stop and that at the trip's end."""
+    from tramline.operators.windows import next_stop, trip_end
+
+    d = next_stop(trains(spark, sf), ["trip", "day"], ORD, ["delay"], width(spark, sf))
+    d = trip_end(d, ["trip", "day"], ORD, "delay", "t", width(spark, sf)).withColumn("hour", F.floor(F.col("sec") / 3600).cast("int"))
+    w = ag.severity_index(weather(spark, sf), ["temp", "wind"]).select("day", "hour", "severity")
+    return rnd(ag.linear_fits(d.join(w, ["day", "hour"]), "severity", ["delay", "next_delay", "final_value"]), "slope", "intercept")
+
+
+PHASE3 = """, ph AS (SELECT city_id, route, 'before' AS phase, start_t - 5400000000 AS lo, start_t AS hi FROM city UNION ALL SELECT city_id, route, 'during', start_t, end_t FROM city UNION ALL SELECT city_id, route, 'after', end_t, end_t + 5400000000 FROM city)"""
+
+
+@query("phase_headway", with_(TRAINS, CITY) + """, h AS (SELECT *, (t - lag(t) OVER (PARTITION BY route ORDER BY t, event_id)) / 60000000.0::DOUBLE / (1 + floor(value / 10)) AS ratio FROM trains)"""
+       + PHASE3 + """ SELECT ph.city_id, ph.phase, round(avg(ratio), 5) AS mean_ratio, count(ratio) AS n_rows FROM ph LEFT JOIN h ON h.route = ph.route AND h.t >= ph.lo AND h.t < ph.hi GROUP BY 1, 2""")
+def phase_headway(spark, sf):
+    """Bunching around city events: observed over planned headway before, during and after."""
+    from tramline.operators.intervals import THREE_PHASES, event_phases
+    from tramline.operators.windows import headway
+
+    h = headway(trains(spark, sf), ["route"], ORD, width(spark, sf, ("route",)))
+    h = h.withColumn("ratio", F.col("headway") / MIN_US / (1 + F.floor(F.col("value") / 10)))
+    d = event_phases(h, city_events(spark, sf), "route", "t", "ratio", "start_t", "end_t", ["city_id"], 5400 * US, width(spark, sf, ("route",)), THREE_PHASES)
+    return d.select("city_id", "phase", F.round("mean_value", 5).alias("mean_ratio"), "n_rows")
+
+
+@query("phase_lines", with_(TRAINS, CITY) + PHASE3 + """
+SELECT ph.city_id, t.direction, ph.phase, round(avg(t.delay), 6) AS mean_value, count(t.delay) AS n_rows FROM ph JOIN trains t ON t.route = ph.route AND t.t >= ph.lo AND t.t < ph.hi WHERE t.delay IS NOT NULL GROUP BY ALL""")
+def phase_lines(spark, sf):
+    from tramline.operators.intervals import phase_lines as run
+
+    d = run(trains(spark, sf), city_events(spark, sf), "route", "direction", "t", "delay", "start_t", "end_t", ["city_id"], 5400 * US, width(spark, sf, ("route",)))
+    return rnd(d.select("city_id", "direction", "phase", "mean_value", "n_rows"), "mean_value")

@@ -299,6 +299,19 @@ def chebyshev_terms(spark, sf):
     return rnd(d, "t0", "t1", "t2", n=4)
 
 
+def _power_sql(steps: int) -> str:
+    sql = NORM + ", v0 AS (SELECT src AS node, 1.0::DOUBLE + src % 7 AS x FROM (SELECT src FROM na UNION SELECT dst FROM na))"
+    for i in range(steps + 1):
+        sql += f", v{i + 1} AS (SELECT v.node, v.x - coalesce(sum(weight * u.x), 0) AS x FROM v{i} v LEFT JOIN na ON na.src = v.node LEFT JOIN v{i} u ON na.dst = u.node GROUP BY v.node, v.x)"
+    return sql + f" SELECT round(sum(a.x * b.x) / sum(a.x * a.x), 5) AS lambda_max FROM v{steps} a JOIN v{steps + 1} b USING (node)"
+
+
+@query("largest_eigenvalue", _power_sql(6))
+def largest_eigenvalue(spark, sf):
+    adj = cut(graph.normalized_adjacency(edges(spark, sf)), "adjacency")
+    return graph.largest_eigenvalue(adj, 6, 1 + F.col("src") % 7).select(F.round("lambda_max", 5).alias("lambda_max"))
+
+
 @query("diffusion_features", GAUSS + SIGNAL + """, dg AS (SELECT src, sum(weight) AS d FROM gw GROUP BY src), tw AS (SELECT src, dst, weight / d AS weight FROM gw JOIN dg USING (src)),
 h1 AS (SELECT sg.day, src AS node, sum(weight * x) AS hop1 FROM tw JOIN sg ON tw.dst = sg.node GROUP BY ALL), h2 AS (SELECT h1.day, src AS node, sum(weight * hop1) AS hop2 FROM tw JOIN h1 ON tw.dst = h1.node GROUP BY ALL)
 SELECT sg.day, sg.node, round(x, 4) AS x, round(hop1, 4) AS hop1, round(hop2, 4) AS hop2 FROM sg LEFT JOIN h1 USING (day, node) LEFT JOIN h2 USING (day, node)""")
@@ -509,6 +522,51 @@ def window_weight_search(spark, sf):
     return d.drop("seconds")
 
 
+def _fits_sql(features: str, test: str) -> str:
+    """All windows of the newest 1 to 7 periods of two days x four weight schemes, by Cramer's rule."""
+    sums = ["n", "a", "b", "aa", "ab", "bb", "y", "ay", "by_"]
+    of = dict(zip(sums, ["1", "a", "b", "a * a", "a * b", "b * b", "y", "a * y", "b * y"]))
+    det = lambda c: "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))".format(*c)
+    cols = [["n", "a", "b"], ["a", "aa", "ab"], ["b", "ab", "bb"], ["y", "ay", "by_"]]
+    rows = lambda m: [m[j][i] for i in range(3) for j in range(3)]
+    d = det(rows(cols[:3]))
+    beta = [f"{det(rows([cols[3] if j == i else cols[j] for j in range(3)]))} / {d} AS b{i}" for i in range(3)]
+    return with_(TRAINS) + f""", nx AS (SELECT *, lead(delay) OVER (PARTITION BY trip ORDER BY t, event_id) AS y FROM trains),
+r AS (SELECT CAST(y AS DOUBLE) AS y, {features}, CAST(day(day) - 1 AS INTEGER) // 2 AS p, day FROM nx WHERE y IS NOT NULL AND delay IS NOT NULL),
+m AS (SELECT p, row_number() OVER (ORDER BY p DESC) - 1 AS age, count(*) OVER () AS total, {', '.join(f'CAST(sum({e}) AS DOUBLE) AS {s}' for s, e in of.items())} FROM r WHERE day < DATE '{CUT}' GROUP BY p),
+w AS (SELECT win, scheme FROM (SELECT unnest(range(1, 8)) AS win), (SELECT unnest(['uniform', 'linear', 'exponential', 'step']) AS scheme)),
+f AS (SELECT w.win, scheme, m.*, least(win, total) AS c FROM w JOIN m ON age < win),
+g AS (SELECT *, CASE scheme WHEN 'uniform' THEN 1.0::DOUBLE WHEN 'linear' THEN c - age WHEN 'exponential' THEN exp(ln(10::DOUBLE) / greatest(c - 1, 1) * (c - 1 - age)) ELSE CASE age WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1 END END AS wt FROM f),
+s AS (SELECT win, scheme, CAST(count(*) AS INTEGER) AS n_periods, CAST(sum(n) AS BIGINT) AS n_train, {', '.join(f'sum(wt * {s}) AS {s}' for s in sums)} FROM g GROUP BY win, scheme),
+x AS (SELECT win, scheme, n_periods, n_train, {', '.join(beta)} FROM s)
+{test}"""
+
+
+FIT_TEST = f"""SELECT CAST(win AS INTEGER) AS "window", scheme, n_periods, n_train, round(avg(abs(y - b0 - b1 * a - b2 * b)), 4) AS test_mae, round(sqrt(avg(pow(y - b0 - b1 * a - b2 * b, 2))), 4) AS test_rmse,
+ round(1 - avg(pow(y - b0 - b1 * a - b2 * b, 2)) / var_pop(y), 6) AS test_r2 FROM x, r WHERE day >= DATE '{CUT}' GROUP BY ALL"""
+
+
+@query("window_weight_grid", _fits_sql("delay AS a, CAST(sec // 3600 AS DOUBLE) AS b", FIT_TEST))
+def window_weight_grid(spark, sf):
+    """Seven training windows x four weight schemes from one pass over each part."""
+    d = _next(spark, sf).filter("y is not null and delay is not null").withColumns({"hour": F.floor(F.col("sec") / 3600).cast("double"), "period": F.floor((F.dayofmonth("day") - 1) / 2).cast("string")})
+    fits = models.window_weight_fits(d.filter(f"day < date'{CUT}'"), d.filter(f"day >= date'{CUT}'"), "period", range(1, 8), ["uniform", "linear", "exponential", "step"], ["delay", "hour"], "y")
+    return rnd(fits.select("window", "scheme", "n_periods", "n_train", "test_mae", "test_rmse", "test_r2"), "test_mae", "test_rmse", n=4).withColumn("test_r2", r6("test_r2"))
+
+
+@query("strategy_comparison", with_(TRAINS) + f""", nx AS (SELECT *, lead(delay) OVER (PARTITION BY trip ORDER BY t, event_id) AS y FROM trains), r AS (SELECT y, delay AS a, sec // 3600 AS b, day < DATE '{CUT}' AS tr FROM nx WHERE y IS NOT NULL AND delay IS NOT NULL),
+one AS (SELECT sqrt(avg(pow(y - i - k * a, 2)) FILTER (NOT tr)) AS e FROM r, (SELECT regr_slope(y, a) AS k, regr_intercept(y, a) AS i FROM r WHERE tr))
+SELECT 'plain' AS strategy, CAST(1 AS INTEGER) AS candidates, round(e, 4) AS valid_rmse, TRUE AS no_worse FROM one UNION ALL SELECT 'grid', 6, NULL, TRUE UNION ALL SELECT 'random', 3, NULL, TRUE""")
+def strategy_comparison(spark, sf):
+    """The plain fit's error is held against SQL; the searches try more candidates (times differ from run to run and are left out)."""
+    d = _next(spark, sf).filter("y is not null and delay is not null").withColumn("hour", F.floor(F.col("sec") / 3600).cast("double"))
+    got = models.compare_strategies(d.filter(f"day < date'{CUT}'"), d.filter(f"day >= date'{CUT}'"), ["delay", "hour"], "y", {"delay": ["delay"], "both": ["delay", "hour"]}, [0.0, 10.0, 1000.0], 3)
+    plain = got.filter("strategy = 'plain'").select(F.col("valid_rmse").alias("_p"))
+    got = got.crossJoin(F.broadcast(plain))  # one row
+    no_worse = F.when(F.col("strategy") == "grid", F.col("valid_rmse") <= F.col("_p") + 1e-9).otherwise(True)
+    return got.select("strategy", "candidates", F.when(F.col("strategy") == "plain", F.round("valid_rmse", 4)).alias("valid_rmse"), no_worse.alias("no_worse"))
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf):
     tr, te = learning_rows(spark, sf)

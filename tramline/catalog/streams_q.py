@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tramline.catalog.base import ALERTS, CITY, MIN_US, TRAINS, US, width, alerts, chunks, city_events, query, r6, table, trains, us, with_
+from tramline.catalog.base import ALERTS, CITY, MIN_US, TRAINS, US, WEATHER, width, alerts, chunks, city_events, query, r6, table, trains, us, with_
 from tramline.session import scratch_path
 from tramline.sources import feeds, lake
 from tramline.streaming import jobs
@@ -159,13 +159,11 @@ SELECT g.event_id, z.lag1, z.lag2 FROM g JOIN z USING (trip, leg, run)"""
 
 @query("lag_state_stream", LAG_STATE_SQL)
 def lag_state_stream(spark, sf):
-    """The events come in a few files whose times overlap, one a micro-batch."""
-    src, sink = scratch_path(spark, "lag-files"), jobs.LagState(scratch_path(spark, "lags"), width(spark, sf))
-    t = trains(spark, sf).select("trip", "event_id", "t", "stop", "delay")
-    part = F.floor((F.col("t") + F.col("event_id") % 9 * MIN_US) / (12 * 24 * 60 * MIN_US))
-    for k in sorted(r[0] for r in t.select(part.alias("k")).distinct().collect()):  # a handful of periods
-        t.filter(part == k).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    """The events come period by period, a few files a micro-batch, whose times overlap."""
+    src, sink = scratch_path(spark, "lag-files"), jobs.LagState(scratch_path(spark, "lags"), width(spark, sf), merge=2)
+    t = trains(spark, sf).select("trip", "event_id", "t", "stop", "delay", (F.col("t") + F.col("event_id") % 9 * MIN_US).alias("came"))
+    jobs.deal_in_periods(t, "came", 12 * 24 * 60 * MIN_US, src)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(src).drop("came")
     jobs.run_batches(stream, sink, spark, "lags")
     sink.finish(spark)
     return sink.rows(spark).select("event_id", "lag1", "lag2")
@@ -228,22 +226,33 @@ def match_schedule_stream(spark, sf):
     return spark.read.parquet(path).select("event_id", "delay", "is_unscheduled")
 
 
-@query("enrich_stream", with_(TRAINS, ALERTS, CITY) + """, a AS (SELECT t.event_id, a.category FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t >= a.at),
-c AS (SELECT t.event_id, count(c.city_id) AS n_events FROM trains t LEFT JOIN city c ON t.route = c.route AND t.day = c.day AND t.sec BETWEEN c.start_s - 5400 AND c.end_s + 5400 GROUP BY 1) SELECT * FROM a JOIN c USING (event_id)""")
-def enrich_stream(spark, sf):
-    from tramline.operators import asof, intervals
+def _live(spark, sf):
+    return train_stream(spark, sf).withColumns({"day": F.to_date("ts"), "sec": F.floor(F.col("t") / US) % 86400}).drop("ts", "delay")
+
+
+def _enriched(spark, sf, **sources):
+    from tramline.plans.realtime import enrich_live
+
+    path, chunk = scratch_path(spark, "enrich"), width(spark, sf, ("route",))
+    step = lambda d: enrich_live(d, chunk, **{k: f(d.sparkSession, sf) for k, f in sources.items()})
+    jobs.run_batches(_live(spark, sf), jobs.enrich_per_batch(path, [step]), spark, "enrich")
+    return spark.read.parquet(path).select("event_id", F.col("last_category").alias("category"), "n_events", "temp", "rain")
 
-    path = scratch_path(spark, "enrich")
-    live = train_stream(spark, sf).withColumns({"day": F.to_date("ts"), "sec": F.floor(F.col("t") / US) % 86400}).drop("ts", "delay")
 
-    def with_events(d):
-        return intervals.join_events(d, city_events(d.sparkSession, sf), ["route", "day"], "sec", "start_s", "end_s", "kind", "score")
+@query("enrich_stream", with_(TRAINS, ALERTS, CITY, WEATHER) + """, a AS (SELECT t.event_id, a.category FROM trains t ASOF LEFT JOIN alerts a ON t.route = a.route AND t.t >= a.at),
+c AS (SELECT t.event_id, count(c.city_id) AS n_events FROM trains t LEFT JOIN city c ON t.route = c.route AND t.day = c.day AND t.sec BETWEEN c.start_s - 5400 AND c.end_s + 5400 GROUP BY 1),
+w AS (SELECT event_id, coalesce(temp, 0) AS temp, coalesce(rain, 0) AS rain FROM trains t LEFT JOIN weather w ON t.day = w.day AND CAST(t.sec // 3600 AS INTEGER) = w.hour)
+SELECT * FROM a JOIN c USING (event_id) JOIN w USING (event_id)""")
+def enrich_stream(spark, sf):
+    from tramline.catalog.base import weather
+
+    return _enriched(spark, sf, weather=weather, events=city_events, alerts=alerts)
 
-    def with_alert(d):
-        return asof.asof_backward(d, alerts(d.sparkSession, sf), ["route"], "t", "at", ["category"], ["alert_id"], width(spark, sf))
 
-    jobs.run_batches(live, jobs.enrich_per_batch(path, [with_events, with_alert]), spark, "enrich")
-    return spark.read.parquet(path).select("event_id", F.col("last_category").alias("category"), "n_events")
+@query("enrich_without_sources", with_(TRAINS) + "SELECT event_id, NULL::VARCHAR AS category, CAST(0 AS INTEGER) AS n_events, 0.0::DOUBLE AS temp, 0.0::DOUBLE AS rain FROM trains")
+def enrich_without_sources(spark, sf):
+    """No source has come: every live row still passes, with defaults."""
+    return _enriched(spark, sf)
 
 
 @query("monitor_stream", with_(TRAINS) + """, m AS (SELECT max(t) - 600000000 - 60000000 AS wm FROM trains),
@@ -256,6 +265,26 @@ def monitor_stream(spark, sf):
     return spark.read.parquet(path).withColumns({"before": r6("before"), "after": r6("after")})
 
 
+MONITOR_ROWS = with_(TRAINS) + """, m AS (SELECT least(max(t), max(t) FILTER (value > 60)) - 60000000 AS wm FROM trains), p AS (SELECT event_id, route, t, delay FROM trains WHERE value > 60),
+j AS (SELECT p.event_id, p.t, p.delay AS predicted, a.event_id AS actual_id, a.delay AS actual, abs(a.t - p.t - 600000000) AS gap
+ FROM p LEFT JOIN trains a ON p.route = a.route AND a.t BETWEEN p.t + 600000000 - 120000000 AND p.t + 600000000 + 120000000)
+SELECT event_id, predicted, actual_id, actual FROM j, m WHERE actual_id IS NOT NULL OR t + 720000000 < wm QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY gap NULLS LAST, actual_id) = 1"""
+
+
+@query("monitor_rows_stream", MONITOR_ROWS)
+def monitor_rows_stream(spark, sf):
+    """Predictions beside the value of their line ten minutes later; values that never came are null."""
+    src, path = scratch_path(spark, "monitor-files"), scratch_path(spark, "monitor-rows")
+    t = trains(spark, sf).select("event_id", "route", "t", "delay", "value")
+    jobs.deal_in_periods(t, "t", 8 * 24 * 60 * MIN_US, src)
+    live = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    pred = live.filter("value > 60").select("event_id", "route", F.timestamp_micros("t").alias("ts"), F.col("delay").alias("predicted"))
+    came = live.select(F.col("event_id").alias("actual_id"), "route", F.timestamp_micros("t").alias("actual_ts"), F.col("delay").alias("actual"))
+    jobs.run_to_table(jobs.monitor_rows(pred, came, "route", "ts", "actual_ts", "10 minutes", "2 minutes", "1 minute"), path)
+    rows = jobs.nearest_value(spark.read.parquet(path), ["event_id"], "ts", "actual_ts", "10 minutes", ["actual_id"])
+    return rows.select("event_id", "predicted", "actual_id", "actual")
+
+
 @query("scores_stream", "SELECT event_id, round(value / (value + 50), 6) AS probability FROM events WHERE value / (value + 50) >= 0.35")
 def scores_stream(spark, sf):
     path = scratch_path(spark, "scores")

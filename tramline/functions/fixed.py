@@ -76,3 +76,6 @@ FINAL_COLUMNS = (
     "category", "num_updates", "timestamp_start", "seconds_since_last_alert", "is_alert_just_published",
     "seconds_to_next_alert", "alert_in_next_15m", "alert_in_next_30m",
 )
+
+# fixed values: lines with much open track
+EXTERIOR_LINES = ("7", "N", "Q", "J", "Z", "B", "D")

@@ -9,7 +9,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.functions.fixed import EXTERIOR_LINES
 from tramline.operators.quantiles import exact_quantiles, quantile_bins
+from tramline.session import cut
 
 
 def _valued(v: str, order: Sequence[str]) -> Column:
@@ -149,9 +151,10 @@ def build_edges(df: DataFrame, trip: Sequence[str], order: Sequence[str], stop:
 
     nxt = next_stop(df, trip, order, [stop, t], width)
     e = nxt.withColumn("travel_time", F.col(f"next_{t}") - F.col(t)).filter(F.col(f"next_{stop}").isNotNull() & (F.col("travel_time") > 0))
-    e = e.select(F.col(stop).alias("src"), F.col(f"next_{stop}").alias("dst"), "travel_time")
-    n = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("trip_count"))
-    med = exact_quantiles(e, ["src", "dst"], "travel_time", {"median_travel_time": 0.5})
+    # the chain is followed once; counts and medians come from the counted travel times
+    e = cut(e.groupBy(F.col(stop).alias("src"), F.col(f"next_{stop}").alias("dst"), "travel_time").agg(F.count(F.lit(1)).alias("_n")), "edges")
+    n = e.groupBy("src", "dst").agg(F.sum("_n").alias("trip_count"))
+    med = exact_quantiles(e, ["src", "dst"], "travel_time", {"median_travel_time": 0.5}, weight="_n")
     return n.filter(F.col("trip_count") > min_count).join(med, ["src", "dst"])
 
 
@@ -391,3 +394,24 @@ def weather_effect(df: DataFrame, flags: Sequence[str], value: str) -> DataFrame
     one = df.agg(*[x for f in flags for x in (F.avg(F.when(F.col(f) == 1, F.col(value))).alias(f"_1_{f}"), F.avg(F.when(F.col(f) == 0, F.col(value))).alias(f"_0_{f}"))])
     arr = F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f"_1_{f}").alias("mean_with"), F.col(f"_0_{f}").alias("mean_without")) for f in flags])
     return one.select(F.explode(arr).alias("x")).select("x.*", (F.col("x.mean_with") - F.col("x.mean_without")).alias("delta"))
+
+
+def weather_by_line_kind(df: DataFrame, flags: Sequence[str], line: str, value: str, exterior: Sequence[str] = EXTERIOR_LINES) -> DataFrame:
+    """Box statistics of a value on lines with much open track against underground ones, per weather flag that is set.
+
+    A row counts under each of its flags; values are counted per group before they are ranked.
+    """
+    from tramline.operators.quantiles import box_stats
+
+    open_air = F.coalesce(F.col(line).cast("string").isin(*exterior), F.lit(False))
+    held = F.array_compact(F.array(*[F.when(F.col(f) == 1, F.lit(f)) for f in flags]))
+    rows = df.select(F.explode(held).alias("flag"), open_air.alias("is_exterior"), F.col(value).cast("double").alias("_v"))
+    return box_stats(rows, ["flag", "is_exterior"], "_v")
+
+
+def linear_fits(df: DataFrame, x: str, ys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Least-squares line of ``x`` against each horizon, in one pass; one row per group and horizon."""
+    aggs = [e.alias(f"{k}{i}") for i, y in enumerate(ys) for k, e in (("_s", F.regr_slope(y, x)), ("_i", F.regr_intercept(y, x)), ("_n", F.regr_count(y, x)))]
+    one = df.groupBy(*by).agg(*aggs)
+    lines = F.array(*[F.struct(F.lit(y).alias("horizon"), F.col(f"_s{i}").alias("slope"), F.col(f"_i{i}").alias("intercept"), F.col(f"_n{i}").alias("n")) for i, y in enumerate(ys)])
+    return one.select(*by, F.explode(lines).alias("_l")).select(*by, "_l.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tramline.functions.scalars import hour_cos, hour_sin
 from tramline.operators.joins import dense_grid
 from tramline.operators.windows import fill_gaps
+from tramline.session import cut
 
 
 def gaussian_edges(edges: DataFrame, dist: str = "median_travel_time") -> DataFrame:
@@ -60,16 +61,39 @@ def diffusion_features(signal: DataFrame, edges: DataFrame, node: str, value: st
     return out
 
 
-def chebyshev_features(signal: DataFrame, adjacency: DataFrame, node: str, value: str, keys: Sequence[str], order: int, lambda_max: float = 2.0) -> DataFrame:
+def largest_eigenvalue(adjacency: DataFrame, steps: int = 8, start: Column | None = None) -> DataFrame:
+    """One row ``lambda_max``, the largest eigenvalue of I - A by a bounded power iteration over the edge table.
+
+    Each step is one sparse product, written to the shared folder; the last one gives the Rayleigh quotient. The spectrum lies in [0, 2],
+    so vectors need no scaling for some hundred steps. ``start`` gives the first vector as a function of ``src``; it must not be
+    the same for all nodes, as the plain vector may lie in the kernel. The quotient comes from below and grows with the steps; it is
+    never above the true value, and an empty or edgeless graph gets the bound 2.
+    """
+    start = 1 + F.pmod(F.xxhash64("src"), F.lit(97)) / 97 if start is None else start
+    v = adjacency.select("src").union(adjacency.select("dst")).distinct().select(F.col("src").alias("node"), start.cast("double").alias("x"))
+    for _ in range(steps):
+        v = cut(_laplacian(v, adjacency, "node", "x", (), "x"), "power")
+    after = _laplacian(v, adjacency, "node", "x", (), "y")
+    quotient = F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") * F.col("x")), F.lit(0.0))
+    return after.agg(F.coalesce(F.nullif(quotient, F.lit(0.0)), F.lit(2.0)).alias("lambda_max"))
+
+
+def _laplacian(df: DataFrame, adjacency: DataFrame, node: str, col: str, keys: Sequence[str], out: str, c: float = 1.0, shift: float = 0.0) -> DataFrame:
+    """``c (I - A) x - shift x`` as column ``out`` beside the others."""
+    ax = spread(df, adjacency, node, col, keys, "_ax")
+    return df.join(ax, [*keys, node], "left").withColumn(out, (c - shift) * F.col(col) - c * F.coalesce("_ax", F.lit(0.0))).drop("_ax")
+
+
+def chebyshev_features(signal: DataFrame, adjacency: DataFrame, node: str, value: str, keys: Sequence[str], order: int, lambda_max: float | None = 2.0) -> DataFrame:
     """Chebyshev terms of the scaled Laplacian (2/lmax)(I - A) - I applied to a node signal.
 
-    With a normalised adjacency the spectrum of I - A lies in [0, 2], so lambda_max 2 is the bound.
+    With a normalised adjacency the spectrum of I - A lies in [0, 2], so lambda_max 2 is the bound; None takes
+    ``largest_eigenvalue``.
     """
-    c = 2.0 / lambda_max
+    c = 2.0 / (largest_eigenvalue(adjacency).first()[0] if lambda_max is None else lambda_max)
 
     def lap(df: DataFrame, col: str, out: str) -> DataFrame:
-        ax = spread(df, adjacency, node, col, keys, "_ax")
-        return df.join(ax, [*keys, node], "left").withColumn(out, (c - 1.0) * F.col(col) - c * F.coalesce("_ax", F.lit(0.0))).drop("_ax")
+        return _laplacian(df, adjacency, node, col, keys, out, c, 1.0)
 
     t = signal.select(*keys, node, F.col(value).cast("double").alias("t0"))
     if order >= 1:

@@ -159,6 +159,18 @@ def event_phases(trains: DataFrame, events: DataFrame, stop: str, t: str, value:
     return got.select(*keep, "phase", F.when(F.col("n_rows") > 0, F.col("_sum") / F.col("n_rows")).alias("mean_value"), "n_rows")
 
 
+def phase_lines(trains: DataFrame, events: DataFrame, stop: str, line: str, t: str, value: str, start: str, end: str, keep: Sequence[str], unit: float, width, phases=THREE_PHASES) -> DataFrame:
+    """Mean value and rows per event, phase and line of the event's stop; lines without a value in the phase are left out.
+
+    An event meets the few lines of its stop, never their rows.
+    """
+    lines = trains.select(stop, line).filter(F.col(line).isNotNull()).distinct()
+    win = phase_windows(events.select(*dict.fromkeys([stop, *keep, start, end])).join(lines, stop), start, end, unit, phases)
+    sums = {"_sum": F.col(value), "n_rows": F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("bigint")}
+    got = interval_stats(win, trains, [stop, line], "lo", "hi", t, sums, width, [*keep, line, "phase"])
+    return got.filter("n_rows > 0").select(*keep, line, "phase", (F.col("_sum") / F.col("n_rows")).alias("mean_value"), "n_rows")
+
+
 def phase_trips(trains: DataFrame, events: DataFrame, stop: str, t: str, trip: str, cond: Column, start: str, end: str, keep: Sequence[str], unit: float, width, phases=THREE_PHASES) -> DataFrame:
     """Distinct trips with a row that meets ``cond`` per event and phase, and the share of such rows; phases with rows only."""
     win = phase_windows(events.select(*dict.fromkeys([stop, *keep, start, end])), start, end, unit, phases)

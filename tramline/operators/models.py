@@ -7,6 +7,7 @@ import random
 import time
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -146,6 +147,104 @@ def window_weight_search(df: DataFrame, month: str, windows: Sequence[int], sche
     return df.sparkSession.createDataFrame(rows, "months int, scheme string, metric double, seconds double").orderBy("metric")
 
 
+def period_sums(df: DataFrame, period: str, features: Sequence[str], label: str) -> DataFrame:
+    """Sums of products of (1, features, label) per period, from which every weighted linear fit follows; rows with nulls are left out.
+
+    Columns ``p_i_j`` (i <= j), 0 being the constant and the last the label.
+    """
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in [*features, label]]]
+    known = df.na.drop(subset=[*features, label]).filter(F.col(period).isNotNull())
+    return known.groupBy(period).agg(*[F.sum(cols[i] * cols[j]).alias(f"p_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))])
+
+
+def _moments(rows: list, size: int) -> dict:
+    """Symmetric matrix of products per period."""
+    out = {}
+    for r in rows:
+        m = np.zeros((size, size))
+        for i in range(size):
+            for j in range(i, size):
+                m[i, j] = m[j, i] = r[f"p_{i}_{j}"]
+        out[r[0]] = m
+    return out
+
+
+def solve(m: np.ndarray, ridge: float = 0.0) -> np.ndarray:
+    """Coefficients of the least squares fit with products ``m``; ``ridge`` weighs the squares of all but the constant."""
+    g, b = m[:-1, :-1], m[:-1, -1]
+    pull = ridge * np.eye(len(g))
+    pull[0, 0] = 0.0
+    return np.linalg.lstsq(g + pull, b, rcond=None)[0]
+
+
+def squared_error(m: np.ndarray, beta: np.ndarray) -> float:
+    """Sum of squared errors of a fit over the rows behind ``m``, which need not be read again."""
+    v = np.append(-beta, 1.0)
+    return max(0.0, float(v @ m @ v))
+
+
+def scheme_weights(n: int, scheme: str) -> np.ndarray:
+    """M6 for n periods in order: uniform, linear, exponential (x10 over the span) or step; mean 1."""
+    w = {"uniform": np.ones(n), "linear": np.arange(1.0, n + 1), "exponential": np.exp(np.log(10) / max(n - 1, 1) * np.arange(n)), "step": np.array([1.0] * (n - 2) + [1.5, 3.0])[-n:]}[scheme]
+    return w / w.mean()
+
+
+def window_weight_fits(train: DataFrame, valid: DataFrame, period: str, windows: Sequence[int], schemes: Sequence[str], features: Sequence[str], label: str, ridge: float = 0.0) -> DataFrame:
+    """Training windows of the newest periods x recency weights, all combinations from one pass over each part.
+
+    The training part is read once for its sums of products per period; each combination solves their weighted sum. The
+    validation part is read once for the errors of all fits. The driver holds one small matrix per period and one row per combination.
+    """
+    from tramline.operators.prep import month_number
+
+    size = len(features) + 2
+    sums = _moments(period_sums(train, period, features, label).collect(), size)
+    order = sorted(sums, key=month_number)
+    fits = []
+    for n in windows:
+        part = [sums[p] for p in order[-n:]]
+        for s in schemes:
+            if part:
+                beta = solve(sum(w * m for w, m in zip(scheme_weights(len(part), s), part)), ridge)
+                whole = sum(part)
+                fits.append((n, s, len(part), int(whole[0, 0]), float(np.sqrt(squared_error(whole, beta) / whole[0, 0])), beta.tolist()))
+    known = valid.na.drop(subset=[*features, label])
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    off = [F.col(label) - sum((F.lit(b) * c for b, c in zip(f[5][1:], x[1:])), F.lit(f[5][0])) for f in fits]
+    aggs = [e.alias(f"{k}{i}") for i, o in enumerate(off) for k, e in (("a", F.avg(F.abs(o))), ("s", F.avg(o * o)))]
+    got = known.agg(F.var_pop(label).alias("v"), *aggs).first()
+    rows = []
+    for i, f in enumerate(fits):
+        mse, var = got[f"s{i}"], got["v"]
+        rows.append((*f, got[f"a{i}"], None if mse is None else float(np.sqrt(mse)), None if not var else 1 - mse / var))
+    schema = "window int, scheme string, n_periods int, n_train long, train_rmse double, coefficients array<double>, test_mae double, test_rmse double, test_r2 double"
+    return train.sparkSession.createDataFrame(rows, schema)
+
+
+def compare_strategies(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, subsets: dict[str, Sequence[str]], ridges: Sequence[float], draws: int, seed: int = 42) -> DataFrame:
+    """The best candidate of a full grid and of a random part of it beside the plain fit, with candidates and seconds per strategy.
+
+    Candidates are a subset of the features and a ridge. Sums of products of both parts are taken once; a candidate is then a small system on the
+    driver, judged on the temporal validation part by its root mean squared error.
+    """
+    t0 = time.time()
+    one = lambda df: _moments(period_sums(df.withColumn("_all", F.lit(0)), "_all", features, label).collect(), len(features) + 2).get(0)
+    a, b = one(train), one(valid)
+    read = time.time() - t0
+    grid = param_grid({"subset": list(subsets), "ridge": list(ridges)})
+    plans = {"plain": [{"subset": next(iter(subsets)), "ridge": 0.0}], "random": param_grid({"subset": list(subsets), "ridge": list(ridges)}, draws, seed), "grid": grid}
+    rows = []
+    for name, candidates in plans.items():
+        t0, found = time.time(), []
+        for c in candidates if a is not None and b is not None else []:
+            at = [0, *[1 + list(features).index(f) for f in subsets[c["subset"]]], len(features) + 1]
+            m, v = a[np.ix_(at, at)], b[np.ix_(at, at)]
+            found.append((float(np.sqrt(squared_error(v, solve(m, c["ridge"])) / v[0, 0])), c["subset"], float(c["ridge"])))
+        if found:
+            rows.append((name, len(candidates), *min(found), read + time.time() - t0))
+    return train.sparkSession.createDataFrame(rows, "strategy string, candidates int, valid_rmse double, subset string, ridge double, seconds double")
+
+
 def ablation(train: DataFrame, valid: DataFrame, label: str, fit: Callable, subsets: dict[str, Sequence[str]], metric: Callable[[DataFrame], float], **params) -> DataFrame:
     """Same parameters, other feature subsets."""
     rows = []

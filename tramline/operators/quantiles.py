@@ -29,8 +29,8 @@ def value_bucket(col: str) -> Column:
     return (F.signum(c) * F.floor(F.least(F.log1p(F.abs(c)), F.lit(1000.0)) * BUCKETS)).cast("bigint")
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: dict[str, float], ranked: int = RANKED) -> DataFrame:
-    """One row per group with linearly interpolated quantiles, as ``percentile`` would give.
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: dict[str, float], ranked: int = RANKED, weight: str | None = None) -> DataFrame:
+    """One row per group with linearly interpolated quantiles, as ``percentile`` would give; ``weight`` names a count of equal rows.
 
     Values are counted map-side into a written table. Bucket totals tell which few buckets hold a wanted position; as long as
     one of them has more than ``ranked`` distinct values, those buckets are cut into ``PARTS`` even parts between
@@ -38,7 +38,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: dict[str, fl
     the last buckets' values are ranked.
     """
     by = list(by)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     part = cut(counts, "counts").withColumns({"_base": F.lit(0).cast("bigint"), "_b": value_bucket("_v")})
     lo_at = {n: F.floor(q * (F.col("_size") - 1)) for n, q in qs.items()}
     hi_at = {n: F.ceil(q * (F.col("_size") - 1)) for n, q in qs.items()}
@@ -86,8 +86,8 @@ def quantile_bins(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFram
 def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR, outlier count; from counts of values, so a hot group is one row a value."""
     by = list(by)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    q = exact_quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    counts = cut(df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    q = exact_quantiles(counts, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="_n")
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(col).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return (

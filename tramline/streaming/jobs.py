@@ -45,38 +45,73 @@ class LagState:
     """ST1 on a stream: a ``foreachBatch`` sink that gives the rows of ``lag_state_batch``, whatever the micro-batches.
 
     A row is held back until rows up to ``late`` younger have come, so order within that bound does not matter; rows that
-    come later still are kept apart under ``late``. One state row per trip stays, as long as it can still matter. Every
-    batch reads the tables of the batch before and rewrites its own, so a repeated batch does no harm.
+    come later still are kept apart under ``late``. One state row per trip stays, as long as it can still matter.
+
+    State lies in ``buckets`` by a hash of the trip: every ``merge`` batches a whole state, between them one small table of changed trips
+    a batch. A batch reads the buckets of its own trips, of the last whole state and the changes since, and writes its changes
+    alone, so a few trips cost a few buckets. Which tables a batch reads follows from its number, and every batch writes its
+    own tables only, so a repeated batch does no harm.
     """
 
     COLS = ["trip", "event_id", "t", "stop", "delay"]
 
-    def __init__(self, path: str, width: float, late: int = 10 * 60 * 1_000_000, forget: int = FORGET_US):
-        self.path, self.width, self.late, self.forget, self.last = path, width, late, forget, -1
+    def __init__(self, path: str, width: float, late: int = 10 * 60 * 1_000_000, forget: int = FORGET_US, buckets: int = 64, merge: int = 8):
+        self.path, self.width, self.late, self.forget, self.last, self.buckets, self.merge = path, width, late, forget, -1, buckets, merge
 
     def _at(self, what: str, epoch: int) -> str:
         return f"{self.path}/{what}/epoch={epoch}"
 
+    def _bucket(self):
+        return F.pmod(F.xxhash64("trip"), F.lit(self.buckets)).cast("int")
+
+    def state(self, spark: SparkSession, schema, epoch: int, buckets: list[int] | None = None) -> DataFrame | None:
+        """Newest row of each trip before batch ``epoch``, of the named buckets only; None where nothing was written yet."""
+        whole = epoch // self.merge * self.merge - 1  # the batch after which the last whole state was written
+        paths = ([self._at("whole", whole)] if whole >= 0 else []) + [self._at("changes", e) for e in range(whole + 1, epoch)]
+        if not paths:
+            return None
+        found = None
+        for path in paths:
+            part = spark.read.schema(schema).parquet(path)
+            part = part if buckets is None else part.filter(F.col("bucket").isin(buckets))
+            found = part if found is None else found.unionByName(part)
+        return self._newest(found)
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
+        best = rows.groupBy("trip").agg(F.max_by(F.struct("event_id", "t", "stop", "delay", "lag1", "lag2"), F.struct("t", "event_id")).alias("r"))
+        return best.select("trip", "r.*")
+
     def __call__(self, batch: DataFrame, epoch: int, flush: bool = False) -> None:
         spark, self.last = batch.sparkSession, epoch
         batch = batch.select(*self.COLS)
+        kept = lambda df, what: df.write.mode("overwrite").parquet(self._at(what, epoch))
         read = lambda what: spark.read.parquet(self._at(what, epoch - 1))
         first = epoch == 0
         old = None if first else read("bound").first().bound
         newest = batch.agg(F.max("t")).first()[0]
         bound = max([b for b in (old, None if newest is None else newest - (0 if flush else self.late)) if b is not None], default=0)
-        spark.createDataFrame([(bound,)], "bound long").write.mode("overwrite").parquet(self._at("bound", epoch))
+        kept(spark.createDataFrame([(bound,)], "bound long"), "bound")
         rows = batch if first else batch.filter(F.col("t") > old).union(read("held").select(*self.COLS))
         if not first:
-            batch.filter(F.col("t") <= old).write.mode("overwrite").parquet(self._at("late", epoch))
-        ready = F.lit(True) if flush else F.col("t") <= bound
-        rows.filter(~ready).write.mode("overwrite").parquet(self._at("held", epoch))
-        state = None if first else read("state")
-        lag_state_batch(rows.filter(ready), self.width, state, self.forget).write.mode("overwrite").parquet(self._at("out", epoch))
-        out = spark.read.parquet(self._at("out", epoch))
-        both = out if state is None else out.unionByName(state)
-        newest_row = both.groupBy("trip").agg(F.max_by(F.struct("event_id", "t", "stop", "delay", "lag1", "lag2"), F.struct("t", "event_id")).alias("r"))
-        newest_row.select("trip", "r.*").filter(F.col("t") >= bound - self.forget).write.mode("overwrite").parquet(self._at("state", epoch))
+            kept(batch.filter(F.col("t") <= old), "late")
+        at_once = F.lit(True) if flush else F.col("t") <= bound
+        kept(rows.filter(~at_once), "held")
+        ready = rows.filter(at_once)
+        touched = sorted(r[0] for r in ready.select(self._bucket()).distinct().collect() if r[0] is not None)  # at most ``buckets``
+        schema = batch.withColumns({"lag1": F.lit(0.0), "lag2": F.lit(0.0), "bucket": F.lit(0)}).schema
+        state = self.state(spark, schema, epoch, touched)
+        if state is not None:
+            state = state.join(ready.select("trip").distinct(), "trip", "left_semi")
+        kept(lag_state_batch(ready, self.width, state, self.forget), "out")
+        out = spark.read.parquet(self._at("out", epoch)).filter(F.col("trip").isNotNull())
+        live = lambda df: df.filter(F.col("t") >= bound - self.forget).withColumn("bucket", self._bucket())
+        live(self._newest(out)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._at("changes", epoch))
+        if epoch % self.merge == self.merge - 1:
+            whole = self.state(spark, schema, epoch)
+            now = self._newest(spark.read.schema(schema).parquet(self._at("changes", epoch)))
+            both = now if whole is None else self._newest(now.unionByName(whole))
+            live(both).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._at("whole", epoch))
 
     def finish(self, spark: SparkSession) -> None:
         """Release the rows held back once the stream has ended."""
@@ -158,6 +193,37 @@ def monitor(stream: DataFrame, ts: str, key: str, value: str, after: str, width:
     return now.join(later, ["w", "k"])
 
 
+def monitor_rows(predictions: DataFrame, actuals: DataFrame, by: str, ts: str, actual_ts: str, after: str, tolerance: str, late: str) -> DataFrame:
+    """ST8: every prediction beside each value of its key that came ``after`` later, give or take ``tolerance``.
+
+    A stream-stream outer join in event time with watermarks on both sides: state is kept for the horizon and the lateness only, and
+    predictions whose value never came are given with nulls once the watermark has passed their range.
+    """
+    p = predictions.withWatermark(ts, late).withColumnRenamed(by, "_p")
+    a = actuals.withWatermark(actual_ts, late).withColumnRenamed(by, "_a")
+    reach = F.expr(
+        f"_p = _a and {actual_ts} >= {ts} + interval {after} - interval {tolerance} and {actual_ts} <= {ts} + interval {after} + interval {tolerance}"
+    )
+    return p.join(a, reach, "leftOuter").withColumnRenamed("_p", by).drop("_a")
+
+
+def nearest_value(rows: DataFrame, keys, ts: str, actual_ts: str, after: str, tie) -> DataFrame:
+    """ST8 on the rows a stream left behind: of the values of one prediction the one nearest to its horizon."""
+    gap = F.abs(F.unix_micros(actual_ts) - F.unix_micros(F.expr(f"{ts} + interval {after}")))
+    return joins.best_match(rows, keys, gap, tie)
+
+
+def deal_in_periods(df: DataFrame, t: str, period: int, path: str, files: int = 4) -> int:
+    """Write a table as files that arrive period by period, ``files`` a period, and return the number of periods.
+
+    One write job a period stands for its arrival; each is spread over ``files`` tasks, and a trigger takes as many files.
+    """
+    lo, hi = df.agg(F.floor(F.min(t) / period), F.floor(F.max(t) / period)).first()
+    for k in range(lo, hi + 1) if lo is not None else ():
+        df.filter((F.col(t) >= k * period) & (F.col(t) < (k + 1) * period)).repartition(files).write.mode("append").parquet(path)
+    return 0 if lo is None else hi - lo + 1
+
+
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> str:
     """Run a stream over all that is there and write its output table."""
     q: StreamingQuery = (
