@@ -503,7 +503,7 @@ def class_forecast(spark, sf):
 def permutation_importance(spark, sf):
     tr, te = learning_rows(spark, sf)
     m = models.fit_forest(tr, FEATS, "y", classify=False, numTrees=5, maxDepth=4)
-    return models.permutation_importance(m, te, FEATS, "y", {"delays": ["delay", "lag1", "lag2"], "calendar": ["hour"]}, "event_id", 10_000)
+    return models.permutation_importance(m, te, FEATS, "y", {"delays": ["delay", "lag1", "lag2"], "calendar": ["hour"]}, "event_id")
 
 
 @query("parameter_search")
@@ -580,3 +580,110 @@ def saved_model_scores(spark, sf):
     models.save_prep(path, models.fit_forest(tr, FEATS, "y", classify=False, numTrees=3, maxDepth=3), vocab=prep.vocabulary(tr, "stop"))
     m, tabs = models.load_prep(spark, path, "vocab")
     return models.score(m, prep.encode(te, tabs["vocab"], "stop"), FEATS).select("event_id", "stop_code", "prediction")
+
+
+# ---- models that SQL can state: one split, one tree, one binary feature ----------------------
+
+TWO = ["hour", "route"]
+SPLIT_ROWS = with_(TRAINS) + f""", nx AS (SELECT *, lead(delay) OVER (PARTITION BY trip ORDER BY t, event_id) AS y FROM trains),
+ro AS (SELECT event_id, day, stop, sec // 3600 AS hour, route, direction, CAST(y AS DOUBLE) AS y, CAST(y < delay AS INTEGER) AS better, CASE WHEN y <= -60 THEN 0 WHEN y <= 300 THEN 1 ELSE 2 END AS klass FROM nx WHERE y IS NOT NULL AND delay IS NOT NULL),
+tr AS (SELECT * FROM ro WHERE day < DATE '{CUT}'), te AS (SELECT * FROM ro WHERE day >= DATE '{CUT}')"""
+
+
+def _split_sql(name: str, y: str, feats=tuple(TWO)) -> str:
+    """The best single split of the training rows: feature, border, mean on either side."""
+    cells = " UNION ALL ".join(f"SELECT '{f}' AS f, {f} AS x, count(*) AS n, CAST(sum({y}) AS DOUBLE) AS s FROM tr GROUP BY {f}" for f in feats)
+    return f""", {name}c AS (SELECT f, (x + lead(x) OVER (PARTITION BY f ORDER BY x)) / 2 AS border, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY f) AS nt, sum(s) OVER (PARTITION BY f) AS st
+ FROM ({cells}) WINDOW w AS (PARTITION BY f ORDER BY x ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT f, border, sl / nl AS ml, (st - sl) / (nt - nl) AS mr FROM {name}c WHERE border IS NOT NULL ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, f LIMIT 1)"""
+
+
+_SIDE = "CASE WHEN CASE f WHEN 'hour' THEN hour ELSE route END <= border THEN ml ELSE mr END"
+
+
+def split_rows(spark, sf):
+    d = _next(spark, sf).filter("y is not null and delay is not null").withColumns(
+        {"hour": F.floor(F.col("sec") / 3600), "better": (F.col("y") < F.col("delay")).cast("int"), "klass": F.when(F.col("y") <= -60, 0.0).when(F.col("y") <= 300, 1.0).otherwise(2.0)}
+    )
+    d = cut(d, "learning")
+    return d.filter(f"day < date'{CUT}'"), d.filter(f"day >= date'{CUT}'")
+
+
+@query("split_regression", SPLIT_ROWS + _split_sql("b", "y") + f" SELECT event_id, round({_SIDE}, 4) AS prediction FROM te, b")
+def split_regression(spark, sf):
+    """M10 with one round and one split."""
+    tr, te = split_rows(spark, sf)
+    m = models.fit_boosted_regressor(tr, TWO, "y", maxIter=1, maxDepth=1)
+    return models.score(m, te, TWO).select("event_id", F.round("prediction", 4).alias("prediction"))
+
+
+@query("split_classifier", SPLIT_ROWS + _split_sql("b", "2 * better - 1") + f" SELECT event_id, round(1 / (1 + exp(-2 * ({_SIDE}))), 5) AS probability FROM te, b")
+def split_classifier(spark, sf):
+    """M11 with one round and one split."""
+    tr, te = split_rows(spark, sf)
+    m = models.fit_boosted_classifier(tr, TWO, "better", maxIter=1, maxDepth=1)
+    return models.score(m, te, TWO).select("event_id", F.round("probability", 5).alias("probability"))
+
+
+@query("one_tree_scores", SPLIT_ROWS + _split_sql("b", "better") + f" SELECT event_id, round({_SIDE}, 5) AS probability, CAST({_SIDE} >= 0.5 AS INTEGER) AS flagged FROM te, b")
+def one_tree_scores(spark, sf):
+    """M12 with one tree of one split on all rows; M28's threshold."""
+    tr, te = split_rows(spark, sf)
+    m = models.fit_forest(tr, TWO, "better", numTrees=1, maxDepth=1, bootstrap=False)
+    return models.score(m, te, TWO, 0.5).select("event_id", F.round("probability", 5).alias("probability"), "flagged")
+
+
+@query("logistic_groups", SPLIT_ROWS + " SELECT event_id, round(p, 3) AS probability, CAST(p >= 0.5 AS INTEGER) AS flagged FROM te JOIN (SELECT direction, avg(better) AS p FROM tr GROUP BY 1) USING (direction)")
+def logistic_groups(spark, sf):
+    """M13 on one binary feature: the probability is the share of its group."""
+    tr, te = split_rows(spark, sf)
+    m = models.fit_logistic(tr, ["direction"], "better", maxIter=200, tol=1e-10)
+    return models.score(m, te, ["direction"], 0.5).select("event_id", F.round("probability", 3).alias("probability"), "flagged")
+
+
+@query("class_splits", SPLIT_ROWS + "".join(_split_sql(f"b{k}", f"CASE WHEN klass = {k} THEN 1 ELSE -1 END") for k in range(3)) + ", s AS (" + " UNION ALL ".join(f"SELECT event_id, {k} AS k, {_SIDE} AS m FROM te, b{k}" for k in range(3)) +
+       ") SELECT event_id, CAST(arg_min(k, (-m, k)) AS DOUBLE) AS prediction FROM s GROUP BY event_id")
+def class_splits(spark, sf):
+    """One split per class against the rest, the class of the greatest margin."""
+    tr, te = split_rows(spark, sf)
+    m = models.fit_boosted_classes(tr, TWO, "klass", maxIter=1, maxDepth=1)
+    return models.score(m, te, TWO).select("event_id", "prediction")
+
+
+@query("split_importances", SPLIT_ROWS + _split_sql("b", "y") + " SELECT x.feature, CAST(CASE WHEN x.feature = f THEN 100 ELSE 0 END AS DOUBLE) AS importance_pct FROM b, (SELECT unnest(['hour', 'route']) AS feature) x")
+def split_importances(spark, sf):
+    """M23 of one split."""
+    tr, _ = split_rows(spark, sf)
+    return models.importances(spark, models.fit_forest(tr, TWO, "y", classify=False, numTrees=1, maxDepth=1, bootstrap=False), TWO)
+
+
+@query("split_permutation", SPLIT_ROWS + _split_sql("b", "y") + f""", q AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i, row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id) AS j FROM te),
+p AS (SELECT a.y, a.hour, a.route, c.hour AS h2, c.route AS r2 FROM q a JOIN q c ON a.i = c.j),
+m AS (SELECT avg(abs({_SIDE} - y)) AS base, avg(abs({_SIDE.replace('THEN hour', 'THEN h2')} - y)) AS mh, avg(abs({_SIDE.replace('ELSE route', 'ELSE r2')} - y)) AS mr FROM p, b)
+SELECT 'hour' AS "group", round(mh, 4) AS mae, round(base, 4) AS base_mae, round(mh - base, 4) AS delta_mae FROM m UNION ALL SELECT 'route', round(mr, 4), round(base, 4), round(mr - base, 4) FROM m""".replace("mr FROM p, b)", "mrr FROM p, b)").replace("round(mr, 4), round(base, 4), round(mr - base, 4)", "round(mrr, 4), round(base, 4), round(mrr - base, 4)"))
+def split_permutation(spark, sf):
+    """M24 of one split: the permutation follows a hash that SQL has too."""
+    tr, te = split_rows(spark, sf)
+    m = models.fit_boosted_regressor(tr, TWO, "y", maxIter=1, maxDepth=1)
+    d = models.permutation_importance(m, te, TWO, "y", {"hour": ["hour"], "route": ["route"]}, "event_id")
+    return rnd(d.select("group", "mae", "base_mae", "delta_mae"), "mae", "base_mae", "delta_mae", n=4)
+
+
+@query("split_ablation", SPLIT_ROWS + _split_sql("b", "y") + _split_sql("bh", "y", ("hour",)) + _split_sql("br", "y", ("route",)) +
+       " UNION ALL ".join(f" SELECT '{n}' AS subset, CAST({k} AS INTEGER) AS n_features, round(avg(abs({_SIDE} - y)), 4) AS metric FROM te, {b}" for n, k, b in (("both", 2, "b"), ("hour", 1, "bh"), ("route", 1, "br"))))
+def split_ablation(spark, sf):
+    """One split on subsets of the features."""
+    tr, te = split_rows(spark, sf)
+    d = models.ablation(tr, te, "y", models.fit_boosted_regressor, {"both": TWO, "hour": ["hour"], "route": ["route"]}, models.mae_of("y"), maxIter=1, maxDepth=1)
+    return rnd(d, "metric", n=4)
+
+
+@query("saved_split", SPLIT_ROWS + _split_sql("b", "y") + f""", v AS (SELECT stop, CAST(row_number() OVER (ORDER BY stop) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT stop FROM tr))
+SELECT event_id, coalesce(code, -1) AS stop_code, round({_SIDE}, 4) AS prediction FROM te LEFT JOIN v USING (stop), b""")
+def saved_split(spark, sf):
+    """The model and its lookup table, written and read again."""
+    tr, te = split_rows(spark, sf)
+    path = scratch_path(spark, "model")
+    models.save_prep(path, models.fit_boosted_regressor(tr, TWO, "y", maxIter=1, maxDepth=1), vocab=prep.vocabulary(tr, "stop"))
+    m, tabs = models.load_prep(spark, path, "vocab")
+    return models.score(m, prep.encode(te, tabs["vocab"], "stop"), TWO).select("event_id", "stop_code", F.round("prediction", 4).alias("prediction"))

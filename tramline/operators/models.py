@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.operators import metrics
-from tramline.operators.ordered import row_index
+from tramline.operators.ordered import positions
 
 
 def _pipeline(features: Sequence[str], est) -> Pipeline:
@@ -91,24 +91,23 @@ def importances(spark: SparkSession, model: PipelineModel, features: Sequence[st
     return df.limit(top) if top else df
 
 
-def permute_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int, width: float) -> DataFrame:
+def permute_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int) -> DataFrame:
     """Rows with the given columns taken from another row; one permutation for all of them.
 
-    Rows meet by position: the natural order on one side, the order of a hash on the other.
+    Rows meet by position: the order of the key on one side, that of a hash of key and seed on the other.
     """
-    a = row_index(df.drop(*cols), [], [key], width, "_pos")
-    h = df.select(*cols, F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_k"))
-    # hashes cover the whole signed range: 4096 even chunks
-    b = row_index(h, [], ["_h", "_k"], float(2**52), "_pos").drop("_h", "_k")
+    a = positions(df.drop(*cols), [key], "_pos")
+    mixed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    b = positions(df.select(*cols, mixed.alias("_h"), F.col(key).alias("_k")), ["_h", "_k"], "_pos").drop("_h", "_k")
     return a.join(b, "_pos").drop("_pos").select(*df.columns)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, groups: dict[str, Sequence[str]], key: str, width: float, seed: int = 42) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, groups: dict[str, Sequence[str]], key: str, seed: int = 42) -> DataFrame:
     """Growth of the mean absolute error when a group of features is permuted together."""
     base = metrics.regression_metrics(score(model, df, features), label, "prediction").select(F.col("mae").alias("base_mae"))
     out = None
     for name, cols in groups.items():
-        p = permute_columns(df, cols, key, seed, width)
+        p = permute_columns(df, cols, key, seed)
         m = metrics.regression_metrics(score(model, p, features), label, "prediction").select(F.lit(name).alias("group"), "mae")
         out = m if out is None else out.unionByName(m)
     return out.crossJoin(F.broadcast(base)).withColumn("delta_mae", F.col("mae") - F.col("base_mae"))  # one row
