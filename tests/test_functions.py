@@ -180,3 +180,72 @@ def test_months_in_number_order(spark):
     d = spark.createDataFrame([(x,) for x in labels], "m string")
     got = {r.m: r.weight for r in recency_weights(d, "m", "linear").collect()}
     assert sorted(labels, key=got.get) == labels and sorted(labels, key=month_number)[-2:] == ["w10", "w11"]
+
+
+def test_window_weight_fits_equal_weighted_least_squares(spark):
+    import random
+
+    import numpy as np
+
+    from tramline.operators import models
+
+    r = random.Random(4)
+    rows = [(f"w{i % 9}", r.gauss(0, 2), float(r.randrange(5)), None if i % 50 == 0 else r.gauss(0, 1)) for i in range(900)]
+    rows = [(p, a, b, None if e is None else 3 + 2 * a - b * int(p[1]) + e) for p, a, b, e in rows]
+    d = spark.createDataFrame(rows, "p string, a double, b double, y double")
+    train, valid = d.filter("p < 'w7'"), d.filter("p >= 'w7'")
+    got = {(x["window"], x["scheme"]): x for x in models.window_weight_fits(train, valid, "p", range(1, 8), ["uniform", "linear", "exponential", "step"], ["a", "b"], "y").collect()}
+    assert len(got) == 28
+    test = [x for x in rows if x[0] >= "w7" and x[3] is not None]
+    for (n, scheme), x in got.items():
+        part = [z for z in rows if f"w{7 - n}" <= z[0] < "w7" and z[3] is not None]
+        w = models.scheme_weights(n, scheme)[[int(z[0][1]) - (7 - n) for z in part]]
+        m = np.array([[1, z[1], z[2]] for z in part])
+        beta = np.linalg.lstsq(m * np.sqrt(w)[:, None], np.array([z[3] for z in part]) * np.sqrt(w), rcond=None)[0]
+        off = np.array([z[3] - beta @ [1, z[1], z[2]] for z in test])
+        assert x["coefficients"] == pytest.approx(beta.tolist()) and x["n_train"] == len(part)
+        assert (x["test_mae"], x["test_rmse"]) == pytest.approx((np.abs(off).mean(), np.sqrt((off**2).mean())))
+        assert x["train_rmse"] == pytest.approx(np.sqrt(np.mean([(z[3] - beta @ [1, z[1], z[2]]) ** 2 for z in part])))
+    best = {x["strategy"]: x for x in models.compare_strategies(train, valid, ["a", "b"], "y", {"a": ["a"], "both": ["a", "b"]}, [0.0, 5.0], 2).collect()}
+    assert best["grid"]["valid_rmse"] <= min(best["plain"]["valid_rmse"], best["random"]["valid_rmse"]) and best["grid"]["candidates"] == 4
+    assert models.window_weight_fits(train.limit(0), valid, "p", [1, 2], ["uniform"], ["a"], "y").count() == 0
+
+
+def test_recency_weights_agree_with_scheme_weights(spark):
+    from tramline.operators import models
+
+    d = spark.createDataFrame([(f"2024-{m:02d}",) for m in range(1, 6)], "month string")
+    for scheme in ("uniform", "linear", "exponential", "step"):
+        got = [r["weight"] for r in prep.recency_weights(d, "month", scheme).orderBy("month").collect()]
+        assert got == pytest.approx(models.scheme_weights(5, scheme).tolist())
+
+
+def test_largest_eigenvalue_of_a_dense_graph(spark):
+    import random
+
+    import numpy as np
+
+    from tramline.operators import graph
+
+    r, n = random.Random(3), 12
+    a = np.array([[r.random() if i != j else 0.0 for j in range(n)] for i in range(n)])
+    a = (a + a.T) / 2
+    d = a.sum(1)
+    a = a / np.sqrt(np.outer(d, d))
+    edges = spark.createDataFrame([(f"s{i}", f"s{j}", float(a[i, j])) for i in range(n) for j in range(n) if i != j], "src string, dst string, weight double")
+    true = float(np.linalg.eigvalsh(np.eye(n) - a).max())
+    few, many = (graph.largest_eigenvalue(edges, k).first()[0] for k in (2, 12))
+    assert few <= many + 1e-9 <= true + 1e-6 and many > 0.95 * true
+    signal = spark.createDataFrame([(f"s{i}", float(i)) for i in range(n)], "node string, x double")
+    got = {x["node"]: x["t1"] for x in graph.chebyshev_features(signal, edges, "node", "x", [], 1, None).collect()}
+    lam = graph.largest_eigenvalue(edges).first()[0]
+    want = 2 / lam * (np.eye(n) - a) @ np.arange(n) - np.arange(n)
+    assert [got[f"s{i}"] for i in range(n)] == pytest.approx(want.tolist())
+    assert graph.largest_eigenvalue(edges.limit(0)).first()[0] == 2.0
+
+
+def test_weather_by_line_kind(spark):
+    rows = [("7", 1, 0, 5.0), ("7", 1, 1, 7.0), ("A", 1, None, 3.0), (None, 1, 0, 9.0), ("A", 0, 0, 100.0)]
+    d = spark.createDataFrame(rows, "line string, wet int, hot int, v double")
+    got = {(r["flag"], r["is_exterior"]): (r["q1"], r["median"], r["outliers"]) for r in aggregates.weather_by_line_kind(d, ["wet", "hot"], "line", "v").collect()}
+    assert got == {("wet", True): (5.5, 6.0, 0), ("wet", False): (4.5, 6.0, 0), ("hot", True): (7.0, 7.0, 0)}

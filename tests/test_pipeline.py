@@ -159,3 +159,48 @@ def test_clean_events(spark):
     kinds = spark.createDataFrame([("Parade",), ("Special Event",), ("Street Event",), ("Unknown",)], "event_type string")
     assert sorted((r["event_type"], r["score"]) for r in city_permits(kinds).collect()) == [("Parade", 1.0), ("Street Event", 0.8)]
     assert sorted(r["event_type"] for r in city_permits(kinds, live=True).collect()) == ["Parade", "Street Event"]
+
+
+def test_lag_state_reads_and_writes_the_buckets_of_its_trips(spark, tmp_path, merge=2):
+    """Many trips, then batches of one trip: the rows are those of the table form, and such a batch writes one bucket."""
+    schema, minute = "trip string, event_id bigint, t bigint, stop string, delay double", 60_000_000
+    rows = [(f"trip{i % 40}", i, (1 + i // 40) * minute, "ABCD"[i // 40 % 4], float(i)) for i in range(160)]
+    late = [("trip7", 1000 + i, (20 + i) * minute, "EFG"[i % 3], 1.5 * i) for i in range(2)]
+    sink = jobs.LagState(str(tmp_path / f"s{merge}"), 10 * minute, late=0, buckets=16, merge=merge)
+    for n, part in enumerate([rows[:80], rows[80:], *[[x] for x in late]]):
+        sink(spark.createDataFrame(part, schema), n)
+        if n == 2:
+            sink(spark.createDataFrame(part, schema), n)  # a repeated batch does no harm
+    sink.finish(spark)
+    ids = lambda df: {r["event_id"]: (r["lag1"], r["lag2"]) for r in df.collect()}
+    assert ids(sink.rows(spark)) == ids(jobs.lag_state_batch(spark.createDataFrame(rows + late, schema), 10 * minute))
+    buckets = lambda what, n: [x for x in os.listdir(tmp_path / f"s{merge}" / what / f"epoch={n}") if x.startswith("bucket=")]
+    assert len(buckets("changes", 0)) > 4 and len(buckets("changes", 3)) == 1
+    state = sink.state(spark, spark.createDataFrame([], schema + ", lag1 double, lag2 double, bucket int").schema, 5)
+    assert state.count() == 40 and state.filter("trip = 'trip7'").first()["event_id"] == 1001
+
+
+def test_monitor_rows_over_batches(spark):
+    src, path = scratch_path(spark, "monitor"), scratch_path(spark, "monitor-out")
+    minute = 60_000_000
+    rows = [(i, "ab"[i % 2] if i % 9 else f"alone{i}", (i * 7 % 400) * minute + 1, float(i)) for i in range(120)]
+    t = spark.createDataFrame(rows, "id bigint, k string, t bigint, v double")
+    assert jobs.deal_in_periods(t, "t", 100 * minute, src, files=2) == 4
+    live = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    pred = live.select("id", "k", F.timestamp_micros("t").alias("ts"), F.col("v").alias("predicted"))
+    came = live.select(F.col("id").alias("actual_id"), "k", F.timestamp_micros("t").alias("actual_ts"), F.col("v").alias("actual"))
+    jobs.run_to_table(jobs.monitor_rows(pred, came, "k", "ts", "actual_ts", "10 minutes", "5 minutes", "1 minute"), path)
+    got = {r["id"]: r["actual_id"] for r in jobs.nearest_value(spark.read.parquet(path), ["id"], "ts", "actual_ts", "10 minutes", ["actual_id"]).collect()}
+    end = max(r[2] for r in rows) - minute
+    for i, k, at, _ in rows:
+        near = [(abs(x[2] - at - 10 * minute), x[0]) for x in rows if x[1] == k and abs(x[2] - at - 10 * minute) <= 5 * minute]
+        if near or at + 15 * minute < end:
+            assert got[i] == (min(near)[1] if near else None)
+    assert any(v is None for v in got.values())
+
+
+def test_live_rows_without_sources(spark):
+    d = spark.createDataFrame([(1, 2, dt.date(2024, 1, 1), 5, 10)], "id int, route int, day date, sec int, t bigint")
+    w = spark.createDataFrame([(dt.date(2024, 1, 1), 9, 1.0, 2.0, 3.0)], "day date, hour int, temp double, rain double, wind double")
+    for got in (realtime.enrich_live(d, 100).first(), realtime.enrich_live(d, 100, weather=w).first()):
+        assert (got["temp"], got["n_events"], got["event_kind"], got["last_category"]) == (0.0, 0, "Ninguno", None)

@@ -160,7 +160,7 @@ SELECT g.event_id, z.lag1, z.lag2 FROM g JOIN z USING (trip, leg, run)"""
 @query("lag_state_stream", LAG_STATE_SQL)
 def lag_state_stream(spark, sf):
     """The events come period by period, a few files a micro-batch, whose times overlap."""
-    src, sink = scratch_path(spark, "lag-files"), jobs.LagState(scratch_path(spark, "lags"), width(spark, sf), merge=2)
+    src, sink = scratch_path(spark, "lag-files"), jobs.LagState(scratch_path(spark, "lags"), width(spark, sf), buckets=8, merge=2)
     t = trains(spark, sf).select("trip", "event_id", "t", "stop", "delay", (F.col("t") + F.col("event_id") % 9 * MIN_US).alias("came"))
     jobs.deal_in_periods(t, "came", 12 * 24 * 60 * MIN_US, src)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(src).drop("came")
