@@ -30,10 +30,11 @@ from collections import Counter
 from math import comb, log10
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.llm.common import recent, slices
+from tramline.session import cut
 
 # Kinds, patterns, names, passwords, keyboard rows.
 BASE = ("assign", "access", "hex")
@@ -238,7 +239,10 @@ def spans(text: str, rank: dict[str, int], least: float = LEAST, cost=guess_cost
 
 
 def vocabulary(docs: DataFrame, text: str = "text", ranked: int = RANKED) -> list[str]:
-    """The ``ranked`` most frequent words of all texts, most frequent first; words are runs of 3 to 24 letters of any script."""
+    """The most frequent words of all texts, most frequent first, as many whole classes of equal counts as ``ranked`` words hold.
+
+    Words are runs of 3 to 24 letters of any script.
+    """
 
     def run(batches):
         held: Counter = Counter()
@@ -255,8 +259,13 @@ def vocabulary(docs: DataFrame, text: str = "text", ranked: int = RANKED) -> lis
                     yield from sent()
         yield from sent()
 
-    n = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in n.orderBy(F.desc("n"), "word").limit(ranked).collect()]
+    n = cut(docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # counts are few; a class of equal counts comes whole or not at all, so no task sends more than is wanted
+    classes = n.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    upto = classes.withColumn("s", F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
+    least = upto.filter(F.col("s") <= ranked).agg(F.min("n")).first()[0]
+    rows = [] if least is None else n.filter(F.col("n") >= least).collect()
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
 
 
 def find(docs: DataFrame, words: list[str], least: float = LEAST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
