@@ -6,6 +6,8 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tramline.llm import pack
 
 LOAD = pack.loader(P.path("byte_bpe_50k.json"), P.PATTERN)
@@ -46,3 +48,15 @@ def test_copies_lie_together_and_null_ids_stay(frame):
     rows = [(None, "no id", None, None, None), (1, "a" * 50, "en", "s", 1), (1, "a" * 50, "en", "s", 1)]
     got = pack.pack(frame(rows), LOAD).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"]
+
+
+def test_rows_without_id_spread_over_ranges(spark):
+    """A third of the rows have no id and one text; ranges hold like numbers of tokens."""
+    import public_tokenizers
+
+    r = __import__("random").Random(2)
+    texts = [(i if i % 3 else None, " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)) if i % 3 else "one text for all of them") for i in range(6_000)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    got = pack.pack(df, pack.loader(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), full=2)
+    sizes = {x["p"]: x["n"] for x in got.groupBy((F.col("sequence_id") / (1 << 40)).cast("int").alias("p")).agg(F.sum("length").alias("n")).collect()}
+    assert len(sizes) == 4 and max(sizes.values()) < 1.3 * min(sizes.values())

@@ -29,6 +29,12 @@ def once(key, make: Callable):
     return _KEPT[key]
 
 
+def release(*kept) -> None:
+    """Drop this worker's tables but those of the named keys, so that steps that need the memory do not find it taken by earlier ones."""
+    for key in [k for k in _KEPT if k not in kept]:
+        del _KEPT[key]
+
+
 def recent(key, make: Callable):
     """Like ``once`` for what belongs to one query: the value of the newest key of its kind (``key[0]``) stays."""
     kept = _KEPT.get(("recent", key[0]))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import once, slices, words
+from tramline.llm.common import once, release, slices, words
 from tramline.llm.components import _written, components
 
 #: share of a set that the prefixes of two linked sets have in common at least: 1 / SHARE
@@ -167,6 +167,7 @@ def _searched(rows: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     """Edges (a, b) of all units; ``rows`` has ``by`` and the columns of ``search_unit``."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         t = table.select(["asks", "keeps", "sid", "comp", "n", "tokens"]).combine_chunks()
         order = np.lexsort((t["sid"].to_numpy(), t["n"].to_numpy(), t["asks"].to_numpy() & ~t["keeps"].to_numpy()))
         cols = [t[c].to_pylist() for c in t.column_names[:5]]
@@ -186,6 +187,7 @@ def _digest(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n, sid (hash of the set, null where it is empty or the id is null) and the set's prefix."""
 
     def run(batches):
+        release("words")
         for b in slices(batches):
             ids, n, sid, prefix = b.column(0).to_pylist(), [], [], []
             for d, t in zip(ids, b.column(1).to_pylist()):
@@ -204,20 +206,22 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
-def _shared_counts(prefixes: DataFrame, most: int = 2_000_000) -> DataFrame:
+def _shared_counts(prefixes: DataFrame, most: int = 1_000_000, held: int = 250_000, parts: int = 200) -> DataFrame:
     """(sid, hits): how many shingles of the set's prefix are in another set's prefix, or more.
 
     Each task settles what it can by itself: a shingle of several of its sets is shared, and goes on as one
-    mark, one of a single set goes on with that set. So a shingle sends a row from each task at most, however
-    many sets hold it.
+    mark, one of a single set goes on with that set. So a shingle sends a row from every ``most`` of a task at most, however
+    many sets hold it. Shingles meet in ``parts`` partitions, or more where there are more than ``held`` in each, so what
+    a task holds is bounded, and the rows that leave it follow the shingles rather than sets times partitions.
     """
 
     def local(batches):
-        seen, sids, parts, held = set(), [], [], 0
+        release()
+        seen, sids, prefixes_, n_held = set(), [], [], 0
 
         def settle():
-            lens = [len(p) for p in parts]
-            keys, owner = np.concatenate(parts), np.repeat(np.array(sids, np.int64), lens)
+            lens = [len(p) for p in prefixes_]
+            keys, owner = np.concatenate(prefixes_), np.repeat(np.array(sids, np.int64), lens)
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
             at = _runs(keys)
@@ -239,15 +243,16 @@ def _shared_counts(prefixes: DataFrame, most: int = 2_000_000) -> DataFrame:
                 if s not in seen:
                     seen.add(s)
                     sids.append(s)
-                    parts.append(flat[ends[i] : ends[i + 1]].copy())
-                    held += len(parts[-1])
-            if held >= most:
+                    prefixes_.append(flat[ends[i] : ends[i + 1]].copy())
+                    n_held += len(prefixes_[-1])
+            if n_held >= most:
                 yield from settle()
-                seen, sids, parts, held = set(), [], [], 0
-        if held:
+                seen, sids, prefixes_, n_held = set(), [], [], 0
+        if n_held:
             yield from settle()
 
     def meet(batches):
+        release()
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
         if not got:
             return
@@ -264,8 +269,9 @@ def _shared_counts(prefixes: DataFrame, most: int = 2_000_000) -> DataFrame:
             who, hits = np.unique(sid[hit], return_counts=True)
             yield pa.RecordBatch.from_pydict({"sid": pa.array(who), "hits": pa.array(hits)})
 
-    spark = prefixes.sparkSession
-    met = prefixes.mapInArrow(local, "key bigint, sid bigint, n int").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(parts, total // held, int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = prefixes.mapInArrow(local, "key bigint, sid bigint, n int").repartition(parts, "key")
     return met.mapInArrow(meet, "sid bigint, hits bigint").groupBy("sid").agg(F.sum("hits").alias("hits"))
 
 
@@ -370,6 +376,7 @@ def join(
     held = spark.sparkContext.broadcast(_marks(alive))
 
     def sets(batches):
+        release("words")
         bits, seen = held.value, set()
         for b in slices(batches):
             at = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])

@@ -6,9 +6,10 @@ the cell's place on a Hilbert curve is the sort key: documents of like content l
 curve. The curve is dealt out in ranges, and each range is filled into sequences from end to end,
 documents being cut where a sequence is full, so that only the last sequence of a range has padding.
 
-Quantiles and range borders come from a sample of at least ``sample`` documents in expectation. They
+Quantiles and range borders come from a sample of at least ``sample`` documents in expectation, drawn by row. They
 decide how even the ranges are, not which documents are packed. Ties of the key are broken by a hash
-of the id, and borders may fall between them, so copies of one document spread over ranges.
+of the id and the row's place in its task, and borders may fall between them, so copies of one document, and rows without an id,
+spread over ranges.
 
 Defined cases: null or empty text is the end id alone; null ids are kept as null; repeated rows are packed
 each; an empty table gives no pieces; other columns are not read.
@@ -24,13 +25,13 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tramline.llm.bpe import cuts, word_and_marks
-from tramline.llm.common import once, slices
+from tramline.llm.common import once, release, slices
 
 DIMS, BITS = 4, 8
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -104,7 +105,8 @@ class Ids:
             else:
                 p = cuts(t)
                 got = list(map(known.get, p))
-                if gaps := [i for i, g in enumerate(got) if g is None]:
+                if None in got:
+                    gaps = [i for i, g in enumerate(got) if g is None]
                     new.update([p[i] for i in gaps])
                     open_.append((p, got, gaps))
                 out.append(got)
@@ -124,15 +126,17 @@ def loader(path: str, pattern: str) -> Callable[[], Ids]:
 
 
 def directions(dims: int = DIMS, size: int = 1 << 16) -> np.ndarray:
-    """Fixed random directions of hashed token ids."""
-    return np.random.default_rng(20).standard_normal((size, dims)).astype("f4")
+    """Fixed random directions of hashed token ids, one row per dimension."""
+    return np.ascontiguousarray(np.random.default_rng(20).standard_normal((size, dims)).astype("f4").T)
 
 
-def project(ids: np.ndarray, dirs: np.ndarray) -> np.ndarray:
+def project(ids: np.ndarray, dirs: np.ndarray) -> list[float]:
     """Projection of a document's hashed vector, scaled to unit variance."""
     if not len(ids):
-        return np.zeros(dirs.shape[1], "f4")
-    return np.add.reduce(dirs[ids % len(dirs)], axis=0) / np.float32(np.sqrt(len(ids)))
+        return [0.0] * len(dirs)
+    size = dirs.shape[1]
+    at = ids if int(ids.max()) < size else ids % size
+    return [float(d.take(at).sum()) / len(ids) ** 0.5 for d in dirs]
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -160,13 +164,19 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def place(points: np.ndarray, edges: np.ndarray, doc_ids: list) -> np.ndarray:
-    """Order along the curve: the cell's place, then a hash of the id."""
+def place(points: np.ndarray, edges: np.ndarray, rows: list) -> np.ndarray:
+    """Order along the curve: the cell's place, then a hash of what tells the row."""
     cells = np.stack([np.searchsorted(e, p, "right") for e, p in zip(edges, points.T)], 1)
-    tie = np.array([zlib.crc32(str(d).encode()) >> 1 for d in doc_ids], "i8")
+    tie = np.array([zlib.crc32(str(r).encode()) >> 1 for r in rows], "i8")
     return hilbert(cells) << 31 | tie
 
 
+def told(doc_ids: list, first: int) -> list[tuple]:
+    """Id, task and place in the task of rows of which ``first`` came before."""
+    task = TaskContext.get().partitionId()
+    return [(d, task, first + i) for i, d in enumerate(doc_ids)]
+
+
 def pack(
     docs: DataFrame,
     load: Callable[[], Ids],
@@ -193,13 +203,14 @@ def pack(
             for d, ids in zip(b.column(0).to_pylist(), load()(b.column(1).to_pylist())):
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d], pa.int64()), "n": pa.array([len(ids) + 1], pa.int64()), "p": pa.array([project(ids, dirs)], pa.list_(pa.float32()))})
 
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // sample))) == 0)
+    # by id and row, so that one repeated id is neither taken whole nor left out whole
+    some = rows.filter(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(max(1, n_docs // sample))) == 0)
     seen = some.mapInArrow(points, "doc_id bigint, n bigint, p array<float>").toArrow()  # about ``sample`` small rows
     if not seen.num_rows:
         seen = pa.table({"doc_id": [0], "n": [1], "p": [[0.0] * DIMS]})
     at = np.array(seen["p"].to_pylist(), "f4")
     edges = np.quantile(at, np.arange(1, 1 << BITS) / (1 << BITS), axis=0).T
-    order, weight = place(at, edges, seen["doc_id"].to_pylist()), np.array(seen["n"])
+    order, weight = place(at, edges, list(enumerate(seen["doc_id"].to_pylist()))), np.array(seen["n"])
     tokens = weight.mean() * n_docs
     parts = int(max(1, min(most, tokens // (length * full))))
     by = np.argsort(order)
@@ -207,29 +218,34 @@ def pack(
     borders = order[by][np.searchsorted(share, np.arange(1, parts) / parts).clip(0, len(by) - 1)]
 
     def tokenise(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        first = 0
         for b in slices(batches):
             doc_ids, ids = b.column(0).to_pylist(), load()(b.column(1).to_pylist())
-            where = place(np.array([project(i, dirs) for i in ids], "f4"), edges, doc_ids)
+            where = place(np.array([project(i, dirs) for i in ids], "f4"), edges, told(doc_ids, first))
+            first += b.num_rows
+            # two bytes an id where all ids of the batch fit
+            kind = "<u2" if max([end, *(int(i.max()) for i in ids if len(i))]) < 1 << 16 else "<u4"
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": b.column(0),
                     "part": pa.array(np.searchsorted(borders, where, "right"), pa.int32()),
                     "place": pa.array(where, pa.int64()),
-                    "ids": pa.array([squeeze(np.append(i, np.uint32(end)).astype("<u4").tobytes()) for i in ids], pa.binary()),
+                    "n": pa.array([len(i) + 1 for i in ids], pa.int64()),
+                    "ids": pa.array([np.append(i, np.uint32(end)).astype(kind).tobytes() for i in ids], pa.binary()),
                 }
             )
 
     def fill(batches):
+        release()
         part, seq, room = None, 0, length
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in slices(batches):
             out = []
-            for doc, p, z in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+            for doc, p, n, raw in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
                 if p != part:
                     part, seq, room = p, 0, length
-                raw = unpack(z)
-                n, start = len(raw) // 4, 0
+                start = 0
+                if len(raw) == 2 * n:
+                    raw = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                 while start < n:
                     if not room:
                         seq, room = seq + 1, length
@@ -240,5 +256,5 @@ def pack(
             kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    ordered = rows.mapInArrow(tokenise, "doc_id bigint, part int, place bigint, ids binary").repartitionById(parts, F.col("part"))
+    ordered = rows.mapInArrow(tokenise, "doc_id bigint, part int, place bigint, n bigint, ids binary").repartitionById(parts, F.col("part"))
     return ordered.sortWithinPartitions("part", "place", "doc_id").mapInArrow(fill, PIECES)
