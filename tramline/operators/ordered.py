@@ -93,25 +93,25 @@ def chunk_of(t: str | Column, width: float | Stretches, reverse: bool = False) -
 def stretches(df: DataFrame, by: Sequence[str], t: str, finest: int, target: int = 1_000_000, steps: int = 1024) -> Stretches:
     """Borders along ``t`` with which no chunk of a key holds more than ``target`` rows (or is ``finest`` wide).
 
-    Rows are counted by key and finest step, and keys with no more than ``target`` rows are done. Of each of at most ``steps``
+    Rows are counted by key; those of keys with more than ``target`` are counted by finest step too. Of each of at most ``steps``
     coarse steps the driver gets the fullest key's rows and the splits it needs, and merges neighbours while their sum keeps
     the target. ``t`` may be any order axis, also one that folds onto itself like the time left. Rows with a null key do not
     count, as they are dealt out by a hash.
     """
-    known = F.col(t).isNotNull() if not by else _if_known(by, F.col(t).isNotNull(), F.lit(False))
-    fine = cut(df.filter(known).groupBy(*by, F.floor(F.col(t) / finest).cast("bigint").alias(CHUNK)).agg(F.count(F.lit(1)).alias("n")), "steps")
-    totals = fine.groupBy(*by).agg(F.sum("n").alias("n"), F.min(CHUNK).alias("lo"), F.max(CHUNK).alias("hi"))
+    rows = df.filter(F.col(t).isNotNull() if not by else _if_known(by, F.col(t).isNotNull(), F.lit(False)))
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"))
     most, lo, hi = totals.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
     if lo is None:
         return Stretches(finest, 0, (0,), (0,))
-    top = 0
+    lo, hi, top = int(lo // finest), int(hi // finest), 0
     while (hi >> top) - (lo >> top) >= steps:
         top += 1
     if most <= target:
         whole = (0,) * ((hi >> top) - (lo >> top) + 1)
         return Stretches(finest << top, lo >> top, whole, whole)
     # keys that keep the target as a whole keep it in every chunk
-    fine = fine.join(totals.filter(F.col("n") > target).select(*by), by, "left_semi") if by else fine
+    rows = rows.join(totals.filter(F.col("n") > target).select(*by), by, "left_semi") if by else rows
+    fine = cut(rows.groupBy(*by, F.floor(F.col(t) / finest).cast("bigint").alias(CHUNK)).agg(F.count(F.lit(1)).alias("n")), "steps")
     wide = fine.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn(CHUNK, F.expr(f"shiftright({CHUNK}, {top} - _j)"))
     most = wide.groupBy(*by, "_j", CHUNK).agg(F.sum("n").alias("n")).groupBy("_j", CHUNK).agg(F.max("n").alias("n"))
     most = most.groupBy(F.expr(f"shiftright({CHUNK}, _j)").alias("step"), "_j").agg(F.max("n").alias("n"))
