@@ -6,14 +6,16 @@ validates it. Kinds and their rules:
 
 - ``email``, ``ip``, ``card``, ``phone``: as the four base patterns below would match, leftmost and
   non-overlapping per kind; matches that fail their check are dropped and not tried again.
-- ``url``: a scheme followed by credentials before the host (``scheme://user:secret@host``).
-- ``iban``: after an IBAN cue, country, check digits and body of the country's length with remainder 1 modulo 97.
-- ``ssn``: after its cue, groups of 3, 2 and 4 digits, none of them zero.
+- ``url``: any scheme followed by credentials before the host (``scheme://user:secret@host``, the user may be empty).
+- ``iban``: after an IBAN cue, country, check digits and body of the country's length with remainder 1 modulo 97, in either
+  case, with single blanks or hyphens.
+- ``ssn``: after its cue, groups of 3, 2 and 4 digits, none of them zero, with the same blank, hyphen or nothing between.
 - ``account``: after an account cue, 6 to 17 digits with single blanks or hyphens.
 
-Cues and the word after them are known in any case.
+Cues and the words after them (``number``, ``id``, ``is`` and the like) are known in any case; quotes, colons and line ends may follow.
 
-Positions are code points, ends exclusive. Spans of added kinds that touch a base span are left out.
+Positions are code points, ends exclusive. An added span inside a base span is left out, as is one that overlaps an added
+span before it; one that reaches beyond the base spans it touches stays beside them, and masking replaces their union.
 
 Defined cases: null text has no spans and stays null when masked; empty text has none; repeated rows are
 treated each; other columns pass through (``masked``) or are not read (``find``).
@@ -41,16 +43,19 @@ DIGITS = re.compile(r"[0-9]+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-URL = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s@/]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
-_AFTER = r"(?i: (?:no|nr|number))?\.?[ :#]{0,3}"
-IBAN = re.compile(_AFTER + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+URL = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]*:[^\s@/]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+SOCIAL = re.compile(r"(?i:social)[\s_-]{1,2}\Z")
+_AFTER = r"(?i:s?\.?(?:[\s_-]{0,2}(?:numbers?|num|no|nr|id|code|is|are|was)\b\.?){0,3})[\s:#=.\"'(]{0,6}"
+IBAN = re.compile(_AFTER + r"([A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30})")
 #: for a country without a listed length
-IBAN_ANY = re.compile(IBAN.pattern + "(?![A-Za-z0-9])")
+IBAN_ANY = re.compile(_AFTER + r"([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ALNUM = re.compile(r"[A-Za-z0-9]")
-SSN = re.compile(_AFTER + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+SSN = re.compile(_AFTER + r"([0-9]{3}([ -]?)[0-9]{2}\2[0-9]{4})(?![0-9])")
 ACCOUNT = re.compile(_AFTER + r"([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
-SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://")
-CUES = {"iban": ("iban",), "ssn": ("ssn", "social security"), "account": ("account", "acct")}
+CUES = {"iban": ("iban",), "ssn": ("ssn", "security"), "account": ("account", "acct")}
+#: longest scheme looked for before its ``://``
+SCHEME_MOST = 40
 #: length of an IBAN by its country
 IBAN_LENGTHS = {
     c: n
@@ -67,8 +72,7 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for mark in "@+0123456789":
         a.add_word(mark, (mark, 1))
-    for s in SCHEMES:
-        a.add_word(s, ("url", len(s)))
+    a.add_word("://", ("url", 3))
     for kind, cues in CUES.items():
         for c in cues:
             for spelled in map("".join, product(*({x, x.upper()} for x in c))):
@@ -93,26 +97,38 @@ def _email(text: str, at: int, done: int) -> tuple[int, int] | None:
 
 
 def _iban_ok(s: str) -> bool:
-    body = s.replace(" ", "")
+    body = s.replace(" ", "").replace("-", "")
     return int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1
 
 
-def _cued(kind: str, text: str, at: int) -> tuple[int, int] | None:
-    """The identifier behind a cue that ends at ``at``."""
+def _url(text: str, at: int) -> tuple[int, int] | None:
+    """Scheme, credentials and host around a ``://`` that ends at ``at``."""
+    m = URL.match(text, at)
+    first = max(0, at - 3 - SCHEME_MOST)
+    scheme = SCHEME.search(text[first : at - 3]) if m else None
+    return (first + scheme.start(), m.end()) if scheme else None
+
+
+def _cued(kind: str, text: str, at: int, size: int) -> tuple[int, int] | None:
+    """The identifier behind a cue of ``size`` letters that ends at ``at``."""
+    if size == len("security") and not SOCIAL.search(text[max(0, at - size - 8) : at - size]):
+        return None
     m = {"iban": IBAN, "ssn": SSN, "account": ACCOUNT}[kind].match(text, at)
     if not m:
         return None
     start, end = m.span(1)
     if kind == "iban":
-        if n := IBAN_LENGTHS.get(m[1][:2]):
-            places = [i for i in range(start, end) if text[i] != " "]
+        if n := IBAN_LENGTHS.get(m[1][:2].upper()):
+            places = [i for i in range(start, end) if text[i] not in " -"]
             end = places[n - 1] + 1 if len(places) >= n else 0
         elif m := IBAN_ANY.match(text, at):
             end = m.end(1)
         if not m or not end or ALNUM.match(text, end) or not _iban_ok(text[start:end]):
             return None
-    if kind == "ssn" and any(int(g) == 0 for g in m[1].split("-")):
-        return None
+    if kind == "ssn":
+        digits = m[1].replace(" ", "").replace("-", "")
+        if "000" == digits[:3] or "00" == digits[3:5] or "0000" == digits[5:]:
+            return None
     return start, end
 
 
@@ -144,23 +160,23 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str
                 if m and all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                     found.append((*m.span(), "ip"))
         elif what == "url":
-            if m := URL.match(text, last + 1):
-                added.append((last + 1 - size, m.end(), "url"))
-        elif hit := _cued(what, text, last + 1):
+            if hit := _url(text, last + 1):
+                added.append((*hit, "url"))
+        elif hit := _cued(what, text, last + 1, size):
             added.append((*hit, what))
     return sorted(found + _apart(sorted(set(added)), found), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def _apart(added: list, base: list) -> list:
-    """Added spans that touch neither a base span nor an added one before them."""
-    out, taken, i, reach = [], sorted(base), 0, 0
+    """Added spans that lie in no base span and overlap no added one before them."""
+    out, taken, i, reach, last = [], sorted(base), 0, 0, 0
     for s in added:
-        while i < len(taken) and taken[i][0] < s[1]:
+        while i < len(taken) and taken[i][0] <= s[0]:
             reach = max(reach, taken[i][1])
             i += 1
-        if reach <= s[0]:
+        if s[1] > reach and s[0] >= last:
             out.append(s)
-            reach = s[1]
+            last = s[1]
     return out
 
 
@@ -182,7 +198,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def mask(text: str | None, anchors: ahocorasick.Automaton, label: Callable[[str], str] = lambda k: f"[{k.upper()}]") -> str | None:
-    """The text with each stretch of touching spans replaced by the label of its first kind."""
+    """The text with each stretch of overlapping spans replaced by the label of its first kind."""
     if not text:
         return text
     out, at = [], 0
