@@ -1,5 +1,6 @@
 import collections
 import itertools
+import random
 import struct
 
 import numpy as np
@@ -21,6 +22,14 @@ def test_curve_visits_neighbours():
         assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
+def test_ids_equal_the_tokenizers_library():
+    r, ids = random.Random(4), LOAD()
+    texts = ["".join(r.choice(["a", "word", " ", "  ", "\n", "\t", "1", "é", "\u3000", "\u00a0", "'s", "!?", "\U0001f600", "<|endoftext|>" if i % 9 == 0 else "x"]) for _ in range(60)) for i in range(1500)]
+    texts += [" " * 300_000, "\n" * 300_000, "a" * 100_000, " \n" * 100_000 + "b", "!" * 100_000, "word " * 50_000 + " " * 200_000 + "end", "", None]
+    for t, got in zip(texts, ids(texts)):
+        assert got.tolist() == (OWN.encode(t, add_special_tokens=False).ids if t else []), (t or "")[:80]
+
+
 def test_pieces_are_whole_and_gapless(frame, spark):
     texts = [None, "", "same text", "same text", "x\n y  z <|endoftext|>  end", "long " * 9000] + [f"text {i} " * (i % 70) for i in range(200)]
     rows = pack.pack(frame(texts), LOAD, length=256).collect()

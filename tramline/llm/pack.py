@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tramline.llm.bpe import cuts, word_and_marks
 from tramline.llm.common import once, release, slices
 
 DIMS, BITS = 4, 8
@@ -46,13 +45,13 @@ def byte_of() -> dict[str, int]:
 
 
 class Ids:
-    """Token ids of a byte-level vocabulary in the tokenizers format; ids of a cut are kept in a bounded table.
+    """Token ids of a byte-level vocabulary in the tokenizers format.
 
-    Cuts are encoded from the same vocabulary as ranks, which is several times faster a word; a text that
-    holds the string of a special token goes through the tokenizers library as a whole.
+    Texts are encoded from the same vocabulary as ranks, which is several times faster. A text that holds the string of a
+    special token goes through the tokenizers library, as does one with a run of white space too long for the other's pattern matcher.
     """
 
-    def __init__(self, raw: bytes, pattern: str, kept: int = 1_200_000):
+    def __init__(self, raw: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -61,60 +60,20 @@ class Ids:
         ranks = {bytes(at[c] for c in t): i for t, i in vocab.items() if t not in self.marks}
         self.coder = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.line = self.coder.encode_ordinary("\n")[0]
-        self.kept, self._cuts = kept, {}
-
-    def _learn(self, new: set[str]) -> None:
-        """Add cuts to the table; words are encoded together, one a line, and words with marks are put together."""
-        known, lines, two, other = self._cuts, [], [], []
-        # a line end between visible characters is a match of its own: both sides are cuts
-        folded = [(c, a, b) for c in new if "\n" in c for a, _, b in [c.partition("\n")] if a and b and not a[-1].isspace() and not b[0].isspace() and "\n" not in b]
-        new = new.difference(c for c, _, _ in folded).union(x for _, a, b in folded for x in (a, b) if x not in known)
-        for c in new:
-            if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()):
-                lines.append(c)
-            elif pair := word_and_marks(c):
-                two.append((c, *pair))
-            else:
-                other.append(c)
-        lines += {w for _, w, _ in two if w not in known and w not in new}
-        if lines:
-            ids = np.array(self.coder.encode_ordinary("\n".join(lines)), "<u4")
-            ends, raw, at = np.flatnonzero(ids == self.line).tolist(), ids.tobytes(), 0
-            for c, end in zip(lines, [*ends, len(ids)]):
-                known[c] = raw[4 * at : 4 * end]
-                at = end + 1
-        for c in [*other, *{m for _, _, m in two if m not in known}]:
-            known[c] = np.array(self.coder.encode_ordinary(c), "<u4").tobytes()
-        for c, w, m in two:
-            known[c] = known[w] + known[m]
-        if folded:
-            line = np.array([self.line], "<u4").tobytes()
-            for c, a, b in folded:
-                known[c] = known[a] + line + known[b]
+
+    def one(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if not any(m in text for m in self.marks):
+            try:
+                return self.coder.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # the matcher's stack is full
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without special tokens around it; a special token's string in it stays one id."""
-        if len(self._cuts) >= self.kept:
-            self._cuts.clear()
-        known, out, open_, new = self._cuts, [], [], set()
-        for t in texts:
-            if not t:
-                out.append([])
-            elif any(m in t for m in self.marks):
-                out.append([np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()])
-            else:
-                p = cuts(t)
-                got = list(map(known.get, p))
-                if None in got:
-                    gaps = [i for i, g in enumerate(got) if g is None]
-                    new.update([p[i] for i in gaps])
-                    open_.append((p, got, gaps))
-                out.append(got)
-        self._learn(new)
-        for p, got, gaps in open_:
-            for i in gaps:
-                got[i] = known[p[i]]
-        return [np.frombuffer(b"".join(g), "<u4") for g in out]
+        return list(map(self.one, texts))
 
 
 def loader(path: str, pattern: str) -> Callable[[], Ids]:
