@@ -276,11 +276,12 @@ def monitor_rows_stream(spark, sf):
     """Predictions beside the value of their line ten minutes later; values that never came are null."""
     src, path = scratch_path(spark, "monitor-files"), scratch_path(spark, "monitor-rows")
     t = trains(spark, sf).select("event_id", "route", "t", "delay", "value")
-    jobs.deal_in_periods(t, "t", 8 * 24 * 60 * MIN_US, src)
+    periods = jobs.deal_in_periods(t, "t", 8 * 24 * 60 * MIN_US, src)
+    parts = jobs.state_partitions(spark, t.count() // max(periods, 1))
     live = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(src)
     pred = live.filter("value > 60").select("event_id", "route", F.timestamp_micros("t").alias("ts"), F.col("delay").alias("predicted"))
     came = live.select(F.col("event_id").alias("actual_id"), "route", F.timestamp_micros("t").alias("actual_ts"), F.col("delay").alias("actual"))
-    jobs.run_to_table(jobs.monitor_rows(pred, came, "route", "ts", "actual_ts", "10 minutes", "2 minutes", "1 minute"), path)
+    jobs.run_to_table(jobs.monitor_rows(pred, came, "route", "ts", "actual_ts", "10 minutes", "2 minutes", "1 minute"), path, partitions=parts)
     rows = jobs.nearest_value(spark.read.parquet(path), ["event_id"], "ts", "actual_ts", "10 minutes", ["actual_id"])
     return rows.select("event_id", "predicted", "actual_id", "actual")
 

@@ -197,14 +197,18 @@ def monitor_rows(predictions: DataFrame, actuals: DataFrame, by: str, ts: str, a
     """ST8: every prediction beside each value of its key that came ``after`` later, give or take ``tolerance``.
 
     A stream-stream outer join in event time with watermarks on both sides: state is kept for the horizon and the lateness only, and
-    predictions whose value never came are given with nulls once the watermark has passed their range.
+    predictions whose value never came are given with nulls once the watermark has passed their range. The sides meet on the key
+    and a stretch of time a little longer than a range, so a row looks at the state of that stretch, not at that of its whole key. A prediction
+    lies in the stretch where its range begins; a value is copied to its own and the one before.
     """
-    p = predictions.withWatermark(ts, late).withColumnRenamed(by, "_p")
-    a = actuals.withWatermark(actual_ts, late).withColumnRenamed(by, "_a")
+    stretch = f"greatest(unix_micros(timestamp_seconds(0) + interval {tolerance}) * 9 div 4, 1)"  # a quarter more than the range has room for days of 25 hours
+    at = lambda moment: F.expr(f"cast(floor(unix_micros({moment}) / {stretch}) as bigint)")
+    p = predictions.withWatermark(ts, late).withColumnRenamed(by, "_p").withColumn("_pw", at(f"{ts} + interval {after} - interval {tolerance}"))
+    a = actuals.withWatermark(actual_ts, late).withColumnRenamed(by, "_a").withColumn("_aw", F.explode(F.array(at(actual_ts), at(actual_ts) - 1)))
     reach = F.expr(
-        f"_p = _a and {actual_ts} >= {ts} + interval {after} - interval {tolerance} and {actual_ts} <= {ts} + interval {after} + interval {tolerance}"
+        f"_p = _a and _pw = _aw and {actual_ts} >= {ts} + interval {after} - interval {tolerance} and {actual_ts} <= {ts} + interval {after} + interval {tolerance}"
     )
-    return p.join(a, reach, "leftOuter").withColumnRenamed("_p", by).drop("_a")
+    return p.join(a, reach, "leftOuter").withColumnRenamed("_p", by).drop("_a", "_pw", "_aw")
 
 
 def nearest_value(rows: DataFrame, keys, ts: str, actual_ts: str, after: str, tie) -> DataFrame:
@@ -224,11 +228,26 @@ def deal_in_periods(df: DataFrame, t: str, period: int, path: str, files: int =
     return 0 if lo is None else hi - lo + 1
 
 
-def run_to_table(df: DataFrame, path: str, mode: str = "append") -> str:
-    """Run a stream over all that is there and write its output table."""
-    q: StreamingQuery = (
-        df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
-    )
+def state_partitions(spark: SparkSession, rows: int, each: int = 50_000) -> int:
+    """Partitions of a stream's state for ``rows`` a trigger: one a core, more where one would hold over ``each`` rows.
+
+    Every partition writes its state files in every trigger, however few rows it has.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def run_to_table(df: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> str:
+    """Run a stream over all that is there and write its output table; ``partitions`` of its state, else the session's shuffle partitions."""
+    spark, conf = df.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(conf)
+    try:
+        if partitions is not None:
+            spark.conf.set(conf, partitions)  # a stream keeps the settings that it was started with
+        q: StreamingQuery = (
+            df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(conf, before)
     q.awaitTermination()
     return path
 
