@@ -1,9 +1,12 @@
 """Steps whose cost must grow no faster than their input: same results, and work that is dealt out."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
+from tramline.operators import intervals
+from tramline.plans.places import affected_stations
 from tramline.streaming import jobs
 
 MINUTE = 60_000_000
@@ -30,3 +33,31 @@ def test_state_partitions_follow_rows(spark):
     cores = spark.sparkContext.defaultParallelism
     assert jobs.state_partitions(spark, 10) == cores
     assert jobs.state_partitions(spark, 50_000 * cores * 3) == 3 * cores
+
+
+def _metres(a, b):
+    p1, p2 = math.radians(a[0]), math.radians(b[0])
+    h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6_371_000 * math.asin(math.sqrt(min(h, 1.0)))
+
+
+def test_affected_stations_by_patches(spark):
+    """Dense and lone places, the date line, null places, names and lines, repeated ids."""
+    r = random.Random(8)
+    spots = lambda n, lat, lon, size: [(lat + r.random() * size, lon + r.random() * size) for _ in range(n)]
+    far = [(10.0, 179.9999), (10.0, -179.9999), (89.95, 10.0), (89.95, 190.0), (-33.0, 18.0), (None, 5.0), (10.0, None), (float("nan"), 1.0)]
+    events = [(i % 150 if i % 40 else None, *at) for i, at in enumerate(spots(160, 40.7, -74.0, 0.06) + far)]
+    st = [(i % 6 if i % 13 else None, [f"L{i % 9}", None] if i % 7 else [f"L{i % 4}"], *at) for i, at in enumerate(spots(160, 40.7, -74.0, 0.06) + far)]
+    e = spark.createDataFrame(events, "id int, lat double, lon double")
+    s = spark.createDataFrame(st, "name int, lines array<string>, stop_lat double, stop_lon double")
+    known = lambda at: None not in at and not any(map(math.isnan, at))
+    for metres in (300.0, 2000.0):
+        want = {}
+        for i, *a in events:
+            for name, lines, *b in st:
+                if known(a) and known(b) and _metres(a, b) <= metres:
+                    want.setdefault((i, name), set()).update(lines)
+        got = [((x["id"], x["name"]), x["lines"]) for x in affected_stations(e, s, "id", "name", "lines", metres).collect()]
+        assert len(got) == len(want) and dict(got) == {k: ", ".join(sorted(v - {None})) for k, v in want.items()}
+    labelled = s.withColumn("_l", F.explode("lines"))
+    assert intervals.reached_labels(e, labelled, 300.0, ["id"], ["name", "_l"]).count() > 0

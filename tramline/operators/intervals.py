@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.scalars import haversine_m
+from tramline.functions.scalars import EARTH_RADIUS_M, haversine_m
 from tramline.operators.dominance import distinct_in_intervals
 from tramline.operators.ordered import CHUNK, _spread, even_width, known_key, sums_until
+from tramline.session import cut
 
 EVENT_PAD_S = 5400
 NO_EVENT = "Ninguno"
@@ -246,6 +247,51 @@ def radius_join(points: DataFrame, stations: DataFrame, metres: float, plat="lat
     )
 
 
+def _patches(df: DataFrame, lat: str, lon: str, metres: float, name: str) -> DataFrame:
+    """Rows with a place, by small patches of the map whose sides are at most ``metres`` long."""
+    step = metres / 111_320.0
+    d = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(F.col(lat).cast("double")) & ~F.isnan(F.col(lon).cast("double")))
+    turned = F.pmod(F.col(lon) + 180, F.lit(360.0)) - 180
+    return d.withColumns({"_turned": turned, name: F.struct(F.floor(F.col(lat) / step).alias("r"), F.floor(turned / step).alias("c"))})
+
+
+def _middles(df: DataFrame, lat: str, lon: str, name: str, out: str, *more: Column) -> DataFrame:
+    """Each patch's middle and a bound on the distance of its rows from there: along the meridian, then along the widest parallel."""
+    box = df.groupBy(name).agg(F.min(lat).alias("_a"), F.max(lat).alias("_b"), F.min("_turned").alias("_c"), F.max("_turned").alias("_d"), *more)
+    inner = F.when((F.col("_a") <= 0) & (F.col("_b") >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs("_a"), F.abs("_b")))))
+    bound = (F.radians(F.col("_b") - F.col("_a")) + F.radians(F.col("_d") - F.col("_c")) * F.abs(inner)) / 2 * EARTH_RADIUS_M * (1 + 1e-9) + 0.001
+    return box.select(name, ((F.col("_a") + F.col("_b")) / 2).alias(f"{out}lat"), ((F.col("_c") + F.col("_d")) / 2).alias(f"{out}lon"), bound.alias(f"{out}far"), *[c for c in ["_labels"] if more])
+
+
+def reached_labels(points: DataFrame, stations: DataFrame, metres: float, keep: Sequence[str], labels: Sequence[str], plat="lat", plon="lon", slat="stop_lat", slon="stop_lon", parts: int = 8) -> DataFrame:
+    """The distinct ``labels`` of the stations within ``metres`` of each point, without a row for each point and station.
+
+    Both sides are dealt to patches a part of the radius wide. Where two patches lie within reach as a whole, all labels of the one
+    hold for all points of the other; where they lie partly within reach, points meet the stations of those labels only that
+    their patch has not yet. Work follows the patches and the labels, not the pairs.
+    """
+    keep, labels = list(keep), list(labels)
+    p = _patches(points, plat, plon, metres / parts, "_pp").select(*dict.fromkeys([*keep, plat, plon]), "_turned", "_pp")
+    label = F.struct(*[F.col(c).alias(f"l{i}") for i, c in enumerate(labels)])
+    s = _patches(stations, slat, slon, metres / parts, "_sp").select(label.alias("_label"), slat, slon, "_turned", "_sp").distinct()
+    a = _middles(p, plat, plon, "_pp", "_p")
+    b = _middles(s, slat, slon, "_sp", "_s", F.collect_set("_label").alias("_labels"))  # at most the labels of one patch
+    # a middle lies at most a part of the radius from its patch's rows, so this reach meets all patches that matter
+    near = radius_join(a, b, metres * (1 + 2.1 / parts) + 1, "_plat", "_plon", "_slat", "_slon", "_m")
+    off = F.col("_pfar") + F.col("_sfar") + metres * 1e-9
+    near = cut(near.filter(F.col("_m") - off <= metres).select("_pp", "_sp", "_labels", (F.col("_m") + off <= metres).alias("_whole")), "patches")
+    held = near.filter("_whole").select("_pp", F.explode("_labels").alias("_label")).distinct()
+    known = held.groupBy("_pp").agg(F.collect_list("_label").alias("_known"))
+    open_ = near.filter(~F.col("_whole")).join(known, "_pp", "left").withColumn("_asked", F.explode(F.array_except("_labels", F.coalesce("_known", F.slice("_labels", 1, 0)))))
+    some = p.join(open_.select("_pp", F.col("_sp").alias("_at"), "_asked"), "_pp")
+    some = some.join(s.select("_sp", "_label", slat, slon), (F.col("_at") == F.col("_sp")) & F.col("_asked").eqNullSafe(F.col("_label")))
+    some = some.filter(haversine_m(plat, plon, slat, slon) <= metres).select(*keep, "_label").distinct()
+    # one list a point, so that its labels are no rows of their own until the last step
+    lists = p.join(known, "_pp").select(*keep, "_known").unionByName(some.select(*keep, F.array("_label").alias("_known")))
+    got = lists.groupBy(*keep).agg(F.array_distinct(F.flatten(F.collect_list("_known"))).alias("_known")).withColumn("_label", F.explode("_known"))
+    return got.select(*keep, *[F.col(f"_label.l{i}").alias(c) for i, c in enumerate(labels)])
+
+
 def map_stations(names: DataFrame, stops: DataFrame, name: str, stop_name: str, metres: float = 100.0) -> DataFrame:
     """Station to stop ids by normalised name, unmatched ones by distance."""
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
