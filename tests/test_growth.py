@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tramline.operators import intervals
+from tramline.operators import intervals, models
 from tramline.plans.places import affected_stations
 from tramline.streaming import jobs
 
@@ -61,3 +61,13 @@ def test_affected_stations_by_patches(spark):
         assert len(got) == len(want) and dict(got) == {k: ", ".join(sorted(v - {None})) for k, v in want.items()}
     labelled = s.withColumn("_l", F.explode("lines"))
     assert intervals.reached_labels(e, labelled, 300.0, ["id"], ["name", "_l"]).count() > 0
+
+
+def test_training_rows_are_dealt_out(spark, monkeypatch):
+    d = spark.range(1000).select((F.col("id") % 7).alias("a"), F.col("id").cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit("x").alias("other")).coalesce(1)
+    monkeypatch.setattr(models, "FIT_ROWS", 50)
+    got = models._dealt(d, ["a"], "y", "w")
+    assert got.columns == ["a", "y", "w"] and got.rdd.getNumPartitions() == 20 and got.count() == 1000
+    assert max(got.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 60
+    monkeypatch.setattr(models, "FIT_ROWS", 5000)
+    assert models._dealt(d, ["a"], "y").rdd.getNumPartitions() == 1
