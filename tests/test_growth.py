@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tramline.operators import intervals, models
+from tramline.operators import asof, intervals, models
 from tramline.plans.places import affected_stations
 from tramline.streaming import jobs
 
@@ -71,3 +71,19 @@ def test_training_rows_are_dealt_out(spark, monkeypatch):
     assert max(got.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 60
     monkeypatch.setattr(models, "FIT_ROWS", 5000)
     assert models._dealt(d, ["a"], "y").rdd.getNumPartitions() == 1
+
+
+def test_horizons_are_dealt_out(spark, monkeypatch):
+    """More tasks for more rows, whatever the session's shuffle partitions; the asking rows keep their columns."""
+    monkeypatch.setattr(asof, "TASK_ROWS", 50)
+    rows = [(i, f"k{i % 5}", i * 3 % 400, float(i), "wide" * 3) for i in range(400)]
+    d = spark.createDataFrame(rows, "id int, k string, t int, v double, other string")
+    got = asof.value_at_horizons(d, ["k"], "t", "v", {"a": 10, "b": 25}, 6, 40, ["id"])
+    assert got.columns == [*d.columns, "a", "b"] and got.rdd.getNumPartitions() == 24
+    for x in got.collect():
+        for h, name in ((10, "a"), (25, "b")):
+            near = [(abs(y[2] - x["t"] - h), y[2]) for y in rows if y[1] == x["k"] and abs(y[2] - x["t"] - h) <= 6]
+            assert (x[name] is None) == (not near)
+            if near:
+                at = min(near)[1]
+                assert x[name] in {y[3] for y in rows if y[1] == x["k"] and y[2] == at}

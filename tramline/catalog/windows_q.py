@@ -260,7 +260,7 @@ SELECT p.event_id, {", ".join(cols)} FROM p{joins}"""
 
 @query("trip_delay_horizons", _nearest_sql("trip", HZ, 3600))
 def trip_delay_horizons(spark, sf):
-    d = asof.value_at_horizons(trains(spark, sf), ["trip"], "t", "delay", {k: v * US for k, v in HZ.items()}, 3600 * US, width(spark, sf), ["event_id"])
+    d = asof.value_at_horizons(trains(spark, sf).select("event_id", "trip", "t", "delay"), ["trip"], "t", "delay", {k: v * US for k, v in HZ.items()}, 3600 * US, width(spark, sf), ["event_id"])
     return d.select("event_id", *HZ)
 
 
@@ -269,14 +269,14 @@ SH = {"in_10m": 600, "in_20m": 1200, "in_30m": 1800}
 
 @query("station_delay_horizons", _nearest_sql("stop", SH, 360))
 def station_delay_horizons(spark, sf):
-    d = asof.value_at_horizons(trains(spark, sf), ["stop"], "t", "delay", {k: v * US for k, v in SH.items()}, 360 * US, width(spark, sf), ["event_id"])
+    d = asof.value_at_horizons(trains(spark, sf).select("event_id", "stop", "t", "delay"), ["stop"], "t", "delay", {k: v * US for k, v in SH.items()}, 360 * US, width(spark, sf), ["event_id"])
     return d.select("event_id", *SH)
 
 
 @query("target_with_final_fallback", _nearest_sql("trip", {"in_30m": 1800}, 360).replace("SELECT p.event_id,", "SELECT p.event_id, x.final_value,").replace(
     "AS in_30m FROM p", "AS in_30m_raw FROM p JOIN (SELECT event_id, last_value(delay IGNORE NULLS) OVER (PARTITION BY trip ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final_value FROM trains) x ON x.event_id = p.event_id"))
 def target_with_final_fallback(spark, sf):
-    d = asof.value_at_horizons(trains(spark, sf), ["trip"], "t", "delay", {"in_30m_raw": 1800 * US}, 360 * US, width(spark, sf), ["event_id"])
+    d = asof.value_at_horizons(trains(spark, sf).select("event_id", "trip", "t", "delay"), ["trip"], "t", "delay", {"in_30m_raw": 1800 * US}, 360 * US, width(spark, sf), ["event_id"])
     return windows.trip_end(d, ["trip"], ORD, "delay", "t", width(spark, sf)).select("event_id", "final_value", "in_30m_raw")
 
 
@@ -331,7 +331,7 @@ def match_predictions(spark, sf):
 
 @query("compare_lagged", _nearest_sql("route", {"before": -600}, 120).replace("SELECT p.event_id,", "SELECT p.event_id, p.dv AS delay,").replace(" AS k, t FROM trains)", " AS k, t, delay AS dv FROM trains)"))
 def compare_lagged(spark, sf):
-    d = asof.value_at_horizons(trains(spark, sf), ["route"], "t", "delay", {"before": -600 * US}, 120 * US, width(spark, sf), ["event_id"])
+    d = asof.value_at_horizons(trains(spark, sf).select("event_id", "route", "t", "delay"), ["route"], "t", "delay", {"before": -600 * US}, 120 * US, width(spark, sf), ["event_id"])
     return d.select("event_id", "delay", "before")
 
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tramline.operators.ordered import CHUNK, _spread, chunk_of, even_width, known_key
 
+#: rows and copies that one task sorts
+TASK_ROWS = 400_000
+
 
 def _asof(
     left: DataFrame,
@@ -121,15 +124,19 @@ def value_at_horizons(
     tolerance: float,
     width: float,
     tie: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
     """Value of the same key at ``t + h``, nearest non-null reading within ``tolerance``.
 
     Equal gaps take the earlier reading. Instead of moving the probes, each reading is copied once
     per horizon to the time of the rows that ask for it, so every horizon is answered on the row
-    itself: one shuffle, two sorts, no join back.
+    itself: one shuffle, two sorts, no join back. ``rows`` is the number of rows where the caller knows it; with them the shuffle
+    is dealt out so that the sorts of a task hold about ``TASK_ROWS``.
     """
     by, tie = list(by), list(tie)
     names = list(horizons)
+    rows = df.count() if rows is None else rows
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * (1 + len(names)) // TASK_ROWS))
     ties = [f"_k{i}" for i in range(len(tie))]
     reading = df.filter(F.col(t).isNotNull() & F.col(value).isNotNull()).select(*by, F.col(t).alias("_rt"), F.col(value).alias("_v"), *[F.col(c).alias(k) for c, k in zip(tie, ties)])
     for c in by:
@@ -140,23 +147,25 @@ def value_at_horizons(
     w_chunk = max(even_width(width), 2 * tolerance)
     spots = F.array_distinct(F.array(*[chunk_of(F.col("_t") + F.lit(d), w_chunk) for d in (-tolerance, 0, tolerance)]))
     copies = copies.withColumn(CHUNK, F.explode(spots)).withColumn("_role", F.lit(0))
-    probe = df.withColumn("_t", F.col(t)).withColumn(CHUNK, chunk_of("_t", w_chunk)).withColumn("_role", F.lit(1))
-    rows = probe.unionByName(copies, allowMissingColumns=True)
+    # the asking rows travel as one struct, so that a copy carries one null for all their columns
+    probe = df.select(*by, F.col(t).alias("_t"), F.struct(*df.columns).alias("_row")).withColumn(CHUNK, chunk_of("_t", w_chunk)).withColumn("_role", F.lit(1))
+    rows = probe.unionByName(copies, allowMissingColumns=True).repartition(tasks, *by, CHUNK)
     part = Window.partitionBy(*by, CHUNK)
     back = part.orderBy(F.col("_t").asc_nulls_last(), "_role", *ties).rowsBetween(Window.unboundedPreceding, 0)
     fwd = part.orderBy(F.col("_t").desc_nulls_last(), "_role", *[F.col(k).desc() for k in ties]).rowsBetween(Window.unboundedPreceding, 0)
-    for side, w in (("b", back), ("f", fwd)):
-        mine = {i: F.col("_hi") == i for i in range(len(names))}
-        rows = rows.withColumns(
-            {f"_{side}t{i}": F.last(F.when(m, F.col("_t")), True).over(w) for i, m in mine.items()}
-            | {f"_{side}v{i}": F.last(F.when(m, F.col("_v")), True).over(w) for i, m in mine.items()}
-        )
+    kept = rows.columns
+    for side, w in (("_b", back), ("_f", fwd)):
+        found = {f"{side}{i}": F.last(F.when(F.col("_hi") == i, F.struct("_t", "_v")), True).over(w) for i in range(len(names))}
+        # what was found matters on asking rows only: copies go on without it, as the next sort holds all rows
+        kept = [*kept, side]
+        rows = rows.withColumns(found).withColumn(side, F.when(F.col("_role") == 1, F.struct(*found))).select(*kept)
     outs = []
     for i, n in enumerate(names):
-        gb, gf = F.col("_t") - F.col(f"_bt{i}"), F.col(f"_ft{i}") - F.col("_t")
+        b, f = F.col(f"_b._b{i}"), F.col(f"_f._f{i}")
+        gb, gf = F.col("_t") - b["_t"], f["_t"] - F.col("_t")
         use_b = (gb <= tolerance) & (gf.isNull() | (gb <= gf))
-        outs.append(F.when(use_b, F.col(f"_bv{i}")).when(gf <= tolerance, F.col(f"_fv{i}")).alias(n))
-    return rows.filter("_role = 1").select(*df.columns, *outs)
+        outs.append(F.when(use_b, b["_v"]).when(gf <= tolerance, f["_v"]).alias(n))
+    return rows.filter("_role = 1").select(*[F.col("_row")[c].alias(c) for c in df.columns], *outs)
 
 
 def first_within(predictions, actuals, by, pt, at, cols, tolerance, width, tie=(), prefix="actual_") -> DataFrame:

@@ -96,8 +96,9 @@ def future_targets(df: DataFrame, width: float = 3600.0, cross_day: bool = False
     tie = ["match_key", "stop_id"]
     st = {f"station_delay_{m}m": 60 * m for m in STATION_HORIZONS_MIN}
     tr = {f"_t{m}": 60 * m for m in TRIP_HORIZONS_MIN}
-    d = asof.value_at_horizons(df, [*day, "stop_id"], "actual_seconds", "delay_seconds", st, TOLERANCE_S, width, tie)
-    d = asof.value_at_horizons(d, [*day, "match_key"], "actual_seconds", "delay_seconds", tr, TOLERANCE_S, width, tie)
+    rows = df.count()
+    d = asof.value_at_horizons(df, [*day, "stop_id"], "actual_seconds", "delay_seconds", st, TOLERANCE_S, width, tie, rows)
+    d = asof.value_at_horizons(d, [*day, "match_key"], "actual_seconds", "delay_seconds", tr, TOLERANCE_S, width, tie, rows)
     outs = {f"target_delay_{m}m": F.coalesce(f"_t{m}", "target_delay_end") for m in TRIP_HORIZONS_MIN}
     d = d.withColumns(outs).drop(*tr)
     deltas = {f"delta_delay_{h}": F.col(f"target_delay_{h}") - F.col("delay_seconds") for h in [f"{m}m" for m in TRIP_HORIZONS_MIN] + ["end"]}
