@@ -87,3 +87,13 @@ def test_horizons_are_dealt_out(spark, monkeypatch):
             if near:
                 at = min(near)[1]
                 assert x[name] in {y[3] for y in rows if y[1] == x["k"] and y[2] == at}
+
+
+def test_range_join_by_fine_buckets(spark):
+    r = random.Random(4)
+    pts = [(i, "ab"[i % 2] if i % 9 else None, r.randrange(-50, 500)) for i in range(150)]
+    iv = [(i, "ab"[i % 2], lo, lo + r.choice([0, 1, 30, 170])) for i, lo in enumerate(r.randrange(-50, 500) for _ in range(60))]
+    p, i = spark.createDataFrame(pts, "id int, k string, t int"), spark.createDataFrame(iv, "iid int, k string, lo int, hi int")
+    j = intervals.range_join(p, i, ["k"], "t", "lo", "hi", 100)
+    assert sorted((x["id"], x["iid"]) for x in j.collect()) == sorted((a[0], b[0]) for a in pts for b in iv if a[1] == b[1] and b[2] <= a[2] < b[3])
+    assert "12.5" in j._jdf.queryExecution().optimizedPlan().toString()
