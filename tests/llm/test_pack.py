@@ -69,3 +69,15 @@ def test_rows_without_id_spread_over_ranges(spark):
     got = pack.pack(df, pack.loader(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), full=2)
     sizes = {x["p"]: x["n"] for x in got.groupBy((F.col("sequence_id") / (1 << 40)).cast("int").alias("p")).agg(F.sum("length").alias("n")).collect()}
     assert len(sizes) == 4 and max(sizes.values()) < 1.3 * min(sizes.values())
+
+
+def test_library_tables_only_for_texts_that_need_them():
+    """The tokenizers library's tables are not kept beside the ranks until a text needs them; marks are those of the library."""
+    import public_tokenizers
+
+    ids = pack.loader(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)()
+    ids.library = None
+    plain = ids.one("some plain text")
+    assert ids.library is None and len(plain)
+    assert set(ids.marks) == {t.content for t in ids.tokenizer.get_added_tokens_decoder().values()}
+    assert ids.library is not None and ids.tokenizer.encode("some plain text", add_special_tokens=False).ids == list(plain)
