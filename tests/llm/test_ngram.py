@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
-from tramline.llm import ngram
+from tramline.llm import common, ngram
 
 
 def brute(texts, k, num, den):
@@ -73,6 +74,17 @@ def test_search_finds_all_links():
         index.add(len(s), list(s))
 
 
+def test_units_free_memory_once(monkeypatch):
+    """Thousands of small units lie in a task; what frees a worker's memory reads all its objects and is too slow for each of them."""
+    calls = []
+    monkeypatch.setattr(common.gc, "collect", lambda *_: calls.append(1))
+    monkeypatch.setattr(common, "_KEPT", {"words": {}})
+    unit = pa.table({"asks": [True] * 2, "keeps": [True] * 2, "sid": [5, 6], "comp": [5, 6], "n": [3, 3], "tokens": pa.array([[1, 2, 3]] * 2, pa.list_(pa.int64()))})
+    for _ in range(50):
+        assert ngram.unit_edges(unit, 4, 5).to_pylist() == [{"a": 6, "b": 5}]
+    assert len(calls) == 1 and not common._KEPT
+
+
 def test_edges(frame, spark):
     assert ngram.join(frame([])).collect() == []
     rows = [(None, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (7, "A b c d e f", None, None, None), (7, "A b c d e f", None, None, None), (2, None, "en", "s", 1)]

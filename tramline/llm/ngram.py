@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import once, release, slices, words
+from tramline.llm.common import once, release, release_tables, slices, words
 from tramline.llm.components import _written, components
 
 #: share of a set that the prefixes of two linked sets have in common at least: 1 / SHARE
@@ -163,20 +163,21 @@ def search_unit(rows: Iterable[tuple], num: int, den: int) -> list[tuple[int, in
 _UNIT = "asks boolean, keeps boolean, sid bigint, comp bigint, n bigint, tokens array<bigint>"
 
 
+def unit_edges(table: pa.Table, num: int, den: int) -> pa.Table:
+    """``search_unit`` on a table with its columns; units are many and small, so what is done for each of them must cost little."""
+    release_tables()
+    t = table.select(["asks", "keeps", "sid", "comp", "n", "tokens"]).combine_chunks()
+    order = np.lexsort((t["sid"].to_numpy(), t["n"].to_numpy(), t["asks"].to_numpy() & ~t["keeps"].to_numpy()))
+    cols = [t[c].to_pylist() for c in t.column_names[:5]]
+    lists = t["tokens"].combine_chunks()
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    edges = search_unit(((*(c[i] for c in cols), flat[ends[i] : ends[i + 1]].tolist()) for i in order), num, den)
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+
 def _searched(rows: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     """Edges (a, b) of all units; ``rows`` has ``by`` and the columns of ``search_unit``."""
-
-    def run(table: pa.Table) -> pa.Table:
-        release()
-        t = table.select(["asks", "keeps", "sid", "comp", "n", "tokens"]).combine_chunks()
-        order = np.lexsort((t["sid"].to_numpy(), t["n"].to_numpy(), t["asks"].to_numpy() & ~t["keeps"].to_numpy()))
-        cols = [t[c].to_pylist() for c in t.column_names[:5]]
-        lists = t["tokens"].combine_chunks()
-        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        edges = search_unit(((*(c[i] for c in cols), flat[ends[i] : ends[i + 1]].tolist()) for i in order), num, den)
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
-
-    return rows.groupBy(*by).applyInArrow(run, "a bigint, b bigint")
+    return rows.groupBy(*by).applyInArrow(lambda table: unit_edges(table, num, den), "a bigint, b bigint")
 
 
 def _prefix(n: int, num: int, den: int) -> int:
