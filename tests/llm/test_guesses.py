@@ -98,6 +98,41 @@ def test_long_texts_take_time_in_proportion():
         assert time.time() - t < 20, s[:20]
 
 
+def test_values_equal_those_of_all_signs():
+    """Every sign and address asked, all found values put in order, those that begin inside an earlier one left out."""
+
+    def plain(text):
+        found = [m.span(1) for m in g.ADDRESS.finditer(text)]
+        for m in g.SIGN.finditer(text):
+            before = g.BEFORE.search(text[max(0, m.start() - g.BACK) : m.start()])
+            if not before or m[0] == " " and not before["verb"] and not text[max(0, m.start() - 6) : m.start()].lower() == "bearer":
+                continue
+            if v := g.VALUE.match(text, g.AFTER.match(text, m.end()).end()):
+                start, end = v.span(2) if v[1] else v.span()
+                while end > start and not v[1] and text[end - 1] in ".:!?":
+                    end -= 1
+                found.append((start, end))
+        out = []
+        for s, e in sorted(set(found)):
+            if e > s and (not out or s >= out[-1][1]) and not g.HOLE.fullmatch(text[s:e]):
+                out.append((s, e))
+        return out
+
+    r, n = random.Random(2), 0
+    parts = ["pwd", "pass", "pin", "token", "bearer", "basic ", " is", "=", ":", "=>", "->", ">", " ", "  ", "\t", '"', "'", "`", "\\", "\n", ".", "x9", "K$d8", "<a>", "${b}", "%s", "db://u:", "@h", "/", "1"]
+    for _ in range(20_000):
+        text = "".join(r.choices(parts, k=r.randint(2, 25)))
+        assert g.values(text) == plain(text), text
+        n += len(g.values(text)) > 1
+    assert n > 200
+
+
+def test_values_take_time_in_proportion():
+    t = time.time()
+    assert g.values("pass=" * 20_000) == [(5, 100_000)]
+    assert time.time() - t < 3
+
+
 def brute_ranks(n, ranked):
     order = sorted(n.items(), key=lambda x: (-x[1], x[0]))
     upto = {k: i + 1 for i, (_, k) in enumerate(order)}

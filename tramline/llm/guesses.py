@@ -212,21 +212,29 @@ def guess_cost(s: str, rank: dict[str, int], within: bool = False) -> float:
 
 def values(text: str) -> list[tuple[int, int]]:
     """Places of values in credential contexts, in order and apart."""
-    found = []
-    for m in SIGN.finditer(text):
+    out: list[tuple[int, int]] = []
+
+    def take(s: int, e: int) -> None:
+        if e > s and (not out or s >= out[-1][1]) and not HOLE.fullmatch(text[s:e]):
+            out.append((s, e))
+
+    addresses = [m.span(1) for m in ADDRESS.finditer(text)][::-1]
+    for m in SIGN.finditer(text):  # later signs have no earlier values
+        at = AFTER.match(text, m.end()).end()
+        if out and at + 1 < out[-1][1]:  # a value here, with a quote or without, would begin inside the last one
+            continue
         before = BEFORE.search(text[max(0, m.start() - BACK) : m.start()])
         if not before or m[0] == " " and not before["verb"] and not text[max(0, m.start() - 6) : m.start()].lower() == "bearer":
             continue
-        if v := VALUE.match(text, AFTER.match(text, m.end()).end()):
+        if v := VALUE.match(text, at):
             start, end = v.span(2) if v[1] else v.span()
             while end > start and not v[1] and text[end - 1] in ".:!?":
                 end -= 1
-            found.append((start, end))
-    found += [m.span(1) for m in ADDRESS.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(set(found)):
-        if e > s and (not out or s >= out[-1][1]) and not HOLE.fullmatch(text[s:e]):
-            out.append((s, e))
+            while addresses and addresses[-1] <= (start, end):
+                take(*addresses.pop())
+            take(start, end)
+    for s, e in reversed(addresses):
+        take(s, e)
     return out
 
 
