@@ -3,13 +3,15 @@
 import collections
 import math
 import random
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tramline.llm import attention, langid, lm, pack, toxic
+from tramline.llm import attention, common, langid, lm, pack, toxic
 from tramline.llm.common import crc_mod
 
 SF = "/root/testdata/sf0.001"
@@ -187,6 +189,32 @@ def test_training_takes_every_window():
     assert attention.train(attention.start(9, 5), iter(parts), 2, 0)[1] == 960
 
 
+def test_training_and_scoring_drop_the_tables_of_reading(monkeypatch):
+    """A worker's words with their ids grow with its texts; later steps need the memory and not the words."""
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 30, n) for n in (5, 40, 90)]
+    shape, table = lm.Shape(docs, r.integers(1, 50, 30)), lm.WordTable([], np.zeros(0, int), np.arange(30) % 2 == 0)
+    weights = attention.begun(shape.rows, shape.class_of_row, shape.share)
+    raw = pa.array([d.astype("<u2").tobytes() for d in docs], pa.binary())
+    read = {("ids", 1): "encoder", ("recent", "word ids"): ("key", "words")}
+    old = {"words": {}, ("recent", "lm"): (("lm", "before"), "scorer")}
+
+    monkeypatch.setattr(common, "_KEPT", read | old)
+    batch = pa.RecordBatch.from_arrays([raw, pa.array([0, 1, 2])], names=["ids", "at"])
+    got = list(lm._learned([batch], types.SimpleNamespace(value=(weights, shape, table)), "<u2", 2, 0))
+    assert not common._KEPT and got[0]["n"].to_pylist() == [sum(len(d) // attention.HOP + 1 for d in docs)]
+
+    monkeypatch.setattr(common, "_KEPT", read | old)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), raw], names=["row", "ids"])
+    got = list(lm._scored([batch], types.SimpleNamespace(value=(weights, shape, table, 3)), ("lm", "now"), "<u2"))
+    assert [k for k in common._KEPT] == [("recent", "lm")] and common._KEPT[("recent", "lm")][0] == ("lm", "now")
+    assert got[0]["row"].to_pylist() == [7, 8, 9] and max(got[0]["score"].to_pylist()) < 0
+
+    monkeypatch.setattr(common, "_KEPT", read | old)
+    common.keep_only("ids", "word ids")
+    assert common._KEPT == read
+
+
 def test_number_of_classes():
     r = np.random.default_rng(10)
     shape = lm.Shape([r.integers(0, 200, 2000) for _ in range(5)], np.ones(200))
