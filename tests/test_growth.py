@@ -1,10 +1,12 @@
 """Steps whose cost must grow no faster than their input: same results, and work that is dealt out."""
 
+import datetime as dt
 import math
 import random
 
 from pyspark.sql import functions as F
 
+from tramline.catalog import learning_q
 from tramline.operators import asof, intervals, models
 from tramline.plans.places import affected_stations
 from tramline.streaming import jobs
@@ -97,3 +99,32 @@ def test_range_join_by_fine_buckets(spark):
     j = intervals.range_join(p, i, ["k"], "t", "lo", "hi", 100)
     assert sorted((x["id"], x["iid"]) for x in j.collect()) == sorted((a[0], b[0]) for a in pts for b in iv if a[1] == b[1] and b[2] <= a[2] < b[3])
     assert "12.5" in j._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _events(spark, path, rows):
+    """An events table of own rows: (event_id, ts, user_id, event_type, value)."""
+    d = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double")
+    d.withColumn("props", F.lit(None).cast("string")).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_window_weight_search_is_whole(spark, tmp_path, monkeypatch):
+    """Seven windows x four schemes, each fit on all rows of its days with the whole forest's settings."""
+    r = random.Random(5)
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 28, r.randrange(24), r.randrange(60)), i % 9, "view", r.random() * 90 + 1) for i in range(700)]
+    fit, fits = models.fit_forest, []
+
+    def cheap(train, features, label, classify=True, weight=None, **params):
+        days = train.groupBy("day").agg(F.count("*").alias("n"), F.round(F.max(weight), 6).alias("w")).orderBy("day").collect()
+        fits.append((tuple(x["day"] for x in days), tuple(x["w"] for x in days), sum(x["n"] for x in days), classify, params))
+        return model[0] if model else model.append(fit(train, features, label, classify, weight, numTrees=1, maxDepth=1)) or model[0]
+
+    model = []
+    monkeypatch.setattr(models, "fit_forest", cheap)
+    got = learning_q.window_weight_search(spark, _events(spark, tmp_path, rows)).collect()
+    assert len(got) == len(fits) == 28 and len({(x["months"], x["scheme"]) for x in got}) == 28
+    assert {len(x[0]) for x in fits} == {2, 3, 4, 5, 7, 10, 19} and len({x[:2] for x in fits}) == 27  # over two days linear and step agree
+    assert all(x[0][-1] == dt.date(2024, 1, 19) for x in fits) and not any(x[3] for x in fits)
+    tr, _ = learning_q.learning_rows(spark, str(tmp_path))
+    assert max(x[2] for x in fits) == tr.count()
+    assert all(x[4]["numTrees"] >= 20 and x[4]["maxDepth"] >= 8 for x in fits)
