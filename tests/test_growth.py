@@ -128,3 +128,20 @@ def test_window_weight_search_is_whole(spark, tmp_path, monkeypatch):
     tr, _ = learning_q.learning_rows(spark, str(tmp_path))
     assert max(x[2] for x in fits) == tr.count()
     assert all(x[4]["numTrees"] >= 20 and x[4]["maxDepth"] >= 8 for x in fits)
+
+
+def test_range_join_by_tiles(spark, tmp_path):
+    """More intervals than a tile holds, empty and turned intervals, null keys; the result takes a small part of a byte a row on disk."""
+    r = random.Random(6)
+    pts = [(i, "ab"[i % 2] if i % 9 else None, r.randrange(0, 60)) for i in range(120)]
+    iv = [(i, "ab"[i % 2] if i % 50 else None, lo, lo + r.choice([-5, 0, 3, 40])) for i, lo in enumerate(r.randrange(-10, 60) for _ in range(900))]
+    p, i = spark.createDataFrame(pts, "id int, k string, t int"), spark.createDataFrame(iv, "iid int, k string, lo int, hi int")
+    j = intervals.range_join(p, i, ["k"], "t", "lo", "hi", 80)
+    assert j.columns == ["id", "k", "t", "iid", "lo", "hi"]
+    assert sorted((x["id"], x["iid"]) for x in j.collect()) == sorted((a[0], b[0]) for a in pts for b in iv if a[1] and a[1] == b[1] and b[2] <= a[2] < b[3])
+    p = spark.range(2000).select("id", F.lit("a").alias("k"), (F.col("id") % 97).alias("t"))
+    i = spark.range(505).select(F.col("id").alias("iid"), F.lit("a").alias("k"), F.lit(0).alias("lo"), F.lit(97).alias("hi"))
+    intervals.range_join(p, i, ["k"], "t", "lo", "hi", 1000).select("iid", "id").write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.distinct().count() == 2000 * 505
+    assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < 2000 * 505 / 4
