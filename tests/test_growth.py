@@ -145,3 +145,31 @@ def test_range_join_by_tiles(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == got.distinct().count() == 2000 * 505
     assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < 2000 * 505 / 4
+
+
+def test_monitor_rows_that_can_be_nearest(spark, monkeypatch):
+    """The nearest value of every prediction as of all pairs, from a small part of them; ties, equal instants, nulls and cells cut between tasks."""
+    r = random.Random(9)
+    rows = [(i, "ab"[i % 2] if i % 11 else None, r.randrange(0, 30 * MINUTE, 5_000_000) if i % 50 else None) for i in range(900)] + [(1000 + i, "alone", i * 13 * MINUTE) for i in range(4)]
+    t = spark.createDataFrame(rows, "id int, k string, t bigint")
+    pred = t.select("id", "k", F.timestamp_micros("t").alias("ts"))
+    came = t.select(F.col("id").alias("actual_id"), "k", F.timestamp_micros("t").alias("actual_ts"))
+    want = {}
+    for i, k, at in rows:
+        hits = [(abs(x[2] - at - 10 * MINUTE), x[0]) for x in rows if None not in (k, at, x[2]) and x[1] == k and abs(x[2] - at - 10 * MINUTE) <= 2 * MINUTE]
+        want[i] = (len(hits), min(hits)[1] if hits else None)
+
+    def formed(cell):
+        d = jobs.monitor_rows(pred, came, "k", "ts", "actual_ts", "10 minutes", "2 minutes", "1 minute", ["actual_id"], cell).persist()
+        got = {x["id"]: x["actual_id"] for x in jobs.nearest_value(d, ["id"], "ts", "actual_ts", "10 minutes", ["actual_id"]).collect()}
+        assert d.columns == ["id", "k", "ts", "actual_id", "actual_ts"] and got == {i: w[1] for i, w in want.items()}
+        n = d.filter("actual_id is not null").count()
+        assert n == d.filter("actual_id is not null").distinct().count()
+        return n
+
+    pairs = sum(w[0] for w in want.values())
+    cell = jobs.nearest_cell(410, 30 * MINUTE, 2 * MINUTE)
+    assert 0.5 * MINUTE < cell < MINUTE and formed(cell) < pairs / 2
+    assert formed(7 * MINUTE) <= pairs
+    monkeypatch.setattr(jobs, "MARK_ROWS", 7)
+    assert formed(cell) <= pairs

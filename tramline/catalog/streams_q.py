@@ -277,11 +277,14 @@ def monitor_rows_stream(spark, sf):
     src, path = scratch_path(spark, "monitor-files"), scratch_path(spark, "monitor-rows")
     t = trains(spark, sf).select("event_id", "route", "t", "delay", "value")
     periods = jobs.deal_in_periods(t, "t", 8 * 24 * 60 * MIN_US, src)
-    parts = jobs.state_partitions(spark, t.count() // max(periods, 1))
+    n = t.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))  # one row a line
+    rows, busiest, lo, hi = n.agg(F.sum("n"), F.max(F.when(F.col("route").isNotNull(), F.col("n"))), F.min("lo"), F.max("hi")).first()
+    parts = jobs.state_partitions(spark, (rows or 0) // max(periods, 1))
+    cell = jobs.nearest_cell(busiest or 0, (hi or 0) - (lo or 0), 2 * MIN_US)
     live = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(src)
     pred = live.filter("value > 60").select("event_id", "route", F.timestamp_micros("t").alias("ts"), F.col("delay").alias("predicted"))
     came = live.select(F.col("event_id").alias("actual_id"), "route", F.timestamp_micros("t").alias("actual_ts"), F.col("delay").alias("actual"))
-    jobs.run_to_table(jobs.monitor_rows(pred, came, "route", "ts", "actual_ts", "10 minutes", "2 minutes", "1 minute"), path, partitions=parts)
+    jobs.run_to_table(jobs.monitor_rows(pred, came, "route", "ts", "actual_ts", "10 minutes", "2 minutes", "1 minute", ["actual_id"], cell), path, partitions=parts)
     rows = jobs.nearest_value(spark.read.parquet(path), ["event_id"], "ts", "actual_ts", "10 minutes", ["actual_id"])
     return rows.select("event_id", "predicted", "actual_id", "actual")
 

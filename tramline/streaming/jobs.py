@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tramline.operators import clean, joins
@@ -193,18 +194,81 @@ def monitor(stream: DataFrame, ts: str, key: str, value: str, after: str, width:
     return now.join(later, ["w", "k"])
 
 
-def monitor_rows(predictions: DataFrame, actuals: DataFrame, by: str, ts: str, actual_ts: str, after: str, tolerance: str, late: str) -> DataFrame:
+#: rows that are looked through at once for the ends of their cells
+MARK_ROWS = 1_000_000
+
+
+def _mark_ends(by: str, t: str, tie: Sequence[str]) -> Callable:
+    """Marks the rows at a cell's first and last instant, the first by ``tie`` of each, among the rows that a task of a batch holds."""
+
+    def mark(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def done(held):
+            d = pa.Table.from_batches(held)
+            order = pc.sort_indices(d, sort_keys=[(c, "ascending") for c in dict.fromkeys([by, "_cell", t, *tie])], null_placement="at_start")
+            d = d.take(order).combine_chunks()
+            moved = lambda c: np.diff(d[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), prepend=-1) != 0
+            first = moved(by) | moved("_cell")
+            heads = np.flatnonzero(first | moved(t))
+            cell = np.cumsum(first)[heads]
+            last = np.zeros(len(first), bool)
+            last[heads[np.append(cell[1:] != cell[:-1], True)]] = True
+            return d.append_column("_first", pa.array(first)).append_column("_last", pa.array(last)).to_batches()
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held, n = [*held, b], n + b.num_rows
+            if n >= MARK_ROWS:
+                yield from done(held)
+                held, n = [], 0
+        if held:
+            yield from done(held)
+
+    return mark
+
+
+def nearest_cell(rows: int, span: int, tolerance: int) -> int:
+    """Cell for ``monitor_rows`` in microseconds, ``rows`` being those of the busiest key over ``span``: a cell then has about as many rows as there are ends in reach."""
+    return int(min(max((4 * tolerance * span / max(rows, 1)) ** 0.5, 1000), 4 * tolerance))
+
+
+def monitor_rows(
+    predictions: DataFrame, actuals: DataFrame, by: str, ts: str, actual_ts: str, after: str, tolerance: str, late: str, nearest: Sequence[str] | None = None, cell: int | None = None
+) -> DataFrame:
     """ST8: every prediction beside each value of its key that came ``after`` later, give or take ``tolerance``.
 
     A stream-stream outer join in event time with watermarks on both sides: state is kept for the horizon and the lateness only, and
     predictions whose value never came are given with nulls once the watermark has passed their range. The sides meet on the key
     and a stretch of time a little longer than a range, so a row looks at the state of that stretch, not at that of its whole key. A prediction
     lies in the stretch where its range begins; a value is copied to its own and the one before.
+
+    For results that take the value nearest to the horizon (``nearest_value`` with the tie columns ``nearest``), time is cut into cells of ``cell``
+    microseconds and pairs that cannot be nearest are not formed: a prediction meets every value of the cell that its horizon lies in, and of each other cell
+    in reach the values at its end on this side. So its nearest values always are among those it meets, and it meets one if any is in range. Ends are
+    those of the values that one task of a batch holds; a value later than ``late`` may stand at an end of its cell when it is dropped.
     """
-    stretch = f"greatest(unix_micros(timestamp_seconds(0) + interval {tolerance}) * 9 div 4, 1)"  # a quarter more than the range has room for days of 25 hours
-    at = lambda moment: F.expr(f"cast(floor(unix_micros({moment}) / {stretch}) as bigint)")
-    p = predictions.withWatermark(ts, late).withColumnRenamed(by, "_p").withColumn("_pw", at(f"{ts} + interval {after} - interval {tolerance}"))
-    a = actuals.withWatermark(actual_ts, late).withColumnRenamed(by, "_a").withColumn("_aw", F.explode(F.array(at(actual_ts), at(actual_ts) - 1)))
+    micros = f"unix_micros(timestamp_seconds(0) + interval {tolerance})"
+    if nearest is not None:
+        if not cell:
+            raise ValueError("nearest needs a cell")
+        reach = f"cast(ceil({micros} * 5 / 4 / {cell}) as bigint)"  # a quarter more for days of 25 hours
+        cell_of = lambda moment: F.expr(f"cast(floor(unix_micros({moment}) / {cell}) as bigint)")
+        p = predictions.withWatermark(ts, late).withColumnRenamed(by, "_p").withColumn("_pw", cell_of(f"{ts} + interval {after}"))
+        a = actuals.withColumnRenamed(by, "_a").withColumn("_cell", cell_of(actual_ts))
+        a = a.repartition("_a", "_cell")
+        a = a.mapInArrow(_mark_ends("_a", actual_ts, nearest), T.StructType([*a.schema, T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())]))
+        none = "cast(array() as array<bigint>)"
+        cells = f"concat(array(_cell), if(_first, sequence(_cell - {reach}, _cell - 1), {none}), if(_last, sequence(_cell + 1, _cell + {reach}), {none}))"
+        a = a.withWatermark(actual_ts, late).withColumn("_aw", F.explode(F.expr(cells))).drop("_cell", "_first", "_last")
+    else:
+        stretch = f"greatest({micros} * 9 div 4, 1)"  # a quarter more than the range has room for days of 25 hours
+        at = lambda moment: F.expr(f"cast(floor(unix_micros({moment}) / {stretch}) as bigint)")
+        p = predictions.withWatermark(ts, late).withColumnRenamed(by, "_p").withColumn("_pw", at(f"{ts} + interval {after} - interval {tolerance}"))
+        a = actuals.withWatermark(actual_ts, late).withColumnRenamed(by, "_a").withColumn("_aw", F.explode(F.array(at(actual_ts), at(actual_ts) - 1)))
     reach = F.expr(
         f"_p = _a and _pw = _aw and {actual_ts} >= {ts} + interval {after} - interval {tolerance} and {actual_ts} <= {ts} + interval {after} + interval {tolerance}"
     )
